@@ -64,6 +64,13 @@ def word_tokens(text) -> Column:
     return F.filter(F.split(F.lower(_c(text)), WORD_SPLIT), lambda t: t != F.lit(""))
 
 
+def first_word(text) -> Column:
+    """First lower-cased word token without splitting the whole text: the
+    first maximal run of non-delimiter characters (null when there is none)."""
+    w = F.regexp_extract(_c(text), "[^ \n\t\r.,;!?]+", 0)
+    return F.lower(F.nullif(w, F.lit("")))
+
+
 def truncate_tokens(tokens, budget: int) -> Column:
     """First ``budget`` tokens (the whole array when shorter)."""
     return F.slice(_c(tokens), 1, budget)

@@ -35,13 +35,19 @@ def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
 
 
 def per_class(conf: DataFrame) -> DataFrame:
-    """(cls, tp, true_n, pred_n) for classes in gold or pred."""
-    g = conf.select(F.col("gold").alias("cls"),
-                    F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"),
-                    F.col("n").alias("true_n"), F.lit(0).cast("long").alias("pred_n"))
-    p = conf.select(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("tp"),
-                    F.lit(0).cast("long").alias("true_n"), F.col("n").alias("pred_n"))
-    u = g.unionByName(p).filter(F.col("cls").isNotNull())
+    """(cls, tp, true_n, pred_n) for classes in gold or pred.
+
+    Each confusion cell contributes to its gold class (tp, true_n) and to
+    its predicted class (pred_n); both contributions come from one explode,
+    so the upstream plan is evaluated once."""
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("gold").cast("string").alias("cls"),
+                 F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(zero).alias("tp"),
+                 F.col("n").alias("true_n"), zero.alias("pred_n")),
+        F.struct(F.col("pred").cast("string").alias("cls"), zero.alias("tp"), zero.alias("true_n"),
+                 F.col("n").alias("pred_n")))
+    u = conf.select(F.explode(sides).alias("s")).select("s.*").filter(F.col("cls").isNotNull())
     pc = u.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("true_n").alias("true_n"),
                               F.sum("pred_n").alias("pred_n"))
     prec = _div(F.col("tp"), F.col("pred_n"))

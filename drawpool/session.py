@@ -39,18 +39,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; we only set our own when it is unset, which
+    The cluster names it; we only pick our own when it is unset, which
     happens in local tests.  Every piece of round state is written below it,
     so lost executors never lose lineage we depend on.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="drawpool-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    if d:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+        return d
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d
+        # local runs only: the setting is static, so use the context's own
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="drawpool-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def state_path(spark: SparkSession, *parts: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import first_answer, word_tokens
+from ..functions.text import first_answer, first_word
 from .contracts import ColumnRoles, register_pool
 
 # ---- fixed values ----------------------------------------------------------
@@ -32,8 +32,25 @@ QUALITY_HYPOTHESES = {
 # ---------------------------------------------------------------------------
 
 
+# Tables whose rows carry long texts: per-row work (tokenising whole texts)
+# dominates, so the scan must be at least as wide as the cluster.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallel(df) if name in TEXT_TABLES else df
+
+
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has
+    cores (a single small file with one row group) over all of them.  On
+    real inputs of many files the scan is already wider and this is a
+    no-op, so no shuffle of the raw table is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def pool_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +79,7 @@ def pool_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as an answer-generation pool: gold answer = first word."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("idx"), "text")
-    return d.withColumn("label_text", F.get(word_tokens("text"), 0))
+    return d.withColumn("label_text", first_word("text"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
