@@ -24,12 +24,18 @@ def array_sum(arr) -> Column:
 
 
 def softmax(z) -> Column:
-    """Numerically stable softmax over the K logits of a row."""
+    """Numerically stable softmax over the K logits of a row.
+
+    One ``aggregate``: its initial value (the row maximum) is evaluated
+    once, the merge sums exp(x - max), the finish divides -- O(K) per row.
+    (A ``transform`` whose lambda calls ``array_max``/a sum would recompute
+    them for every element.)"""
     z = _c(z).cast("array<double>")
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
-    s = array_sum(e)
-    return F.transform(e, lambda x: x / s)
+    init = F.struct(F.array_max(z).alias("m"), F.lit(0.0).alias("s"))
+    return F.aggregate(
+        z, init,
+        lambda acc, x: F.struct(acc["m"].alias("m"), (acc["s"] + F.exp(x - acc["m"])).alias("s")),
+        lambda acc: F.transform(z, lambda x: F.exp(x - acc["m"]) / acc["s"]))
 
 
 def argmax(arr) -> Column:
@@ -61,9 +67,11 @@ def named_probs(vocab, p) -> Column:
 
 
 def rescale(p) -> Column:
-    """Divide by the row sum so the probabilities sum to 1."""
-    s = array_sum(p)
-    return F.transform(_c(p), lambda x: x / s)
+    """Divide by the row sum so the probabilities sum to 1 (sum computed
+    once per row, in the aggregate's finish step)."""
+    p = _c(p)
+    return F.aggregate(p, F.lit(0.0).cast("double"), lambda acc, x: acc + x,
+                       lambda s: F.transform(p, lambda x: x / s))
 
 
 def entail_prob(z_entail, z_not) -> Column:

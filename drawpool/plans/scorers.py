@@ -14,6 +14,7 @@ keeps its coefficients on the driver.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -58,7 +59,9 @@ class CentroidModel:
         self.vocab, self.centroids, self.scale, self.features = vocab, centroids, scale, features
 
     def logits(self):
-        m = F.lit(self.centroids).cast("array<array<double>>")
+        # one JSON string literal; Catalyst constant-folds from_json into an
+        # array literal (one driver->JVM call instead of one per cell)
+        m = F.from_json(F.lit(json.dumps(self.centroids)), "array<array<double>>")
         x = F.col(self.features).cast("array<double>")
         return F.transform(m, lambda c: F.lit(self.scale) * S.dot(x, c))
 
