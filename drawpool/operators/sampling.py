@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, seeded_hash
-from .ranking import rank_first
+from .ranking import TOPK_LOCAL_MAX, rank_first
 
 # ---- fixed values: seeds of the reference's demo ---------------------------
 SEED = 42            # corpus / pool draws
@@ -71,11 +71,16 @@ def seed_train_draw(df: DataFrame, cap: int = SEED_TRAIN_CAP, seed: int = SEED,
 
 
 def shuffle_rank(df: DataFrame, seed: int = SEED, idx: str = "idx",
-                 out: str = "shuffle_rank") -> DataFrame:
-    """Seeded shuffle position of the rows of a *draw* (n rows).
-
-    Only for bounded inputs: the rank is global.  To shuffle a large table,
-    sort by ``seeded_hash`` instead of numbering it."""
+                 out: str = "shuffle_rank", n_max: int | None = None) -> DataFrame:
+    """Seeded shuffle position (1..n) of the rows of a draw.
+
+    ``n_max`` bounds the number of rows.  Small draws are numbered by one
+    window over the n rows; larger ones by the exact bucketed rank, so a big
+    draw is never numbered in a single task."""
+    if n_max is not None and n_max > TOPK_LOCAL_MAX:
+        h = df.withColumn("_sh", seeded_hash(seed, idx))
+        return rank_first(h, [], ["_sh", idx], n_max, bucket=hash_bucket("_sh"), rank_col=out,
+                          strategy="bucketed").drop("_sh")
     w = Window.orderBy(seeded_hash(seed, idx), F.col(idx))
     return df.withColumn(out, F.row_number().over(w))
 

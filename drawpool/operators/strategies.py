@@ -64,7 +64,7 @@ def breaking_ties(scored: DataFrame, vocab: list[str], n: int = 20, seed: int =
     voc = vocab_array(vocab)
     drawn = (drawn.withColumn("probs_named", S.named_probs(voc, "p4"))
              .withColumn("probs_scaled", S.named_probs(voc, S.rescale("p4"))))
-    return shuffle_rank(drawn, seed, idx)
+    return shuffle_rank(drawn, seed, idx, n_max=n)
 
 
 def min_certainty(scored: DataFrame, n: int = 20, seed: int = SEED, score: str = "score",
@@ -77,4 +77,4 @@ def min_certainty(scored: DataFrame, n: int = 20, seed: int = SEED, score: str =
         bucket = quantile_bucket(scored, score)
     drawn = rank_first(scored, [], [score, idx], n, bucket=bucket, rank_col="score_rank",
                        strategy=strategy)
-    return shuffle_rank(drawn, seed, idx)
+    return shuffle_rank(drawn, seed, idx, n_max=n)

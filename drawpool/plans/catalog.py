@@ -284,6 +284,27 @@ def annotation_latest(spark, sf):
                      F.col("n_annotations").cast("long").alias("n_annotations"))
 
 
+@query
+def annotation_stream_latest(spark, sf):
+    """C6 fed by Structured Streaming: the events table is read as a file
+    stream of annotations, appended to a ledger with foreachBatch, and the
+    latest label per id is computed from that ledger."""
+    from ..session import new_run_id, state_path
+    from ..streaming.ledger_feed import annotation_stream, latest_from_ledger, start_ledger_feed
+    from pyspark.sql import types as T
+    ev_schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+                              T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())])
+    stream = annotation_stream(spark, sf, ev_schema, glob="events.parquet").select(
+        F.col("user_id").alias("idx"), F.col("event_type").alias("label"), "ts",
+        F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("annotator"))
+    base = state_path(spark, new_run_id())
+    q = start_ledger_feed(stream, f"{base}/ledger", f"{base}/ledger_ckpt")
+    q.awaitTermination()
+    la = latest_from_ledger(spark, f"{base}/ledger")
+    return la.select(F.col("idx").cast("long").alias("idx"), "label",
+                     F.col("n_annotations").cast("long").alias("n_annotations"))
+
+
 @query
 def merge_predictions(spark, sf):
     sc, vocab, _ = vec_scored(spark, sf)

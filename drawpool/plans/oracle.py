@@ -274,6 +274,7 @@ SQL["annotation_latest"] = (
     "SELECT idx, label, n_annotations FROM (SELECT user_id AS idx, event_type AS label, "
     "count(*) OVER (PARTITION BY user_id) AS n_annotations, row_number() OVER (PARTITION BY user_id "
     "ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+SQL["annotation_stream_latest"] = SQL["annotation_latest"]
 SQL["merge_predictions"] = with_(*ROUND0) + (
     f"SELECT m.idx, v.label_text, m.pred_p AS label_text_pred, {r6('m.p_max', 'prob_pred')} "
     "FROM mg_0 m JOIN vec v ON m.idx = v.idx")

@@ -92,3 +92,10 @@ def test_plan_window_group_limit(spark):
     pq = A.pool_quality(spark, SF01)
     plan = SM.stratified_sample(pq, 30)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_shuffle_rank_bucketed_equals_window(spark):
+    df = spark.range(0, 300).withColumnRenamed("id", "idx")
+    a = {(r.idx, r.shuffle_rank) for r in SM.shuffle_rank(df).collect()}
+    b = {(r.idx, r.shuffle_rank) for r in SM.shuffle_rank(df, n_max=20_000).collect()}
+    assert a == b and sorted(x for _, x in a) == list(range(1, 301))

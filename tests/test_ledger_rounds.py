@@ -108,3 +108,10 @@ def test_generation_and_nli_rounds(spark):
 def test_unknown_method():
     with pytest.raises(ValueError):
         SC.resolve_method("nsp")
+
+
+def test_stream_ledger_equals_batch(spark):
+    import __spark_entry__ as E
+    a = sorted(tuple(r) for r in E.queries()["annotation_stream_latest"](spark, SF001).collect())
+    b = sorted(tuple(r) for r in E.queries()["annotation_latest"](spark, SF001).collect())
+    assert a == b and len(a) > 0
