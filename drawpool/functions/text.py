@@ -71,6 +71,23 @@ def first_word(text) -> Column:
     return F.lower(F.nullif(w, F.lit("")))
 
 
+def most_frequent(tokens) -> Column:
+    """Most frequent element of a string array, ties to the smallest; null
+    for an empty array.  Row-local: sort the row's tokens, then one pass
+    keeping the longest run (a later run must be strictly longer to win, so
+    the smallest of equally frequent tokens stays)."""
+    srt = F.array_sort(_c(tokens))
+    init = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0).alias("run"),
+                    F.lit(None).cast("string").alias("best"), F.lit(0).alias("best_n"))
+
+    def step(acc, t):
+        run = F.when(acc["cur"] == t, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(t.alias("cur"), run.alias("run"),
+                        F.when(run > acc["best_n"], t).otherwise(acc["best"]).alias("best"),
+                        F.greatest(run, acc["best_n"]).alias("best_n"))
+    return F.aggregate(srt, init, step, lambda acc: acc["best"])
+
+
 def truncate_tokens(tokens, budget: int) -> Column:
     """First ``budget`` tokens (the whole array when shorter)."""
     return F.slice(_c(tokens), 1, budget)

@@ -367,9 +367,9 @@ def class_report(spark, sf):
 
 
 def _gen_gold_pred(spark, sf):
-    pg, model = gen_model(spark, sf)
-    pr = model.predictions(pg)
-    return pg.select("idx", F.col("label_text").alias("gold")).join(pr, on="idx", how="left")
+    """Gold (first word) and predicted answer side by side, one projection."""
+    pg = A.pool_gen(spark, sf).withColumnRenamed("label_text", "gold")
+    return SC.answer_predictions(pg, keep=("gold",))
 
 
 @query

@@ -22,9 +22,10 @@ from ..functions import scores as S
 from ..operators import evaluate as E
 from ..operators import ledger as L
 from ..operators import nli as N
+from ..operators.labels import ISIN_MAX
 from ..operators.strategies import PoolExhausted, breaking_ties, min_certainty
 from ..session import new_run_id, state_path
-from ..sources.history import read_history, write_iter
+from ..sources.history import read_history, read_iter, write_iter
 from .scorers import resolve_method
 
 
@@ -116,20 +117,19 @@ class ActiveLearningRun:
             parts.append(self._score(model, self.state.test, "test"))
         scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         write_iter(scored.withColumn("iter", F.lit(r)), self.path("scored"), ("iter", "split"))
-        sc = read_history(self.spark, self.path("scored")).filter(F.col("iter") == r)
         eval_split = "test" if self.state.test is not None else "corpus"
-        m = E.eval_metrics(sc.filter(F.col("split") == eval_split), digits=self.metric_digits)
+        m = E.eval_metrics(read_iter(self.spark, self.path("scored"), r, split=eval_split),
+                           digits=self.metric_digits)
         # rows the model was fitted on (the train table is labelling-budget sized)
         n_train = 0 if self.state.train is None else self.state.train.count()
         m = m.withColumn("iter", F.lit(r)).withColumn("n_train", F.lit(n_train).cast("long"))
         write_iter(m, self.path("metrics"))
-        return read_history(self.spark, self.path("metrics")).filter(F.col("iter") == r)
+        return read_iter(self.spark, self.path("metrics"), r)
 
     def draw(self) -> DataFrame:
         """F1/F2 on this round's pool scores; writes the sample as iter+1."""
         r = self.state.iter
-        sc = read_history(self.spark, self.path("scored")).filter(
-            (F.col("iter") == r) & (F.col("split") == "corpus"))
+        sc = read_iter(self.spark, self.path("scored"), r, split="corpus")
         if self.method == "generation":
             d = min_certainty(sc, self.n_sample, self.seed, score="score")
             d = d.select("idx", F.col("score"), F.lit(None).cast("double").alias("margin"),
@@ -141,25 +141,38 @@ class ActiveLearningRun:
             d = d.select("idx", F.lit(None).cast("double").alias("score"), "margin", "label_text_pred",
                          F.col("probs_named").alias("probs"), "probs_scaled", "shuffle_rank")
         write_iter(d.withColumn("iter", F.lit(r + 1)), self.path("samples"))
-        out = read_history(self.spark, self.path("samples")).filter(F.col("iter") == r + 1)
+        out = read_iter(self.spark, self.path("samples"), r + 1)
         if out.isEmpty():
             raise PoolExhausted("No more training data left in corpus.")
         return out
 
     def update(self) -> RoundState:
-        """K2: extend the train ids (set union), rebuild train from the
-        original rows with current labels, shrink the pool."""
+        """K2: extend the train ids (set union), rebuild train with current
+        labels, shrink the pool.
+
+        Only the n rows of the new draw are fetched from the corpus: their
+        ids (bounded by the labelling budget) become an ``IN`` filter that
+        parquet checks against row-group statistics, and the rows are kept
+        in a per-round ``train_rows`` table.  Train is that small table plus
+        the seed rows, relabelled from the ledger -- no corpus scan per round
+        beyond the scoring pass."""
         r = self.state.iter + 1
-        drawn = read_history(self.spark, self.path("samples")).filter(F.col("iter") == r).select("idx", "iter")
-        prev = self.state.train_ids
-        ids = L.union_train_ids(prev, drawn)
-        # write to a per-round folder: `prev` is read from the current one
+        drawn = read_iter(self.spark, self.path("samples"), r).select("idx", "iter")
+        ids = L.union_train_ids(self.state.train_ids, drawn)
+        # write to a per-round folder: the previous set is read from the last one
         ids_path = self.path(f"train_ids_r{r}")
         ids.write.mode("overwrite").parquet(ids_path)
         ids = self.spark.read.parquet(ids_path)
         self._ids_path = ids_path
+        if self.n_sample <= ISIN_MAX:
+            new_ids = [row.idx for row in drawn.select("idx").collect()]     # <= n_sample ids
+            new_rows = self.corpus.filter(F.col("idx").isin(new_ids))
+        else:
+            new_rows = L.rows_in(self.corpus, drawn)
+        write_iter(new_rows.withColumn("iter", F.lit(r)), self.path("train_rows"))
+        rows = read_history(self.spark, self.path("train_rows")).filter(F.col("iter") <= r).drop("iter")
         latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
-        train = L.train_rows_current(self.corpus, ids, latest)
+        train = L.with_current_labels(rows, latest)
         if self.keep_seed_train and self.seed_train is not None:
             train = self.seed_train.unionByName(train)
         pool = L.pool_minus(self.corpus, ids)

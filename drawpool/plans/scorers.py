@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.text import truncate_tokens, word_tokens, ws_tokens
+from ..functions.text import most_frequent, truncate_tokens, word_tokens, ws_tokens
 from ..operators.nli import hypotheses
 
 METHODS = ("standard", "nli", "generation")
@@ -250,23 +250,25 @@ class UnigramModel:
                         F.log((F.coalesce(F.col("cnt"), F.lit(0)) + 1) / F.lit(denom)).alias("step"))
 
     def predictions(self, df: DataFrame) -> DataFrame:
-        """(idx, pred): the most frequent word of the whole text (ties: the
-        smaller word).  Both steps aggregate map-side."""
-        tok = df.select("idx", F.explode(word_tokens("text")).alias("token"))
-        c = tok.groupBy("idx", "token").agg(F.count(F.lit(1)).alias("n"))
-        return c.groupBy("idx").agg(F.min_by("token", F.struct((-F.col("n")).alias("nn"), F.col("token"))).alias("pred"))
+        return answer_predictions(df)
 
     def score(self, df: DataFrame) -> DataFrame:
         """(idx, pred, steps[], score) with the I6 sequence score."""
         st = self.step_scores(df)
         arr = st.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))),
                                                 lambda s: s["step"]).alias("steps"))   # <= T per idx
-        pr = self.predictions(df)
-        out = df.select("idx").join(arr, on="idx", how="left").join(pr, on="idx", how="left")
+        out = self.predictions(df).join(arr, on="idx", how="left")
         out = out.withColumn("steps", F.coalesce("steps", F.array().cast("array<double>")))
         return out.withColumn("score", S.sequence_score("steps", self.input_len, self.length_penalty))
 
 
+def answer_predictions(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, pred): the stand-in generated answer = the most frequent word
+    of the whole text (ties: the smaller word), computed inside the row --
+    no explode, no shuffle, and no fitted state needed."""
+    return df.select("idx", *keep, most_frequent(word_tokens("text")).alias("pred"))
+
+
 class UnigramScorer:
     """Stand-in generation model: unigram counts of the training texts (of
     the corpus when there is no train table yet: the zero-shot prior)."""

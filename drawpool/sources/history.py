@@ -22,3 +22,11 @@ def write_iter(df: DataFrame, path: str, partition_cols=("iter",)) -> None:
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def read_iter(spark: SparkSession, path: str, iter_: int, **parts) -> DataFrame:
+    """One round's partition (plus optional sub-partitions such as
+    ``split="corpus"``), listing only that folder; partition columns are kept
+    through ``basePath``."""
+    sub = "/".join([f"iter={iter_}"] + [f"{k}={v}" for k, v in parts.items()])
+    return spark.read.option("basePath", path).parquet(f"{path}/{sub}")

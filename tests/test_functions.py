@@ -122,3 +122,18 @@ def test_tokens(spark):
     assert r.w == ["Hello,", "World!", "foo"]
     assert r.x == ["hello", "world", "foo"]
     assert r.f == "hello"
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "dd", "é"]), max_size=12), min_size=1, max_size=10))
+def test_most_frequent_matches_python(spark, rows):
+    from collections import Counter
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>")
+    got = {r.i: r.m for r in df.select("i", TX.most_frequent("t").alias("m")).collect()}
+    for i, r in enumerate(rows):
+        if not r:
+            assert got[i] is None
+        else:
+            c = Counter(r)
+            top = max(c.values())
+            assert got[i] == min(x.encode() for x in c if c[x] == top).decode()
