@@ -93,6 +93,19 @@ def truncate_tokens(tokens, budget: int) -> Column:
     return F.slice(_c(tokens), 1, budget)
 
 
+def generation_budgets(model_max: int, output_max: int) -> tuple[int, int]:
+    """(input budget, label budget) of the generation formulation: the label
+    tokens count against the model limit, so input = max - output."""
+    if output_max >= model_max:
+        raise ValueError("output budget must be below the model limit")
+    return model_max - output_max, output_max
+
+
+def kept_tokens(n_tokens, budget: int) -> Column:
+    """Tokens kept after truncation to ``budget`` (special tokens ignored)."""
+    return F.least(_c(n_tokens), F.lit(budget)).cast("long")
+
+
 def pair_budget(n_text, n_hypo, budget: int) -> tuple[Column, Column]:
     """Kept lengths of a (text, hypothesis) pair under longest-first
     truncation to ``budget`` tokens.

@@ -137,3 +137,13 @@ def test_most_frequent_matches_python(spark, rows):
             c = Counter(r)
             top = max(c.values())
             assert got[i] == min(x.encode() for x in c if c[x] == top).decode()
+
+
+def test_generation_budgets(spark):
+    assert TX.generation_budgets(384, 16) == (368, 16)
+    with pytest.raises(ValueError):
+        TX.generation_budgets(16, 16)
+    df = spark.createDataFrame([(500, 3), (10, 40)], "a int, b int")
+    inp, lab = TX.generation_budgets(384, 16)
+    r = [(x.i, x.l) for x in df.select(TX.kept_tokens("a", inp).alias("i"), TX.kept_tokens("b", lab).alias("l")).collect()]
+    assert r == [(368, 3), (10, 16)]

@@ -115,3 +115,22 @@ def test_stream_ledger_equals_batch(spark):
     a = sorted(tuple(r) for r in E.queries()["annotation_stream_latest"](spark, SF001).collect())
     b = sorted(tuple(r) for r in E.queries()["annotation_latest"](spark, SF001).collect())
     assert a == b and len(a) > 0
+
+
+def test_rounds_use_revised_annotations(spark):
+    """K5/C6 in the loop: a drawn id whose label was revised in the ledger
+    enters train with the revised label."""
+    pv, train, pool, vocab = _vec_setup(spark)
+    run = ActiveLearningRun(spark, corpus=pool, scorer=SC.CentroidScorer(vocab), vocab=vocab,
+                            seed_train=train, n_sample=5, keep_seed_train=False)
+    run.run_round()
+    drawn = [r.idx for r in run.draw().collect()]
+    target = drawn[0]
+    old = pool.filter(F.col("idx") == target).first().label_text
+    new = [v for v in vocab if v != old][0]
+    t1, t2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    run.annotations = spark.createDataFrame([(target, old, t1, 1, 0), (target, new, t2, 2, 1)],
+                                            "idx long, label string, ts timestamp, seq long, annotator long")
+    st = run.update()
+    labels = {r.idx: r.label_text for r in st.train.collect()}
+    assert set(labels) == set(drawn) and labels[target] == new
