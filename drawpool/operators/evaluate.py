@@ -96,23 +96,30 @@ def class_report(conf: DataFrame, vocab: list[str]) -> DataFrame:
                     F.coalesce("f1", F.lit(0.0)).alias("f1"),
                     F.coalesce("true_n", F.lit(0)).cast("long").alias("support"),
                     F.coalesce("tp", F.lit(0)).cast("long").alias("_tp")))
-    tot = F.sum("support")
-    summ = rows.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        _div(F.sum(F.col("precision") * F.col("support")), tot).alias("wp"),
-        _div(F.sum(F.col("recall") * F.col("support")), tot).alias("wr"),
-        _div(F.sum(F.col("f1") * F.col("support")), tot).alias("wf"),
-        tot.cast("long").alias("n"), F.sum("_tp").alias("tp"))
-    acc = _div(F.col("tp"), F.col("n"))
-    summary = summ.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("label_text"), acc.alias("precision"), acc.alias("recall"),
-                 acc.alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg").alias("label_text"), F.col("mp").alias("precision"),
-                 F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg").alias("label_text"), F.col("wp").alias("precision"),
-                 F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support")),
-    )).alias("s")).select("s.*")
-    return rows.drop("_tp").unionByName(summary)
+    # summary rows from window aggregates over the K-row table, emitted next
+    # to the first label row: the upstream plan is evaluated once
+    w = Window.partitionBy()
+    st = rows.select(
+        "*",
+        F.sum("support").over(w).alias("_n"), F.sum("_tp").over(w).alias("_ntp"),
+        F.avg("precision").over(w).alias("_mp"), F.avg("recall").over(w).alias("_mr"),
+        F.avg("f1").over(w).alias("_mf"),
+        F.sum(F.col("precision") * F.col("support")).over(w).alias("_wp"),
+        F.sum(F.col("recall") * F.col("support")).over(w).alias("_wr"),
+        F.sum(F.col("f1") * F.col("support")).over(w).alias("_wf"),
+        (F.row_number().over(Window.orderBy("label_text")) == 1).alias("_first"))
+    acc = _div(F.col("_ntp"), F.col("_n"))
+
+    def row(name, p, r, f):
+        return F.struct(F.lit(name).alias("label_text"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1"), F.col("_n").cast("long").alias("support"))
+    own = F.struct("label_text", "precision", "recall", "f1", "support")
+    extra = F.array(own, row("accuracy", acc, acc, acc),
+                    row("macro avg", F.col("_mp"), F.col("_mr"), F.col("_mf")),
+                    row("weighted avg", _div(F.col("_wp"), F.col("_n")), _div(F.col("_wr"), F.col("_n")),
+                        _div(F.col("_wf"), F.col("_n"))))
+    out = st.select(F.explode(F.when(F.col("_first"), extra).otherwise(F.array(own))).alias("s"))
+    return out.select("s.*")
 
 
 def learning_curve(metrics_hist: DataFrame, sample_hist: DataFrame,

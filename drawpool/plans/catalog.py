@@ -93,12 +93,17 @@ def _metric_cols(digits=DIGITS):
 
 
 def lang_scored(spark, sf):
-    """NLI scores of the language pool with the overlap scorer, regrouped."""
+    """NLI predictions of the language pool with the overlap scorer, row form
+    (the K hypotheses are evaluated inside each row: no expansion, no shuffle)."""
     pl = A.pool_lang(spark, sf)
-    pairs = SC.OverlapNLIScorer(A.LANG_HYPOTHESES).score_pairs(pl)
-    labels = N.nli_testset(pl, A.LANG_HYPOTHESES).select("idx", "hypo_pos", "label")
-    g = N.regroup(pairs.join(labels, on=["idx", "hypo_pos"]), ["z_entail", "z_not", "label"])
-    return N.nli_predict(g)
+    return N.nli_predict(SC.OverlapNLIScorer(A.LANG_HYPOTHESES).score_rows(pl))
+
+
+def lang_scored_pairs(spark, sf):
+    """The same through the pair form: expand, score pairs, regroup by idx."""
+    pl = A.pool_lang(spark, sf)
+    pairs = SC.OverlapNLIScorer(A.LANG_HYPOTHESES).score_testset(pl)
+    return N.nli_predict(N.regroup(pairs, ["z_entail", "z_not", "label"]))
 
 
 def gen_model(spark, sf, train=None):
@@ -379,7 +384,7 @@ def eval_open_vocab(spark, sf):
 
 @query
 def nli_regroup(spark, sf):
-    p = lang_scored(spark, sf)
+    p = lang_scored_pairs(spark, sf)
     return p.select(F.col("idx").cast("long").alias("idx"), F.col("n_hypo").cast("long").alias("n_hypo"),
                     F.col("pred_pos").cast("long").alias("pred_pos"),
                     F.col("gold_pos").cast("long").alias("gold_pos"))
@@ -610,7 +615,8 @@ def fit_score_text(spark, sf):
     vocab = LB.vocab_list(pq)
     train = SM.uniform_sample(pq, N_UNIFORM, SM.SEED)
     pool = L.pool_minus(pq, train)
-    model = SC.LogisticScorer(vocab, features="text", text=True).fit(train)
+    model = SC.LogisticScorer(vocab, features="text", text=True, params={"maxIter": 20},
+                              num_hash_features=1 << 16).fit(train)
     sc = model.score(pool)
     voc = F.array(*[F.lit(v) for v in vocab])
     return sc.select(F.col("idx").cast("long").alias("idx"),

@@ -217,17 +217,48 @@ class OverlapNLIScorer:
     def fit(self, train: DataFrame | None = None) -> "OverlapNLIScorer":
         return self
 
+    def _hyp_tokens(self):
+        return [(p, lab, h, F.array_distinct(word_tokens(F.lit(h))))
+                for p, lab, h in hypotheses(self.hypo_label_dic)]
+
+    def _text_tokens(self):
+        return F.array_distinct(truncate_tokens(word_tokens("text"), self.text_tokens))
+
     def score_pairs(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """(idx, hypo_pos, z_entail, z_not) for every row x hypothesis."""
-        hyp = F.array(*[F.struct(F.lit(p).alias("hypo_pos"),
-                                 F.array_distinct(word_tokens(F.lit(h))).alias("htok"))
-                        for p, _, h in hypotheses(self.hypo_label_dic)])
-        t = df.select("idx", *keep, F.array_distinct(truncate_tokens(word_tokens("text"), self.text_tokens)).alias("_tt"))
+        """(idx, hypo_pos, z_entail, z_not) for every row x hypothesis: the
+        long pair form a pairwise NLI model consumes."""
+        hyp = F.array(*[F.struct(F.lit(p).alias("hypo_pos"), t.alias("htok")) for p, _, _, t in self._hyp_tokens()])
+        t = df.select("idx", *keep, self._text_tokens().alias("_tt"))
         ex = t.select("idx", *keep, "_tt", F.explode(hyp).alias("h"))
         return ex.select("idx", *keep, F.col("h.hypo_pos").alias("hypo_pos"),
                          F.size(F.array_intersect("_tt", "h.htok")).cast("double").alias("z_entail"),
                          F.lit(1.0).alias("z_not"))
 
+    def score_testset(self, df: DataFrame, label: str = "label_text") -> DataFrame:
+        """Pair form with the NLI test label (0 at the row's own hypothesis)
+        computed in the same expansion -- no join back to a label table."""
+        from ..operators.nli import nli_testset
+        t = df.select("idx", label, self._text_tokens().alias("_tt"))
+        ts = nli_testset(t, self.hypo_label_dic, label=label, keep=("_tt",))
+        return ts.select("idx", "hypo_pos", "label",
+                         F.size(F.array_intersect("_tt", F.array_distinct(word_tokens("hypothesis"))))
+                         .cast("double").alias("z_entail"), F.lit(1.0).alias("z_not"))
+
+    def score_rows(self, df: DataFrame, label: str | None = "label_text") -> DataFrame:
+        """Row form: (idx, z_entail[K], z_not[K] [, label[K]]) without
+        expanding rows -- the K hypotheses are a literal array evaluated in
+        the row, so there is no regroup shuffle at all."""
+        hyps = self._hyp_tokens()
+        tt = self._text_tokens()
+        z = F.array(*[F.size(F.array_intersect(tt, t)).cast("double") for _, _, _, t in hyps])
+        cols = ["idx", z.alias("z_entail"), F.array_repeat(F.lit(1.0), len(hyps)).alias("z_not")]
+        if label is not None:
+            from ..operators.nli import _own_hypothesis
+            own = _own_hypothesis(self.hypo_label_dic, label)
+            own = F.when(own.isNull(), F.raise_error(F.lit("label not in hypothesis dictionary"))).otherwise(own)
+            cols.append(F.array(*[F.when(F.lit(h) == own, 0).otherwise(1) for _, _, h, _ in hyps]).alias("label"))
+        return df.select(*cols).withColumn("n_hypo", F.lit(len(hyps)))
+
 
 # ------------------------------------------------------------ generation
 class UnigramModel:

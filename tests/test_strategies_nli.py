@@ -118,3 +118,11 @@ def test_nli_train_size_bound(spark):
     rows = [(i, "ab"[i % 2] if i % 5 else "a") for i in range(60)]
     df = spark.createDataFrame(rows, "idx long, label_text string")
     assert N.nli_trainset(df, {"a": "ha", "b": "hb"}).count() <= 2 * df.count()
+
+
+def test_nli_row_form_equals_pair_form(spark):
+    from drawpool.plans import catalog as C
+    from conftest import SF001
+    a = {(r.idx, r.pred_pos, r.gold_pos) for r in C.lang_scored(spark, SF001).collect()}
+    b = {(r.idx, r.pred_pos, r.gold_pos) for r in C.lang_scored_pairs(spark, SF001).collect()}
+    assert a == b and len(a) == 200
