@@ -88,6 +88,18 @@ def most_frequent(tokens) -> Column:
     return F.aggregate(srt, init, step, lambda acc: acc["best"])
 
 
+def first_tokens(text, n: int, pattern: str = WS_SPLIT, lower: bool = False) -> Column:
+    """Exactly ``slice(tokens(text), 1, n)`` without splitting the rest of
+    the text: strip leading delimiters, split at most n times (piece n+1 is
+    the unsplit remainder and is dropped).  Delimiter runs are matched whole,
+    so no empty token occurs between tokens; a trailing empty piece is
+    filtered.  Lower-casing per token equals lower-casing the text, as every
+    delimiter is ASCII."""
+    t = F.regexp_replace(_c(text), "^" + pattern, "")
+    parts = F.filter(F.slice(F.split(t, pattern, n + 1), 1, n), lambda x: x != F.lit(""))
+    return F.transform(parts, lambda x: F.lower(x)) if lower else parts
+
+
 def truncate_tokens(tokens, budget: int) -> Column:
     """First ``budget`` tokens (the whole array when shorter)."""
     return F.slice(_c(tokens), 1, budget)

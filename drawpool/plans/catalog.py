@@ -420,7 +420,7 @@ def generation_eval(spark, sf):
 @query(name="min_certainty")
 def min_certainty_draw(spark, sf):
     pg, model = gen_model(spark, sf)
-    sc = model.score(pg)
+    sc = model.score(pg, with_pred=False)
     d = min_certainty(sc, N_DRAW, SM.SEED, score="score")
     return d.select(F.col("idx").cast("long").alias("idx"), r6("score", "score"),
                     F.col("score_rank").cast("long").alias("score_rank"),
@@ -542,7 +542,7 @@ def nli_predict(spark, sf):
 @query
 def sequence_score(spark, sf):
     pg, model = gen_model(spark, sf)
-    return model.score(pg).select(F.col("idx").cast("long").alias("idx"), r6("score", "score"))
+    return model.score(pg, with_pred=False).select(F.col("idx").cast("long").alias("idx"), r6("score", "score"))
 
 
 @query

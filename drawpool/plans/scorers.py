@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.text import most_frequent, truncate_tokens, word_tokens, ws_tokens
+from ..functions.text import WORD_SPLIT, first_tokens, most_frequent, word_tokens, ws_tokens
 from ..operators.nli import hypotheses
 
 METHODS = ("standard", "nli", "generation")
@@ -222,7 +222,7 @@ class OverlapNLIScorer:
                 for p, lab, h in hypotheses(self.hypo_label_dic)]
 
     def _text_tokens(self):
-        return F.array_distinct(truncate_tokens(word_tokens("text"), self.text_tokens))
+        return F.array_distinct(first_tokens("text", self.text_tokens, WORD_SPLIT, lower=True))
 
     def score_pairs(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """(idx, hypo_pos, z_entail, z_not) for every row x hypothesis: the
@@ -274,7 +274,7 @@ class UnigramModel:
         tokens with add-one smoothing.  Frequent words skew this join on
         token; AQE splits the skewed partitions (or broadcasts the counts
         when they turned out small)."""
-        first = df.select("idx", F.posexplode(truncate_tokens(ws_tokens("text"), self.steps)).alias("pos", "token"))
+        first = df.select("idx", F.posexplode(first_tokens("text", self.steps)).alias("pos", "token"))
         j = first.join(self.counts, on="token", how="left")
         denom = float(self.n_tokens + self.vocab_size)
         return j.select("idx", "pos", "token",
@@ -283,12 +283,13 @@ class UnigramModel:
     def predictions(self, df: DataFrame) -> DataFrame:
         return answer_predictions(df)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """(idx, pred, steps[], score) with the I6 sequence score."""
+    def score(self, df: DataFrame, with_pred: bool = True) -> DataFrame:
+        """(idx, [pred,] steps[], score) with the I6 sequence score."""
         st = self.step_scores(df)
         arr = st.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))),
                                                 lambda s: s["step"]).alias("steps"))   # <= T per idx
-        out = self.predictions(df).join(arr, on="idx", how="left")
+        base = self.predictions(df) if with_pred else df.select("idx")
+        out = base.join(arr, on="idx", how="left")
         out = out.withColumn("steps", F.coalesce("steps", F.array().cast("array<double>")))
         return out.withColumn("score", S.sequence_score("steps", self.input_len, self.length_penalty))
 
@@ -316,7 +317,10 @@ class UnigramScorer:
 
     def fit(self, train: DataFrame | None) -> UnigramModel:
         src = self.corpus if train is None else train
-        counts = self.counts(src)
+        # the fitted model is the count table: written once to the shared
+        # checkpoint folder (reliable checkpoint), then read for the totals
+        # and for every scoring join -- the texts are tokenized once per fit
+        counts = self.counts(src).checkpoint(eager=True)
         tot = counts.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("v")).first()   # two scalars
         return UnigramModel(counts, int(tot["n"] or 0), int(tot["v"] or 0), self.steps, self.input_len,
                             self.length_penalty)

@@ -147,3 +147,15 @@ def test_generation_budgets(spark):
     inp, lab = TX.generation_budgets(384, 16)
     r = [(x.i, x.l) for x in df.select(TX.kept_tokens("a", inp).alias("i"), TX.kept_tokens("b", lab).alias("l")).collect()]
     assert r == [(368, 3), (10, 16)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t\r.,;!?aBcÉé", max_size=40), min_size=1, max_size=15),
+       st.integers(1, 6))
+def test_first_tokens_equals_full_split_prefix(spark, texts, n):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = df.select(TX.first_tokens("t", n).alias("a"), TX.truncate_tokens(TX.ws_tokens("t"), n).alias("b"),
+                  TX.first_tokens("t", n, TX.WORD_SPLIT, lower=True).alias("c"),
+                  TX.truncate_tokens(TX.word_tokens("t"), n).alias("d")).collect()
+    for x in r:
+        assert x.a == x.b and x.c == x.d
