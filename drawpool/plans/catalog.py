@@ -647,5 +647,5 @@ def update_round(spark, sf):
 @query
 def al_rounds(spark, sf):
     run = vec_run(spark, sf)
-    ids = spark.read.parquet(run.path_train_ids())
+    ids = run.train_ids()
     return ids.select(F.col("idx").cast("long").alias("idx"), F.col("iter").cast("long").alias("iter"))

@@ -68,6 +68,7 @@ class ActiveLearningRun:
         if self.method == "nli" and sorted(self.hypo_label_dic) != sorted(self.vocab):
             raise ValueError("hypothesis dictionary and label vocabulary differ")
         self.state = RoundState(0, self.corpus, self.seed_train, self.test, None)
+        self._n_seed, self._n_drawn, self._drawn_ids = None, 0, None
 
     # -- paths ---------------------------------------------------------------
     def path(self, name: str) -> str:
@@ -92,10 +93,12 @@ class ActiveLearningRun:
                          F.element_at(voc, S.argmax("z") + 1).alias("pred"), "probs",
                          F.lit(None).cast("double").alias("score"))
         elif self.method == "nli":
-            pairs = model.score_pairs(rows)
-            labels = N.nli_testset(rows, self.hypo_label_dic, on_unknown="drop").select("idx", "hypo_pos", "label")
-            g = N.regroup(pairs.join(labels, on=["idx", "hypo_pos"], how="left"), ["z_entail", "z_not", "label"])
-            p = N.nli_predict(g)
+            if hasattr(model, "score_rows"):
+                # hypotheses evaluated inside each row: no expansion, no regroup
+                p = N.nli_predict(model.score_rows(rows, label=None))
+            else:
+                pairs = model.score_pairs(rows)
+                p = N.nli_predict(N.regroup(pairs, ["z_entail", "z_not"]))
             voc = F.array(*[F.lit(v) for v in self.vocab])
             s = p.join(gold, on="idx", how="inner").select(
                 "idx", "gold", F.element_at(voc, F.col("pred_pos") + 1).alias("pred"),
@@ -120,8 +123,13 @@ class ActiveLearningRun:
         eval_split = "test" if self.state.test is not None else "corpus"
         m = E.eval_metrics(read_iter(self.spark, self.path("scored"), r, split=eval_split),
                            digits=self.metric_digits)
-        # rows the model was fitted on (the train table is labelling-budget sized)
-        n_train = 0 if self.state.train is None else self.state.train.count()
+        # rows the model was fitted on: seed rows counted once, drawn rows
+        # tracked from the collected draw ids (no count job per round)
+        if self._n_seed is None:
+            self._n_seed = 0 if self.seed_train is None else self.seed_train.count()
+        n_train = (self._n_seed if (r == 0 or self.keep_seed_train) else 0) + self._n_drawn
+        if self.state.train is None:
+            n_train = 0
         m = m.withColumn("iter", F.lit(r)).withColumn("n_train", F.lit(n_train).cast("long"))
         write_iter(m, self.path("metrics"))
         return read_iter(self.spark, self.path("metrics"), r)
@@ -142,7 +150,10 @@ class ActiveLearningRun:
                          F.col("probs_named").alias("probs"), "probs_scaled", "shuffle_rank")
         write_iter(d.withColumn("iter", F.lit(r + 1)), self.path("samples"))
         out = read_iter(self.spark, self.path("samples"), r + 1)
-        if out.isEmpty():
+        # the draw has at most n_sample rows: its ids serve the empty-pool
+        # check and the row fetch of the update
+        self._drawn_ids = [row.idx for row in out.select("idx").collect()]
+        if not self._drawn_ids:
             raise PoolExhausted("No more training data left in corpus.")
         return out
 
@@ -157,19 +168,18 @@ class ActiveLearningRun:
         the seed rows, relabelled from the ledger -- no corpus scan per round
         beyond the scoring pass."""
         r = self.state.iter + 1
-        drawn = read_iter(self.spark, self.path("samples"), r).select("idx", "iter")
-        ids = L.union_train_ids(self.state.train_ids, drawn)
-        # write to a per-round folder: the previous set is read from the last one
-        ids_path = self.path(f"train_ids_r{r}")
-        ids.write.mode("overwrite").parquet(ids_path)
-        ids = self.spark.read.parquet(ids_path)
-        self._ids_path = ids_path
-        if self.n_sample <= ISIN_MAX:
-            new_ids = [row.idx for row in drawn.select("idx").collect()]     # <= n_sample ids
+        # train ids = every drawn id so far: a view over the sample history
+        ids = self.train_ids(upto=r)
+        new_ids = self._drawn_ids
+        if new_ids is None:
+            new_ids = [row.idx for row in read_iter(self.spark, self.path("samples"), r).select("idx").collect()]
+        if len(new_ids) <= ISIN_MAX:
             new_rows = self.corpus.filter(F.col("idx").isin(new_ids))
         else:
-            new_rows = L.rows_in(self.corpus, drawn)
+            new_rows = L.rows_in(self.corpus, read_iter(self.spark, self.path("samples"), r))
         write_iter(new_rows.withColumn("iter", F.lit(r)), self.path("train_rows"))
+        self._n_drawn += len(new_ids)
+        self._drawn_ids = None
         rows = read_history(self.spark, self.path("train_rows")).filter(F.col("iter") <= r).drop("iter")
         latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
         train = L.with_current_labels(rows, latest)
@@ -179,8 +189,13 @@ class ActiveLearningRun:
         self.state = RoundState(r, pool, train, self.test, ids)
         return self.state
 
-    def path_train_ids(self) -> str:
-        return getattr(self, "_ids_path", None)
+    def train_ids(self, upto: int | None = None) -> DataFrame:
+        """(idx, iter): set union of all draws up to round ``upto``, each id
+        with the round it first entered (H2)."""
+        s = read_history(self.spark, self.path("samples")).select("idx", "iter")
+        if upto is not None:
+            s = s.filter(F.col("iter") <= upto)
+        return L.union_train_ids(None, s)
 
     def run(self, n_rounds: int) -> "ActiveLearningRun":
         """K3: n rounds of run_round + draw + update, and the metrics of the
