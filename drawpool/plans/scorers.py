@@ -320,6 +320,8 @@ class UnigramScorer:
         # the fitted model is the count table: written once to the shared
         # checkpoint folder (reliable checkpoint), then read for the totals
         # and for every scoring join -- the texts are tokenized once per fit
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(src.sparkSession)
         counts = self.counts(src).checkpoint(eager=True)
         tot = counts.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("v")).first()   # two scalars
         return UnigramModel(counts, int(tot["n"] or 0), int(tot["v"] or 0), self.steps, self.input_len,
