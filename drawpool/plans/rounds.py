@@ -25,7 +25,7 @@ from ..operators import nli as N
 from ..operators.labels import ISIN_MAX
 from ..operators.strategies import PoolExhausted, breaking_ties, min_certainty
 from ..session import new_run_id, state_path
-from ..sources.history import read_history, read_iter, write_iter
+from ..sources.history import exists, read_history, read_iter, write_iter
 from .scorers import resolve_method
 
 
@@ -189,6 +189,28 @@ class ActiveLearningRun:
         self.state = RoundState(r, pool, train, self.test, ids)
         return self.state
 
+    def resume(self) -> RoundState:
+        """Rebuild the state after a driver restart from the tables already
+        written under ``out_dir`` (pass the same ``out_dir``): the last
+        applied draw decides the round; train ids, train rows and the pool
+        follow from the written draws.  A round that was only partly written
+        is simply run again (its partitions are overwritten)."""
+        if not exists(self.spark, self.path("train_rows")):
+            return self.state
+        rows_all = read_history(self.spark, self.path("train_rows"))
+        last = rows_all.agg(F.max("iter").alias("m")).first()["m"]
+        if last is None:
+            return self.state
+        ids = self.train_ids(upto=last)
+        self._n_drawn = ids.count()
+        rows = rows_all.filter(F.col("iter") <= last).drop("iter")
+        latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
+        train = L.with_current_labels(rows, latest)
+        if self.keep_seed_train and self.seed_train is not None:
+            train = self.seed_train.unionByName(train)
+        self.state = RoundState(last, L.pool_minus(self.corpus, ids), train, self.test, ids)
+        return self.state
+
     def train_ids(self, upto: int | None = None) -> DataFrame:
         """(idx, iter): set union of all draws up to round ``upto``, each id
         with the round it first entered (H2)."""

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_iter(df: DataFrame, path: str, partition_cols=("iter",)) -> None:
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """Overwrite only the partitions present in ``df`` (per-write option, no
+    session-wide setting is touched)."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(path))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder exists (Hadoop FS, works for any shared FS)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

@@ -134,3 +134,19 @@ def test_rounds_use_revised_annotations(spark):
     st = run.update()
     labels = {r.idx: r.label_text for r in st.train.collect()}
     assert set(labels) == set(drawn) and labels[target] == new
+
+
+def test_resume_after_driver_restart(spark):
+    pv, train, pool, vocab = _vec_setup(spark)
+    kw = dict(corpus=pool, scorer=SC.CentroidScorer(vocab), vocab=vocab, seed_train=train, n_sample=10)
+    full = ActiveLearningRun(spark, **kw)
+    full.run(3)
+    part = ActiveLearningRun(spark, **kw)
+    part.run(1)
+    again = ActiveLearningRun(spark, out_dir=part.out_dir, **kw)   # a new driver, same folder
+    st = again.resume()
+    assert st.iter == 1 and st.train.count() == 60
+    again.run(2)
+    a = sorted((r.iter, r.idx) for r in full.sample_history().collect())
+    b = sorted((r.iter, r.idx) for r in again.sample_history().collect())
+    assert a == b

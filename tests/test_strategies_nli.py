@@ -126,3 +126,16 @@ def test_nli_row_form_equals_pair_form(spark):
     a = {(r.idx, r.pred_pos, r.gold_pos) for r in C.lang_scored(spark, SF001).collect()}
     b = {(r.idx, r.pred_pos, r.gold_pos) for r in C.lang_scored_pairs(spark, SF001).collect()}
     assert a == b and len(a) == 200
+
+
+def test_draw_and_metrics_repartition_invariant(spark):
+    from drawpool.plans import catalog as C
+    from drawpool.operators import evaluate as E
+    from conftest import SF001
+    sc, vocab, _ = C.vec_scored(spark, SF001)
+    base = sorted(tuple(r) for r in breaking_ties(sc, vocab, 15).select("idx", "shuffle_rank").collect())
+    m0 = E.eval_metrics(sc.select(F.col("label_text").alias("gold"), F.lit("0").alias("pred"))).first()
+    for n in (1, 5, 13):
+        rp = sc.repartition(n)
+        assert sorted(tuple(r) for r in breaking_ties(rp, vocab, 15).select("idx", "shuffle_rank").collect()) == base
+        assert E.eval_metrics(rp.select(F.col("label_text").alias("gold"), F.lit("0").alias("pred"))).first() == m0
