@@ -85,16 +85,25 @@ def pool_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations -> each turn with its preceding and following turn.
 
-    Turns are consecutive positions, so the neighbours are equi-joins on
-    ``(conv_id, turn +- 1)``.  The joins are partitioned on the unique pair,
-    which spreads even a conversation holding a third of all turns evenly --
-    a ``lag``/``lead`` window would put such a conversation in one task."""
+    Turns are consecutive positions.  One scan emits every turn three times
+    -- under its own key, as the "preceding" of ``turn + 1`` and as the
+    "following" of ``turn - 1`` -- and one ``groupBy(conv_id, turn)`` puts
+    them side by side.  The shuffle key is the unique pair, so even a
+    conversation holding a third of all turns is spread evenly (a
+    ``lag``/``lead`` window would put it in one task)."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("text_preceding"))
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_following"))
-    return (c.withColumnRenamed("text", "text_original")
-            .join(prev, on=["conv_id", "turn"], how="left")
-            .join(nxt, on=["conv_id", "turn"], how="left"))
+    roles = F.array(
+        F.struct(F.col("turn").alias("t"), F.lit(0).alias("k")),
+        F.struct((F.col("turn") + 1).alias("t"), F.lit(1).alias("k")),
+        F.struct((F.col("turn") - 1).alias("t"), F.lit(2).alias("k")))
+    ex = c.select("conv_id", "text", F.explode(roles).alias("r"))
+    ex = ex.select("conv_id", F.col("r.t").alias("turn"), F.col("r.k").alias("k"), "text")
+    g = ex.groupBy("conv_id", "turn").agg(
+        F.max((F.col("k") == 0).cast("int")).alias("_self"),
+        F.first(F.when(F.col("k") == 0, F.col("text")), ignorenulls=True).alias("text_original"),
+        F.first(F.when(F.col("k") == 1, F.col("text")), ignorenulls=True).alias("text_preceding"),
+        F.first(F.when(F.col("k") == 2, F.col("text")), ignorenulls=True).alias("text_following"))
+    return g.filter(F.col("_self") == 1).drop("_self")
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,20 @@ def test_shuffle_rank_bucketed_equals_window(spark):
     a = {(r.idx, r.shuffle_rank) for r in SM.shuffle_rank(df).collect()}
     b = {(r.idx, r.shuffle_rank) for r in SM.shuffle_rank(df, n_max=20_000).collect()}
     assert a == b and sorted(x for _, x in a) == list(range(1, 301))
+
+
+def test_hot_label_bucketed_paths(spark):
+    """One label holds most rows: the bucketed ranks give the same rows as
+    the window ranks, for the stratified draw and the NLI negatives."""
+    from drawpool.operators import nli as N
+    rows = [(i, "hot" if i % 10 < 8 else ("a" if i % 10 == 8 else "b")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "idx long, label_text string")
+    w = {(r.idx, r.rank) for r in SM.stratified_sample(df, 700, rank_col="rank", strategy="window").collect()}
+    b = {(r.idx, r.rank) for r in SM.stratified_sample(df, 700, rank_col="rank", strategy="bucketed").collect()}
+    assert w == b and len(w) == 700 + 300 + 300
+    hyp = {"a": "ha", "b": "hb", "hot": "hh"}
+    tw = sorted(tuple(r) for r in N.nli_trainset(df, hyp, strategy="window").collect())
+    tb = sorted(tuple(r) for r in N.nli_trainset(df, hyp, strategy="bucketed").collect())
+    assert tw == tb
+    # hot: 2400 positives, 600 others -> 600 negatives; a, b: 300 + 300 each
+    assert len(tb) == 2400 + 600 + 2 * (300 + 300)

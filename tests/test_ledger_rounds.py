@@ -150,3 +150,15 @@ def test_resume_after_driver_restart(spark):
     a = sorted((r.iter, r.idx) for r in full.sample_history().collect())
     b = sorted((r.iter, r.idx) for r in again.sample_history().collect())
     assert a == b
+
+
+def test_metrics_from_test_split_when_present(spark):
+    pv, train, pool, vocab = _vec_setup(spark)
+    test = SM.uniform_sample(pool, 60, seed=84)
+    corpus = L.pool_minus(pool, test)
+    run = ActiveLearningRun(spark, corpus=corpus, scorer=SC.CentroidScorer(vocab), vocab=vocab,
+                            seed_train=train, test=test, n_sample=5)
+    m = run.run_round().first()
+    assert m.n_rows == 60
+    splits = {r.split: r["count"] for r in run.scored_history().groupBy("split").count().collect()}
+    assert splits == {"test": 60, "corpus": corpus.count()}
