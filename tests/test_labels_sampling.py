@@ -116,3 +116,10 @@ def test_hot_label_bucketed_paths(spark):
     assert tw == tb
     # hot: 2400 positives, 600 others -> 600 negatives; a, b: 300 + 300 each
     assert len(tb) == 2400 + 600 + 2 * (300 + 300)
+
+
+def test_dense_ids(spark):
+    from drawpool.operators.ranking import dense_ids
+    df = spark.createDataFrame([(i * 7 + 3,) for i in range(500)], "idx long").repartition(5)
+    got = sorted((r.idx, r.new_idx) for r in dense_ids(df, n_buckets=16).collect())
+    assert got == [(i * 7 + 3, i) for i in range(500)]
