@@ -26,7 +26,8 @@ def toks(expr: str, lower: bool = False, pattern: str = WS) -> str:
 
 def hypo_values(d: dict) -> str:
     rows = ", ".join(f"({i}, '{lab}', '{d[lab]}')" for i, lab in enumerate(sorted(d)))
-    return f"(SELECT * FROM (VALUES {rows}) t(hypo_pos, hlab, hypothesis))"
+    return (f"(SELECT CAST(hypo_pos AS BIGINT) AS hypo_pos, hlab, hypothesis "
+            f"FROM (VALUES {rows}) t(hypo_pos, hlab, hypothesis))")
 
 
 def with_(*ctes: str) -> str:
@@ -135,12 +136,12 @@ def _union(parts):
 
 
 def _metrics_hist(n):
-    return _union([f"SELECT {r} AS iter, {metric_select(f'_{r}')}, (SELECT count(*) FROM tr{r}) AS n_train "
+    return _union([f"SELECT CAST({r} AS BIGINT) AS iter, {metric_select(f'_{r}')}, (SELECT count(*) FROM tr{r}) AS n_train "
                    f"FROM mfin_{r}" for r in range(n)])
 
 
 def _samples_hist(n):
-    return _union([f"SELECT {r + 1} AS iter, idx, {r6('margin', 'margin')}, label_text_pred, "
+    return _union([f"SELECT CAST({r + 1} AS BIGINT) AS iter, idx, {r6('margin', 'margin')}, label_text_pred, "
                    f"row_number() OVER (ORDER BY {H(42, 'idx')}, idx) AS shuffle_rank FROM dr_{r}"
                    for r in range(n)])
 
@@ -164,14 +165,14 @@ SQL["metrics_history"] = with_(*rounds_ctes(NR)) + _metrics_hist(NR)
 SQL["al_one_round"] = with_(*rounds_ctes(1)) + _metrics_hist(1)
 SQL["sample_history"] = with_(*rounds_ctes(NR)) + _samples_hist(NR)
 SQL["scored_long"] = with_(*rounds_ctes(NR)) + _union(
-    [f"SELECT {r} AS iter, 'corpus' AS split, idx, gold, pred FROM gp_{r}" for r in range(NR)])
+    [f"SELECT CAST({r} AS BIGINT) AS iter, 'corpus' AS split, idx, gold, pred FROM gp_{r}" for r in range(NR)])
 SQL["learning_curve"] = with_(*rounds_ctes(NR), f"mh AS ({_metrics_hist(NR)})", f"sh AS ({_samples_hist(NR)})") + (
     "SELECT m.iter, (SELECT count(*) FROM sh WHERE sh.iter <= m.iter) AS n_labels, "
     + ", ".join(f"m.{c}" for c in METRICS) + " FROM mh m")
 SQL["update_round"] = with_(*rounds_ctes(1)) + (
     "SELECT (SELECT count(DISTINCT idx) FROM tr1) AS n_train, (SELECT count(*) FROM pl1) AS n_pool")
 SQL["al_rounds"] = with_(*rounds_ctes(NR)) + _union(
-    [f"SELECT idx, {r + 1} AS iter FROM dr_{r}" for r in range(NR)])
+    [f"SELECT idx, CAST({r + 1} AS BIGINT) AS iter FROM dr_{r}" for r in range(NR)])
 
 _USER = "(SELECT * FROM conversations WHERE role = 'user')"
 _ANS = ("fa AS (SELECT conv_id AS idx, arg_min(text, turn) AS first_text, count(*) AS n "
@@ -255,8 +256,8 @@ SQL["uniform_sample"] = with_(PQ) + (
     f"UNION ALL (SELECT idx, label_text, 'test' AS split FROM pq ORDER BY {H(84, 'idx')}, idx "
     f"LIMIT {C.N_UNIFORM // 2})")
 SQL["train_ids_union"] = with_(
-    PQ, f"d1 AS (SELECT idx, 1 AS iter FROM pq ORDER BY {H(42, 'idx')}, idx LIMIT 50)",
-    f"d2 AS (SELECT idx, 2 AS iter FROM pq ORDER BY {H(84, 'idx')}, idx LIMIT 50)") + (
+    PQ, f"d1 AS (SELECT idx, CAST(1 AS BIGINT) AS iter FROM pq ORDER BY {H(42, 'idx')}, idx LIMIT 50)",
+    f"d2 AS (SELECT idx, CAST(2 AS BIGINT) AS iter FROM pq ORDER BY {H(84, 'idx')}, idx LIMIT 50)") + (
     "SELECT idx, min(iter) AS iter FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) GROUP BY idx")
 SQL["nli_trainset"] = with_(
     PQ, f"h AS {hypo_values(QUALITY_HYPOTHESES)}",
@@ -265,10 +266,12 @@ SQL["nli_trainset"] = with_(
     "npos AS (SELECT hypo_pos, count(*) AS cap FROM pos GROUP BY hypo_pos)",
     f"neg AS (SELECT idx, hypo_pos, row_number() OVER (PARTITION BY hypo_pos ORDER BY {H(42, 'hlab', 'idx')}, idx) "
     "AS rn FROM ex WHERE label_text IS DISTINCT FROM hlab)") + (
-    "SELECT idx, hypo_pos, 0 AS label FROM pos UNION ALL SELECT n.idx, n.hypo_pos, 1 AS label FROM neg n "
+    "SELECT idx, hypo_pos, CAST(0 AS BIGINT) AS label FROM pos UNION ALL SELECT n.idx, n.hypo_pos, "
+    "CAST(1 AS BIGINT) AS label FROM neg n "
     "JOIN npos c ON n.hypo_pos = c.hypo_pos WHERE n.rn <= c.cap")
 SQL["nli_testset"] = with_(f"h AS {hypo_values(LANG_HYPOTHESES)}") + (
-    "SELECT d.doc_id AS idx, h.hypo_pos, CASE WHEN h.hypothesis = own.hypothesis THEN 0 ELSE 1 END AS label "
+    "SELECT d.doc_id AS idx, h.hypo_pos, CAST(CASE WHEN h.hypothesis = own.hypothesis THEN 0 ELSE 1 END AS BIGINT) "
+    "AS label "
     "FROM documents d JOIN h own ON d.lang = own.hlab CROSS JOIN h")
 SQL["annotation_latest"] = (
     "SELECT idx, label, n_annotations FROM (SELECT user_id AS idx, event_type AS label, "
@@ -298,12 +301,13 @@ SQL["class_report"] = with_(
         f"SELECT label_text, {r6('precision', 'precision')}, {r6('recall', 'recall')}, {r6('f1', 'f1')}, support "
         "FROM cr",
         "SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), "
-        "round(sum(tp) / sum(support), 6), sum(support) FROM cr",
-        "SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) "
+        "round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM cr",
+        "SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), "
+        "CAST(sum(support) AS BIGINT) "
         "FROM cr",
         "SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), "
         "round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), "
-        "sum(support) FROM cr"])
+        "CAST(sum(support) AS BIGINT) FROM cr"])
 
 _GEN = [
     f"pg AS (SELECT doc_id AS idx, {toks('text', True, WORD)} AS toks FROM documents)",
