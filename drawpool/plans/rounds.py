@@ -68,7 +68,8 @@ class ActiveLearningRun:
         if self.method == "nli" and sorted(self.hypo_label_dic) != sorted(self.vocab):
             raise ValueError("hypothesis dictionary and label vocabulary differ")
         self.state = RoundState(0, self.corpus, self.seed_train, self.test, None)
-        self._n_seed, self._n_drawn, self._drawn_ids = None, 0, None
+        self._n_seed, self._drawn_ids = None, None
+        self._n_drawn_by_iter: dict[int, int] = {}   # round -> rows drawn (re-runs overwrite)
 
     # -- paths ---------------------------------------------------------------
     def path(self, name: str) -> str:
@@ -127,7 +128,8 @@ class ActiveLearningRun:
         # tracked from the collected draw ids (no count job per round)
         if self._n_seed is None:
             self._n_seed = 0 if self.seed_train is None else self.seed_train.count()
-        n_train = (self._n_seed if (r == 0 or self.keep_seed_train) else 0) + self._n_drawn
+        n_drawn = sum(v for k, v in self._n_drawn_by_iter.items() if k <= r)
+        n_train = (self._n_seed if (r == 0 or self.keep_seed_train) else 0) + n_drawn
         if self.state.train is None:
             n_train = 0
         m = m.withColumn("iter", F.lit(r)).withColumn("n_train", F.lit(n_train).cast("long"))
@@ -178,7 +180,7 @@ class ActiveLearningRun:
         else:
             new_rows = L.rows_in(self.corpus, read_iter(self.spark, self.path("samples"), r))
         write_iter(new_rows.withColumn("iter", F.lit(r)), self.path("train_rows"))
-        self._n_drawn += len(new_ids)
+        self._n_drawn_by_iter[r] = len(new_ids)
         self._drawn_ids = None
         rows = read_history(self.spark, self.path("train_rows")).filter(F.col("iter") <= r).drop("iter")
         latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
@@ -202,7 +204,8 @@ class ActiveLearningRun:
         if last is None:
             return self.state
         ids = self.train_ids(upto=last)
-        self._n_drawn = ids.count()
+        self._n_drawn_by_iter = {int(r["iter"]): int(r["n"]) for r in
+                                 ids.groupBy("iter").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= rounds rows
         rows = rows_all.filter(F.col("iter") <= last).drop("iter")
         latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
         train = L.with_current_labels(rows, latest)
