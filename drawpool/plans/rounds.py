@@ -55,6 +55,10 @@ class ActiveLearningRun:
     hypo_label_dic: dict | None = None
     metric_digits: int | None = None
     out_dir: str | None = None
+    # Keep the scored pool of every round (A7).  One narrow pool-sized write
+    # per round, read twice (metrics, draw).  False: no write, the scoring
+    # plan runs twice instead -- cheaper when K is large and scoring is cheap.
+    persist_scored: bool = True
     state: RoundState = field(init=False)
 
     def __post_init__(self):
@@ -68,7 +72,7 @@ class ActiveLearningRun:
         if self.method == "nli" and sorted(self.hypo_label_dic) != sorted(self.vocab):
             raise ValueError("hypothesis dictionary and label vocabulary differ")
         self.state = RoundState(0, self.corpus, self.seed_train, self.test, None)
-        self._n_seed, self._drawn_ids = None, None
+        self._n_seed, self._drawn_ids, self._scored = None, None, None
         self._n_drawn_by_iter: dict[int, int] = {}   # round -> rows drawn (re-runs overwrite)
 
     # -- paths ---------------------------------------------------------------
@@ -120,10 +124,17 @@ class ActiveLearningRun:
         if self.state.test is not None:
             parts.append(self._score(model, self.state.test, "test"))
         scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        write_iter(scored.withColumn("iter", F.lit(r)), self.path("scored"), ("iter", "split"))
         eval_split = "test" if self.state.test is not None else "corpus"
-        m = E.eval_metrics(read_iter(self.spark, self.path("scored"), r, split=eval_split),
-                           digits=self.metric_digits)
+        if self.persist_scored:
+            write_iter(scored.withColumn("iter", F.lit(r)), self.path("scored"), ("iter", "split"))
+            self._scored = None
+            ev = read_iter(self.spark, self.path("scored"), r, split=eval_split)
+        else:
+            # no scored history: metrics and the draw each evaluate the lazy
+            # scoring plan (two passes over the pool, no pool-sized write)
+            self._scored = scored
+            ev = scored.filter(F.col("split") == eval_split)
+        m = E.eval_metrics(ev, digits=self.metric_digits)
         # rows the model was fitted on: seed rows counted once, drawn rows
         # tracked from the collected draw ids (no count job per round)
         if self._n_seed is None:
@@ -139,7 +150,10 @@ class ActiveLearningRun:
     def draw(self) -> DataFrame:
         """F1/F2 on this round's pool scores; writes the sample as iter+1."""
         r = self.state.iter
-        sc = read_iter(self.spark, self.path("scored"), r, split="corpus")
+        if self._scored is not None:
+            sc = self._scored.filter(F.col("split") == "corpus")
+        else:
+            sc = read_iter(self.spark, self.path("scored"), r, split="corpus")
         if self.method == "generation":
             d = min_certainty(sc, self.n_sample, self.seed, score="score")
             d = d.select("idx", F.col("score"), F.lit(None).cast("double").alias("margin"),

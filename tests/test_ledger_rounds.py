@@ -162,3 +162,15 @@ def test_metrics_from_test_split_when_present(spark):
     assert m.n_rows == 60
     splits = {r.split: r["count"] for r in run.scored_history().groupBy("split").count().collect()}
     assert splits == {"test": 60, "corpus": corpus.count()}
+
+
+def test_rounds_without_scored_history_match(spark):
+    pv, train, pool, vocab = _vec_setup(spark)
+    kw = dict(corpus=pool, scorer=SC.CentroidScorer(vocab), vocab=vocab, seed_train=train, n_sample=10)
+    a = ActiveLearningRun(spark, **kw).run(2)
+    b = ActiveLearningRun(spark, persist_scored=False, **kw).run(2)
+    key = lambda run: sorted((r.iter, r.idx, r.shuffle_rank) for r in run.sample_history().collect())
+    assert key(a) == key(b)
+    ma = [tuple(r) for r in a.metrics_history().orderBy("iter").collect()]
+    mb = [tuple(r) for r in b.metrics_history().orderBy("iter").collect()]
+    assert ma == mb
