@@ -123,3 +123,12 @@ def test_dense_ids(spark):
     df = spark.createDataFrame([(i * 7 + 3,) for i in range(500)], "idx long").repartition(5)
     got = sorted((r.idx, r.new_idx) for r in dense_ids(df, n_buckets=16).collect())
     assert got == [(i * 7 + 3, i) for i in range(500)]
+
+
+def test_label_code_map_and_shuffled(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "idx long, label_text string")
+    assert LB.label_code_map(df).first().label2id == {"a": 0, "b": 1}
+    order = [r.idx for r in SM.shuffled(df).collect()]
+    again = [r.idx for r in SM.shuffled(df.repartition(3)).collect()]
+    ranks = [r.idx for r in SM.shuffle_rank(df).orderBy("shuffle_rank").collect()]
+    assert order == again == ranks and sorted(order) == [1, 2, 3, 4]
