@@ -196,13 +196,18 @@ class ActiveLearningRun:
         write_iter(new_rows.withColumn("iter", F.lit(r)), self.path("train_rows"))
         self._n_drawn_by_iter[r] = len(new_ids)
         self._drawn_ids = None
+        return self._rebuild(r, ids)
+
+    def _rebuild(self, r: int, ids: DataFrame) -> RoundState:
+        """State of round ``r`` from the written train rows and the id view:
+        train = drawn rows (+ seed rows) with current ledger labels, pool =
+        corpus minus the train ids."""
         rows = read_history(self.spark, self.path("train_rows")).filter(F.col("iter") <= r).drop("iter")
         latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
         train = L.with_current_labels(rows, latest)
         if self.keep_seed_train and self.seed_train is not None:
             train = self.seed_train.unionByName(train)
-        pool = L.pool_minus(self.corpus, ids)
-        self.state = RoundState(r, pool, train, self.test, ids)
+        self.state = RoundState(r, L.pool_minus(self.corpus, ids), train, self.test, ids)
         return self.state
 
     def resume(self) -> RoundState:
@@ -213,20 +218,13 @@ class ActiveLearningRun:
         is simply run again (its partitions are overwritten)."""
         if not exists(self.spark, self.path("train_rows")):
             return self.state
-        rows_all = read_history(self.spark, self.path("train_rows"))
-        last = rows_all.agg(F.max("iter").alias("m")).first()["m"]
+        last = read_history(self.spark, self.path("train_rows")).agg(F.max("iter").alias("m")).first()["m"]
         if last is None:
             return self.state
         ids = self.train_ids(upto=last)
         self._n_drawn_by_iter = {int(r["iter"]): int(r["n"]) for r in
                                  ids.groupBy("iter").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= rounds rows
-        rows = rows_all.filter(F.col("iter") <= last).drop("iter")
-        latest = L.latest_annotation(self.annotations) if self.annotations is not None else None
-        train = L.with_current_labels(rows, latest)
-        if self.keep_seed_train and self.seed_train is not None:
-            train = self.seed_train.unionByName(train)
-        self.state = RoundState(last, L.pool_minus(self.corpus, ids), train, self.test, ids)
-        return self.state
+        return self._rebuild(last, ids)
 
     def train_ids(self, upto: int | None = None) -> DataFrame:
         """(idx, iter): set union of all draws up to round ``upto``, each id
