@@ -89,3 +89,11 @@ def test_no_cartesian_in_joins(spark):
     for name in ("pool_minus_train", "nli_testset", "nli_trainset", "round_counts", "breaking_ties"):
         plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_cluster_conf():
+    from drawpool.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert c["spark.sql.adaptive.enabled"] == "true"
+    assert int(cluster_conf(10 * 1024 ** 2, 64)["spark.sql.shuffle.partitions"]) == 192

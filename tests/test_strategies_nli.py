@@ -65,6 +65,8 @@ def test_draw_plan_is_take_ordered(spark):
     df = margins_df(spark, [(i, i / 100) for i in range(20)])
     plan = breaking_ties(df, VOCAB, n=5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+    sc = spark.createDataFrame([(i, i / 10) for i in range(20)], "idx long, score double")
+    assert "TakeOrderedAndProject" in min_certainty(sc, 5)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_nli_predict_raw_logits_vs_softmax(spark):
