@@ -8,12 +8,11 @@ the DuckDB oracle (``plans/oracle.py``) produces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..functions.hashing import seeded_hash
 from ..operators import evaluate as E
 from ..operators import labels as LB
 from ..operators import ledger as L
@@ -88,7 +87,7 @@ def vec_scored(spark, sf):
     return model.score(pool), vocab, train
 
 
-def _metric_cols(digits=DIGITS):
+def _metric_cols():
     return [r6(c, c) for c in E.METRIC_COLUMNS] + [F.col("n_rows").cast("long").alias("n_rows")]
 
 

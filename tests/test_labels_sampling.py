@@ -1,7 +1,6 @@
 """Labels, sampling, ranking strategies (FIXTURES 3, 19; G1-G4, E1)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from drawpool.operators import labels as LB
 from drawpool.operators import sampling as SM

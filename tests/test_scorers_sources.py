@@ -1,7 +1,6 @@
 """Scorers, sources, adaptors, the driver contract."""
 
 import math
-import os
 
 import pytest
 from pyspark.sql import functions as F
