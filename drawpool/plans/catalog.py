@@ -117,11 +117,17 @@ def vec_run(spark, sf, rounds=N_ROUNDS) -> ActiveLearningRun:
     """One shared round-driver run per (session, tables, rounds)."""
     key = (spark.sparkContext.applicationId, sf, rounds)
     if key not in _RUNS:
-        pv, train, pool = vec_split(spark, sf)
+        from ..session import new_run_id, state_path
+        pv, train, _ = vec_split(spark, sf)
         vocab = LB.vocab_list(pv)
-        run = ActiveLearningRun(spark, corpus=pool, scorer=SC.CentroidScorer(vocab), vocab=vocab,
-                                method="standard_dl", seed_train=train, n_sample=N_DRAW,
-                                keep_seed_train=True)
+        # the seed is written once; the corpus is derived from that table, so
+        # no round re-derives the seed from a scan of the whole pool
+        out_dir = state_path(spark, new_run_id())
+        train.write.mode("overwrite").parquet(f"{out_dir}/seed_train")
+        seed = spark.read.parquet(f"{out_dir}/seed_train")
+        run = ActiveLearningRun(spark, corpus=L.pool_minus(pv, seed), scorer=SC.CentroidScorer(vocab),
+                                vocab=vocab, method="standard_dl", seed_train=seed, n_sample=N_DRAW,
+                                keep_seed_train=True, out_dir=out_dir, materialize_seed=False)
         run.run(rounds)
         _RUNS[key] = run
     return _RUNS[key]

@@ -59,6 +59,9 @@ class ActiveLearningRun:
     # per round, read twice (metrics, draw).  False: no write, the scoring
     # plan runs twice instead -- cheaper when K is large and scoring is cheap.
     persist_scored: bool = True
+    # Write the seed train once under out_dir and use that table: a seed drawn
+    # lazily from the pool would be re-derived (full pool scan) every round.
+    materialize_seed: bool = True
     state: RoundState = field(init=False)
 
     def __post_init__(self):
@@ -71,6 +74,9 @@ class ActiveLearningRun:
             raise ValueError("the nli method needs a hypothesis dictionary")
         if self.method == "nli" and sorted(self.hypo_label_dic) != sorted(self.vocab):
             raise ValueError("hypothesis dictionary and label vocabulary differ")
+        if self.seed_train is not None and self.materialize_seed:
+            self.seed_train.write.mode("overwrite").parquet(self.path("seed_train"))
+            self.seed_train = self.spark.read.parquet(self.path("seed_train"))
         self.state = RoundState(0, self.corpus, self.seed_train, self.test, None)
         self._n_seed, self._drawn_ids, self._scored = None, None, None
         self._n_drawn_by_iter: dict[int, int] = {}   # round -> rows drawn (re-runs overwrite)
