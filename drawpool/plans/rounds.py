@@ -62,6 +62,9 @@ class ActiveLearningRun:
     # Write the seed train once under out_dir and use that table: a seed drawn
     # lazily from the pool would be re-derived (full pool scan) every round.
     materialize_seed: bool = True
+    # NLI prediction: "logits" picks the highest raw entail logit (as the
+    # original does), "softmax" the highest per-hypothesis entail probability
+    nli_select: str = "logits"
     state: RoundState = field(init=False)
 
     def __post_init__(self):
@@ -106,10 +109,10 @@ class ActiveLearningRun:
         elif self.method == "nli":
             if hasattr(model, "score_rows"):
                 # hypotheses evaluated inside each row: no expansion, no regroup
-                p = N.nli_predict(model.score_rows(rows, label=None))
+                p = N.nli_predict(model.score_rows(rows, label=None), select=self.nli_select)
             else:
                 pairs = model.score_pairs(rows)
-                p = N.nli_predict(N.regroup(pairs, ["z_entail", "z_not"]))
+                p = N.nli_predict(N.regroup(pairs, ["z_entail", "z_not"]), select=self.nli_select)
             voc = F.array(*[F.lit(v) for v in self.vocab])
             s = p.join(gold, on="idx", how="inner").select(
                 "idx", "gold", F.element_at(voc, F.col("pred_pos") + 1).alias("pred"),

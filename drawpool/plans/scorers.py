@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ NLI_TEXT_TOKENS = 64    # NLI overlap: first 64 word tokens of the text
 # ---------------------------------------------------------------------------
 
 
+class Scorer(Protocol):
+    """``fit(train or None) -> model``; train is None in a zero-shot round."""
+    kind: str
+
+    def fit(self, train: DataFrame | None): ...
+
+
+class StandardModel(Protocol):
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds ``z`` (K logits, vocabulary order) and ``probs``; keeps idx."""
+
+
+class NLIModel(Protocol):
+    def score_pairs(self, df: DataFrame) -> DataFrame:
+        """(idx, hypo_pos, z_entail, z_not) for every row x hypothesis.
+        A model may also offer ``score_rows(df, label=None)`` returning the
+        K values as arrays per row (no expansion)."""
+
+
+class GenerationModel(Protocol):
+    def score(self, df: DataFrame) -> DataFrame:
+        """(idx, pred, steps[], score): generated answer, per-step scores and
+        the sequence score."""
+
+
 def resolve_method(name: str) -> str:
     """Method dispatch; unknown names raise."""
     if name in METHODS:
