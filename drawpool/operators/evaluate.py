@@ -24,8 +24,15 @@ def _div(a, b) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def _f1(p, r) -> Column:
-    return F.when((p + r) > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+# The metric arithmetic is written as SQL expression text: each select is
+# then one call into the JVM instead of one per Column operator, which
+# matters for the round driver that rebuilds these plans every round.
+def _sdiv(a: str, b: str) -> str:
+    return f"coalesce(try_divide(cast({a} AS double), cast({b} AS double)), 0D)"
+
+
+def _sf1(p: str, r: str) -> str:
+    return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0D END"
 
 
 def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -35,47 +42,37 @@ def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFram
 
 
 def per_class(conf: DataFrame) -> DataFrame:
-    """(cls, tp, true_n, pred_n) for classes in gold or pred.
+    """(cls, tp, true_n, pred_n, precision, recall, f1) for classes in gold
+    or pred.
 
     Each confusion cell contributes to its gold class (tp, true_n) and to
     its predicted class (pred_n); both contributions come from one explode,
     so the upstream plan is evaluated once."""
-    zero = F.lit(0).cast("long")
-    sides = F.array(
-        F.struct(F.col("gold").cast("string").alias("cls"),
-                 F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(zero).alias("tp"),
-                 F.col("n").alias("true_n"), zero.alias("pred_n")),
-        F.struct(F.col("pred").cast("string").alias("cls"), zero.alias("tp"), zero.alias("true_n"),
-                 F.col("n").alias("pred_n")))
-    u = conf.select(F.explode(sides).alias("s")).select("s.*").filter(F.col("cls").isNotNull())
-    pc = u.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("true_n").alias("true_n"),
-                              F.sum("pred_n").alias("pred_n"))
-    prec = _div(F.col("tp"), F.col("pred_n"))
-    rec = _div(F.col("tp"), F.col("true_n"))
-    return (pc.withColumn("precision", prec).withColumn("recall", rec)
-            .withColumn("f1", _f1(F.col("precision"), F.col("recall"))))
+    sides = ("explode(array("
+             "named_struct('cls', cast(gold AS string), 'tp', IF(gold = pred, n, 0L), 'true_n', n, 'pred_n', 0L), "
+             "named_struct('cls', cast(pred AS string), 'tp', 0L, 'true_n', 0L, 'pred_n', n))) AS s")
+    u = conf.selectExpr(sides).selectExpr("s.*").where("cls IS NOT NULL")
+    pc = u.groupBy("cls").agg(F.expr("sum(tp) AS tp"), F.expr("sum(true_n) AS true_n"),
+                              F.expr("sum(pred_n) AS pred_n"))
+    pc = pc.selectExpr("*", f"{_sdiv('tp', 'pred_n')} AS precision", f"{_sdiv('tp', 'true_n')} AS recall")
+    return pc.selectExpr("*", f"{_sf1('precision', 'recall')} AS f1")
 
 
 def metrics_from_confusion(conf: DataFrame, digits: int | None = None) -> DataFrame:
     """One row of the eight aggregate metrics plus n_rows."""
-    pc = per_class(conf)
-    agg = pc.agg(
-        F.avg("precision").alias("precision_macro"),
-        F.avg("recall").alias("recall_macro"),
-        F.avg("f1").alias("f1_macro"),
-        F.avg(F.when(F.col("true_n") > 0, F.col("recall"))).alias("accuracy_balanced"),
-        F.sum("tp").alias("_tp"), F.sum("true_n").alias("_true"), F.sum("pred_n").alias("_pred"),
-    )
-    pm = _div(F.col("_tp"), F.col("_pred"))
-    rm = _div(F.col("_tp"), F.col("_true"))
-    out = (agg.withColumn("precision_micro", pm).withColumn("recall_micro", rm)
-           .withColumn("f1_micro", _f1(F.col("precision_micro"), F.col("recall_micro")))
-           .withColumn("accuracy", _div(F.col("_tp"), F.col("_true")))
-           .withColumn("n_rows", F.col("_true").cast("long")))
-    cols = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in METRIC_COLUMNS]
-    if digits is not None:
-        cols = [F.round(c, digits).alias(n) for c, n in zip(cols, METRIC_COLUMNS)]
-    return out.select(*cols, "n_rows")
+    agg = per_class(conf).selectExpr(
+        "avg(precision) AS precision_macro", "avg(recall) AS recall_macro", "avg(f1) AS f1_macro",
+        "avg(CASE WHEN true_n > 0 THEN recall END) AS accuracy_balanced",
+        "sum(tp) AS _tp", "sum(true_n) AS _true", "sum(pred_n) AS _pred")
+    mic = agg.selectExpr("*", f"{_sdiv('_tp', '_pred')} AS precision_micro",
+                         f"{_sdiv('_tp', '_true')} AS recall_micro",
+                         f"{_sdiv('_tp', '_true')} AS accuracy", "cast(_true AS bigint) AS n_rows")
+    mic = mic.selectExpr("*", f"{_sf1('precision_micro', 'recall_micro')} AS f1_micro")
+
+    def out(c):
+        e = f"coalesce({c}, 0D)"
+        return f"round({e}, {digits}) AS {c}" if digits is not None else f"{e} AS {c}"
+    return mic.selectExpr(*[out(c) for c in METRIC_COLUMNS], "n_rows")
 
 
 def eval_metrics(df: DataFrame, gold: str = "gold", pred: str = "pred",
