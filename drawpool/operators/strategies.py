@@ -32,6 +32,17 @@ def vocab_array(vocab: list[str]):
     return F.array(*[F.lit(v) for v in vocab])
 
 
+def sql_string(v: str) -> str:
+    """A Spark SQL string literal (backslash and quote escaped)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def vocab_sql(vocab: list[str]) -> str:
+    if len(set(vocab)) != len(vocab):
+        raise ValueError("label vocabulary must be distinct")
+    return "array(" + ", ".join(sql_string(v) for v in vocab) + ")"
+
+
 def checked_probs(probs: str, k: int):
     """The probability array, or a task error if it is not K long or holds
     NaN/null (NaN would sort as the top value)."""
@@ -43,12 +54,19 @@ def checked_probs(probs: str, k: int):
 
 def margin_scores(scored: DataFrame, vocab: list[str], probs: str = "probs") -> DataFrame:
     """Per row: 4-digit probabilities, their top-2 margin (re-rounded), the
-    predicted label (first maximum of the rounded probabilities)."""
-    voc = vocab_array(vocab)
-    p4 = S.round_probs(checked_probs(probs, len(vocab)))
-    return (scored.withColumn("p4", p4)
-            .withColumn("margin", S.top2_margin("p4"))
-            .withColumn("label_text_pred", S.label_of_max("p4", voc)))
+    predicted label (first maximum of the rounded probabilities).  A row
+    whose probabilities are not K finite values fails the task (NaN would
+    sort as the top value).  Written as SQL text: one JVM call per step."""
+    k = len(vocab)
+    voc = vocab_sql(vocab)
+    check = (f"CASE WHEN size({probs}) != {k} OR exists({probs}, x -> isnan(x) OR x IS NULL) "
+             f"THEN raise_error('probabilities must be {k} finite values') ELSE {probs} END")
+    m = scored.selectExpr("*", f"transform({check}, x -> round(x, {S.PROB_DIGITS})) AS p4")
+    return m.selectExpr(
+        "*",
+        f"CASE WHEN size(p4) < 2 THEN 0D ELSE round(sort_array(p4, false)[0] - sort_array(p4, false)[1], "
+        f"{S.PROB_DIGITS}) END AS margin",
+        f"element_at({voc}, cast(array_position(p4, array_max(p4)) AS int)) AS label_text_pred")
 
 
 def breaking_ties(scored: DataFrame, vocab: list[str], n: int = 20, seed: int = SEED,
@@ -58,12 +76,14 @@ def breaking_ties(scored: DataFrame, vocab: list[str], n: int = 20, seed: int =
     a seeded shuffle position."""
     m = margin_scores(scored, vocab, probs)
     # margins are multiples of 1e-4 in [0, 1]: the bucket is the margin itself
-    bucket = F.round(F.col("margin") * 10000).cast("int")
+    bucket = F.expr("cast(round(margin * 10000) AS int)")
     drawn = rank_first(m, [], ["margin", idx], n, bucket=bucket, rank_col="margin_rank",
                        strategy=strategy)
-    voc = vocab_array(vocab)
-    drawn = (drawn.withColumn("probs_named", S.named_probs(voc, "p4"))
-             .withColumn("probs_scaled", S.named_probs(voc, S.rescale("p4"))))
+    voc = vocab_sql(vocab)
+    drawn = drawn.selectExpr(
+        "*", f"map_from_arrays({voc}, p4) AS probs_named",
+        f"map_from_arrays({voc}, aggregate(p4, 0D, (a, x) -> a + x, s -> transform(p4, x -> x / s))) "
+        "AS probs_scaled")
     return shuffle_rank(drawn, seed, idx, n_max=n)
 
 

@@ -141,3 +141,11 @@ def test_draw_and_metrics_repartition_invariant(spark):
         rp = sc.repartition(n)
         assert sorted(tuple(r) for r in breaking_ties(rp, vocab, 15).select("idx", "shuffle_rank").collect()) == base
         assert E.eval_metrics(rp.select(F.col("label_text").alias("gold"), F.lit("0").alias("pred"))).first() == m0
+
+
+def test_breaking_ties_labels_needing_escapes(spark):
+    df = spark.createDataFrame([(1, [0.2, 0.8]), (2, [0.6, 0.4])], "idx long, probs array<double>")
+    voc = ["it's", "back\\slash"]
+    rows = {r.idx: r for r in breaking_ties(df, voc, 2).collect()}
+    assert rows[1].label_text_pred == "back\\slash" and rows[2].label_text_pred == "it's"
+    assert rows[1].probs_named == {"it's": 0.2, "back\\slash": 0.8}
