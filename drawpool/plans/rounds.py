@@ -18,12 +18,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scores as S
 from ..operators import evaluate as E
 from ..operators import ledger as L
 from ..operators import nli as N
 from ..operators.labels import ISIN_MAX
-from ..operators.strategies import PoolExhausted, breaking_ties, min_certainty
+from ..operators.strategies import PoolExhausted, breaking_ties, min_certainty, vocab_sql
 from ..session import new_run_id, state_path
 from ..sources.history import exists, read_history, read_iter, write_iter
 from .scorers import resolve_method
@@ -101,11 +100,10 @@ class ActiveLearningRun:
         """(split, idx, gold, pred, probs, score) for one slot."""
         gold = rows.select("idx", F.col("label_text").alias("gold"))
         if self.method == "standard":
-            s = model.score(rows)
-            voc = F.array(*[F.lit(v) for v in self.vocab])
-            s = s.select("idx", F.col("label_text").alias("gold"),
-                         F.element_at(voc, S.argmax("z") + 1).alias("pred"), "probs",
-                         F.lit(None).cast("double").alias("score"))
+            s = model.score(rows).selectExpr(
+                "idx", "label_text AS gold",
+                f"element_at({vocab_sql(self.vocab)}, cast(array_position(z, array_max(z)) AS int)) AS pred",
+                "probs", "CAST(NULL AS double) AS score")
         elif self.method == "nli":
             if hasattr(model, "score_rows"):
                 # hypotheses evaluated inside each row: no expansion, no regroup
@@ -113,10 +111,9 @@ class ActiveLearningRun:
             else:
                 pairs = model.score_pairs(rows)
                 p = N.nli_predict(N.regroup(pairs, ["z_entail", "z_not"]), select=self.nli_select)
-            voc = F.array(*[F.lit(v) for v in self.vocab])
-            s = p.join(gold, on="idx", how="inner").select(
-                "idx", "gold", F.element_at(voc, F.col("pred_pos") + 1).alias("pred"),
-                F.col("p_entail").alias("probs"), F.lit(None).cast("double").alias("score"))
+            s = p.join(gold, on="idx", how="inner").selectExpr(
+                "idx", "gold", f"element_at({vocab_sql(self.vocab)}, pred_pos + 1) AS pred",
+                "p_entail AS probs", "CAST(NULL AS double) AS score")
         else:
             sc = model.score(rows)
             s = sc.join(gold, on="idx", how="inner").select(
