@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import UNANSWERABLE
 
 ISIN_MAX = 1000   # longer whitelists become a semi-join
+MAX_DRIVER_VOCAB = 100_000   # labels pulled to the driver for literal expressions
 
 
 def filter_labels(df: DataFrame, whitelist, label: str = "label_text") -> DataFrame:
@@ -59,8 +60,14 @@ def label_vocab(df: DataFrame, label: str = "label_text") -> DataFrame:
 
 
 def vocab_list(df: DataFrame, label: str = "label_text") -> list[str]:
-    """Driver-side vocabulary (K strings) for building literal expressions."""
-    return list(label_vocab(df, label).first()["vocab"])
+    """Driver-side vocabulary (K strings) for building literal expressions.
+    Bounded: an open vocabulary (answer strings) stays a DataFrame
+    (``label_vocab``, ``label_codes_alpha``) and never comes here."""
+    d = df.select(label).filter(F.col(label).isNotNull()).distinct()
+    head = d.limit(MAX_DRIVER_VOCAB + 1).agg(F.array_sort(F.collect_list(label)).alias("v")).first()["v"]
+    if len(head) > MAX_DRIVER_VOCAB:
+        raise ValueError(f"more than {MAX_DRIVER_VOCAB} labels: keep the vocabulary as a DataFrame")
+    return list(head)
 
 
 def label_code_map(df: DataFrame, label: str = "label_text") -> DataFrame:
