@@ -131,3 +131,12 @@ def test_label_code_map_and_shuffled(spark):
     again = [r.idx for r in SM.shuffled(df.repartition(3)).collect()]
     ranks = [r.idx for r in SM.shuffle_rank(df).orderBy("shuffle_rank").collect()]
     assert order == again == ranks and sorted(order) == [1, 2, 3, 4]
+
+
+def test_quantile_bucket_monotone(spark):
+    from drawpool.operators.ranking import quantile_bucket
+    df = spark.createDataFrame([(float(i % 97) ** 2,) for i in range(2000)], "x double")
+    rows = df.select("x", quantile_bucket(df, "x", 32).alias("b")).collect()
+    pairs = sorted((r.x, r.b) for r in rows)
+    assert all(b1 <= b2 for (_, b1), (_, b2) in zip(pairs, pairs[1:]))
+    assert len({b for _, b in pairs}) > 10

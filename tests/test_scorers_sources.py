@@ -83,11 +83,14 @@ def test_entry_contract(spark):
     assert set(qs) - set(sql) == {"fit_score_vectors", "fit_score_text"}
 
 
-def test_no_cartesian_in_joins(spark):
+def test_no_cartesian_or_row_udf_in_any_query(spark):
+    """Every registered query: no cartesian / nested-loop join and no
+    row-at-a-time Python evaluation (Arrow batches only)."""
     import __spark_entry__ as E
-    for name in ("pool_minus_train", "nli_testset", "nli_trainset", "round_counts", "breaking_ties"):
-        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert bad not in plan, (name, bad)
 
 
 def test_cluster_conf():
