@@ -61,4 +61,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op1_decontaminate": OP1, "op2_exact_dedup": OP2}
+SQL = {"op1_decontaminate": OP1, "op2_exact_dedup": OP2, "op5_near_dedup": OP5, "op7_substring_dedup": OP7}
