@@ -53,7 +53,7 @@ def encoder(path: str):
         if "<|" in chunk:  # may hold a special token
             return chunk, ""
         base = chunk.rstrip(string.punctuation)
-        if not base or not base[-1].isalnum():
+        if not base or not base[-1].isalnum() or len(base[-1].lower()) > 1:  # a letter whose small form ends in a mark
             base = chunk
         tail = chunk[len(base):]
         return (base.lower() if base.isascii() else base), tail
@@ -185,7 +185,9 @@ def _packer(length: int, turn: int, group: int, slack: int):
 
 def pack(parts: DataFrame, length: int = LENGTH, slack: int = SLACK, group: int = GROUP) -> DataFrame:
     """The rows of ``pieces`` with sequence_id and offset."""
-    bins = written(parts.mapInArrow(_packer(length, 0, group, slack), _BIN), "bins")
+    # narrow rows, dealt so that a task's first groups are as full as they may be
+    dealt = parts.repartition(max(1, -(-parts.count() // group)), F.xxhash64("doc_id", "piece"))
+    bins = written(dealt.mapInArrow(_packer(length, 0, group, slack), _BIN), "bins")
     done, turn = bins.where("NOT open"), 1
     n = bins.where("open").count()
     while n > 1:

@@ -4,8 +4,9 @@ whole table and returns the result its contract names."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, packing, substring_dedup
+from . import decontaminate, exact_dedup, language_mixture, near_dedup, packing, substring_dedup
 from .common import table
 
 #: The tokenizer's file, a parameter of the operators that tokenise.
@@ -34,8 +35,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    test = language_mixture.held_out(F.col("doc_id"), 3, 1)
+    langs, model = language_mixture.learn(docs.where("doc_id IS NOT NULL").where(~test))
+    out = language_mixture.language_mixture(docs, langs, model)
+    return out.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op5_near_dedup, op7_substring_dedup, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op5_near_dedup, op7_substring_dedup, op8_language_mixture, op9_best_fit_packing)}
