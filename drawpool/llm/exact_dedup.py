@@ -16,14 +16,30 @@ of a group without any id all stay; other columns are not read.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+#: State on disk; files grow with their content, instead of 4 MB set aside for each state partition.
+ROCKSDB = {f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           f"{_STATE}rocksdb.allowFAllocate": "false"}
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def normalised(text: Column) -> Column:
@@ -37,19 +53,12 @@ def sha256(text: Column) -> Column:
 def dedup_state(spark: SparkSession, arrivals: DataFrame, checkpoint: str) -> None:
     """Feed a stream of (doc_id, locator, digest) into the keyed state kept
     under ``checkpoint``; a later run with the same folder goes on from there."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
+    with _rocksdb(spark):
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator"))
         query = (arrivals.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
                  .writeStream.format("noop").outputMode("update")
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -74,7 +83,8 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     if path:
         stream = spark.readStream.schema(rows.schema).parquet(path[0].rpartition("/")[0])
         dedup_state(spark, stream.select("doc_id", "locator", "digest"), state_dir)
-        state = written(read_state(spark, state_dir), "state")
+        with _rocksdb(spark):
+            state = written(read_state(spark, state_dir), "state")
     else:  # no row at all
         state = rows.select("digest", F.col("doc_id").alias("keep_id"), "locator", F.lit(0).cast("bigint").alias("group_size"))
 
