@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_mixture, near_dedup, packing, substring_dedup
+from . import decontaminate, exact_dedup, fuzzy_lines, html_text, language_mixture, near_dedup, packing, substring_dedup, token_counts
 from .common import table
 
 #: The tokenizer's file, a parameter of the operators that tokenise.
 TOKENIZER = "word_bpe_49k.json"
+#: The file whose pieces the unigram counts use.
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -27,10 +29,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,4 +57,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op5_near_dedup, op7_substring_dedup, op8_language_mixture, op9_best_fit_packing)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_html_text, op5_near_dedup, op6_token_counts, op7_substring_dedup,
+                                   op8_language_mixture, op9_best_fit_packing, op10_fuzzy_lines)}
