@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fuzzy_lines, html_text, language_mixture, near_dedup, packing, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, fuzzy_lines, html_text, language_mixture, near_dedup, packing, substring_dedup, token_counts, toxicity
 from .common import table
 
 #: The tokenizer's file, a parameter of the operators that tokenise.
@@ -33,6 +33,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, test = table(spark, sf_dir, "documents").select("doc_id", "text"), language_mixture.held_out(F.col("doc_id"), 4, 2)
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~test)
+    return toxicity.toxicity(docs, net).select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,5 +67,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.fuzzy_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_html_text, op5_near_dedup, op6_token_counts, op7_substring_dedup,
-                                   op8_language_mixture, op9_best_fit_packing, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_html_text, op4_toxicity, op5_near_dedup, op6_token_counts,
+                                   op7_substring_dedup, op8_language_mixture, op9_best_fit_packing, op10_fuzzy_lines)}
