@@ -105,3 +105,15 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
         plain = placed.join(unlike, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "sha").unionByName(exact)
     return plain.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                         F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are.  Rows that
+    share both id and text are one document and leave one row."""
+    rows = written(exact_dedup(docs).select("doc_id", "kept", "text_sha256"), "decisions")
+    gone = rows.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text").cast("string")).cast("binary"), 256))
+    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__sha") == F.col("gone_sha")), "left_anti")
+    if not rows.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__sha"])
+    return left.drop("__sha")

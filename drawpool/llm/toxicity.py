@@ -430,3 +430,19 @@ def toxicity(docs: DataFrame, net: Network | float) -> DataFrame:
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_scored(net), "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def clean(docs: DataFrame, net: Network | float) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns as they are."""
+    importable(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text")
+            if isinstance(net, float):
+                if net < THRESHOLD:
+                    yield b
+                continue
+            for lo, hi, grid in blocks(texts, ALNUM, True):
+                yield b.slice(lo, hi - lo).filter(pa.array(net.score(net.documents(grid)) < THRESHOLD))
+    return docs.mapInArrow(run, docs.schema)
