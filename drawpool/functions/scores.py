@@ -89,6 +89,16 @@ def sequence_score(steps, input_len: int, length_penalty: float = 1.0) -> Column
     return array_sum(s) / F.pow(F.lit(input_len) + n_neg, F.lit(float(length_penalty)))
 
 
+#: Digits of a sequence score: equal token counts give equal scores whatever
+#: the order in which their steps were added.
+SCORE_DIGITS = 9
+
+
+def sequence_score_of(total, n_neg, input_len: int, length_penalty: float = 1.0) -> Column:
+    """``sequence_score`` from the sum of the steps and the number of negative ones."""
+    return F.round(_c(total) / F.pow(F.lit(input_len) + _c(n_neg), F.lit(float(length_penalty))), SCORE_DIGITS)
+
+
 def naive_certainty(steps2d) -> Column:
     """Sum over generation steps of the largest logit of each step."""
     return array_sum(F.transform(_c(steps2d), lambda st: F.array_max(st)))

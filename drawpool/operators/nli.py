@@ -86,11 +86,15 @@ def nli_trainset(train: DataFrame, hypo_label_dic: dict[str, str], seed: int = S
             .unionByName(negs.select(*cols, F.lit(1).alias("label"))))
 
 
-def regroup(long_scored: DataFrame, value_cols: list[str]) -> DataFrame:
+def regroup(long_scored: DataFrame, value_cols: list[str], k: int) -> DataFrame:
     """K hypothesis rows per premise -> one row per idx with arrays ordered
-    by hypo_pos (each group has exactly K rows: bounded)."""
+    by hypo_pos.  A premise whose positions are not 0 ... K-1 fails the task:
+    a place in the array is taken for the hypothesis's position."""
     st = F.struct("hypo_pos", *value_cols)
     g = long_scored.groupBy("idx").agg(F.array_sort(F.collect_list(st)).alias("_rows"))
+    whole = F.transform("_rows", lambda r: r["hypo_pos"].cast("int")) == F.sequence(F.lit(0), F.lit(k - 1))
+    g = g.withColumn("_rows", F.when(whole, F.col("_rows")).otherwise(
+        F.raise_error(F.concat(F.lit(f"not one score for each of {k} hypotheses: idx "), F.col("idx").cast("string")))))
     return g.select("idx", F.size("_rows").alias("n_hypo"),
                     *[F.transform("_rows", _field(c)).alias(c) for c in value_cols])
 

@@ -33,6 +33,11 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _wide(df: DataFrame, rank_col: str) -> DataFrame:
+    """A rank is BIGINT, whichever strategy numbered the rows."""
+    return df.withColumn(rank_col, F.col(rank_col).cast("long"))
+
+
 def rank_first(df: DataFrame, keys: list[str], order: list, cap, *,
                bucket: Column | None = None, rank_col: str = "rank",
                strategy: str = "auto") -> DataFrame:
@@ -54,13 +59,13 @@ def rank_first(df: DataFrame, keys: list[str], order: list, cap, *,
     if strategy == "window":
         w = Window.partitionBy(*keys).orderBy(*order_c)
         capc = F.lit(cap) if literal else F.col(cap)
-        return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= capc)
+        return _wide(df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= capc), rank_col)
     if strategy == "topk":
         if not literal or keys:
             raise ValueError("topk needs a literal cap and no group keys")
         top = df.orderBy(*order_c).limit(cap)
         # the window below sees at most `cap` rows
-        return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_c)))
+        return _wide(top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_c))), rank_col)
     if strategy != "bucketed":
         raise ValueError(f"unknown strategy {strategy!r}")
     if bucket is None:

@@ -22,7 +22,7 @@ SEED_TRAIN_CAP = 10  # rows per label in the seed-train draw
 
 
 class SampleTooLarge(ValueError):
-    pass
+    """A strict sample asks for more rows than there are."""
 
 
 def with_hash(df: DataFrame, seed: int, idx: str = "idx", out: str = "_h") -> DataFrame:
@@ -30,8 +30,12 @@ def with_hash(df: DataFrame, seed: int, idx: str = "idx", out: str = "_h") -> Da
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int = SEED, idx: str = "idx",
-                   rank_col: str | None = None, strategy: str = "auto") -> DataFrame:
-    """Exactly ``min(n, N)`` rows, the n smallest by ``md5(seed:idx)``."""
+                   rank_col: str | None = None, strategy: str = "auto", strict: bool = False) -> DataFrame:
+    """The n rows with the smallest ``md5(seed:idx)``.  Of fewer than n rows
+    all are drawn, or with ``strict`` ``SampleTooLarge`` is raised (which
+    counts the rows first)."""
+    if strict and (have := df.count()) < n:
+        raise SampleTooLarge(f"{n} rows asked for, {have} there")
     h = with_hash(df, seed, idx)
     out = rank_first(h, [], ["_h", idx], n, bucket=hash_bucket("_h"),
                      rank_col=rank_col or "_rank", strategy=strategy)
@@ -82,7 +86,7 @@ def shuffle_rank(df: DataFrame, seed: int = SEED, idx: str = "idx",
         return rank_first(h, [], ["_sh", idx], n_max, bucket=hash_bucket("_sh"), rank_col=out,
                           strategy="bucketed").drop("_sh")
     w = Window.orderBy(seeded_hash(seed, idx), F.col(idx))
-    return df.withColumn(out, F.row_number().over(w))
+    return df.withColumn(out, F.row_number().over(w).cast("long"))
 
 
 def shuffled(df: DataFrame, seed: int = SEED, idx: str = "idx") -> DataFrame:

@@ -23,7 +23,7 @@ class PoolExhausted(RuntimeError):
 
 def ensure_not_empty(df: DataFrame, what: str = "pool") -> None:
     if df.isEmpty():
-        raise PoolExhausted(f"No more training data left in {what}.")
+        raise PoolExhausted(f"the {what} has no row left")
 
 
 def vocab_array(vocab: list[str]):
@@ -59,7 +59,8 @@ def margin_scores(scored: DataFrame, vocab: list[str], probs: str = "probs") ->
     sort as the top value).  Written as SQL text: one JVM call per step."""
     k = len(vocab)
     voc = vocab_sql(vocab)
-    check = (f"CASE WHEN size({probs}) != {k} OR exists({probs}, x -> isnan(x) OR x IS NULL) "
+    check = (f"CASE WHEN {probs} IS NULL OR size({probs}) != {k} "
+             f"OR exists({probs}, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) "
              f"THEN raise_error('probabilities must be {k} finite values') ELSE {probs} END")
     m = scored.selectExpr("*", f"transform({check}, x -> round(x, {S.PROB_DIGITS})) AS p4")
     return m.selectExpr(
@@ -92,6 +93,10 @@ def min_certainty(scored: DataFrame, n: int = 20, seed: int = SEED, score: str =
     """The n rows with the smallest scalar sequence score (ties: smaller id)."""
     if dict(scored.dtypes).get(score) not in ("double", "float"):
         raise TypeError("min_certainty needs a scalar score column")
+    # a null or NaN would sort first or last instead of meaning anything
+    scored = scored.withColumn(score, F.expr(
+        f"CASE WHEN {score} IS NULL OR isnan({score}) OR abs({score}) = double('infinity') "
+        f"THEN raise_error('scores must be finite') ELSE {score} END"))
     bucket = None
     if strategy == "bucketed" or (strategy == "auto" and n > TOPK_LOCAL_MAX):
         bucket = quantile_bucket(scored, score)

@@ -29,6 +29,7 @@ N_TRAIN_VEC = 100        # seed train rows of the vector pool
 N_DRAW = 20              # rows per draw
 N_DRAW_ZERO_SHOT = 10    # rows per draw in the zero-shot NLI round
 N_ROUNDS = 3             # rounds of the round-driver queries
+N_TEST_SLOT = 60         # rows of the test slot
 N_UNIFORM = 200          # uniform draw (test: half)
 N_LEDGER_TRAIN = 20      # train ids drawn from the ledger pool
 TOKEN_BUDGET = 64        # single-text and pair token budgets
@@ -102,7 +103,7 @@ def lang_scored_pairs(spark, sf):
     """The same through the pair form: expand, score pairs, regroup by idx."""
     pl = A.pool_lang(spark, sf)
     pairs = SC.OverlapNLIScorer(A.LANG_HYPOTHESES).score_testset(pl)
-    return N.nli_predict(N.regroup(pairs, ["z_entail", "z_not", "label"]))
+    return N.nli_predict(N.regroup(pairs, ["z_entail", "z_not", "label"], len(A.LANG_HYPOTHESES)))
 
 
 def gen_model(spark, sf, train=None):
@@ -110,27 +111,19 @@ def gen_model(spark, sf, train=None):
     return pg, SC.UnigramScorer(pg).fit(train)
 
 
-_RUNS: dict = {}
-
-
-def vec_run(spark, sf, rounds=N_ROUNDS) -> ActiveLearningRun:
-    """One shared round-driver run per (session, tables, rounds)."""
-    key = (spark.sparkContext.applicationId, sf, rounds)
-    if key not in _RUNS:
-        from ..session import new_run_id, state_path
-        pv, train, _ = vec_split(spark, sf)
-        vocab = LB.vocab_list(pv)
-        # the seed is written once; the corpus is derived from that table, so
-        # no round re-derives the seed from a scan of the whole pool
-        out_dir = state_path(spark, new_run_id())
-        train.write.mode("overwrite").parquet(f"{out_dir}/seed_train")
-        seed = spark.read.parquet(f"{out_dir}/seed_train")
-        run = ActiveLearningRun(spark, corpus=L.pool_minus(pv, seed), scorer=SC.CentroidScorer(vocab),
-                                vocab=vocab, method="standard_dl", seed_train=seed, n_sample=N_DRAW,
-                                keep_seed_train=True, out_dir=out_dir, materialize_seed=False)
-        run.run(rounds)
-        _RUNS[key] = run
-    return _RUNS[key]
+def vec_run(spark, sf) -> ActiveLearningRun:
+    """A round-driver run over the vector pool, not yet started."""
+    from ..session import new_run_id, state_path
+    pv, train, _ = vec_split(spark, sf)
+    vocab = LB.vocab_list(pv)
+    # the seed is written once; the corpus is derived from that table, so
+    # no round re-derives the seed from a scan of the whole pool
+    out_dir = state_path(spark, new_run_id())
+    train.write.mode("overwrite").parquet(f"{out_dir}/seed_train")
+    seed = spark.read.parquet(f"{out_dir}/seed_train")
+    return ActiveLearningRun(spark, corpus=L.pool_minus(pv, seed), scorer=SC.CentroidScorer(vocab),
+                             vocab=vocab, method="standard_dl", seed_train=seed, n_sample=N_DRAW,
+                             keep_seed_train=True, out_dir=out_dir, materialize_seed=False)
 
 
 # ------------------------------------------------------------- 2.A sources
@@ -149,14 +142,14 @@ def pool_contract(spark, sf):
 
 @query
 def metrics_history(spark, sf):
-    m = vec_run(spark, sf).metrics_history()
+    m = vec_run(spark, sf).run(N_ROUNDS).metrics_history()
     return m.select(F.col("iter").cast("long").alias("iter"), *_metric_cols(),
                     F.col("n_train").cast("long").alias("n_train"))
 
 
 @query
 def sample_history(spark, sf):
-    s = vec_run(spark, sf).sample_history()
+    s = vec_run(spark, sf).draws(N_ROUNDS).sample_history()
     return s.select(F.col("iter").cast("long").alias("iter"), F.col("idx").cast("long").alias("idx"),
                     r6("margin", "margin"), "label_text_pred",
                     F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
@@ -164,7 +157,7 @@ def sample_history(spark, sf):
 
 @query
 def scored_long(spark, sf):
-    s = vec_run(spark, sf).scored_history()
+    s = vec_run(spark, sf).run(N_ROUNDS).scored_history()
     return s.select(F.col("iter").cast("long").alias("iter"), "split", F.col("idx").cast("long").alias("idx"),
                     "gold", "pred")
 
@@ -320,11 +313,14 @@ def merge_predictions(spark, sf):
     sc, vocab, _ = vec_scored(spark, sf)
     voc = F.array(*[F.lit(v) for v in vocab])
     preds = sc.select("idx", F.element_at(voc, S.argmax("probs") + 1).alias("label_text_pred"),
-                      F.array_max("probs").alias("prob_pred"))
+                      F.array_max("probs").alias("prob_pred"), "probs")
     _, _, pool = vec_split(spark, sf)
-    m = L.merge_predictions(pool.select("idx", "label_text"), preds)
-    return m.select(F.col("idx").cast("long").alias("idx"), "label_text", "label_text_pred",
-                    r6("prob_pred", "prob_pred"))
+    # every pool column, the prediction, and each class's probability
+    m = L.merge_predictions(pool, preds)
+    m = m.select("*", F.posexplode("probs").alias("pos", "p"))
+    return m.select(F.col("idx").cast("long").alias("idx"), "label_text", F.size("features").cast("long").alias("n_features"),
+                    r6(S.array_sum("features"), "sum_features"), "label_text_pred", r6("prob_pred", "prob_pred"),
+                    F.col("pos").cast("long").alias("pos"), r6("p", "prob"))
 
 
 # ------------------------------------------------------------- 2.D evaluation
@@ -397,7 +393,7 @@ def nli_regroup(spark, sf):
 
 @query
 def learning_curve(spark, sf):
-    run = vec_run(spark, sf)
+    run = vec_run(spark, sf).run(N_ROUNDS)
     lc = E.learning_curve(run.metrics_history(), run.sample_history())
     return lc.select(F.col("iter").cast("long").alias("iter"), F.col("n_labels").cast("long").alias("n_labels"),
                      *[r6(c, c) for c in E.METRIC_COLUMNS])
@@ -451,7 +447,8 @@ def margin_scores_all(spark, sf):
 @query
 def shuffled_sample(spark, sf):
     _, train, _ = vec_split(spark, sf)
-    return SM.shuffle_rank(train.select("idx"), SM.SEED).select(
+    # another seed than the draw's, whose order the rows would keep
+    return SM.shuffle_rank(train.select("idx"), SM.SEED_TEST).select(
         F.col("idx").cast("long").alias("idx"), F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
 
 
@@ -513,9 +510,11 @@ def train_ids_union(spark, sf):
 def train_plus_scored(spark, sf):
     sc, vocab, train = vec_scored(spark, sf)
     voc = F.array(*[F.lit(v) for v in vocab])
-    scored = sc.select("idx", F.element_at(voc, S.argmax("z") + 1).alias("label_text_pred"))
+    scored = sc.select("idx", "label_text", F.element_at(voc, S.argmax("z") + 1).alias("label_text_pred"), "probs")
     u = L.train_plus_scored(train.select("idx", "label_text"), scored)
-    return u.select(F.col("idx").cast("long").alias("idx"), "split", "label_text", "label_text_pred")
+    # the probabilities in long form; a train row has none
+    u = u.select(F.col("idx").cast("long").alias("idx"), "split", "label_text", "label_text_pred", F.posexplode_outer("probs").alias("pos", "p"))
+    return u.select("idx", "split", "label_text", "label_text_pred", F.col("pos").cast("long").alias("pos"), r6("p", "prob"))
 
 
 # ------------------------------------------------------------- 2.I scores
@@ -593,25 +592,70 @@ def nli_overlap_logits(spark, sf):
                         r6("z_entail", "z_entail"), r6("z_not", "z_not"))
 
 
+def _round_run(spark, pool, scorer, vocab, **kw) -> ActiveLearningRun:
+    from ..session import new_run_id, state_path
+    return ActiveLearningRun(spark, corpus=pool, scorer=scorer, vocab=vocab, out_dir=state_path(spark, new_run_id()), **kw)
+
+
 @query
 def zero_shot_round(spark, sf):
-    p = lang_scored(spark, sf)
+    """An NLI round of the driver before there is any train table."""
     vocab = sorted(A.LANG_HYPOTHESES)
-    d = breaking_ties(p.withColumnRenamed("p_entail", "probs"), vocab, N_DRAW_ZERO_SHOT, SM.SEED)
+    run = _round_run(spark, A.pool_lang(spark, sf), SC.OverlapNLIScorer(A.LANG_HYPOTHESES), vocab,
+                     method="nli", hypo_label_dic=A.LANG_HYPOTHESES, n_sample=N_DRAW_ZERO_SHOT)
+    run.run_round()
+    d = run.draw()
     return d.select(F.col("idx").cast("long").alias("idx"), r6("margin", "margin"), "label_text_pred",
                     F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
 
 
+@query
+def generation_round(spark, sf):
+    """A generation round of the driver: gold, answer and sequence score."""
+    pg = A.pool_gen(spark, sf)
+    run = _round_run(spark, pg, SC.UnigramScorer(pg), ["unused"], method="generation", n_sample=N_DRAW)
+    run.run_round()
+    return run.scored_history().select(F.col("idx").cast("long").alias("idx"), "gold", "pred", r6("score", "score"))
+
+
+@query
+def test_slot_round(spark, sf):
+    """A round with a test slot: the scored rows of both slots."""
+    pv, train, pool = vec_split(spark, sf)
+    vocab = LB.vocab_list(pv)
+    test = SM.uniform_sample(pool, N_TEST_SLOT, SM.SEED_TEST)
+    run = _round_run(spark, L.pool_minus(pool, test), SC.CentroidScorer(vocab), vocab, method="standard_dl", seed_train=train, test=test)
+    run.run_round()
+    s = run.scored_history().select("split", F.col("idx").cast("long").alias("idx"), "gold", "pred", F.posexplode("probs").alias("pos", "p"))
+    return s.select("split", "idx", "gold", "pred", F.col("pos").cast("long").alias("pos"), r6("p", "prob"))
+
+
+@query
+def test_slot_metrics(spark, sf):
+    """The metrics row of a round with a test slot."""
+    pv, train, pool = vec_split(spark, sf)
+    vocab = LB.vocab_list(pv)
+    test = SM.uniform_sample(pool, N_TEST_SLOT, SM.SEED_TEST)
+    run = _round_run(spark, L.pool_minus(pool, test), SC.CentroidScorer(vocab), vocab, method="standard_dl", seed_train=train, test=test)
+    return run.run_round().select(*_metric_cols())
+
+
 @query
 def fit_score_vectors(spark, sf):
     pv, train, pool = vec_split(spark, sf)
     vocab = LB.vocab_list(pv)
     model = SC.LogisticScorer(vocab).fit(train)
-    sc = model.score(pool)
+    return _fit_checks(model.score(pool), vocab)
+
+
+def _fit_checks(scored: DataFrame, vocab: list[str]) -> DataFrame:
+    """What every fitted classifier's rows must hold: K probabilities that
+    sum to 1, and a prediction that has the largest of them."""
     voc = F.array(*[F.lit(v) for v in vocab])
-    return sc.select(F.col("idx").cast("long").alias("idx"),
-                     F.element_at(voc, S.argmax("probs") + 1).alias("label_text_pred"),
-                     r6(F.array_max("probs"), "prob_pred"))
+    pred = F.element_at(voc, S.argmax("probs") + 1)
+    at = F.element_at(F.col("probs"), F.array_position(voc, pred).cast("int"))
+    return scored.select(F.col("idx").cast("long").alias("idx"), F.size("probs").cast("long").alias("n_probs"),
+                         r6(S.array_sum("probs"), "prob_sum"), (at == F.array_max("probs")).cast("long").alias("pred_has_max"))
 
 
 @query
@@ -622,35 +666,28 @@ def fit_score_text(spark, sf):
     pool = L.pool_minus(pq, train)
     model = SC.LogisticScorer(vocab, features="text", text=True, params={"maxIter": 20},
                               num_hash_features=1 << 16).fit(train)
-    sc = model.score(pool)
-    voc = F.array(*[F.lit(v) for v in vocab])
-    return sc.select(F.col("idx").cast("long").alias("idx"),
-                     F.element_at(voc, S.argmax("probs") + 1).alias("label_text_pred"))
+    return _fit_checks(model.score(pool), vocab)
 
 
 # ------------------------------------------------------------- 2.K rounds
 @query
 def al_one_round(spark, sf):
-    m = vec_run(spark, sf).metrics_history().filter(F.col("iter") == 0)
+    m = vec_run(spark, sf).run_round()
     return m.select(F.col("iter").cast("long").alias("iter"), *_metric_cols(),
                     F.col("n_train").cast("long").alias("n_train"))
 
 
 @query
 def update_round(spark, sf):
-    """Train ids and pool after the first update (draw of iter 1)."""
-    run = vec_run(spark, sf)
-    s1 = run.sample_history().filter(F.col("iter") == 1).select("idx")
-    _, train, pool = vec_split(spark, sf)
-    new_pool = L.pool_minus(pool, s1)
-    tr = train.select("idx").unionByName(L.rows_in(pool, s1).select("idx"))
-    a = tr.agg(F.count_distinct("idx").alias("n_train"))
-    b = new_pool.agg(F.count(F.lit(1)).alias("n_pool"))
+    """Train rows and pool in the driver's state after one draw and update."""
+    state = vec_run(spark, sf).draws(1).state
+    a = state.train.agg(F.count_distinct("idx").alias("n_train"))
+    b = state.corpus.agg(F.count(F.lit(1)).alias("n_pool"))
     return side_by_side(a, b)
 
 
 @query
 def al_rounds(spark, sf):
-    run = vec_run(spark, sf)
+    run = vec_run(spark, sf).draws(N_ROUNDS)
     ids = run.train_ids()
     return ids.select(F.col("idx").cast("long").alias("idx"), F.col("iter").cast("long").alias("iter"))

@@ -161,12 +161,13 @@ SQL["pool_contract"] = with_(
     f"CAST(coalesce(sum(CASE WHEN label_text IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_null_label FROM {t}"
     for n, t in [("pool_vec", "pv"), ("pool_quality", "pq"), ("pool_lang", "pl"), ("pool_gen", "pg")]])
 
-SQL["metrics_history"] = with_(*rounds_ctes(NR)) + _metrics_hist(NR)
+# n draws give n + 1 fits: the model trained on the last draw is evaluated as well
+SQL["metrics_history"] = with_(*rounds_ctes(NR + 1)) + _metrics_hist(NR + 1)
 SQL["al_one_round"] = with_(*rounds_ctes(1)) + _metrics_hist(1)
 SQL["sample_history"] = with_(*rounds_ctes(NR)) + _samples_hist(NR)
-SQL["scored_long"] = with_(*rounds_ctes(NR)) + _union(
-    [f"SELECT CAST({r} AS BIGINT) AS iter, 'corpus' AS split, idx, gold, pred FROM gp_{r}" for r in range(NR)])
-SQL["learning_curve"] = with_(*rounds_ctes(NR), f"mh AS ({_metrics_hist(NR)})", f"sh AS ({_samples_hist(NR)})") + (
+SQL["scored_long"] = with_(*rounds_ctes(NR + 1)) + _union(
+    [f"SELECT CAST({r} AS BIGINT) AS iter, 'corpus' AS split, idx, gold, pred FROM gp_{r}" for r in range(NR + 1)])
+SQL["learning_curve"] = with_(*rounds_ctes(NR + 1), f"mh AS ({_metrics_hist(NR + 1)})", f"sh AS ({_samples_hist(NR)})") + (
     "SELECT m.iter, (SELECT count(*) FROM sh WHERE sh.iter <= m.iter) AS n_labels, "
     + ", ".join(f"m.{c}" for c in METRICS) + " FROM mh m")
 SQL["update_round"] = with_(*rounds_ctes(1)) + (
@@ -279,8 +280,9 @@ SQL["annotation_latest"] = (
     "ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 SQL["annotation_stream_latest"] = SQL["annotation_latest"]
 SQL["merge_predictions"] = with_(*ROUND0) + (
-    f"SELECT m.idx, v.label_text, m.pred_p AS label_text_pred, {r6('m.p_max', 'prob_pred')} "
-    "FROM mg_0 m JOIN vec v ON m.idx = v.idx")
+    f"SELECT m.idx, v.label_text, CAST(len(v.x) AS BIGINT) AS n_features, {r6('list_sum(v.x)', 'sum_features')}, "
+    f"m.pred_p AS label_text_pred, {r6('m.p_max', 'prob_pred')}, p.k AS pos, {r6('p.p', 'prob')} "
+    "FROM mg_0 m JOIN vec v ON m.idx = v.idx JOIN pr_0 p ON p.idx = m.idx")
 SQL["round_counts"] = with_(
     f"h AS {hypo_values(LANG_HYPOTHESES)}",
     "c AS (SELECT d.doc_id AS idx FROM documents d JOIN h own ON d.lang = own.hlab CROSS JOIN h)",
@@ -323,8 +325,7 @@ SQL["generation_eval"] = with_(*_GEN, *metric_ctes("gpg", "_g")) + f"SELECT {met
 _NLI = [
     f"h AS {hypo_values(LANG_HYPOTHESES)}",
     f"htok AS (SELECT DISTINCT hypo_pos, unnest({toks('hypothesis', True, WORD)}) AS tok FROM h)",
-    f"dt AS (SELECT doc_id AS idx, lang, list_distinct(list_slice({toks('text', True, WORD)}, 1, "
-    f"{C.SC.NLI_TEXT_TOKENS})) AS tt FROM documents)",
+    f"dt AS (SELECT doc_id AS idx, lang, list_distinct({toks('text', True, WORD)}) AS tt FROM documents)",
     "dtok AS (SELECT idx, unnest(tt) AS tok FROM dt)",
     "ovc AS (SELECT x.idx, ht.hypo_pos, count(*) AS c FROM dtok x JOIN htok ht ON x.tok = ht.tok "
     "GROUP BY x.idx, ht.hypo_pos)",
@@ -358,16 +359,14 @@ SQL["zero_shot_round"] = with_(
     f"SELECT idx, {r6('margin', 'margin')}, label_text_pred, row_number() OVER (ORDER BY {H(42, 'idx')}, idx) "
     "AS shuffle_rank FROM zd")
 
-T16 = C.SC.STEP_TOKENS
 _UNI = [
     f"ws AS (SELECT doc_id AS idx, {toks('text')} AS toks FROM documents)",
     "cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(toks) AS tok FROM ws) GROUP BY tok)",
     "tot AS (SELECT CAST(sum(c) + count(*) AS DOUBLE) AS denom FROM cnt)",
-    f"fst AS (SELECT idx, unnest(list_slice(toks, 1, {T16})) AS tok, "
-    f"unnest(range(len(list_slice(toks, 1, {T16})))) AS pos FROM ws)",
+    "fst AS (SELECT idx, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM ws)",
     "stp AS (SELECT f.idx, f.pos, ln((coalesce(c.c, 0) + 1) / (SELECT denom FROM tot)) AS step FROM fst f "
     "LEFT JOIN cnt c ON f.tok = c.tok)",
-    f"seqs AS (SELECT w.idx, coalesce(sum(s.step), 0.0) / ({C.SC.INPUT_LEN} + count(CASE WHEN s.step < 0 THEN 1 END)) "
+    f"seqs AS (SELECT w.idx, round(coalesce(sum(s.step), 0.0) / ({C.SC.INPUT_LEN} + count(CASE WHEN s.step < 0 THEN 1 END)), 9) "
     "AS score FROM ws w LEFT JOIN stp s ON w.idx = s.idx GROUP BY w.idx)",
 ]
 SQL["unigram_step_scores"] = with_(*_UNI) + f"SELECT idx, pos, {r6('step', 'step')} FROM stp"
@@ -381,13 +380,15 @@ SQL["breaking_ties"] = with_(*ROUND0) + (
     f"(ORDER BY {H(42, 'idx')}, idx) AS shuffle_rank FROM dr_0")
 SQL["margin_scores"] = with_(*ROUND0) + f"SELECT idx, {r6('margin', 'margin')}, label_text_pred FROM mg_0"
 SQL["shuffled_sample"] = with_(VEC, TR0) + \
-    f"SELECT idx, row_number() OVER (ORDER BY {H(42, 'idx')}, idx) AS shuffle_rank FROM tr0"
+    f"SELECT idx, row_number() OVER (ORDER BY {H(C.SM.SEED_TEST, 'idx')}, idx) AS shuffle_rank FROM tr0"
 SQL["scaled_probs"] = with_(*ROUND0) + (
     f"SELECT r.idx, r.lab AS label_text, {r6('r.p4', 'prob')}, "
     f"{r6('r.p4 / sum(r.p4) OVER (PARTITION BY r.idx)', 'prob_scaled')} FROM rk_0 r JOIN dr_0 d ON r.idx = d.idx")
 SQL["train_plus_scored"] = with_(*ROUND0) + (
-    "SELECT t.idx, 'train' AS split, v.label_text, CAST(NULL AS VARCHAR) AS label_text_pred FROM tr0 t "
-    "JOIN vec v ON t.idx = v.idx UNION ALL SELECT idx, 'corpus', NULL, pred_z FROM mg_0")
+    "SELECT t.idx, 'train' AS split, v.label_text, CAST(NULL AS VARCHAR) AS label_text_pred, CAST(NULL AS BIGINT) AS pos, "
+    "CAST(NULL AS DOUBLE) AS prob FROM tr0 t JOIN vec v ON t.idx = v.idx UNION ALL "
+    f"SELECT m.idx, 'corpus', v.label_text, m.pred_z, p.k, {R6.format('p.p')} FROM mg_0 m JOIN vec v ON m.idx = v.idx "
+    "JOIN pr_0 p ON p.idx = m.idx")
 SQL["softmax_probs"] = with_(*ROUND0) + f"SELECT idx, k AS pos, {r6('p', 'prob')} FROM pr_0"
 SQL["argmax_label"] = with_(*ROUND0) + "SELECT idx, pred_pos, pred_z AS label_text_pred FROM mg_0"
 SQL["naive_certainty"] = with_(VEC, VECX) + (
@@ -395,6 +396,22 @@ SQL["naive_certainty"] = with_(VEC, VECX) + (
     "GROUP BY idx, pos // 2) GROUP BY idx")
 SQL["centroid_logits"] = with_(*ROUND0) + f"SELECT idx, k AS pos, {r6('z', 'logit')} FROM logit_0"
 SQL["score_batch_udf"] = SQL["centroid_logits"]
+_TS = f"ts AS (SELECT idx FROM pl0 ORDER BY {H(C.SM.SEED_TEST, 'idx')}, idx LIMIT {C.N_TEST_SLOT})"
+SQL["test_slot_round"] = with_(*ROUND0, _TS) + (
+    "SELECT CASE WHEN m.idx IN (SELECT idx FROM ts) THEN 'test' ELSE 'corpus' END AS split, m.idx, v.label_text AS gold, "
+    f"m.pred_z AS pred, p.k AS pos, {r6('p.p', 'prob')} FROM mg_0 m JOIN vec v ON m.idx = v.idx JOIN pr_0 p ON p.idx = m.idx")
+SQL["test_slot_metrics"] = with_(
+    *ROUND0, _TS, "gpt AS (SELECT * FROM gp_0 WHERE idx IN (SELECT idx FROM ts))", *metric_ctes("gpt", "_ts")) + \
+    f"SELECT {metric_select('_ts')} FROM mfin_ts"
+SQL["generation_round"] = with_(*_GEN, *_UNI) + (
+    f"SELECT g.idx, g.gold, g.pred, {r6('s.score', 'score')} FROM gpg g JOIN seqs s ON g.idx = s.idx")
+# a fitted model's values are not for SQL; what every fit must give is
+_FIT = "CAST((SELECT count(*) FROM {voc}) AS BIGINT) AS n_probs, CAST(1 AS DOUBLE) AS prob_sum, CAST(1 AS BIGINT) AS pred_has_max FROM {pool}"
+SQL["fit_score_vectors"] = with_(VEC, VOC, TR0, PL0) + "SELECT idx, " + _FIT.format(voc="voc", pool="pl0")
+SQL["fit_score_text"] = with_(
+    PQ, f"tq AS (SELECT idx FROM pq ORDER BY {H(42, 'idx')}, idx LIMIT {C.N_UNIFORM})",
+    "pt AS (SELECT idx FROM pq WHERE idx NOT IN (SELECT idx FROM tq))",
+    "vq AS (SELECT DISTINCT label_text FROM pq WHERE label_text IS NOT NULL)") + "SELECT idx, " + _FIT.format(voc="vq", pool="pt")
 
 
 def oracle_sql() -> dict[str, str]:

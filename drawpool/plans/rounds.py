@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import ledger as L
 from ..operators import nli as N
-from ..operators.labels import ISIN_MAX
 from ..operators.strategies import PoolExhausted, breaking_ties, min_certainty, vocab_sql
 from ..session import new_run_id, state_path
 from ..sources.history import exists, read_history, read_iter, write_iter
 from .scorers import resolve_method
 
 
+class ScoreMismatch(RuntimeError):
+    """The scored rows of a slot are not as many as its rows."""
+
+
 @dataclass
 class RoundState:
     """The three slots (corpus, train, test) plus the train-id set."""
@@ -80,7 +83,7 @@ class ActiveLearningRun:
             self.seed_train.write.mode("overwrite").parquet(self.path("seed_train"))
             self.seed_train = self.spark.read.parquet(self.path("seed_train"))
         self.state = RoundState(0, self.corpus, self.seed_train, self.test, None)
-        self._n_seed, self._drawn_ids, self._scored = None, None, None
+        self._n_seed, self._scored = None, None
         self._n_drawn_by_iter: dict[int, int] = {}   # round -> rows drawn (re-runs overwrite)
 
     # -- paths ---------------------------------------------------------------
@@ -107,17 +110,19 @@ class ActiveLearningRun:
         elif self.method == "nli":
             if hasattr(model, "score_rows"):
                 # hypotheses evaluated inside each row: no expansion, no regroup
-                p = N.nli_predict(model.score_rows(rows, label=None), select=self.nli_select)
+                p = N.nli_predict(model.score_rows(rows, label=None, keep=("label_text",)), select=self.nli_select)
+                p = p.withColumnRenamed("label_text", "gold")
             else:
                 pairs = model.score_pairs(rows)
-                p = N.nli_predict(N.regroup(pairs, ["z_entail", "z_not"]), select=self.nli_select)
-            s = p.join(gold, on="idx", how="inner").selectExpr(
+                p = N.nli_predict(N.regroup(pairs, ["z_entail", "z_not"], k=len(self.vocab)), select=self.nli_select)
+                p = p.join(gold, on="idx", how="inner")
+            s = p.selectExpr(
                 "idx", "gold", f"element_at({vocab_sql(self.vocab)}, pred_pos + 1) AS pred",
                 "p_entail AS probs", "CAST(NULL AS double) AS score")
         else:
-            sc = model.score(rows)
-            s = sc.join(gold, on="idx", how="inner").select(
-                "idx", "gold", "pred", F.lit(None).cast("array<double>").alias("probs"), "score")
+            sc = model.score(rows, keep=("label_text",))
+            s = sc.select(
+                "idx", F.col("label_text").alias("gold"), "pred", F.lit(None).cast("array<double>").alias("probs"), "score")
         return s.withColumn("split", F.lit(split))
 
     # -- one round -------------------------------------------------------------
@@ -125,6 +130,8 @@ class ActiveLearningRun:
         """K1: fit if there is a train table, score test then pool, write the
         scored rows and the metrics of this round; returns the metrics row."""
         r = self.state.iter
+        if self.state.corpus.isEmpty():
+            raise PoolExhausted(f"the pool has no row left to score in round {r}")
         model = self._fit()
         parts = [self._score(model, self.state.corpus, "corpus")]
         if self.state.test is not None:
@@ -134,6 +141,7 @@ class ActiveLearningRun:
         if self.persist_scored:
             write_iter(scored.withColumn("iter", F.lit(r)), self.path("scored"), ("iter", "split"))
             self._scored = None
+            self._check_counts(r)
             ev = read_iter(self.spark, self.path("scored"), r, split=eval_split)
         else:
             # no scored history: metrics and the draw each evaluate the lazy
@@ -153,6 +161,15 @@ class ActiveLearningRun:
         write_iter(m, self.path("metrics"))
         return read_iter(self.spark, self.path("metrics"), r)
 
+    def _check_counts(self, r: int) -> None:
+        """A scorer gives one row for each row of a slot; a lost or
+        doubled row is an error, not a smaller result."""
+        got = {row["split"]: row["n"] for row in
+               read_iter(self.spark, self.path("scored"), r).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for split, rows in (("corpus", self.state.corpus), ("test", self.state.test)):
+            if rows is not None and got.get(split, 0) != (n := rows.count()):
+                raise ScoreMismatch(f"round {r}: {got.get(split, 0)} scores for {n} rows of the {split} slot")
+
     def draw(self) -> DataFrame:
         """F1/F2 on this round's pool scores; writes the sample as iter+1."""
         r = self.state.iter
@@ -172,36 +189,22 @@ class ActiveLearningRun:
                          F.col("probs_named").alias("probs"), "probs_scaled", "shuffle_rank")
         write_iter(d.withColumn("iter", F.lit(r + 1)), self.path("samples"))
         out = read_iter(self.spark, self.path("samples"), r + 1)
-        # the draw has at most n_sample rows: its ids serve the empty-pool
-        # check and the row fetch of the update
-        self._drawn_ids = [row.idx for row in out.select("idx").collect()]
-        if not self._drawn_ids:
-            raise PoolExhausted("No more training data left in corpus.")
         return out
 
     def update(self) -> RoundState:
         """K2: extend the train ids (set union), rebuild train with current
         labels, shrink the pool.
 
-        Only the n rows of the new draw are fetched from the corpus: their
-        ids (bounded by the labelling budget) become an ``IN`` filter that
-        parquet checks against row-group statistics, and the rows are kept
-        in a per-round ``train_rows`` table.  Train is that small table plus
-        the seed rows, relabelled from the ledger -- no corpus scan per round
-        beyond the scoring pass."""
+        The rows of the new draw are fetched from the corpus by a semi-join
+        (one scan; the written draw is the small side) and kept in a
+        per-round ``train_rows`` table.  Train is that table plus the seed
+        rows, relabelled from the ledger."""
         r = self.state.iter + 1
         # train ids = every drawn id so far: a view over the sample history
         ids = self.train_ids(upto=r)
-        new_ids = self._drawn_ids
-        if new_ids is None:
-            new_ids = [row.idx for row in read_iter(self.spark, self.path("samples"), r).select("idx").collect()]
-        if len(new_ids) <= ISIN_MAX:
-            new_rows = self.corpus.filter(F.col("idx").isin(new_ids))
-        else:
-            new_rows = L.rows_in(self.corpus, read_iter(self.spark, self.path("samples"), r))
-        write_iter(new_rows.withColumn("iter", F.lit(r)), self.path("train_rows"))
-        self._n_drawn_by_iter[r] = len(new_ids)
-        self._drawn_ids = None
+        drawn = read_iter(self.spark, self.path("samples"), r).select("idx")
+        write_iter(L.rows_in(self.corpus, drawn).withColumn("iter", F.lit(r)), self.path("train_rows"))
+        self._n_drawn_by_iter[r] = drawn.count()
         return self._rebuild(r, ids)
 
     def _rebuild(self, r: int, ids: DataFrame) -> RoundState:
@@ -241,8 +244,13 @@ class ActiveLearningRun:
         return L.union_train_ids(None, s)
 
     def run(self, n_rounds: int) -> "ActiveLearningRun":
-        """K3: n rounds of run_round + draw + update, and the metrics of the
-        final model."""
+        """K3: n rounds of run_round + draw + update, then the metrics of the
+        model trained on the last draw: n + 1 metrics rows."""
+        self.draws(n_rounds).run_round()
+        return self
+
+    def draws(self, n_rounds: int) -> "ActiveLearningRun":
+        """n rounds of run_round + draw + update, the last model unfitted."""
         for _ in range(n_rounds):
             self.run_round()
             self.draw()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.text import WORD_SPLIT, first_tokens, most_frequent, word_tokens, ws_tokens
+from ..functions.text import most_frequent, word_tokens, ws_tokens
 from ..operators.nli import hypotheses
 
 METHODS = ("standard", "nli", "generation")
@@ -32,9 +32,7 @@ MAX_MODEL_CELLS = 5_000_000
 
 # ---- fixed parameters of the SQL-checkable stand-in scorers ---------------
 CENTROID_SCALE = 20.0   # logit = 20 x dot(features, class mean)
-STEP_TOKENS = 16        # generation: scored steps = first 16 tokens
 INPUT_LEN = 368         # padded input width = 384 - 16
-NLI_TEXT_TOKENS = 64    # NLI overlap: first 64 word tokens of the text
 # ---------------------------------------------------------------------------
 
 
@@ -59,8 +57,8 @@ class NLIModel(Protocol):
 
 class GenerationModel(Protocol):
     def score(self, df: DataFrame) -> DataFrame:
-        """(idx, pred, steps[], score): generated answer, per-step scores and
-        the sequence score."""
+        """(idx, pred, score): generated answer and its sequence score; a
+        model with a ``keep`` argument also carries those columns."""
 
 
 def resolve_method(name: str) -> str:
@@ -69,7 +67,7 @@ def resolve_method(name: str) -> str:
         return name
     if name in METHOD_ALIASES:
         return METHOD_ALIASES[name]
-    raise ValueError(f"Method {name} not implemented.")
+    raise ValueError(f"unknown method {name!r}; known: {', '.join([*METHODS, *METHOD_ALIASES])}")
 
 
 def _check_cells(n: int, what: str) -> None:
@@ -232,13 +230,13 @@ def centroid_predict_fn_factory(vocab, features="features", scale=CENTROID_SCALE
 # ------------------------------------------------------------------- nli
 class OverlapNLIScorer:
     """Stand-in NLI model: entail logit = number of distinct hypothesis
-    words among the first 64 distinct text words; not-entail logit = 1.
+    words among the words of the whole text; not-entail logit = 1.
     Needs no fit (zero-shot).  Text tokens are computed once per row before
     the K-way expansion."""
     kind = "nli"
 
-    def __init__(self, hypo_label_dic: dict[str, str], text_tokens: int = NLI_TEXT_TOKENS):
-        self.hypo_label_dic, self.text_tokens = hypo_label_dic, text_tokens
+    def __init__(self, hypo_label_dic: dict[str, str]):
+        self.hypo_label_dic = hypo_label_dic
 
     def fit(self, train: DataFrame | None = None) -> "OverlapNLIScorer":
         return self
@@ -248,7 +246,7 @@ class OverlapNLIScorer:
                 for p, lab, h in hypotheses(self.hypo_label_dic)]
 
     def _text_tokens(self):
-        return F.array_distinct(first_tokens("text", self.text_tokens, WORD_SPLIT, lower=True))
+        return F.array_distinct(word_tokens("text"))
 
     def score_pairs(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """(idx, hypo_pos, z_entail, z_not) for every row x hypothesis: the
@@ -270,14 +268,14 @@ class OverlapNLIScorer:
                          F.size(F.array_intersect("_tt", F.array_distinct(word_tokens("hypothesis"))))
                          .cast("double").alias("z_entail"), F.lit(1.0).alias("z_not"))
 
-    def score_rows(self, df: DataFrame, label: str | None = "label_text") -> DataFrame:
-        """Row form: (idx, z_entail[K], z_not[K] [, label[K]]) without
+    def score_rows(self, df: DataFrame, label: str | None = "label_text", keep: tuple[str, ...] = ()) -> DataFrame:
+        """Row form: (idx, *keep, z_entail[K], z_not[K] [, label[K]]) without
         expanding rows -- the K hypotheses are a literal array evaluated in
         the row, so there is no regroup shuffle at all."""
         hyps = self._hyp_tokens()
         tt = self._text_tokens()
         z = F.array(*[F.size(F.array_intersect(tt, t)).cast("double") for _, _, _, t in hyps])
-        cols = ["idx", z.alias("z_entail"), F.array_repeat(F.lit(1.0), len(hyps)).alias("z_not")]
+        cols = ["idx", *keep, z.alias("z_entail"), F.array_repeat(F.lit(1.0), len(hyps)).alias("z_not")]
         if label is not None:
             from ..operators.nli import _own_hypothesis
             own = _own_hypothesis(self.hypo_label_dic, label)
@@ -290,34 +288,37 @@ class OverlapNLIScorer:
 class UnigramModel:
     kind = "generation"
 
-    def __init__(self, counts: DataFrame, n_tokens: int, vocab_size: int, steps: int, input_len: int,
-                 length_penalty: float):
+    def __init__(self, counts: DataFrame, n_tokens: int, vocab_size: int, input_len: int, length_penalty: float):
         self.counts, self.n_tokens, self.vocab_size = counts, n_tokens, vocab_size
-        self.steps, self.input_len, self.length_penalty = steps, input_len, length_penalty
+        self.input_len, self.length_penalty = input_len, length_penalty
+
+    def _step(self):
+        """Log unigram probability of a joined token, add-one smoothed."""
+        return F.log((F.coalesce(F.col("cnt"), F.lit(0)) + 1) / F.lit(float(self.n_tokens + self.vocab_size)))
 
     def step_scores(self, df: DataFrame) -> DataFrame:
-        """(idx, pos, token, step): log unigram probability of the first T
-        tokens with add-one smoothing.  Frequent words skew this join on
-        token; AQE splits the skewed partitions (or broadcasts the counts
-        when they turned out small)."""
-        first = df.select("idx", F.posexplode(first_tokens("text", self.steps)).alias("pos", "token"))
-        j = first.join(self.counts, on="token", how="left")
-        denom = float(self.n_tokens + self.vocab_size)
-        return j.select("idx", "pos", "token",
-                        F.log((F.coalesce(F.col("cnt"), F.lit(0)) + 1) / F.lit(denom)).alias("step"))
-
-    def predictions(self, df: DataFrame) -> DataFrame:
-        return answer_predictions(df)
-
-    def score(self, df: DataFrame, with_pred: bool = True) -> DataFrame:
-        """(idx, [pred,] steps[], score) with the I6 sequence score."""
-        st = self.step_scores(df)
-        arr = st.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "step"))),
-                                                lambda s: s["step"]).alias("steps"))   # <= T per idx
-        base = self.predictions(df) if with_pred else df.select("idx")
-        out = base.join(arr, on="idx", how="left")
-        out = out.withColumn("steps", F.coalesce("steps", F.array().cast("array<double>")))
-        return out.withColumn("score", S.sequence_score("steps", self.input_len, self.length_penalty))
+        """(idx, pos, token, step): the step of every token of the whole
+        text.  Frequent words skew this join on token; AQE splits the skewed
+        partitions (or broadcasts the counts when they turned out small)."""
+        tok = df.select("idx", F.posexplode(ws_tokens("text")).alias("pos", "token"))
+        return tok.join(self.counts, on="token", how="left").select("idx", "pos", "token", self._step().alias("step"))
+
+    def predictions(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        return answer_predictions(df, keep)
+
+    def score(self, df: DataFrame, with_pred: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+        """(idx, *keep, [pred,] score) with the I6 sequence score over the
+        whole text.  A text's repeated tokens are counted before the join
+        (complete within the task that reads the text), and sums and counts
+        are partial aggregates: no step array is built."""
+        tok = df.select("idx", F.explode(ws_tokens("text")).alias("token")).groupBy("idx", "token").agg(F.count(F.lit(1)).alias("n"))
+        step = tok.join(self.counts, on="token", how="left").select("idx", "n", self._step().alias("step"))
+        total = step.groupBy("idx").agg(F.sum(F.col("n") * F.col("step")).alias("_sum"),
+                                        F.sum(F.when(F.col("step") < 0, F.col("n"))).alias("_neg"))
+        base = self.predictions(df, keep) if with_pred else df.select("idx", *keep)
+        out = base.join(total, on="idx", how="left")
+        return (out.withColumn("score", S.sequence_score_of(F.coalesce("_sum", F.lit(0.0)), F.coalesce("_neg", F.lit(0)), self.input_len, self.length_penalty))
+                .drop("_sum", "_neg"))
 
 
 def answer_predictions(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -332,9 +333,8 @@ class UnigramScorer:
     the corpus when there is no train table yet: the zero-shot prior)."""
     kind = "generation"
 
-    def __init__(self, corpus: DataFrame, steps: int = STEP_TOKENS, input_len: int = INPUT_LEN,
-                 length_penalty: float = 1.0):
-        self.corpus, self.steps, self.input_len, self.length_penalty = corpus, steps, input_len, length_penalty
+    def __init__(self, corpus: DataFrame, input_len: int = INPUT_LEN, length_penalty: float = 1.0):
+        self.corpus, self.input_len, self.length_penalty = corpus, input_len, length_penalty
 
     @staticmethod
     def counts(texts: DataFrame) -> DataFrame:
@@ -350,8 +350,7 @@ class UnigramScorer:
         ensure_checkpoint_dir(src.sparkSession)
         counts = self.counts(src).checkpoint(eager=True)
         tot = counts.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("v")).first()   # two scalars
-        return UnigramModel(counts, int(tot["n"] or 0), int(tot["v"] or 0), self.steps, self.input_len,
-                            self.length_penalty)
+        return UnigramModel(counts, int(tot["n"] or 0), int(tot["v"] or 0), self.input_len, self.length_penalty)
 
 
 def log_prob(count: int, n_tokens: int, vocab_size: int) -> float:

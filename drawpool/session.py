@@ -71,7 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(d)
         return d
     if sc.getCheckpointDir() is None:
-        # local runs only: the setting is static, so use the context's own
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        # one machine only: the setting is static, so use the context's own
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="drawpool-ckpt-"))
     return sc.getCheckpointDir()
 

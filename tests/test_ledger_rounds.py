@@ -63,7 +63,7 @@ def test_rounds_keep_pool_and_train_disjoint(spark, keep_seed):
     n_train = st.train.count()
     assert n_train == (70 if keep_seed else 20)
     mh = run.metrics_history().orderBy("iter").collect()
-    assert [r.iter for r in mh] == [0, 1]
+    assert [r.iter for r in mh] == [0, 1, 2]  # the model trained on the last draw is evaluated too
     assert mh[0].n_train == 50
     sh = run.sample_history()
     assert sorted(r.iter for r in sh.select("iter").distinct().collect()) == [1, 2]
@@ -95,7 +95,7 @@ def test_generation_and_nli_rounds(spark):
                             method="generation", n_sample=5)
     run.run(2)
     m = run.metrics_history().orderBy("iter").collect()
-    assert len(m) == 2 and all(round(r.f1_micro, 3) == r.f1_micro for r in m)
+    assert len(m) == 3 and all(round(r.f1_micro, 3) == r.f1_micro for r in m)
     pl = A.pool_lang(spark, SF001)
     run = ActiveLearningRun(spark, corpus=pl, scorer=SC.OverlapNLIScorer(A.LANG_HYPOTHESES),
                             vocab=sorted(A.LANG_HYPOTHESES), method="nli",
@@ -174,3 +174,50 @@ def test_rounds_without_scored_history_match(spark):
     ma = [tuple(r) for r in a.metrics_history().orderBy("iter").collect()]
     mb = [tuple(r) for r in b.metrics_history().orderBy("iter").collect()]
     assert ma == mb
+
+
+def test_run_until_the_pool_is_empty(spark):
+    from drawpool.operators.strategies import PoolExhausted
+    pv, train, pool, vocab = _vec_setup(spark)
+    few = spark.createDataFrame(pool.limit(5).collect(), pool.schema)
+    run = ActiveLearningRun(spark, corpus=few, scorer=SC.CentroidScorer(vocab), vocab=vocab, method="standard", seed_train=train, n_sample=3)
+    with pytest.raises(PoolExhausted):
+        run.run(3)
+    assert run.train_ids().count() == 5 and sorted(r.iter for r in run.metrics_history().collect()) == [0, 1]
+
+
+def test_lost_scores_raise(spark):
+    from drawpool.plans.rounds import ScoreMismatch
+    pv, train, pool, vocab = _vec_setup(spark)
+
+    class Losing:
+        kind = "standard"
+
+        def fit(self, t):
+            return self
+
+        def score(self, df):
+            return SC.CentroidScorer(vocab).fit(train).score(df).where("idx % 7 <> 0")
+    run = ActiveLearningRun(spark, corpus=pool, scorer=Losing(), vocab=vocab, method="standard", seed_train=train)
+    with pytest.raises(ScoreMismatch):
+        run.run_round()
+
+
+def test_strict_sample_raises(spark):
+    pv = A.pool_vec(spark, SF001).limit(3)
+    with pytest.raises(SM.SampleTooLarge):
+        SM.uniform_sample(pv, 10, strict=True)
+    assert SM.uniform_sample(pv, 10).count() == 3
+
+
+def test_fitted_models_beat_chance(spark):
+    """Accuracy floors of the two MLlib fits on rows that they did not see."""
+    pv, train, pool, vocab = _vec_setup(spark)
+    top = SC.LogisticScorer(vocab, params={"maxIter": 30}).fit(train).score(pool)
+    hit = top.select((F.array_position("probs", F.array_max("probs")) - 1).alias("p"), "label_text").collect()
+    assert sum(vocab[r.p] == r.label_text for r in hit) > 1.5 * len(hit) / len(vocab)
+    words = [("red apple pie", "food"), ("green apple tart", "food"), ("fast blue car", "ride"), ("old car and bus", "ride")] * 10
+    text = spark.createDataFrame([(i, *w) for i, w in enumerate(words)], "idx long, text string, label_text string")
+    model = SC.LogisticScorer(["food", "ride"], features="text", text=True, params={"maxIter": 20}).fit(text)
+    new = spark.createDataFrame([(100, "an apple tart", "food"), (101, "a blue bus", "ride")], text.schema)
+    assert [int(r.probs[1] > r.probs[0]) for r in model.score(new).orderBy("idx").collect()] == [0, 1]

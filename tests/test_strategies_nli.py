@@ -72,7 +72,7 @@ def test_draw_plan_is_take_ordered(spark):
 def test_nli_predict_raw_logits_vs_softmax(spark):
     rows = [(1, 0, 2.0, 1.9, 0), (1, 1, 1.0, -3.0, 1)]
     df = spark.createDataFrame(rows, "idx long, hypo_pos int, z_entail double, z_not double, label int")
-    g = N.regroup(df, ["z_entail", "z_not", "label"])
+    g = N.regroup(df, ["z_entail", "z_not", "label"], 2)
     r = N.nli_predict(g).first()
     assert r.pred_pos == 0 and r.gold_pos == 0
     assert [round(x, 6) for x in r.p_entail] == [0.524979, 0.982014]
@@ -149,3 +149,25 @@ def test_breaking_ties_labels_needing_escapes(spark):
     rows = {r.idx: r for r in breaking_ties(df, voc, 2).collect()}
     assert rows[1].label_text_pred == "back\\slash" and rows[2].label_text_pred == "it's"
     assert rows[1].probs_named == {"it's": 0.2, "back\\slash": 0.8}
+
+
+@pytest.mark.parametrize("bad", [None, [0.5, None], [0.5, float("nan")], [0.5, float("inf")], [1.0]])
+def test_bad_probabilities_raise(spark, bad):
+    df = spark.createDataFrame([(1, [0.6, 0.4]), (2, bad)], "idx long, probs array<double>")
+    with pytest.raises(Exception, match="finite values"):
+        breaking_ties(df, ["a", "b"], n=1).collect()
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("-inf")])
+def test_bad_scores_raise(spark, bad):
+    df = spark.createDataFrame([(1, 0.5), (2, bad)], "idx long, score double")
+    with pytest.raises(Exception, match="finite"):
+        min_certainty(df, 1).collect()
+
+
+def test_regroup_needs_every_hypothesis(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 2, 2.0)], "idx long, hypo_pos int, z double")
+    with pytest.raises(Exception, match="not one score"):
+        N.regroup(df, ["z"], 3).collect()
+    with pytest.raises(Exception, match="not one score"):
+        N.regroup(df, ["z"], 2).collect()
