@@ -7,7 +7,7 @@ the tables.  The same shapes are written as SQL for the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_answer, first_word
@@ -65,28 +65,35 @@ def pool_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("label_text", first_word("text"))
 
 
+#: Turn numbers of one conversation that a task orders together.
+TURNS = 1000
+
+
+def neighbours(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, text_original, text_preceding, text_following): the
+    neighbouring rows of each turn in turn order, whatever numbers are missing.
+
+    A conversation is cut into runs of 1,000 turn numbers, so one that holds a
+    third of all turns is ordered by many tasks; the first and last row of a
+    run get their neighbours from the runs beside it.  Of rows with the same
+    turn number the smaller text comes first."""
+    c = turns.select("conv_id", "turn", "text", F.floor(F.col("turn") / TURNS).alias("run"))
+    w = Window.partitionBy("conv_id", "run").orderBy("turn", "text")
+    near = c.select("*", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"),
+                    F.lag(F.lit(1)).over(w).isNull().alias("first"), F.lead(F.lit(1)).over(w).isNull().alias("last"))
+    order = F.struct("turn", "text")
+    runs = c.groupBy("conv_id", "run").agg(F.min_by("text", order).alias("head"), F.max_by("text", order).alias("tail"))
+    v = Window.partitionBy("conv_id").orderBy("run")
+    runs = runs.select("conv_id", "run", F.lag("tail").over(v).alias("run_before"), F.lead("head").over(v).alias("run_after"))
+    out = near.join(runs, (near["conv_id"].eqNullSafe(runs["conv_id"])) & (near["run"].eqNullSafe(runs["run"])))
+    return out.select(near["conv_id"], "turn", F.col("text").alias("text_original"),
+                      F.when(F.col("first"), F.col("run_before")).otherwise(F.col("before")).alias("text_preceding"),
+                      F.when(F.col("last"), F.col("run_after")).otherwise(F.col("after")).alias("text_following"))
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations -> each turn with its preceding and following turn.
-
-    Turns are consecutive positions.  One scan emits every turn three times
-    -- under its own key, as the "preceding" of ``turn + 1`` and as the
-    "following" of ``turn - 1`` -- and one ``groupBy(conv_id, turn)`` puts
-    them side by side.  The shuffle key is the unique pair, so even a
-    conversation holding a third of all turns is spread evenly (a
-    ``lag``/``lead`` window would put it in one task)."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    roles = F.array(
-        F.struct(F.col("turn").alias("t"), F.lit(0).alias("k")),
-        F.struct((F.col("turn") + 1).alias("t"), F.lit(1).alias("k")),
-        F.struct((F.col("turn") - 1).alias("t"), F.lit(2).alias("k")))
-    ex = c.select("conv_id", "text", F.explode(roles).alias("r"))
-    ex = ex.select("conv_id", F.col("r.t").alias("turn"), F.col("r.k").alias("k"), "text")
-    g = ex.groupBy("conv_id", "turn").agg(
-        F.max((F.col("k") == 0).cast("int")).alias("_self"),
-        F.first(F.when(F.col("k") == 0, F.col("text")), ignorenulls=True).alias("text_original"),
-        F.first(F.when(F.col("k") == 1, F.col("text")), ignorenulls=True).alias("text_preceding"),
-        F.first(F.when(F.col("k") == 2, F.col("text")), ignorenulls=True).alias("text_following"))
-    return g.filter(F.col("_self") == 1).drop("_self")
+    """conversations -> each turn with the texts of its neighbours."""
+    return neighbours(table(spark, sf_dir, "conversations"))
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:

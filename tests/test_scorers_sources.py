@@ -103,3 +103,13 @@ def test_cluster_conf():
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert c["spark.sql.adaptive.enabled"] == "true"
     assert int(cluster_conf(10 * 1024 ** 2, 64)["spark.sql.shuffle.partitions"]) == 192
+
+
+def test_neighbours_of_turns_with_gaps(spark):
+    rows = [(1, 0, "a"), (1, 2, "b"), (1, 3, "c"), (1, 999, "d"), (1, 1000, "e"), (1, 5200, None), (1, 5201, "g"), (2, 7, "z")]
+    out = {(r.conv_id, r.turn): (r.text_preceding, r.text_original, r.text_following)
+           for r in A.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    texts = [None, *(t for c, _, t in rows if c == 1), None]
+    for i, (c, n, _) in enumerate(rows[:-1]):
+        assert out[(c, n)] == tuple(texts[i:i + 3])
+    assert out[(2, 7)] == (None, "z", None)
