@@ -1,13 +1,14 @@
 """Connected groups from shared buckets, without pairs of all members.
 
 ``link`` takes bucket memberships and a verifier of pairs.  In each round a
-bucket names leaders; a leader meets those members of its bucket that are not
-yet known to be in its component, and then leaves the bucket.  A bucket is
-done when all that is left in it is one component.  So a bucket of many
-copies costs one pair a member, while every pair of a bucket is either
-verified or already in one component: no link that could join two components
-is lost, and nothing is capped.  Work tables are written to the shared folder
-between rounds; only counts reach the driver.
+bucket names leaders: one, then a few, then all that are left.  A leader meets
+those members of its bucket that are not yet known to be in its component and
+whose component is the smaller one, and buckets that hold one component alone
+are done.  So a family of copies costs about one pair a member, few members
+are left for the last round, and after it every pair of a bucket has either
+been verified or is in one component: no link is lost, and nothing is capped.
+Work tables are written to the shared folder between rounds; only whether
+something is left reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,52 +20,69 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Leaders a bucket names in its second round; four times as many in each later one.
-SLOTS = 16
+#: Leaders that a bucket names in each round, about; None: all its members.
+LEADERS = (1, 8, None)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of ``links`` (x, y); the component is
-    its smallest node.  Smallest-neighbour labels with pointer jumping."""
+    its smallest node.
+
+    Each turn every node hooks to its smallest neighbour and then to what that
+    one hooked to, and the links are contracted to links between the hooks: at
+    least half of the nodes of each component go, so a few turns leave none."""
     edges = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("c")), "labels")
+    labels = None
     while True:
-        near = edges.join(labels, edges["y"] == labels["node"]).groupBy("x").agg(F.min("c").alias("m"))
-        low = written(labels.join(near, labels["node"] == near["x"]).select("node", "c", F.least("c", "m").alias("d")), "labels")
-        up = low.select(F.col("node").alias("p"), F.col("d").alias("e"))
-        after = written(low.join(up, low["d"] == up["p"]).select("node", F.col("e").alias("c"), (F.col("e") < F.col("c")).alias("moved")), "labels")
-        labels = after.select("node", "c")
-        if after.where("moved").isEmpty():
-            return labels.withColumnRenamed("c", "component")
+        near = written(edges.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "hooks")
+        a, b = near.alias("a"), near.alias("b")
+        hooks = written(a.join(b, F.col("a.m") == F.col("b.x")).select("a.x", "b.m"), "hooks")
+        if labels is None:
+            labels = hooks.select(F.col("x").alias("node"), F.col("m").alias("component"))
+        else:
+            labels = written(labels.join(hooks, labels["component"] == hooks["x"], "left").select("node", F.coalesce("m", "component").alias("component")), "labels")
+        to = hooks.select(F.col("x").alias("y"), F.col("m").alias("n"))
+        edges = written(edges.join(hooks, "x").join(to, "y").where("m <> n").select(F.col("m").alias("x"), F.col("n").alias("y")).distinct(), "edges")
+        if edges.isEmpty():
+            return labels
 
 
 def _mixed(live: DataFrame) -> DataFrame:
     """The memberships of buckets that hold more than one component."""
-    several = written(live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket"), "buckets")
+    several = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     return live.join(several, "bucket")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None) -> DataFrame:
     """(node, component) of the nodes that verified links join.  ``members``
-    has (bucket, node); ``verify`` keeps the true links of pairs (x, y)."""
-    live = written(_mixed(members.select("bucket", "node", F.col("node").alias("c"))), "members")
+    has (bucket, node) and columns for ``near``, a condition on two members
+    that any true link meets; ``verify`` keeps the true links of pairs (x, y)."""
+    carry = [c for c in members.columns if c not in ("bucket", "node")]
+    live = written(_mixed(members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))), "members")
     links = tested = comps = None
-    turn = 0
-    while not live.isEmpty():
-        slot = {0: F.lit(0), 1: F.pmod(F.xxhash64("c"), F.lit(SLOTS))}.get(turn, F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SLOTS * 4 ** (turn - 1))))
-        leaders = written(live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "c")).alias("l"))
-                          .select("bucket", F.col("l.node").alias("lead"), F.col("l.c").alias("lc")), "leaders")
-        met = leaders.join(live, (leaders["bucket"] == live["bucket"]) & (F.col("lc") != F.col("c")))
-        pairs = met.select(F.least("lead", "node").alias("x"), F.greatest("lead", "node").alias("y")).distinct()
+    for turn, n in enumerate(LEADERS):
+        if live.isEmpty():
+            break
+        leaders = live
+        if n is not None:
+            slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(n))
+            leaders = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "c", "size", *carry)).alias("l")).select("bucket", "l.*")
+        met = ((F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c"))
+               & ((F.col("b.size") < F.col("a.size")) | (F.col("b.size") == F.col("a.size")) & (F.col("a.c") < F.col("b.c") if n is None else F.lit(True))))
+        if near is not None:
+            met &= near({c: F.col(f"a.{c}") for c in carry}, {c: F.col(f"b.{c}") for c in carry})
+        pairs = leaders.alias("a").join(live.alias("b"), met).select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        comps = components(links)
-        rest = live.join(leaders.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        named = rest.join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-        live = written(_mixed(written(named, "members")), "members")
-        turn += 1
+        found = written(verify(pairs), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
+        if n is not None and comps is not None:
+            sizes = written(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+            named = written(comps.join(sizes, "component").select("node", F.col("component").alias("c"), "size"), "named")
+            live = live.drop("c", "size").join(named, "node", "left").withColumn("c", F.coalesce("c", "node")).withColumn("size", F.coalesce("size", F.lit(1).cast("bigint")))
+            live = written(_mixed(live), "members")
     return comps if comps is not None else members.select("node", F.col("node").alias("component")).limit(0)

@@ -8,9 +8,14 @@ few more; the ranks of one shingle are correlated, which lowers the
 variance of the signature.  Bands of registers are buckets; candidates of a
 bucket are verified on the full shingle sets (``linking``).
 
-With 32 bands of 4 registers a pair at similarity 0.75 shares no band with a
-probability of 5e-6.  Equal sets are one class from the start, by a 128-bit
-digest of the set.
+256 registers make 51 bands of 5, so a pair at similarity 0.75 shares no band
+with a probability of 1e-6.  Two members of a bucket are a candidate if three
+tests allow the similarity: their set sizes; the parities of their shingles in
+512 cells, which differ in no more cells than the sets differ in shingles (a
+bound, so nothing is lost; it decides for short and middling texts); and 200
+agreeing lowest bits of the 256 registers (224 are expected at 0.75, 200 lie 4.5
+standard deviations below, 3e-6; it decides for long texts).  Equal sets are
+one class from the start, by a 128-bit digest of the set.
 
 Defined cases: null, empty and word-less texts have an empty set, are linked
 with nothing and stay; fewer than 5 words are one shingle; rows of a repeated
@@ -31,7 +36,11 @@ from .linking import components, link
 from .textgrid import NONSPACE, Grid, blocks, mix, ngrams
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS = 32, 4
+REGISTERS, BANDS, ROWS = 256, 51, 5
+#: Agreeing low bits that a candidate needs.
+AGREE = 200
+#: Cells of the parities.
+CELLS = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +85,7 @@ def super_minhash(h: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
             break
         go = open_[owner]
         if perm is None:
-            perm = np.tile(np.arange(m, dtype=np.uint16), (int(go.sum()), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (int(go.sum()), 1))
             perm[np.arange(len(perm)), first[go]] = 0
             owner, elems = owner[go], elems[go]
         elif not go.all():
@@ -84,24 +93,36 @@ def super_minhash(h: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     return sig.reshape(n, m)
 
 
-def _signatures(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def parities(h: np.ndarray, bounds: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """For each set, the parity of the number of its members in each cell, as 64-bit words."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    counts = np.bincount(owner * cells + (mix(h) % np.uint64(cells)).astype(np.int64), minlength=n * cells)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, cells), axis=1).view(np.int64)
+
+
+def _signatures(size: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
+                        ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            for lo, hi, grid in blocks(b.column("text"), NONSPACE, True, 1 << 19):
+            for lo, hi, grid in blocks(b.column("text"), NONSPACE, True):
                 h, bounds = shingle_sets(grid, size)
                 n = hi - lo
-                sig = super_minhash(h, bounds, bands * rows).reshape(n, bands, rows)
-                key = np.tile(mix(np.arange(1, bands + 1, dtype=np.uint64)), (n, 1))
-                for r in range(rows):
+                full = super_minhash(h, bounds, REGISTERS)
+                sig = full[:, :BANDS * ROWS].reshape(n, BANDS, ROWS)
+                key = np.tile(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (n, 1))
+                for r in range(ROWS):
                     key = mix(key ^ sig[:, :, r])
+                sketch = np.concatenate([np.packbits((full & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64), parities(h, bounds)], axis=1)
                 sums = []
                 for x in (mix(h + _STEP), mix(h ^ _STEP)):
                     c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
                     sums.append((c[bounds[1:]] - c[bounds[:-1]]).view(np.int64))
                 yield from batches_of({"doc_id": b.column("doc_id").slice(lo, n), "n_shingles": np.diff(bounds), "set_a": sums[0], "set_b": sums[1],
-                                       "bands": lists(key.view(np.int64).ravel(), np.arange(n + 1) * bands)}, schema)
+                                       "sketch": lists(np.ascontiguousarray(sketch).ravel(), np.arange(n + 1) * sketch.shape[1]),
+                                       "bands": lists(key.view(np.int64).ravel(), np.arange(n + 1) * BANDS)}, schema)
     return run
 
 
@@ -132,17 +153,35 @@ def _verified(size: int, percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of ``docs`` (doc_id, text)."""
+_BITS, _WORDS = REGISTERS // 64, (REGISTERS + CELLS) // 64
+
+
+def _likely(percent: int):
+    """Whether two members (their columns) can be similar enough, for ``link``."""
+    def near(a, b):
+        small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+        differ = [F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(_WORDS)]
+        bits, cells = sum(differ[:_BITS], F.lit(0)), sum(differ[_BITS:], F.lit(0))
+        # sets at this similarity differ in at most (100 - percent) / (100 + percent) of their sizes' sum
+        return (100 * small >= percent * large) & ((100 + percent) * cells <= (100 - percent) * (a["n"] + b["n"])) & (bits <= REGISTERS - AGREE)
+    return near
+
+
+def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per row of ``docs`` (doc_id,
+    text).  ``percent`` is at least 75, for which the bands are laid out."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signatures(size, bands, rows), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"), "signatures")
+    signed = written(docs.mapInArrow(_signatures(size), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch array<bigint>, bands array<bigint>"), "signatures")
     key = ["n_shingles", "set_a", "set_b"]
     some = signed.where("n_shingles > 0")
     classes = written(some.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
-    reps = some.join(classes.where("node IS NOT NULL"), key).where("doc_id = node")
-    members = reps.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = written(members.join(written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets"), "bucket"), "members")
+    reps = written(some.join(classes.where("node IS NOT NULL"), key).where("doc_id = node").dropDuplicates(["node", *key]), "representatives")
+    members = reps.select("node", F.explode("bands").alias("bucket"))
+    shared = members.join(written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets"), "bucket")
+    # what the candidates' test needs goes with those that share a bucket
+    carry = [F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(_WORDS))]
+    shared = written(shared.join(reps.select("node", *carry), "node"), "members")
     texts = written(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct(), "candidates")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -154,7 +193,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     before = spark.conf.get(batch)
     spark.conf.set(batch, "512")  # pairs of whole texts
     try:
-        comps = link(shared, verify)
+        comps = link(shared, verify, _likely(percent))
         # ids that come with several texts tie the classes of those texts together
         twice = some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("doc_id")
         ties = written(some.join(twice, "doc_id").join(classes, key).where("doc_id <> node").select(F.col("doc_id").alias("x"), F.col("node").alias("y")), "ties")
