@@ -31,7 +31,7 @@ from .common import batches_of, importable
 from .textgrid import ALNUM, Grid, blocks, mix, ngrams
 
 #: Labelled rows to train on: (clean, toxic), and the longest text among them.
-SAMPLE, SAMPLE_CHARS = (3000, 1500), 10_000
+SAMPLE, SAMPLE_CHARS = (2000, 1000), 10_000
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 16, 8
 THRESHOLD = 0.3
@@ -42,6 +42,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 WORD_DROPOUT = 0.15
 #: Windows that each of the two training phases shows the network, about.
 VISITS = 70_000
+#: Weight of a clean text in the calibration.
+CLEAN_WEIGHT = 4
 #: Decay of every parameter at each step.
 DECAY = 2e-4
 
@@ -256,13 +258,20 @@ def _local(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ids[1:], local - 1) if ids[0] < 0 else (ids, local)
 
 
-def _odds(toxic: np.ndarray, doc: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of standing in a toxic text, over their standard error, and
-    the number of texts of each word, from distinct (doc, word) pairs."""
-    n = np.bincount(toxic.astype(int), minlength=2)
-    df = [np.bincount(word[toxic[doc] == side], minlength=n_words) for side in (False, True)]
-    z = (np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))) / np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
-    return np.where(df[0] + df[1] >= 2, z / 4, 0).astype(np.float32), df[0] + df[1]
+def _texts_of(chunks, group: np.ndarray, n: int) -> np.ndarray:
+    """How many texts of each of 4 groups hold each of n items, from chunks of distinct (text, item) pairs."""
+    out = np.zeros((4, n), np.int32)
+    for doc, item in chunks:
+        g = group[doc]
+        for k in range(4):
+            out[k] += np.bincount(item[g == k], minlength=n).astype(np.int32)
+    return out
+
+
+def _odds(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log odds of standing in a toxic text, over their standard error; 0 for items of one text."""
+    z = (np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))) / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return np.where(clean + toxic >= 2, z / 4, 0).astype(np.float32)
 
 
 def distinct_texts(texts: list[str], labels: np.ndarray) -> np.ndarray:
@@ -291,37 +300,43 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float, seed: int =
     [(_, _, grid)] = blocks(pa.array(texts, pa.string()), ALNUM, True, 1 << 62)
     hashes, doc = grid.hashes(), grid.doc
     uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    pairs = np.stack(np.divmod(np.unique(doc * max(len(uniq), 1) + inverse), max(len(uniq), 1)))
+    pairs = np.divmod(np.unique(doc * max(len(uniq), 1) + inverse), max(len(uniq), 1))
     toxic = labels.astype(bool)
+    # a text's own label must not reach it through its words: each half learns with the odds of the other
+    half = np.zeros(len(toxic), int)
+    for side in (False, True):
+        half[np.flatnonzero(toxic == side)] = rng.permutation(int((toxic == side).sum())) % 2
+    group = 2 * half + toxic
+    n = np.bincount(group, minlength=4)
+
     grams, cut = char_grams(grid, first)
     begins = prefixes(grid, first)
     begin, begin_code = np.unique(begins, return_inverse=True)
-    begin_code = begin_code.reshape(begins.shape)
-    key = np.unique((pairs[0][:, None] * len(begin) + begin_code[pairs[1]])[begins[pairs[1]] > 0])
-    begin_pairs = np.stack([key // max(len(begin), 1), key % max(len(begin), 1)])
-
-    odds, df = _odds(toxic, *pairs, len(uniq))
-    known = np.flatnonzero(df >= 3)
+    begin_code = begin_code.reshape(begins.shape).astype(np.int32)
+
+    def begin_pairs():
+        for j in range(begins.shape[1]):
+            has = begins[pairs[1], j] > 0
+            yield np.divmod(np.unique(pairs[0][has] * len(begin) + begin_code[pairs[1][has], j]), len(begin))
+    df, begin_df = _texts_of([pairs], group, len(uniq)), _texts_of(begin_pairs(), group, len(begin))
+
+    def odds_of(df, *halves):
+        c, t = (sum(df[2 * k + side] for k in halves) for side in (0, 1))
+        return _odds(c, t, *(sum(int(n[2 * k + side]) for k in halves) for side in (0, 1)))
+    odds, often = odds_of(df, 0, 1), begin_df.sum(axis=0) >= 2
+    known = np.flatnonzero(df.sum(axis=0) >= 3)
     known = np.sort(known[np.lexsort((known, -np.abs(odds[known])))][:VOCABULARY])  # uniq is sorted, so is the vocabulary
-    begin_odds, begin_df = _odds(toxic, *begin_pairs, len(begin))
-    often = begin_df >= 2
-    net = Network(uniq[known], np.append(odds[known], 0), begin[often], np.append(begin_odds[often], 0), seed)
+    net = Network(uniq[known], np.append(odds[known], 0), begin[often], np.append(odds_of(begin_df, 0, 1)[often], 0), seed)
     code = net.codes(uniq)
     words_of = _Sample(net, code, grams, cut, net.word_odds(code, begins))
-    # a text's own label must not reach it through its words: each half learns with the odds of the other
-    half = np.zeros(len(toxic), int)
-    for side in (False, True):
-        half[np.flatnonzero(toxic == side)] = rng.permutation(int((toxic == side).sum())) % 2
     other = []
     for k in (0, 1):
-        mine, o = np.flatnonzero(half != k), []
-        for p, n in ((pairs, len(uniq)), (begin_pairs, len(begin))):
-            inside = half[p[0]] != k
-            o.append(_odds(toxic[mine], np.searchsorted(mine, p[0][inside]), p[1][inside], n)[0])
-        other.append(np.stack([np.where(code < len(net.vocab), o[0], 0), o[1][begin_code].max(axis=1)], axis=1).astype(np.float32))
+        o = np.where(code < len(net.vocab), odds_of(df, 1 - k), 0)
+        other.append(np.stack([o, odds_of(begin_df, 1 - k)[begin_code].max(axis=1)], axis=1).astype(np.float32))
+    del pairs, begins, begin_code, df, begin_df
 
     owner, words = window_words(grid)
-    words = np.where(words >= 0, inverse[np.maximum(words, 0)], -1) if len(inverse) else words
+    words = (np.where(words >= 0, inverse[np.maximum(words, 0)], -1) if len(inverse) else words).astype(np.int32)
     told = np.full(len(words), -9.0)
     for k in (0, 1):
         own = half[owner] == k
@@ -371,10 +386,11 @@ def train(texts: list[str], labels: np.ndarray, toxic_share: float, seed: int =
                     s += 0.001 * (g[name] ** 2 - s)
                     v -= 0.01 * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-7) + DECAY * v
     n = [int((~toxic).sum()), int(toxic.sum())]
-    # calibration of the largest logit, each class weighted to its share
+    # calibration of the largest logit, each class weighted to its share; clean texts more, as longer
+    # ones than the sample's have more windows and so more chances to look toxic
     top = net.documents(grid)
     share = min(max(toxic_share, 1e-3), 1 - 1e-3)
-    weight = np.where(toxic, share / n[1], (1 - share) / n[0])
+    weight = np.where(toxic, share / n[1], CLEAN_WEIGHT * (1 - share) / n[0])
     f = np.stack([top, np.ones_like(top)])
 
     def loss(ab):
