@@ -1,17 +1,27 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity.
+"""Fuzzy line deduplication: rare word pairs in common, edit similarity.
 
 A line's normal form is its sequence of lower-cased words (ASCII letters and
 digits, and all beyond ASCII); lines of fewer than 4 words always stay.
-Lines with one normal form are one class.  Classes are linked when their
-64-bit SimHashes differ in at most 3 bits and the edit similarity of their
-words, 1 - distance / words of the longer, is 0.8 or more.  Of each connected
-group the occurrence with the smallest (doc_id, line number) stays.
-
-Two hashes that differ in 3 bits agree on one of 4 blocks, and on the other 48
-bits again on one of 4 parts: classes are dealt by block value, and inside a
-task compared by part, which leaves those that have a partner.  Their buckets
-then go through ``linking``, so that a family of many variants costs one pair
-a variant, and the edit similarity decides on whole lines.
+Lines with one normal form are one class.  Classes are linked when the edit
+similarity of their words, 1 - distance / words of the longer, is 0.8 or more.
+Of each connected group the occurrence with the smallest (doc_id, line number)
+stays.
+
+``near_lines`` finds every such link.  An edit takes at most two of a line's
+pairs of neighbouring words, so two lines of at most n words within n // 5
+edits share at least n - 1 - 2 * (n // 5) pairs, and one of them is among the
+first 2 * (n // 5) + 1 or so of either line in any fixed order of all pairs.
+Rare pairs come first: the order is by counts of a sample, which decide how
+many candidates there are, never which links are found.  Pairs that lines of
+two classes hold go through ``linking``, so that a family of many variants
+costs one comparison a variant; the number of words and the parities of 64
+word counts, which every true link keeps within bounds, leave few candidates,
+and the edit similarity decides on whole lines.
+
+``fuzzy_lines`` is the narrower link by SimHash: at most 3 of 64 bits differ
+besides.  Two such hashes agree on one of 4 blocks, and on the other 48 bits
+again on one of 4 parts: classes are dealt by block value, and inside a task
+compared by part.  No query uses it.
 
 Defined cases: null and empty texts have no lines; a null ``doc_id`` counts as
 larger than any other; rows of a repeated ``doc_id`` are judged each by its
@@ -37,6 +47,12 @@ PERCENT = 80
 LAST = (1 << 63) - 1
 #: Classes of one part of a block that a task compares pair by pair; larger parts go on whole.
 PART = 64
+#: Bits of a word pair's hash, slots of the table of common pairs and how many of them it names.
+PAIR_BITS, SLOTS, COMMON = 38, 1 << 22, 1 << 16
+#: Share of the rows whose pairs are counted for the order.
+SAMPLED = 1 / 16
+#: Bits of the bitmap of keys that two classes hold.
+KEY_BITS = 1 << 27
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -84,15 +100,18 @@ class Lines:
         return np.packbits(votes > 0, axis=1).view(np.int64).ravel()
 
 
-def _lines(batches):
+def _lines(sim: bool):
     schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), ("sim", pa.int64()), ("words", pa.int32())])
-    for b in batches:
-        ids = _ids(b.column("doc_id"))
-        for lo, hi, grid in blocks(b.column("text"), ALNUM, True):
-            x = Lines(grid)
-            keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
-            yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(), "h": x.node[:, 0].view(np.int64), "sim": x.simhash(),
-                                   "words": (x.end - x.first).astype(np.int32)}, schema)
+
+    def run(batches):
+        for b in batches:
+            ids = _ids(b.column("doc_id"))
+            for lo, hi, grid in blocks(b.column("text"), ALNUM, True):
+                x = Lines(grid)
+                keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
+                yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(), "h": x.node[:, 0].view(np.int64),
+                                       "sim": x.simhash() if sim else pa.nulls(len(x.first), pa.int64()), "words": (x.end - x.first).astype(np.int32)}, schema)
+    return run
 
 
 def _raw_keys(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
@@ -166,6 +185,93 @@ def _partners(batches):
         yield from batches_of({"bucket": key.view(np.int64), "node": nodes.take(pa.array(at)), "h": h[at], "sim": sim[at].view(np.int64), "words": words[at]}, schema)
 
 
+def pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the neighbouring words of each line, PAIR_BITS wide."""
+    n = end - first - 1
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return mix(mix(words[at] + _R) + words[at + 1]) & np.uint64((1 << PAIR_BITS) - 1)
+
+
+def first_pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray, levels: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of those pairs of each line of 4 words or more that come
+    first by level and hash; the k-th of equal pairs is a key of its own.
+
+    A line of m words that is the shorter of a link to one of n shares
+    n - 1 - 2 * (n // 5) of its m - 1 keys, so it needs the first
+    m - n + 1 + 2 * (n // 5), at most for n = m or the next multiple of 5.
+    With ``more`` = 1, linked lines have two keys in common."""
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    some = np.flatnonzero(end - first >= 4)
+    for lo in range(0, len(some), 1 << 20):  # 20 bits for the line
+        at = some[lo:lo + (1 << 20)]
+        size = end[at] - first[at]
+        n = size - 1
+        owner = np.repeat(np.arange(len(at)), n)
+        pair = pairs(words, first[at], end[at])
+        s = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (levels[pair & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(PAIR_BITS)) | pair)
+        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        again = np.arange(len(s)) - np.repeat(new, np.diff(np.append(new, len(s))))
+        place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+        take = place < np.repeat(1 + 2 * (size // 5) + (size % 5 == 4) + more, n)
+        lines.append(at[owner[take]])
+        keys.append(mix((s[take] & np.uint64((1 << 44) - 1)) + again[take].astype(np.uint64) * _P))
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+def parities(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 parities of the word counts of each line; an edit changes two at most."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (words >> np.uint64(58)))])
+    return (sums[end] ^ sums[first]).view(np.int64)
+
+
+def _pair_counts(batches):
+    count = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        for _, _, grid in blocks(b.column("text"), ALNUM, True):
+            x = Lines(grid)
+            count += np.bincount((pairs(x.words, x.first, x.end) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    slot = np.flatnonzero(count)
+    yield from batches_of({"slot": slot.astype(np.int32), "n": count[slot]}, pa.schema([("slot", pa.int32()), ("n", pa.int64())]))
+
+
+def pair_levels(docs: DataFrame) -> np.ndarray:
+    """How common the pairs of each slot are in a sample, 0 for the rare ones."""
+    rows = (docs.sample(SAMPLED, 1).mapInArrow(_pair_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+            .where("n >= 4").orderBy(F.desc("n")).limit(COMMON).collect())
+    levels = np.zeros(SLOTS, np.uint8)
+    for r in rows:
+        levels[r["slot"]] = min(63, int(4 * np.log2(r["n"])))
+    return levels
+
+
+def _pair_keys(levels: np.ndarray):
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for _, _, grid in blocks(b.column("text"), ALNUM, True):
+                x = Lines(grid)
+                line, key = first_pairs(x.words, x.first, x.end, levels)
+                yield from batches_of({"key": key.view(np.int64), "h": x.node[line, 0].view(np.int64)}, schema)
+    return run
+
+
+def _pair_members(levels: np.ndarray, marks: np.ndarray):
+    """Memberships of the lines in those of their keys that the bitmap lets pass."""
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.binary()), ("h", pa.int64()), ("par", pa.int64()), ("words", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            for _, _, grid in blocks(b.column("text"), ALNUM, True):
+                x = Lines(grid)
+                line, key = first_pairs(x.words, x.first, x.end, levels)
+                some = in_bitmap(marks, key.view(np.int64), KEY_BITS)
+                line, key = line[some], key[some]
+                yield from batches_of({"bucket": key.view(np.int64), "node": x.nodes().take(pa.array(line)), "h": x.node[line, 0].view(np.int64),
+                                       "par": parities(x.words, x.first, x.end)[line], "words": (x.end - x.first)[line].astype(np.int32)}, schema)
+    return run
+
+
 def _word_lists(marks: np.ndarray):
     """Words (as hashes) of the lines whose class the bitmap lets pass."""
     def run(batches):
@@ -213,6 +319,13 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the edit distance: words of the longer without one to meet."""
+    _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = int(at.max(initial=-1)) + 1
+    return max(len(a), len(b)) - int(np.minimum(np.bincount(at[:len(a)], minlength=n), np.bincount(at[len(a):], minlength=n)).sum())
+
+
 def _verified(batches):
     for b in batches:
         xs, ys = b.column("x_list"), b.column("y_list")
@@ -221,7 +334,7 @@ def _verified(batches):
             p, q = p.values.to_numpy(zero_copy_only=False), q.values.to_numpy(zero_copy_only=False)
             n = max(len(p), len(q))
             most = n * (100 - PERCENT) // 100
-            keep.append(edit_distance(p, q, most) <= most)
+            keep.append(bag_distance(p, q) <= most and edit_distance(p, q, most) <= most)
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("x").filter(mask), b.column("y").filter(mask)], names=["x", "y"])
 
@@ -237,28 +350,63 @@ def _cut(batches):
                                          names=["rk", "doc_id", "n_removed", "kept_text"])
 
 
-def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
-    text); with ``texts`` also kept_text, null where nothing was removed."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(docs.mapInArrow(_lines, "rk bigint, doc_id bigint, line int, node binary, h bigint, sim bigint, words int"), "lines")
-    classes = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"),
-                                                F.min("h").alias("h"), F.min("sim").alias("sim"), F.min("words").alias("words")), "classes")
-    block = F.explode(F.array(*(F.lit(i << 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")) for i in range(4))))
-    dealt = classes.select("node", "h", "sim", "words", block.alias("block")).repartition("block")
-    members = written(dealt.mapInArrow(_partners, "bucket bigint, node binary, h bigint, sim bigint, words int"), "members")
-
+def _held(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, list): the words of the lines that are members."""
     wanted = members.select("node", "h").distinct()
-    held = written(docs.mapInArrow(_word_lists(bitmap(wanted, "h")), "node binary, list array<bigint>").dropDuplicates(["node"])
+    return written(docs.mapInArrow(_word_lists(bitmap(wanted, "h")), "node binary, list array<bigint>").dropDuplicates(["node"])
                    .join(wanted.select("node"), "node", "left_semi"), "word-lists")
 
-    def near(a, b):
-        return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & (100 * F.least(a["words"], b["words"]) >= PERCENT * F.greatest(a["words"], b["words"]))
 
+def _verify(held: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (held.select(F.col("node").alias(c), F.col("list").alias(f"{c}_list")) for c in "xy")
         return pairs.join(y, "y").join(x, "x").select("x", "y", "x_list", "y_list").mapInArrow(_verified, "x binary, y binary")
-    groups = written(link(members.drop("h"), verify, near), "groups")
+    return verify
+
+
+def _alike(a, b):
+    """Lengths within the edit similarity."""
+    return 100 * F.least(a["words"], b["words"]) >= PERCENT * F.greatest(a["words"], b["words"])
+
+
+def _by_simhash(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, component) of the classes that links join."""
+    classes = written(lines.groupBy("node").agg(F.min("h").alias("h"), F.min("sim").alias("sim"), F.min("words").alias("words")), "hashes")
+    block = F.explode(F.array(*(F.lit(i << 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")) for i in range(4))))
+    dealt = classes.select("node", "h", "sim", "words", block.alias("block")).repartition("block")
+    members = written(dealt.mapInArrow(_partners, "bucket bigint, node binary, h bigint, sim bigint, words int"), "members")
+    return link(members.drop("h"), _verify(_held(docs, members)), lambda a, b: (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & _alike(a, b))
+
+
+def _by_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, component) of the classes that links join."""
+    levels = pair_levels(docs)
+    shared = docs.mapInArrow(_pair_keys(levels), "key bigint, h bigint").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
+    marks = bitmap(shared, "key", KEY_BITS)
+    members = written(docs.mapInArrow(_pair_members(levels, marks), "bucket bigint, node binary, h bigint, par bigint, words int").distinct(), "members")
+
+    def near(a, b):
+        most = (F.greatest(a["words"], b["words"]) * (100 - PERCENT) / 100).cast("int")
+        return _alike(a, b) & (F.bit_count(a["par"].bitwiseXOR(b["par"])) <= 2 * most)
+    return link(members.drop("h"), _verify(_held(docs, members)), near)
+
+
+def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """``near_lines`` with the narrower link by SimHash."""
+    return _stay(docs, texts, _lines(True), _by_simhash)
+
+
+def near_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
+    text); with ``texts`` also kept_text, null where nothing was removed."""
+    return _stay(docs, texts, _lines(False), _by_pairs)
+
+
+def _stay(docs: DataFrame, texts: bool, lines_of, groups_of) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = written(docs.mapInArrow(lines_of, "rk bigint, doc_id bigint, line int, node binary, h bigint, sim bigint, words int"), "lines")
+    classes = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    groups = written(groups_of(docs, lines), "groups")
 
     named = written(classes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component")), "named")
     several = written(named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n"), "several")

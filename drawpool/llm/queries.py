@@ -64,7 +64,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.near_lines(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_html_text, op4_toxicity, op5_near_dedup, op6_token_counts,

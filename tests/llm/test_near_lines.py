@@ -1,0 +1,92 @@
+import os
+import random
+import sys
+
+import numpy as np
+
+sys.path.insert(0, os.path.dirname(__file__))
+from helpers import documents  # noqa: E402
+from test_fuzzy_lines import _distance, _words  # noqa: E402
+
+from drawpool.llm import fuzzy_lines as fl  # noqa: E402
+
+
+def _kept(docs, tokens=_words, least=4):
+    """{doc: kept lines} by edit similarity alone, over all pairs of lines."""
+    at, comp = {}, {}
+    for d, t in docs:
+        for n, line in enumerate((t or "").split("\n")):
+            w = tuple(tokens(line))
+            if len(w) >= least:
+                at.setdefault(w, []).append((d, n))
+                comp[w] = w
+
+    def root(w):
+        while comp[w] != w:
+            w = comp[w]
+        return w
+    forms = sorted(comp)
+    for i, a in enumerate(forms):
+        for b in forms[:i]:
+            n = max(len(a), len(b))
+            if min(len(a), len(b)) >= n - n // 5 and _distance(a, b) <= n // 5:
+                comp[root(a)] = root(b)
+    first = {}
+    for w, places in at.items():
+        first[root(w)] = min([first.get(root(w), (10**9, 0)), *places])
+    out = {}
+    for d, t in docs:
+        lines = (t or "").split("\n") if t else []
+        out[d] = (len(lines), sum(len(tokens(x)) >= least and first[root(tuple(tokens(x)))] != (d, n) for n, x in enumerate(lines)))
+    return out
+
+
+def _near(spark, docs):
+    return {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in fl.near_lines(documents(spark, docs)).collect()}
+
+
+def _edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(w))
+        kind = rng.randrange(3)
+        if kind == 0:
+            w[i] = f"e{rng.randrange(10**6)}"
+        elif kind == 1 and len(w) > 1:
+            del w[i]
+        else:
+            w.insert(i, f"e{rng.randrange(10**6)}")
+    return w
+
+
+def test_every_link_by_edit_similarity_is_found(spark):
+    rng = random.Random(1)
+    docs = []
+    for i in range(180):
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.choice([4, 5, 6, 9, 10, 11, 14, 15, 20, 40, 80]))]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(_edited(rng, w, rng.randrange(1, len(w) // 5 + 2))))]
+    want = _kept(docs)
+    assert sum(x[1] for x in want.values()) > 80
+    assert _near(spark, docs) == want
+
+
+def test_linked_lines_share_a_first_pair():
+    rng = random.Random(2)
+    levels = np.zeros(fl.SLOTS, np.uint8)
+    for turn in range(3000):
+        if turn % 500 == 0:
+            levels = np.random.default_rng(turn).integers(0, 64, fl.SLOTS).astype(np.uint8)
+        a = [rng.randrange(rng.choice([2, 4, 50])) for _ in range(rng.randrange(4, 60))]
+        b = _edited(rng, a, rng.randrange(0, len(a) // 5 + 1))
+        b = [x if isinstance(x, int) else int(x[1:]) for x in b]
+        n = max(len(a), len(b))
+        if min(len(a), len(b)) < 4 or _distance(a, b) > n // 5 or a == b:
+            continue
+        words = fl.mix(np.array(a + b, np.uint64) + np.uint64(7))
+        cut = np.array([0, len(a), len(a) + len(b)])
+        for more in (0, 1):
+            line, key = fl.first_pairs(words, cut[:-1], cut[1:], levels, more)
+            assert len(set(key[line == 0].tolist()) & set(key[line == 1].tolist())) > more
+        p = fl.parities(words, cut[:-1], cut[1:]).view(np.uint64)
+        assert int(p[0] ^ p[1]).bit_count() <= 2 * (n // 5)
+        assert fl.bag_distance(np.array(a), np.array(b)) <= _distance(a, b)
