@@ -1,11 +1,13 @@
 """Fuzzy line deduplication: rare word pairs in common, edit similarity.
 
 A line's normal form is its sequence of lower-cased words (ASCII letters and
-digits, and all beyond ASCII); lines of fewer than 4 words always stay.
-Lines with one normal form are one class.  Classes are linked when the edit
-similarity of their words, 1 - distance / words of the longer, is 0.8 or more.
-Of each connected group the occurrence with the smallest (doc_id, line number)
-stays.
+digits, and all beyond ASCII); in scripts that put no spaces between words
+(Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is a word.
+Lines with one normal form of a word or more are one class.  Classes are
+linked when the edit similarity of their words, 1 - distance / words of the
+longer, is 0.8 or more, which takes 4 words at least.  Of each connected group
+the occurrence with the smallest (doc_id, line number) stays; lines without
+any word always stay.
 
 ``near_lines`` finds every such link.  An edit takes at most two of a line's
 pairs of neighbouring words, so two lines of at most n words within n // 5
@@ -18,8 +20,8 @@ costs one comparison a variant; the number of words and the parities of 64
 word counts, which every true link keeps within bounds, leave few candidates,
 and the edit similarity decides on whole lines.
 
-``fuzzy_lines`` is the narrower link by SimHash: at most 3 of 64 bits differ
-besides.  Two such hashes agree on one of 4 blocks, and on the other 48 bits
+``fuzzy_lines`` is the narrower link by SimHash: lines of fewer than 4 words
+stay, words end at ASCII separators only, and at most 3 of 64 bits differ.  Two such hashes agree on one of 4 blocks, and on the other 48 bits
 again on one of 4 parts: classes are dealt by block value, and inside a task
 compared by part.  No query uses it.
 
@@ -68,8 +70,30 @@ def row_keys(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarr
     return mix(text + mix(ids.view(np.uint64))).view(np.int64)
 
 
+def characters(grid: Grid) -> Grid:
+    """``grid`` with each character of a script without spaces as a word."""
+    d = grid.data
+    if not len(d) or d.max() < 0xE0:
+        return grid
+    then = np.append(d[1:], 0)
+    three = (d >= 0xE3) & (d <= 0xE9)  # kana, Chinese characters
+    three |= (d == 0xE0) & (then >= 0xB8) & (then <= 0xBB)  # Thai, Lao
+    three |= (d == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then == 0x9E) | (then == 0x9F))  # Burmese, Khmer
+    three |= (d == 0xEF) & (then >= 0xA4) & (then <= 0xAB)  # compatibility characters
+    at3, at4 = np.flatnonzero(three), np.flatnonzero((d == 0xF0) & (then >= 0xA0) & (then <= 0xB3))
+    if not len(at3) + len(at4):
+        return grid
+    starts = np.unique(np.concatenate([grid.starts, at3, at3 + 3, at4, at4 + 4]))
+    run = np.searchsorted(grid.starts, starts, "right") - 1
+    inside = (run >= 0) & (starts < grid.ends[run])
+    starts, stop = starts[inside], grid.ends[run[inside]]
+    grid.starts, grid.ends = starts, np.minimum(np.append(starts[1:], len(d)), stop)
+    grid.bounds = np.searchsorted(starts, grid.offsets)
+    return grid
+
+
 class Lines:
-    """The lines of a block of texts that have at least MIN_WORDS words."""
+    """The lines of a block of texts that have at least ``least`` words."""
 
     def __init__(self, grid: Grid, least: int = MIN_WORDS):
         self.words = grid.hashes()
@@ -100,17 +124,23 @@ class Lines:
         return np.packbits(votes > 0, axis=1).view(np.int64).ravel()
 
 
-def _lines(sim: bool):
+def _line_blocks(texts: pa.Array, every: bool):
+    """(first, end, lines) for runs of whole texts; ``every``: lines of any
+    length, with characters as words where a script has no spaces."""
+    for lo, hi, grid in blocks(texts, ALNUM, True):
+        yield lo, hi, Lines(characters(grid), 1) if every else Lines(grid)
+
+
+def _lines(every: bool):
     schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), ("sim", pa.int64()), ("words", pa.int32())])
 
     def run(batches):
         for b in batches:
             ids = _ids(b.column("doc_id"))
-            for lo, hi, grid in blocks(b.column("text"), ALNUM, True):
-                x = Lines(grid)
+            for lo, hi, x in _line_blocks(b.column("text"), every):
                 keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
                 yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(), "h": x.node[:, 0].view(np.int64),
-                                       "sim": x.simhash() if sim else pa.nulls(len(x.first), pa.int64()), "words": (x.end - x.first).astype(np.int32)}, schema)
+                                       "sim": pa.nulls(len(x.first), pa.int64()) if every else x.simhash(), "words": (x.end - x.first).astype(np.int32)}, schema)
     return run
 
 
@@ -227,9 +257,9 @@ def parities(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarra
 def _pair_counts(batches):
     count = np.zeros(SLOTS, np.int64)
     for b in batches:
-        for _, _, grid in blocks(b.column("text"), ALNUM, True):
-            x = Lines(grid)
-            count += np.bincount((pairs(x.words, x.first, x.end) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        for _, _, x in _line_blocks(b.column("text"), True):
+            some = x.end - x.first >= 2
+            count += np.bincount((pairs(x.words, x.first[some], x.end[some]) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     slot = np.flatnonzero(count)
     yield from batches_of({"slot": slot.astype(np.int32), "n": count[slot]}, pa.schema([("slot", pa.int32()), ("n", pa.int64())]))
 
@@ -249,8 +279,7 @@ def _pair_keys(levels: np.ndarray):
 
     def run(batches):
         for b in batches:
-            for _, _, grid in blocks(b.column("text"), ALNUM, True):
-                x = Lines(grid)
+            for _, _, x in _line_blocks(b.column("text"), True):
                 line, key = first_pairs(x.words, x.first, x.end, levels)
                 yield from batches_of({"key": key.view(np.int64), "h": x.node[line, 0].view(np.int64)}, schema)
     return run
@@ -262,8 +291,7 @@ def _pair_members(levels: np.ndarray, marks: np.ndarray):
 
     def run(batches):
         for b in batches:
-            for _, _, grid in blocks(b.column("text"), ALNUM, True):
-                x = Lines(grid)
+            for _, _, x in _line_blocks(b.column("text"), True):
                 line, key = first_pairs(x.words, x.first, x.end, levels)
                 some = in_bitmap(marks, key.view(np.int64), KEY_BITS)
                 line, key = line[some], key[some]
@@ -272,12 +300,11 @@ def _pair_members(levels: np.ndarray, marks: np.ndarray):
     return run
 
 
-def _word_lists(marks: np.ndarray):
+def _word_lists(marks: np.ndarray, every: bool):
     """Words (as hashes) of the lines whose class the bitmap lets pass."""
     def run(batches):
         for b in batches:
-            for _, _, grid in blocks(b.column("text"), ALNUM, True):
-                x = Lines(grid)
+            for _, _, x in _line_blocks(b.column("text"), every):
                 at = np.flatnonzero(in_bitmap(marks, x.node[:, 0].view(np.int64)))
                 if len(at):
                     size = x.end[at] - x.first[at]
@@ -350,10 +377,10 @@ def _cut(batches):
                                          names=["rk", "doc_id", "n_removed", "kept_text"])
 
 
-def _held(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _held(docs: DataFrame, members: DataFrame, every: bool) -> DataFrame:
     """(node, list): the words of the lines that are members."""
     wanted = members.select("node", "h").distinct()
-    return written(docs.mapInArrow(_word_lists(bitmap(wanted, "h")), "node binary, list array<bigint>").dropDuplicates(["node"])
+    return written(docs.mapInArrow(_word_lists(bitmap(wanted, "h"), every), "node binary, list array<bigint>").dropDuplicates(["node"])
                    .join(wanted.select("node"), "node", "left_semi"), "word-lists")
 
 
@@ -375,7 +402,7 @@ def _by_simhash(docs: DataFrame, lines: DataFrame) -> DataFrame:
     block = F.explode(F.array(*(F.lit(i << 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")) for i in range(4))))
     dealt = classes.select("node", "h", "sim", "words", block.alias("block")).repartition("block")
     members = written(dealt.mapInArrow(_partners, "bucket bigint, node binary, h bigint, sim bigint, words int"), "members")
-    return link(members.drop("h"), _verify(_held(docs, members)), lambda a, b: (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & _alike(a, b))
+    return link(members.drop("h"), _verify(_held(docs, members, False)), lambda a, b: (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & _alike(a, b))
 
 
 def _by_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -388,18 +415,18 @@ def _by_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
     def near(a, b):
         most = (F.greatest(a["words"], b["words"]) * (100 - PERCENT) / 100).cast("int")
         return _alike(a, b) & (F.bit_count(a["par"].bitwiseXOR(b["par"])) <= 2 * most)
-    return link(members.drop("h"), _verify(_held(docs, members)), near)
+    return link(members.drop("h"), _verify(_held(docs, members, True)), near)
 
 
 def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
     """``near_lines`` with the narrower link by SimHash."""
-    return _stay(docs, texts, _lines(True), _by_simhash)
+    return _stay(docs, texts, _lines(False), _by_simhash)
 
 
 def near_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
     text); with ``texts`` also kept_text, null where nothing was removed."""
-    return _stay(docs, texts, _lines(False), _by_pairs)
+    return _stay(docs, texts, _lines(True), _by_pairs)
 
 
 def _stay(docs: DataFrame, texts: bool, lines_of, groups_of) -> DataFrame:

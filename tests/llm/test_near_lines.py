@@ -1,5 +1,6 @@
 import os
 import random
+import re
 import sys
 
 import numpy as np
@@ -11,7 +12,11 @@ from test_fuzzy_lines import _distance, _words  # noqa: E402
 from drawpool.llm import fuzzy_lines as fl  # noqa: E402
 
 
-def _kept(docs, tokens=_words, least=4):
+def _tokens(line):
+    return re.findall("[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\U00020000-\U00033fff]|[^\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\U00020000-\U00033fff ]+", " ".join(_words(line)))
+
+
+def _kept(docs, tokens=_tokens, least=1):
     """{doc: kept lines} by edit similarity alone, over all pairs of lines."""
     at, comp = {}, {}
     for d, t in docs:
@@ -90,3 +95,21 @@ def test_linked_lines_share_a_first_pair():
         p = fl.parities(words, cut[:-1], cut[1:]).view(np.uint64)
         assert int(p[0] ^ p[1]).bit_count() <= 2 * (n // 5)
         assert fl.bag_distance(np.array(a), np.array(b)) <= _distance(a, b)
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    thai = "".join(chr(0x0E01 + rng.randrange(46)) for _ in range(30))
+    docs = [(1, "Home\nRead more\n---\n\n" + chinese), (2, "home\nread more!\n---\n\n" + chinese), (3, chinese[:7] + "\u3042" + chinese[8:] + "\n" + thai),
+            (4, thai[:-2] + "\nRead less"), (5, "one two three"), (6, "one two three\nHome"), (7, "go " + chinese[:9]), (8, "go" + chinese[:9] + "\U00020001 ok")]
+    got = _near(spark, docs)
+    assert got == _kept(docs)
+    assert [got[d][1] for d in range(1, 8)] == [0, 3, 1, 1, 0, 2, 0]
+
+
+def test_characters_are_words_in_scripts_without_spaces():
+    for text in ("ab\u6f22\u5b57cd \u0e01\u0e02x", "\u00e9t\u00e9 \u6f22", "\U00020001\U00020002z\u6f22", "\ud55c\uad6d \u304b\u306a", "\u6f22"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        grid = fl.characters(fl.Grid(raw, np.array([0, len(raw)]), fl.ALNUM, True))
+        assert [bytes(raw[a:b]).decode() for a, b in zip(grid.starts, grid.ends)] == _tokens(text)
