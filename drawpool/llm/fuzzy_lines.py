@@ -13,8 +13,8 @@ any word always stay.
 pairs of neighbouring words, so two lines of at most n words within n // 5
 edits share at least n - 1 - 2 * (n // 5) pairs, and one of them is among the
 first 2 * (n // 5) + 1 or so of either line in any fixed order of all pairs.
-Rare pairs come first: the order is by counts of a sample, which decide how
-many candidates there are, never which links are found.  Pairs that lines of
+Pairs of rare words come first: the order is by word counts of a sample, which
+decide how many candidates there are, never which links are found.  Pairs that lines of
 two classes hold go through ``linking``, so that a family of many variants
 costs one comparison a variant; the number of words and the parities of 64
 word counts, which every true link keeps within bounds, leave few candidates,
@@ -49,9 +49,9 @@ PERCENT = 80
 LAST = (1 << 63) - 1
 #: Classes of one part of a block that a task compares pair by pair; larger parts go on whole.
 PART = 64
-#: Bits of a word pair's hash, slots of the table of common pairs and how many of them it names.
+#: Bits of a word pair's hash, slots of the table of common words and how many of them it names.
 PAIR_BITS, SLOTS, COMMON = 38, 1 << 22, 1 << 16
-#: Share of the rows whose pairs are counted for the order.
+#: Share of the rows whose words are counted for the order.
 SAMPLED = 1 / 16
 #: Bits of the bitmap of keys that two classes hold.
 KEY_BITS = 1 << 27
@@ -215,11 +215,13 @@ def _partners(batches):
         yield from batches_of({"bucket": key.view(np.int64), "node": nodes.take(pa.array(at)), "h": h[at], "sim": sim[at].view(np.int64), "words": words[at]}, schema)
 
 
-def pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the neighbouring words of each line, PAIR_BITS wide."""
+def pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The neighbouring words of each line: their levels together, then a hash
+    of PAIR_BITS; 44 bits in all."""
     n = end - first - 1
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return mix(mix(words[at] + _R) + words[at + 1]) & np.uint64((1 << PAIR_BITS) - 1)
+    level = levels[words & np.uint64(SLOTS - 1)].astype(np.uint64)
+    return ((level[at] + level[at + 1]) << np.uint64(PAIR_BITS)) | (mix(mix(words[at] + _R) + words[at + 1]) & np.uint64((1 << PAIR_BITS) - 1))
 
 
 def first_pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray, levels: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +239,7 @@ def first_pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray, levels: n
         size = end[at] - first[at]
         n = size - 1
         owner = np.repeat(np.arange(len(at)), n)
-        pair = pairs(words, first[at], end[at])
-        s = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (levels[pair & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(PAIR_BITS)) | pair)
+        s = np.sort((owner.astype(np.uint64) << np.uint64(44)) | pairs(words, first[at], end[at], levels))
         new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         again = np.arange(len(s)) - np.repeat(new, np.diff(np.append(new, len(s))))
         place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
@@ -254,23 +255,22 @@ def parities(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarra
     return (sums[end] ^ sums[first]).view(np.int64)
 
 
-def _pair_counts(batches):
+def _word_counts(batches):
     count = np.zeros(SLOTS, np.int64)
     for b in batches:
         for _, _, x in _line_blocks(b.column("text"), True):
-            some = x.end - x.first >= 2
-            count += np.bincount((pairs(x.words, x.first[some], x.end[some]) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            count += np.bincount((x.words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
     slot = np.flatnonzero(count)
     yield from batches_of({"slot": slot.astype(np.int32), "n": count[slot]}, pa.schema([("slot", pa.int32()), ("n", pa.int64())]))
 
 
-def pair_levels(docs: DataFrame) -> np.ndarray:
-    """How common the pairs of each slot are in a sample, 0 for the rare ones."""
-    rows = (docs.sample(SAMPLED, 1).mapInArrow(_pair_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-            .where("n >= 4").orderBy(F.desc("n")).limit(COMMON).collect())
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """How common the words of each slot are in a sample, from 0 for the rare ones to 31."""
+    rows = (docs.sample(SAMPLED, 1).mapInArrow(_word_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+            .orderBy(F.desc("n")).limit(COMMON).collect())
     levels = np.zeros(SLOTS, np.uint8)
     for r in rows:
-        levels[r["slot"]] = min(63, int(4 * np.log2(r["n"])))
+        levels[r["slot"]] = min(31, 1 + int(2 * np.log2(r["n"])))
     return levels
 
 
@@ -300,6 +300,33 @@ def _pair_members(levels: np.ndarray, marks: np.ndarray):
     return run
 
 
+def _more_keys(levels: np.ndarray, marks: np.ndarray):
+    """One key more than the memberships have, of the lines whose class the bitmap lets pass."""
+    schema = pa.schema([("node", pa.binary()), ("key", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for _, _, x in _line_blocks(b.column("text"), True):
+                at = np.flatnonzero(in_bitmap(marks, x.node[:, 0].view(np.int64)))
+                line, key = first_pairs(x.words, x.first[at], x.end[at], levels, 1)
+                yield from batches_of({"node": x.nodes().take(pa.array(at[line])), "key": key.view(np.int64)}, schema)
+    return run
+
+
+def _split(docs: DataFrame, levels: np.ndarray):
+    """Deals buckets of more than PART members by a second key: linked lines
+    have two in common."""
+    def split(live: DataFrame) -> DataFrame:
+        large = written(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("bucket"), "large")
+        if large.isEmpty():
+            return live
+        hot = written(live.join(large, "bucket", "left_semi"), "hot")
+        keys = docs.mapInArrow(_more_keys(levels, bitmap(hot, "h")), "node binary, key bigint").distinct()
+        dealt = hot.join(keys, "node").where("key <> bucket").withColumn("bucket", F.xxhash64(F.least("bucket", "key"), F.greatest("bucket", "key")))
+        return live.join(large, "bucket", "left_anti").unionByName(dealt.drop("key").distinct())
+    return split
+
+
 def _word_lists(marks: np.ndarray, every: bool):
     """Words (as hashes) of the lines whose class the bitmap lets pass."""
     def run(batches):
@@ -407,7 +434,7 @@ def _by_simhash(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _by_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, component) of the classes that links join."""
-    levels = pair_levels(docs)
+    levels = word_levels(docs)
     shared = docs.mapInArrow(_pair_keys(levels), "key bigint, h bigint").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
     marks = bitmap(shared, "key", KEY_BITS)
     members = written(docs.mapInArrow(_pair_members(levels, marks), "bucket bigint, node binary, h bigint, par bigint, words int").distinct(), "members")
@@ -415,7 +442,7 @@ def _by_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
     def near(a, b):
         most = (F.greatest(a["words"], b["words"]) * (100 - PERCENT) / 100).cast("int")
         return _alike(a, b) & (F.bit_count(a["par"].bitwiseXOR(b["par"])) <= 2 * most)
-    return link(members.drop("h"), _verify(_held(docs, members, True)), near)
+    return link(members, _verify(_held(docs, members, True)), near, _split(docs, levels))
 
 
 def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:

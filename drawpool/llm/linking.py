@@ -53,16 +53,20 @@ def _mixed(live: DataFrame) -> DataFrame:
     return live.join(several, "bucket")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the nodes that verified links join.  ``members``
     has (bucket, node) and columns for ``near``, a condition on two members
-    that any true link meets; ``verify`` keeps the true links of pairs (x, y)."""
+    that any true link meets; ``verify`` keeps the true links of pairs (x, y);
+    ``split`` puts what is left before the last round into smaller buckets in
+    which every true link of a bucket is still together."""
     carry = [c for c in members.columns if c not in ("bucket", "node")]
     live = written(_mixed(members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))), "members")
     links = tested = comps = None
     for turn, n in enumerate(LEADERS):
         if live.isEmpty():
             break
+        if n is None and split is not None:
+            live = written(_mixed(split(live)), "members")
         leaders = live
         if n is not None:
             slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(n))
