@@ -137,8 +137,6 @@ def infer(doc: np.ndarray, bucket: np.ndarray, n: int, model: np.ndarray) -> tup
         part, value = em(start / start.sum(axis=1, keepdims=True), SET_ROUNDS)
         value = value - PENALTY * (k - 1) * np.log(tokens + 1)
         better = full & (value > score)
-        if not better.any():
-            break  # a larger set gains still less
         best[better], score[better] = part[better], value[better]
     return best, best > 0
 
