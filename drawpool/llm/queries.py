@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fuzzy_lines, html_text, language_mixture, near_dedup, packing, substring_dedup, token_counts, toxicity
+from . import conversation_repair, decontaminate, exact_dedup, fuzzy_lines, html_text, language_mixture, near_dedup, packing, substring_dedup, token_counts, token_files, toxicity, whitening
 from .common import table
 
 #: The tokenizer's file, a parameter of the operators that tokenise.
 TOKENIZER = "word_bpe_49k.json"
+#: The byte-level file of the token files.
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 #: The file whose pieces the unigram counts use.
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -67,5 +69,18 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.near_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_html_text, op4_toxicity, op5_near_dedup, op6_token_counts,
-                                   op7_substring_dedup, op8_language_mixture, op9_best_fit_packing, op10_fuzzy_lines)}
+                                   op7_substring_dedup, op8_language_mixture, op9_best_fit_packing, op10_fuzzy_lines, op11_token_files,
+                                   op12_conversation_repair, op13_embedding_whitening)}
