@@ -38,9 +38,9 @@ SHARD_BYTES, GROUP_BYTES, PAGE_BYTES = 64 << 20, 16 << 20, 64 << 10
 #: Documents in a page of the narrow columns.
 PAGE_ROWS = 512
 #: Pieces of text whose ids a worker keeps, and the longest that it keeps.
-CACHE, CACHED_CHARS = 1_000_000, 64
+CACHE, CACHED_CHARS = 600_000, 64
 #: Bytes of text that are encoded together.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 NARROW = ("shard", "doc_id", "at", "n_tokens")
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -64,7 +64,7 @@ def _cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     cut = np.zeros(n + 1, bool)
     cut[:n] = (data == 0x20) & text_before | ((kind == 1) | accented) & (_KIND[data] == 2)
     cut[line] = cut[line + 1] = cut[ends] = True
-    return np.flatnonzero(cut)
+    return np.flatnonzero(cut).astype(np.int32)
 
 
 #: Of each byte: 1 ASCII letter or digit, 2 other visible ASCII character.
@@ -125,7 +125,7 @@ class Encoder:
         missing = [u for u in units if u not in self.codes]
         if missing:
             self._learn(missing)
-        return np.fromiter(map(self.codes.__getitem__, units), np.int64, len(units))
+        return np.fromiter(map(self.codes.__getitem__, units), np.int32, len(units))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, n + 1 bounds) of the non-null ``texts``."""
@@ -139,13 +139,15 @@ class Encoder:
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
         ends = offsets - offsets[0]
-        cuts = _cuts(data, ends).astype(np.int32)
+        cuts = _cuts(data, ends)
         units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
         values = units.dictionary.to_pylist()
         code = self._look_up(values)[units.indices.to_numpy()]
         start, count = self.start[code], self.start[code + 1] - self.start[code]
         sums = np.concatenate([[0], np.cumsum(count)])
-        flat = self.pool[np.repeat(start - sums[:-1], count) + np.arange(sums[-1])]
+        place = np.repeat(start - sums[:-1], count)
+        place += np.arange(sums[-1])
+        flat = self.pool[place]
         for v in [v for v in values if len(v) > CACHED_CHARS]:  # they hardly come again
             del self.codes[v]
         return flat, sums[np.searchsorted(cuts, ends)]
