@@ -197,7 +197,7 @@ def _encode(path: str, end_id: int):
                 ids = np.full(ends[-1], end_id, np.int32)
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n - 1)] = flat
                 yield from batches_of({"shard": np.full(len(n), shard, np.int32), "doc_id": b.column("doc_id"), "at": at + ends[:-1],
-                                       "n_tokens": n.astype(np.int32), "ids": lists(ids, ends)}, schema, 8192)
+                                       "n_tokens": n.astype(np.int32), "ids": lists(ids, ends)}, schema, 1024)
                 at += int(ends[-1])
     return run
 
