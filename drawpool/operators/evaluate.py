@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 METRIC_COLUMNS = ["f1_macro", "f1_micro", "accuracy_balanced", "accuracy",
                   "precision_macro", "recall_macro", "precision_micro", "recall_micro"]
 
@@ -80,11 +82,17 @@ def eval_metrics(df: DataFrame, gold: str = "gold", pred: str = "pred",
     return metrics_from_confusion(confusion(df, gold, pred), digits)
 
 
-def class_report(conf: DataFrame, vocab: list[str]) -> DataFrame:
-    """Per-label P/R/F1/support over the fixed vocabulary, plus the rows
-    'accuracy', 'macro avg' and 'weighted avg'."""
-    spark = conf.sparkSession
-    voc = spark.createDataFrame([(v,) for v in vocab], "cls string")
+def class_report(conf: DataFrame, vocab) -> DataFrame:
+    """Per-label P/R/F1/support over the fixed vocabulary (a list, or a table
+    whose first column holds the labels), plus the rows 'accuracy', 'macro
+    avg' and 'weighted avg'.
+
+    The label rows are written once; the summary rows are one aggregate over
+    them, of partial sums, so no task gathers the labels."""
+    if isinstance(vocab, DataFrame):
+        voc = vocab.select(F.col(vocab.columns[0]).alias("cls")).where("cls IS NOT NULL").distinct()
+    else:
+        voc = conf.sparkSession.createDataFrame([(v,) for v in vocab], "cls string")
     pc = per_class(conf)
     rows = (voc.join(pc, on="cls", how="left")
             .select(F.col("cls").alias("label_text"),
@@ -93,30 +101,17 @@ def class_report(conf: DataFrame, vocab: list[str]) -> DataFrame:
                     F.coalesce("f1", F.lit(0.0)).alias("f1"),
                     F.coalesce("true_n", F.lit(0)).cast("long").alias("support"),
                     F.coalesce("tp", F.lit(0)).cast("long").alias("_tp")))
-    # summary rows from window aggregates over the K-row table, emitted next
-    # to the first label row: the upstream plan is evaluated once
-    w = Window.partitionBy()
-    st = rows.select(
-        "*",
-        F.sum("support").over(w).alias("_n"), F.sum("_tp").over(w).alias("_ntp"),
-        F.avg("precision").over(w).alias("_mp"), F.avg("recall").over(w).alias("_mr"),
-        F.avg("f1").over(w).alias("_mf"),
-        F.sum(F.col("precision") * F.col("support")).over(w).alias("_wp"),
-        F.sum(F.col("recall") * F.col("support")).over(w).alias("_wr"),
-        F.sum(F.col("f1") * F.col("support")).over(w).alias("_wf"),
-        (F.row_number().over(Window.orderBy("label_text")) == 1).alias("_first"))
+    rows = materialize(rows, "class-report")
+    scores = ("precision", "recall", "f1")
+    total = rows.agg(F.sum("support").alias("_n"), F.sum("_tp").alias("_ntp"), *(F.avg(c).alias(f"_m{c}") for c in scores),
+                     *(F.sum(F.col(c) * F.col("support")).alias(f"_w{c}") for c in scores)).where("_n IS NOT NULL")
     acc = _div(F.col("_ntp"), F.col("_n"))
 
-    def row(name, p, r, f):
-        return F.struct(F.lit(name).alias("label_text"), p.alias("precision"), r.alias("recall"),
-                        f.alias("f1"), F.col("_n").cast("long").alias("support"))
-    own = F.struct("label_text", "precision", "recall", "f1", "support")
-    extra = F.array(own, row("accuracy", acc, acc, acc),
-                    row("macro avg", F.col("_mp"), F.col("_mr"), F.col("_mf")),
-                    row("weighted avg", _div(F.col("_wp"), F.col("_n")), _div(F.col("_wr"), F.col("_n")),
-                        _div(F.col("_wf"), F.col("_n"))))
-    out = st.select(F.explode(F.when(F.col("_first"), extra).otherwise(F.array(own))).alias("s"))
-    return out.select("s.*")
+    def row(name, values):
+        return F.struct(F.lit(name).alias("label_text"), *(v.alias(c) for c, v in zip(scores, values)), F.col("_n").cast("long").alias("support"))
+    extra = F.array(row("accuracy", [acc] * 3), row("macro avg", [F.col(f"_m{c}") for c in scores]),
+                    row("weighted avg", [_div(F.col(f"_w{c}"), F.col("_n")) for c in scores]))
+    return rows.select("label_text", *scores, "support").unionByName(total.select(F.explode(extra).alias("s")).select("s.*"))
 
 
 def learning_curve(metrics_hist: DataFrame, sample_hist: DataFrame,

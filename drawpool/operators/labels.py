@@ -1,20 +1,21 @@
 """Label operators: whitelist filter, label codes, vocabulary, distribution
 (B4-B8, B12, D1) and the first-answer label of a Q&A source (B1).
 
-Per-label results have K rows (the label vocabulary).  Windows here run only
-over such K-row tables, never over the pool; the pool meets them through an
-equi-join that AQE turns into a broadcast when K is small.
+Per-label results have K rows (the label vocabulary), which may be as many as
+the answers of an open vocabulary: codes are numbered by ranges, not in one
+task.  The pool meets them through an equi-join that AQE turns into a
+broadcast when K is small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UNANSWERABLE
+from .ranking import range_ranks
 
 ISIN_MAX = 1000   # longer whitelists become a semi-join
-MAX_DRIVER_VOCAB = 100_000   # labels pulled to the driver for literal expressions
 
 
 def filter_labels(df: DataFrame, whitelist, label: str = "label_text") -> DataFrame:
@@ -33,15 +34,17 @@ def filter_labels(df: DataFrame, whitelist, label: str = "label_text") -> DataFr
 
 
 def label_codes_first_seen(df: DataFrame, label: str = "label_text", idx: str = "idx") -> DataFrame:
-    """(label, code): codes in order of first appearance (by id); a K-row table."""
+    """(label, code): codes in order of first appearance (by id, then label).
+    Any number of labels: they are numbered by ranges."""
     first = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(idx).alias("_first"))
-    return first.select(label, (F.row_number().over(Window.orderBy("_first")) - 1).alias("code"))
+    return range_ranks(first, ["_first", label], "code").select(label, (F.col("code") - 1).alias("code"))
 
 
 def label_codes_alpha(df: DataFrame, label: str = "label_text") -> DataFrame:
-    """(label, code): codes in alphabetical order (label2id); K rows."""
+    """(label, code): codes in alphabetical order (label2id), for any number
+    of labels."""
     d = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    return d.select(label, (F.row_number().over(Window.orderBy(label)) - 1).alias("code"))
+    return range_ranks(d, [label], "code").select(label, (F.col("code") - 1).alias("code"))
 
 
 def attach_codes(df: DataFrame, codes: DataFrame, label: str = "label_text",
@@ -60,14 +63,12 @@ def label_vocab(df: DataFrame, label: str = "label_text") -> DataFrame:
 
 
 def vocab_list(df: DataFrame, label: str = "label_text") -> list[str]:
-    """Driver-side vocabulary (K strings) for building literal expressions.
-    Bounded: an open vocabulary (answer strings) stays a DataFrame
-    (``label_vocab``, ``label_codes_alpha``) and never comes here."""
+    """The vocabulary of a closed label set (K strings) for literal
+    expressions.  An open vocabulary (answer strings) stays a table:
+    ``label_codes_alpha`` numbers it, ``evaluate.class_report`` and
+    ``blocked.BlockedCentroids`` take it as one."""
     d = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    head = d.limit(MAX_DRIVER_VOCAB + 1).agg(F.array_sort(F.collect_list(label)).alias("v")).first()["v"]
-    if len(head) > MAX_DRIVER_VOCAB:
-        raise ValueError(f"more than {MAX_DRIVER_VOCAB} labels: keep the vocabulary as a DataFrame")
-    return list(head)
+    return list(d.agg(F.array_sort(F.collect_list(label)).alias("v")).first()["v"])
 
 
 def label_code_map(df: DataFrame, label: str = "label_text") -> DataFrame:

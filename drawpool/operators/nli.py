@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.hashing import hash_bucket, seeded_hash
-from .ranking import rank_first
+from ..functions.hashing import seeded_hash
+from ..session import materialize
+from .radix import Cutoff, before_or_at, cutoffs, hex_digits
 from .sampling import SEED
 
 
@@ -61,29 +62,59 @@ def nli_testset(df: DataFrame, hypo_label_dic: dict[str, str], on_unknown: str =
 
 
 def nli_trainset(train: DataFrame, hypo_label_dic: dict[str, str], seed: int = SEED,
-                 label: str = "label_text", keep: tuple[str, ...] = (),
-                 strategy: str = "bucketed") -> DataFrame:
+                 label: str = "label_text", keep: tuple[str, ...] = (), order: str = "own", small: int | None = None) -> DataFrame:
     """Entail rows (label 0) for each hypothesis plus a seeded draw without
     replacement of min(n_entail, n_not_entail) not-entail rows (label 1).
 
     Not-entail is ``NOT (label <=> hypothesis label)``, so null-label rows are
-    negatives.  The per-hypothesis cap is data-dependent; the draw is the
-    exact bucketed rank (hash prefix buckets per hypothesis), so a hypothesis
-    with a third of all rows is still spread over many tasks."""
-    ex = train.select("idx", *keep, F.col(label).alias("_lab"),
-                      F.explode(_hypo_array(hypo_label_dic)).alias("h"))
-    ex = ex.select("idx", *keep, "_lab", "h.hypo_pos", "h.hypo_label", "h.hypothesis",
-                   F.col("_lab").eqNullSafe(F.col("h.hypo_label")).alias("_entail"))
-    pos = ex.filter(F.col("_entail"))
-    neg = ex.filter(~F.col("_entail"))
-    n_pos = pos.groupBy("hypo_pos").agg(F.count(F.lit(1)).alias("_cap"))   # K rows
-    neg = (neg.join(n_pos, on="hypo_pos", how="inner")
-           .withColumn("_h", seeded_hash(seed, "hypo_label", "idx")))
-    negs = rank_first(neg, ["hypo_pos"], ["_h", "idx"], "_cap", bucket=hash_bucket("_h"),
-                      rank_col="_rank", strategy=strategy)
-    cols = ["idx", *keep, "hypo_pos", "hypothesis"]
-    return (pos.select(*cols, F.lit(0).alias("label"))
-            .unionByName(negs.select(*cols, F.lit(1).alias("label"))))
+    negatives.  With ``order="own"`` each hypothesis draws by a hash of its own
+    (``seed:label:idx``); with ``"shared"`` all draw by one hash (``seed:idx``),
+    as one seed for every label does.
+
+    The draw is made of cutoffs, not of ranks.  The rows are counted by label
+    and hash prefix; the counts of a hypothesis's negatives are those of all
+    rows minus those of its own label, so one histogram says for every
+    hypothesis up to which hash its negatives go (``radix.cutoffs`` settles the
+    rows of the last prefix).  Then each row is compared with the K cutoffs
+    where it is read, and only the pairs that stay are expanded: no negative
+    set is built, nothing is exchanged by hypothesis, and a label that holds
+    half of the rows costs the same as any other."""
+    hyps = hypotheses(hypo_label_dic)
+    own = F.element_at(F.create_map(*(F.lit(x) for p, lab, _ in hyps for x in (lab, p))), F.col(label))
+    hashes = [seeded_hash(seed, "idx") if order == "shared" else seeded_hash(seed, F.lit(lab), "idx") for _, lab, _ in hyps]
+    if order not in ("own", "shared"):
+        raise ValueError("order must be 'own' or 'shared'")
+    narrow = train.select("idx", F.coalesce(own, F.lit(-1)).alias("_own"))
+    counts = materialize(_label_counts(narrow, hashes, order), "label-counts")
+    caps = {r["_own"]: r["n"] for r in counts.groupBy("_own").agg(F.sum("n").alias("n")).where("_own >= 0").collect()}   # K rows
+    caps = {p: caps.get(p, 0) // (1 if order == "shared" else len(hyps)) for p, _, _ in hyps}
+    # (hypothesis, digit, n) of the negatives: all rows minus those of the own label
+    pairs = counts if order == "own" else counts.select("_own", "digit", "n", F.explode(F.array(*(F.lit(p) for p, _, _ in hyps))).alias("pos"))
+    first = pairs.groupBy("pos", "digit").agg((F.sum("n") - F.coalesce(F.sum(F.when(F.col("_own") == F.col("pos"), F.col("n"))), F.lit(0))).alias("n"))
+    # the pairs themselves are looked at only inside a last prefix
+    candidates = narrow.select("idx", F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), h.alias("h")) for (p, _, _), h in zip(hyps, hashes)))).alias("c"), "_own") \
+        .where(F.col("c.pos") != F.col("_own")).select(F.col("c.pos").alias("pos"), F.col("c.h").alias("h"), "idx")
+    cut = cutoffs(candidates, "pos", [*hex_digits(F.col("h")), F.col("idx")], caps, first=first.where("n > 0"), **({} if small is None else {"small": small}))
+    kept = F.filter(F.array(*(
+        F.struct(F.lit(p).alias("hypo_pos"), F.lit(h).alias("hypothesis"),
+                 F.when(F.col("_own") == p, 0).when(before_or_at([x, F.col("idx")], _short(cut[p])), 1).alias("label"))
+        for (p, _, h), x in zip(hyps, hashes))), lambda c: c["label"].isNotNull())
+    rows = train.select("idx", *keep, F.coalesce(own, F.lit(-1)).alias("_own"))
+    return rows.select("idx", *keep, F.explode(kept).alias("c")).select("idx", *keep, "c.hypo_pos", "c.hypothesis", "c.label")
+
+
+def _short(cut: Cutoff | None) -> Cutoff | None:
+    """The digest and the id of a cutoff say it all."""
+    return cut and Cutoff(cut.digits and cut.digits[-2:])
+
+
+def _label_counts(narrow: DataFrame, hashes: list, order: str) -> DataFrame:
+    """Rows by (own hypothesis, hash prefix): one count table for all
+    hypotheses under a shared hash, one part for each (``pos``) otherwise."""
+    if order == "shared":
+        return narrow.groupBy("_own", hex_digits(hashes[0])[0].alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    digits = F.array(*(hex_digits(h)[0] for h in hashes))
+    return narrow.select("_own", F.posexplode(digits).alias("pos", "digit")).groupBy("_own", "pos", "digit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def regroup(long_scored: DataFrame, value_cols: list[str], k: int) -> DataFrame:

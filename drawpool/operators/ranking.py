@@ -102,12 +102,28 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = QUANTILE_BUCKETS,
     return F.size(F.filter(arr, lambda s: s <= F.col(col))).cast("int")
 
 
-def dense_ids(df: DataFrame, order_col: str = "idx", out: str = "new_idx",
-              n_buckets: int = QUANTILE_BUCKETS) -> DataFrame:
+def range_ranks(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
+    """1-based position of every row in ``order`` (a total order), for any
+    number of rows and any type: the rows are range partitioned and sorted,
+    each partition counts its own, and the counts of the partitions before it
+    are added.  No task sees more than its range; the running sum is over one
+    row per partition.  The sorted rows are written once, so their places
+    don't change when a task is run again."""
+    from ..session import materialize
+    order_c = _cols(order)
+    placed = df.repartitionByRange(*order_c).sortWithinPartitions(*order_c).withColumn("_mid", F.monotonically_increasing_id())
+    placed = materialize(placed, "ranks")
+    part = F.shiftright("_mid", 33)   # Spark's id: the partition, then the row's place in 33 bits
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))
+    rows = placed.withColumn("_part", part).join(sizes, on="_part")
+    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
+    return rows.withColumn(out, F.col("_before") + place + 1).drop("_part", "_mid", "_before")
+
+
+def dense_ids(df: DataFrame, order_col: str = "idx", out: str = "new_idx") -> DataFrame:
     """Renumber rows 0..N-1 in ``order_col`` order (a dense id, only when one
-    is really needed).  A global ``row_number`` would run in one task; here
-    the bucketed rank numbers each quantile bucket separately and offsets it
-    by the rows of the buckets before it.  ``order_col`` must be unique."""
-    bucket = quantile_bucket(df, order_col, n_buckets)
-    ranked = rank_first(df, [], [order_col], (1 << 62), bucket=bucket, rank_col=out, strategy="bucketed")
+    is really needed).  ``order_col`` must be unique."""
+    ranked = range_ranks(df, [order_col], out)
     return ranked.withColumn(out, F.col(out) - 1)

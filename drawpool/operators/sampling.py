@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, seeded_hash
-from .ranking import TOPK_LOCAL_MAX, rank_first
+from .ranking import TOPK_LOCAL_MAX, range_ranks, rank_first
 
 # ---- fixed values: seeds of the reference's demo ---------------------------
 SEED = 42            # corpus / pool draws
@@ -54,13 +54,46 @@ def stratified_sample(df: DataFrame, cap: int = STRATA_CAP, seed: int = SEED,
     return out if rank_col else out.drop("_rank")
 
 
+def seeded_draws(df: DataFrame, draws: dict[str, tuple[int, int]], label: str = "label_text", idx: str = "idx") -> DataFrame:
+    """Several stratified draws in one scan: (*columns, draw, rank) of the
+    ``cap`` rows with the smallest ``md5(seed:idx)`` of each label, for each
+    ``draws[name] = (seed, cap)``.
+
+    Each row is looked at once per draw where it is read; the tasks keep the
+    first rows of each (label, draw) before anything is exchanged (caps up to
+    ``GROUP_LIMIT_MAX`` are planned as ``WindowGroupLimit``), so what is kept
+    can be merged from any number of tasks and has the size of the draws."""
+    from .ranking import GROUP_LIMIT_MAX
+    most = max(cap for _, cap in draws.values())
+    each = F.array(*(F.struct(F.lit(name).alias("draw"), F.lit(cap).alias("cap"), seeded_hash(seed, idx).alias("h")) for name, (seed, cap) in draws.items()))
+    rows = df.filter(F.col(label).isNotNull()).select("*", F.explode(each).alias("_d")).select(*df.columns, "_d.*")
+    out = rank_first(rows, [label, "draw"], ["h", idx], most, bucket=hash_bucket("h"), rank_col="rank",
+                     strategy="window" if most <= GROUP_LIMIT_MAX else "bucketed")
+    return out.where(F.col("rank") <= F.col("cap")).drop("cap", "h")
+
+
+def split_draws(df: DataFrame, cap: int = STRATA_CAP, seed: int = SEED, label: str = "label_text", idx: str = "idx",
+                train_cap: int = SEED_TRAIN_CAP) -> DataFrame:
+    """(*columns, in_corpus, in_test, in_seed_train): one row for each row
+    that is in the corpus draw (seed s), the test draw (2s, without what the
+    corpus has) or the seed-train draw (3s; its overlap with the others stays,
+    as in the original).  All three come from one scan; which draws hold a row
+    is settled among the drawn rows."""
+    drawn = seeded_draws(df, {"corpus": (seed, cap), "test": (2 * seed, cap), "seed": (3 * seed, train_cap)}, label, idx)
+    names = F.collect_set("draw")
+    rest = [c for c in df.columns if c != idx]
+    per = drawn.groupBy(idx).agg(names.alias("_in"), *(F.first(c).alias(c) for c in rest))
+    has = lambda d: F.array_contains("_in", d)
+    return per.select(*df.columns, has("corpus").alias("in_corpus"), (has("test") & ~has("corpus")).alias("in_test"), has("seed").alias("in_seed_train"))
+
+
 def corpus_test_split(df: DataFrame, cap: int = STRATA_CAP, seed: int = SEED,
                       label: str = "label_text", idx: str = "idx") -> tuple[DataFrame, DataFrame]:
-    """Two stratified draws (seed s and 2s); test loses the corpus rows."""
-    corpus = stratified_sample(df, cap, seed, label, idx)
-    test = stratified_sample(df, cap, 2 * seed, label, idx)
-    test = test.join(corpus.select(idx), on=idx, how="left_anti")
-    return corpus, test
+    """Two stratified draws (seed s and 2s); test loses the corpus rows.  The
+    drawn rows of both are written once."""
+    from ..session import materialize
+    both = materialize(split_draws(df, cap, seed, label, idx).where("in_corpus OR in_test"), "split")
+    return tuple(both.where(c).drop("in_corpus", "in_test", "in_seed_train") for c in ("in_corpus", "in_test"))
 
 
 def seed_train_draw(df: DataFrame, cap: int = SEED_TRAIN_CAP, seed: int = SEED,
@@ -75,16 +108,14 @@ def seed_train_draw(df: DataFrame, cap: int = SEED_TRAIN_CAP, seed: int = SEED,
 
 
 def shuffle_rank(df: DataFrame, seed: int = SEED, idx: str = "idx",
-                 out: str = "shuffle_rank", n_max: int | None = None) -> DataFrame:
+                 out: str = "shuffle_rank", *, n_max: int) -> DataFrame:
     """Seeded shuffle position (1..n) of the rows of a draw.
 
     ``n_max`` bounds the number of rows.  Small draws are numbered by one
-    window over the n rows; larger ones by the exact bucketed rank, so a big
-    draw is never numbered in a single task."""
-    if n_max is not None and n_max > TOPK_LOCAL_MAX:
-        h = df.withColumn("_sh", seeded_hash(seed, idx))
-        return rank_first(h, [], ["_sh", idx], n_max, bucket=hash_bucket("_sh"), rank_col=out,
-                          strategy="bucketed").drop("_sh")
+    window over the n rows; larger ones by ranges, so a big draw is never
+    numbered in a single task."""
+    if n_max > TOPK_LOCAL_MAX:
+        return range_ranks(df.withColumn("_sh", seeded_hash(seed, idx)), ["_sh", idx], out).drop("_sh")
     w = Window.orderBy(seeded_hash(seed, idx), F.col(idx))
     return df.withColumn(out, F.row_number().over(w).cast("long"))
 

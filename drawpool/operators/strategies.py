@@ -3,8 +3,8 @@
 Both draw the n least certain pool rows, attach the score, and add a seeded
 shuffle position so the train order is random rather than by difficulty.
 n is the labelling budget of one round; up to ``TOPK_LOCAL_MAX`` the draw
-is a ``TakeOrderedAndProject`` (each task keeps n rows), above it an exact
-bucketed rank (see ``ranking``).
+is a ``TakeOrderedAndProject`` (each task keeps n rows), above it a filter by
+an exact cutoff (see ``radix``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from .ranking import TOPK_LOCAL_MAX, quantile_bucket, rank_first
+from .radix import before_or_at, cutoffs, number_digits
+from .ranking import TOPK_LOCAL_MAX, quantile_bucket, range_ranks, rank_first
 from .sampling import SEED, shuffle_rank
 
 
@@ -70,16 +71,34 @@ def margin_scores(scored: DataFrame, vocab: list[str], probs: str = "probs") ->
         f"element_at({voc}, cast(array_position(p4, array_max(p4)) AS int)) AS label_text_pred")
 
 
+def radix_draw(scored: DataFrame, n: int, idx: str = "idx", rank_col: str = "margin_rank", small: int | None = None) -> DataFrame:
+    """The n rows with the smallest (margin, id) for a large n, with their rank.
+
+    A histogram of the margins (multiples of 1e-4, so 10,001 values at most)
+    says at which margin the draw ends; histograms of 16-bit digits of the ids
+    that have this margin narrow it down to one id.  The draw is then a filter
+    in the scan, and half of the pool may have one margin: rows that tie are
+    counted, never brought together.  The drawn rows alone are sorted, by
+    ranges, for their ranks."""
+    levels = [F.expr("cast(round(margin * 10000) AS int)"), *number_digits(F.col(idx))]
+    one = scored.withColumn("_all", F.lit(0))
+    cut = cutoffs(one.select("_all", "margin", idx), "_all", levels, {0: n}, **({} if small is None else {"small": small}))[0]
+    return range_ranks(scored.where(before_or_at(levels, cut)), ["margin", idx], rank_col)
+
+
 def breaking_ties(scored: DataFrame, vocab: list[str], n: int = 20, seed: int = SEED,
                   probs: str = "probs", idx: str = "idx", strategy: str = "auto") -> DataFrame:
     """The n rows with the smallest top-2 margin (ties: smaller id), with
     named 4-digit probabilities, their rescaled version, the prediction and
     a seeded shuffle position."""
     m = margin_scores(scored, vocab, probs)
-    # margins are multiples of 1e-4 in [0, 1]: the bucket is the margin itself
-    bucket = F.expr("cast(round(margin * 10000) AS int)")
-    drawn = rank_first(m, [], ["margin", idx], n, bucket=bucket, rank_col="margin_rank",
-                       strategy=strategy)
+    if strategy == "radix" or (strategy == "auto" and n > TOPK_LOCAL_MAX):
+        drawn = radix_draw(m, n, idx)
+    else:
+        # margins are multiples of 1e-4 in [0, 1]: the bucket is the margin itself
+        bucket = F.expr("cast(round(margin * 10000) AS int)")
+        drawn = rank_first(m, [], ["margin", idx], n, bucket=bucket, rank_col="margin_rank",
+                           strategy=strategy)
     voc = vocab_sql(vocab)
     drawn = drawn.selectExpr(
         "*", f"map_from_arrays({voc}, p4) AS probs_named",

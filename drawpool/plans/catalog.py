@@ -18,6 +18,7 @@ from ..operators import labels as LB
 from ..operators import ledger as L
 from ..operators import nli as N
 from ..operators import sampling as SM
+from ..session import materialize
 from ..operators.strategies import breaking_ties, margin_scores, min_certainty
 from ..sources import adaptors as A
 from ..sources.contracts import contract_summary
@@ -202,6 +203,16 @@ def label_codes_alpha(spark, sf):
         "label_text", F.col("code").cast("long").alias("code"))
 
 
+@query
+def answer_codes(spark, sf):
+    """Codes of an open vocabulary (the first words of all documents), by
+    alphabet and by first appearance."""
+    pg = A.pool_gen(spark, sf).select("idx", "label_text")
+    alpha = LB.label_codes_alpha(pg).withColumnRenamed("code", "alpha_code")
+    both = alpha.join(LB.label_codes_first_seen(pg), on="label_text")
+    return both.select("label_text", F.col("alpha_code").cast("long").alias("alpha_code"), F.col("code").cast("long").alias("first_code"))
+
+
 @query
 def label_vocab(spark, sf):
     v = LB.label_vocab(A.pool_quality(spark, sf))
@@ -262,8 +273,8 @@ def train_rows_current(spark, sf):
 
 @query
 def test_minus_corpus(spark, sf):
-    _, test = SM.corpus_test_split(A.pool_quality(spark, sf))
-    return test.select(F.col("idx").cast("long").alias("idx"), "label_text")
+    drawn = SM.split_draws(A.pool_quality(spark, sf).select("idx", "label_text"))
+    return drawn.where("in_test").select(F.col("idx").cast("long").alias("idx"), "label_text")
 
 
 @query
@@ -273,6 +284,15 @@ def nli_trainset(spark, sf):
                      F.col("label").cast("long").alias("label"))
 
 
+@query
+def nli_trainset_shared(spark, sf):
+    """The same with one order of the rows for all hypotheses: every negative
+    set's histogram is that of all rows minus that of its own label."""
+    tr = N.nli_trainset(A.pool_lang(spark, sf), A.LANG_HYPOTHESES, SM.SEED, order="shared")
+    return tr.select(F.col("idx").cast("long").alias("idx"), F.col("hypo_pos").cast("long").alias("hypo_pos"),
+                     F.col("label").cast("long").alias("label"))
+
+
 @query
 def nli_testset(spark, sf):
     ts = N.nli_testset(A.pool_lang(spark, sf), A.LANG_HYPOTHESES)
@@ -372,6 +392,16 @@ def class_report(spark, sf):
                       F.col("support").cast("long").alias("support"))
 
 
+@query
+def class_report_open(spark, sf):
+    """The report over an open vocabulary: all gold answers, kept as a table."""
+    gp = _gen_gold_pred(spark, sf)
+    conf = materialize(E.confusion(gp), "confusion")
+    rep = E.class_report(conf, conf.select("gold"))
+    return rep.select("label_text", r6("precision", "precision"), r6("recall", "recall"), r6("f1", "f1"),
+                      F.col("support").cast("long").alias("support"))
+
+
 def _gen_gold_pred(spark, sf):
     """Gold (first word) and predicted answer side by side, one projection."""
     pg = A.pool_gen(spark, sf).withColumnRenamed("label_text", "gold")
@@ -437,6 +467,19 @@ def breaking_ties_draw(spark, sf):
                     F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
 
 
+@query
+def breaking_ties_half(spark, sf):
+    """Half of the language pool by breaking ties under the word-overlap
+    scorer, whose margins tie for most texts: a draw by radix cutoffs."""
+    pl = A.pool_lang(spark, sf)
+    p = N.nli_predict(SC.OverlapNLIScorer(A.LANG_HYPOTHESES).score_rows(pl, label=None)).select("idx", F.col("p_entail").alias("probs"))
+    p = materialize(p, "scored")
+    n = max(1, p.count() // 2)
+    d = breaking_ties(p, sorted(A.LANG_HYPOTHESES), n, SM.SEED, strategy="radix")
+    return d.select(F.col("idx").cast("long").alias("idx"), r6("margin", "margin"), "label_text_pred",
+                    F.col("margin_rank").cast("long").alias("margin_rank"), F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
+
+
 @query(name="margin_scores")
 def margin_scores_all(spark, sf):
     sc, vocab, _ = vec_scored(spark, sf)
@@ -448,7 +491,7 @@ def margin_scores_all(spark, sf):
 def shuffled_sample(spark, sf):
     _, train, _ = vec_split(spark, sf)
     # another seed than the draw's, whose order the rows would keep
-    return SM.shuffle_rank(train.select("idx"), SM.SEED_TEST).select(
+    return SM.shuffle_rank(train.select("idx"), SM.SEED_TEST, n_max=N_TRAIN_VEC).select(
         F.col("idx").cast("long").alias("idx"), F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
 
 
@@ -479,21 +522,14 @@ def stratified_sample(spark, sf):
 
 @query
 def corpus_test_split(spark, sf):
-    c, t = SM.corpus_test_split(A.pool_quality(spark, sf))
-    return (c.withColumn("split", F.lit("corpus")).unionByName(t.withColumn("split", F.lit("test")))
-            .select(F.col("idx").cast("long").alias("idx"), "label_text", "split"))
+    drawn = SM.split_draws(A.pool_quality(spark, sf).select("idx", "label_text")).where("in_corpus OR in_test")
+    return drawn.select(F.col("idx").cast("long").alias("idx"), "label_text", F.when(F.col("in_corpus"), "corpus").otherwise("test").alias("split"))
 
 
 @query
 def seed_train_overlap(spark, sf):
-    pq = A.pool_quality(spark, sf)
-    c, t = SM.corpus_test_split(pq)
-    st = SM.seed_train_draw(pq)
-    flags = (st.join(c.select("idx", F.lit(1).alias("in_corpus")), on="idx", how="left")
-             .join(t.select("idx", F.lit(1).alias("in_test")), on="idx", how="left"))
-    return flags.select(F.col("idx").cast("long").alias("idx"), "label_text",
-                        F.coalesce("in_corpus", F.lit(0)).cast("long").alias("in_corpus"),
-                        F.coalesce("in_test", F.lit(0)).cast("long").alias("in_test"))
+    drawn = SM.split_draws(A.pool_quality(spark, sf).select("idx", "label_text")).where("in_seed_train")
+    return drawn.select(F.col("idx").cast("long").alias("idx"), "label_text", F.col("in_corpus").cast("long").alias("in_corpus"), F.col("in_test").cast("long").alias("in_test"))
 
 
 # ------------------------------------------------------------- 2.H set ops

@@ -270,6 +270,13 @@ SQL["nli_trainset"] = with_(
     "SELECT idx, hypo_pos, CAST(0 AS BIGINT) AS label FROM pos UNION ALL SELECT n.idx, n.hypo_pos, "
     "CAST(1 AS BIGINT) AS label FROM neg n "
     "JOIN npos c ON n.hypo_pos = c.hypo_pos WHERE n.rn <= c.cap")
+SQL["nli_trainset_shared"] = with_(
+    f"h AS {hypo_values(LANG_HYPOTHESES)}", "ex AS (SELECT d.doc_id AS idx, d.lang, h.hypo_pos, h.hlab FROM documents d CROSS JOIN h)",
+    "pos AS (SELECT idx, hypo_pos FROM ex WHERE lang IS NOT DISTINCT FROM hlab)",
+    "npos AS (SELECT hypo_pos, count(*) AS cap FROM pos GROUP BY hypo_pos)",
+    f"neg AS (SELECT idx, hypo_pos, row_number() OVER (PARTITION BY hypo_pos ORDER BY {H(42, 'idx')}, idx) AS rn FROM ex WHERE lang IS DISTINCT FROM hlab)") + (
+    "SELECT idx, hypo_pos, CAST(0 AS BIGINT) AS label FROM pos UNION ALL SELECT n.idx, n.hypo_pos, CAST(1 AS BIGINT) FROM neg n "
+    "JOIN npos c ON n.hypo_pos = c.hypo_pos WHERE n.rn <= c.cap")
 SQL["nli_testset"] = with_(f"h AS {hypo_values(LANG_HYPOTHESES)}") + (
     "SELECT d.doc_id AS idx, h.hypo_pos, CAST(CASE WHEN h.hypothesis = own.hypothesis THEN 0 ELSE 1 END AS BIGINT) "
     "AS label "
@@ -359,6 +366,26 @@ SQL["zero_shot_round"] = with_(
     f"SELECT idx, {r6('margin', 'margin')}, label_text_pred, row_number() OVER (ORDER BY {H(42, 'idx')}, idx) "
     "AS shuffle_rank FROM zd")
 
+SQL["breaking_ties_half"] = with_(
+    *_NLI,
+    "zm AS (SELECT idx, round(max(CASE WHEN r4 = 1 THEN round(p_entail, 4) END) - max(CASE WHEN r4 = 2 THEN round(p_entail, 4) END), 4) AS margin, "
+    "max(CASE WHEN r4 = 1 THEN hlab END) AS label_text_pred FROM zp GROUP BY idx)",
+    "zr AS (SELECT *, row_number() OVER (ORDER BY margin, idx) AS margin_rank FROM zm)",
+    "zd AS (SELECT * FROM zr WHERE margin_rank <= greatest(1, (SELECT count(*) FROM zm) // 2))") + (
+    f"SELECT idx, {r6('margin', 'margin')}, label_text_pred, margin_rank, row_number() OVER (ORDER BY {H(42, 'idx')}, idx) AS shuffle_rank FROM zd")
+SQL["answer_codes"] = with_(
+    _GEN[0], "g AS (SELECT toks[1] AS label_text, min(idx) AS fi FROM pg WHERE toks[1] IS NOT NULL GROUP BY 1)") + (
+    "SELECT label_text, row_number() OVER (ORDER BY label_text) - 1 AS alpha_code, row_number() OVER (ORDER BY fi, label_text) - 1 AS first_code FROM g")
+SQL["class_report_open"] = with_(
+    *_GEN, *metric_ctes("gpg", "_g"),
+    "cr AS (SELECT p.cls AS label_text, p.prec AS precision, p.rec AS recall, p.f1, CAST(p.true_n AS BIGINT) AS support, p.tp FROM pcf_g p "
+    "WHERE p.cls IN (SELECT gold FROM gold))") + _union([
+        f"SELECT label_text, {r6('precision', 'precision')}, {r6('recall', 'recall')}, {r6('f1', 'f1')}, support FROM cr",
+        "SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM cr",
+        "SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM cr",
+        "SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), "
+        "round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM cr"])
+
 _UNI = [
     f"ws AS (SELECT doc_id AS idx, {toks('text')} AS toks FROM documents)",
     "cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(toks) AS tok FROM ws) GROUP BY tok)",

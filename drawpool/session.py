@@ -84,5 +84,13 @@ def state_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "drawpool", *parts])
 
 
+def materialize(df, name: str):
+    """Write ``df`` below the shared folder and read it back: the lineage ends
+    there, and every reader sees the same rows."""
+    path = state_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_run_id() -> str:
     return f"run-{os.getpid()}-{uuid.uuid4().hex[:10]}"

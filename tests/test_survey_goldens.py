@@ -22,7 +22,8 @@ def test_quality_class_sizes(spark, q):
 
 
 def test_overlap_nli_accuracy(spark, q):
-    assert round(q["nli_eval"](spark, SF01).first().accuracy, 3) == 0.951
+    """On whole texts; the first 64 words alone give 0.951."""
+    assert round(q["nli_eval"](spark, SF01).first().accuracy, 3) == 0.980
 
 
 def test_open_vocab_accuracy(spark, q):
