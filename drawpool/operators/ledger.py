@@ -12,9 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .membership import rows_not_in
 
-def pool_minus(pool: DataFrame, ids: DataFrame, idx: str = "idx") -> DataFrame:
-    """Pool rows whose id is not in ``ids`` (anti-join)."""
+
+def pool_minus(pool: DataFrame, ids: DataFrame, idx: str = "idx", by: str = "join") -> DataFrame:
+    """Pool rows whose id is not in ``ids``.  ``by="join"`` is an anti-join,
+    which AQE plans as a broadcast while the ids are few; ``"bitmap"`` tests
+    the ids in the scan (``membership``), so that the pool is not exchanged
+    however many they are."""
+    if by == "bitmap":
+        return rows_not_in(pool, ids, idx)
     return pool.join(ids.select(idx), on=idx, how="left_anti")
 
 

@@ -23,6 +23,9 @@ from ..operators.strategies import breaking_ties, margin_scores, min_certainty
 from ..sources import adaptors as A
 from ..sources.contracts import contract_summary
 from . import scorers as SC
+from .blocked import BlockedCentroids
+from .postings import PostingsNLI
+from .text_batches import TextBatches, word_count_predict_fn
 from .rounds import ActiveLearningRun
 
 # ---- fixed query parameters -------------------------------------------------
@@ -112,7 +115,7 @@ def gen_model(spark, sf, train=None):
     return pg, SC.UnigramScorer(pg).fit(train)
 
 
-def vec_run(spark, sf) -> ActiveLearningRun:
+def vec_run(spark, sf, **kw) -> ActiveLearningRun:
     """A round-driver run over the vector pool, not yet started."""
     from ..session import new_run_id, state_path
     pv, train, _ = vec_split(spark, sf)
@@ -124,7 +127,7 @@ def vec_run(spark, sf) -> ActiveLearningRun:
     seed = spark.read.parquet(f"{out_dir}/seed_train")
     return ActiveLearningRun(spark, corpus=L.pool_minus(pv, seed), scorer=SC.CentroidScorer(vocab),
                              vocab=vocab, method="standard_dl", seed_train=seed, n_sample=N_DRAW,
-                             keep_seed_train=True, out_dir=out_dir, materialize_seed=False)
+                             keep_seed_train=True, out_dir=out_dir, materialize_seed=False, **kw)
 
 
 # ------------------------------------------------------------- 2.A sources
@@ -163,6 +166,19 @@ def scored_long(spark, sf):
                     "gold", "pred")
 
 
+@query
+def zip_csv_source(spark, sf):
+    """Conversations written as zip archives of CSV (line ends, quotes and all)
+    and read back through the archive source."""
+    from ..session import new_run_id, state_path
+    from ..sources.zipped import read_zip_csv, write_zip_csv
+    turns = A.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    folder = state_path(spark, new_run_id(), "zip")
+    write_zip_csv(turns, folder)
+    back = read_zip_csv(spark, folder, turns.schema)
+    return back.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 # ------------------------------------------------------------- 2.B labels/text
 @query
 def first_answer_default(spark, sf):
@@ -258,7 +274,8 @@ def pair_token_budget(spark, sf):
 # ------------------------------------------------------------- 2.C joins
 @query
 def pool_minus_train(spark, sf):
-    _, _, pool = vec_split(spark, sf)
+    pv, train, _ = vec_split(spark, sf)
+    pool = L.pool_minus(pv.select("idx", "label_text"), train, by="bitmap")
     return pool.select(F.col("idx").cast("long").alias("idx"), "label_text")
 
 
@@ -328,6 +345,48 @@ def annotation_stream_latest(spark, sf):
                      F.col("n_annotations").cast("long").alias("n_annotations"))
 
 
+#: The ledger is fed in three parts, the later ones first.
+FEEDS = (2, 0, 1)
+
+
+def _label_state(spark):
+    from ..session import new_run_id, state_path
+    from ..streaming.label_state import LabelState
+    return LabelState(spark, state_path(spark, new_run_id()))
+
+
+def _feeds(spark, sf):
+    from ..streaming.label_state import annotation_events
+    lg = A.ledger(spark, sf)
+    return [annotation_events(lg.where(F.col("seq") % len(FEEDS) == k)) for k in FEEDS]
+
+
+@query
+def annotation_state(spark, sf):
+    """C6 as keyed state: three feeds out of order, each a new start of the
+    stream from its checkpoint; the second feed comes twice."""
+    state, feeds = _label_state(spark), _feeds(spark, sf)
+    for f in (*feeds, feeds[1]):
+        state.add(f)
+        state.advance()
+    return state.latest().select(F.col("idx").cast("long").alias("idx"), "label")
+
+
+@query
+def metrics_by_retraction(spark, sf):
+    """Metrics after each feed of revised annotations against fixed
+    predictions (the first label of each id), from signed counts alone."""
+    from ..streaming.label_state import prediction_events
+    state, out = _label_state(spark), None
+    state.add(prediction_events(A.ledger_pool(spark, sf).select("idx", F.col("label_text").alias("pred")), 0))
+    for k, f in enumerate(_feeds(spark, sf)):
+        state.add(f)
+        state.advance()
+        row = materialize(state.metrics().select(F.lit(k).cast("long").alias("feed"), *_metric_cols()), "metrics")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def merge_predictions(spark, sf):
     sc, vocab, _ = vec_scored(spark, sf)
@@ -495,6 +554,26 @@ def shuffled_sample(spark, sf):
         F.col("idx").cast("long").alias("idx"), F.col("shuffle_rank").cast("long").alias("shuffle_rank"))
 
 
+def _blocked(scored):
+    return scored.select(F.col("idx").cast("long").alias("idx"), "pred", F.col("pred_pos").cast("long").alias("pred_pos"), r6("prob", "prob"), r6("margin", "margin"))
+
+
+@query
+def blocked_margins(spark, sf):
+    """The margins of the vector pool with the classes in a table, four to a block."""
+    pv, train, pool = vec_split(spark, sf)
+    model = BlockedCentroids.fit(train, pv.select("label_text"), block=4)
+    return _blocked(model.score(pool))
+
+
+@query
+def blocked_instances(spark, sf):
+    """Every training vector a class of its own: blocks of 32 classes."""
+    _, train, pool = vec_split(spark, sf)
+    train = train.withColumn("label_text", F.lpad(F.col("idx").cast("string"), 12, "0"))
+    return _blocked(BlockedCentroids.fit(train, block=32).score(pool))
+
+
 @query
 def scaled_probs(spark, sf):
     sc, vocab, _ = vec_scored(spark, sf)
@@ -613,6 +692,15 @@ def score_batch_udf(spark, sf):
         .select("idx", F.col("pos").cast("long").alias("pos"), r6("z", "logit"))
 
 
+@query
+def score_text_batches(spark, sf):
+    """A user's model over whole texts in batches by length: how often the
+    words of each language's hypothesis occur."""
+    lists = [h.split() for _, _, h in N.hypotheses(A.LANG_HYPOTHESES)]
+    sc = TextBatches(word_count_predict_fn(lists)).score(A.pool_lang(spark, sf).select("idx", "text"))
+    return sc.select(F.col("idx").cast("long").alias("idx"), F.posexplode("z").alias("pos", "z")).select("idx", F.col("pos").cast("long").alias("pos"), r6("z", "logit"))
+
+
 @query
 def unigram_step_scores(spark, sf):
     pg, model = gen_model(spark, sf)
@@ -628,6 +716,27 @@ def nli_overlap_logits(spark, sf):
                         r6("z_entail", "z_entail"), r6("z_not", "z_not"))
 
 
+def _postings(rows, hypos):
+    out = PostingsNLI(hypos).predict(rows)
+    return out.select(F.col("idx").cast("long").alias("idx"), "pred_pos", r6("z_entail", "z_entail"), "n_shared", r6("margin", "margin"))
+
+
+@query
+def nli_postings(spark, sf):
+    """The language hypotheses as a table, scored through their posting lists."""
+    hypos = spark.createDataFrame([(p, h) for p, _, h in N.hypotheses(A.LANG_HYPOTHESES)], "hypo_pos int, hypothesis string")
+    return _postings(A.pool_lang(spark, sf).select("idx", "text"), hypos)
+
+
+@query
+def nli_postings_open(spark, sf):
+    """Every first word of a document is a hypothesis: as many as there are
+    answers, in a table that grows with the documents."""
+    pg = A.pool_gen(spark, sf)
+    hypos = LB.label_codes_alpha(pg).select(F.col("code").alias("hypo_pos"), F.col("label_text").alias("hypothesis"))
+    return _postings(pg.select("idx", "text"), hypos)
+
+
 def _round_run(spark, pool, scorer, vocab, **kw) -> ActiveLearningRun:
     from ..session import new_run_id, state_path
     return ActiveLearningRun(spark, corpus=pool, scorer=scorer, vocab=vocab, out_dir=state_path(spark, new_run_id()), **kw)
@@ -716,7 +825,7 @@ def al_one_round(spark, sf):
 @query
 def update_round(spark, sf):
     """Train rows and pool in the driver's state after one draw and update."""
-    state = vec_run(spark, sf).draws(1).state
+    state = vec_run(spark, sf, membership="bitmap").draws(1).state
     a = state.train.agg(F.count_distinct("idx").alias("n_train"))
     b = state.corpus.agg(F.count(F.lit(1)).alias("n_pool"))
     return side_by_side(a, b)

@@ -286,6 +286,13 @@ SQL["annotation_latest"] = (
     "count(*) OVER (PARTITION BY user_id) AS n_annotations, row_number() OVER (PARTITION BY user_id "
     "ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 SQL["annotation_stream_latest"] = SQL["annotation_latest"]
+SQL["annotation_state"] = f"SELECT idx, label FROM ({SQL['annotation_latest']})"
+_FED = [_LG, "prd AS (SELECT idx, label AS pred FROM (SELECT idx, label, row_number() OVER (PARTITION BY idx ORDER BY ts, seq) AS rn FROM lg) WHERE rn = 1)"]
+for _k in range(len(C.FEEDS)):
+    _of = ", ".join(map(str, C.FEEDS[:_k + 1]))
+    _FED += [f"gpf{_k} AS (SELECT l.label AS gold, p.pred FROM (SELECT idx, label, row_number() OVER (PARTITION BY idx ORDER BY ts DESC, seq DESC) AS rn "
+             f"FROM lg WHERE seq % {len(C.FEEDS)} IN ({_of})) l JOIN prd p ON p.idx = l.idx WHERE rn = 1)", *metric_ctes(f"gpf{_k}", f"_f{_k}")]
+SQL["metrics_by_retraction"] = with_(*_FED) + _union([f"SELECT CAST({k} AS BIGINT) AS feed, {metric_select(f'_f{k}')} FROM mfin_f{k}" for k in range(len(C.FEEDS))])
 SQL["merge_predictions"] = with_(*ROUND0) + (
     f"SELECT m.idx, v.label_text, CAST(len(v.x) AS BIGINT) AS n_features, {r6('list_sum(v.x)', 'sum_features')}, "
     f"m.pred_p AS label_text_pred, {r6('m.p_max', 'prob_pred')}, p.k AS pos, {r6('p.p', 'prob')} "
@@ -386,6 +393,21 @@ SQL["class_report_open"] = with_(
         "SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), "
         "round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM cr"])
 
+SQL["zip_csv_source"] = "SELECT conv_id, turn, role, length(text) AS n_chars, md5(text) AS text_md5 FROM conversations"
+_LISTS = ", ".join(f"({i}, {[w for w in LANG_HYPOTHESES[k].split()]})" for i, k in enumerate(sorted(LANG_HYPOTHESES)))
+SQL["score_text_batches"] = with_(f"wl AS (SELECT CAST(pos AS BIGINT) AS pos, ws FROM (VALUES {_LISTS}) v(pos, ws))", f"tx AS (SELECT doc_id AS idx, {toks('text')} AS t FROM documents)") + (
+    f"SELECT idx, pos, {r6('len(list_filter(t, lambda x: list_contains(ws, x)))', 'logit')} FROM tx CROSS JOIN wl")
+_POST = "round(1.0 / (1.0 + exp(1.0 - {})), 4)"
+SQL["nli_postings"] = with_(
+    *_NLI, "q AS (SELECT idx, max(CASE WHEN rzp = 1 THEN hypo_pos END) AS pred_pos, max(z_entail) AS z, count(*) FILTER (z_entail > 0) AS n, "
+    "max(CASE WHEN rzp = 2 THEN z_entail END) AS z2 FROM zp GROUP BY idx)") + (
+    f"SELECT idx, pred_pos, {r6('z', 'z_entail')}, n AS n_shared, round({_POST.format('z')} - {_POST.format('z2')}, 4) AS margin FROM q")
+SQL["nli_postings_open"] = with_(
+    _GEN[0], "hy AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS pos FROM (SELECT DISTINCT toks[1] AS w FROM pg WHERE toks[1] IS NOT NULL))",
+    "dw AS (SELECT DISTINCT idx, unnest(toks) AS w FROM pg)", "sh AS (SELECT idx, min(pos) AS pos, count(*) AS n FROM dw JOIN hy USING (w) GROUP BY idx)") + (
+    "SELECT pg.idx, CAST(coalesce(pos, 0) AS BIGINT) AS pred_pos, CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS DOUBLE) AS z_entail, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, "
+    f"CASE WHEN n = 1 THEN round({_POST.format('1.0')} - {_POST.format('0.0')}, 4) ELSE 0.0 END AS margin FROM pg LEFT JOIN sh ON pg.idx = sh.idx")
+
 _UNI = [
     f"ws AS (SELECT doc_id AS idx, {toks('text')} AS toks FROM documents)",
     "cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(toks) AS tok FROM ws) GROUP BY tok)",
@@ -405,6 +427,17 @@ SQL["min_certainty"] = with_(
 SQL["breaking_ties"] = with_(*ROUND0) + (
     f"SELECT idx, {r6('margin', 'margin')}, label_text_pred, margin_rank, row_number() OVER "
     f"(ORDER BY {H(42, 'idx')}, idx) AS shuffle_rank FROM dr_0")
+_BLOCKED = "SELECT m.idx, m.{pred} AS pred, m.pred_pos, round(m.p_max, 6) AS prob, " + r6("m.margin", "margin") + " FROM {mg} m"
+SQL["blocked_margins"] = with_(*ROUND0) + _BLOCKED.format(pred="pred_z", mg="mg_0")
+SQL["blocked_instances"] = with_(
+    VEC, VECX, TR0, PL0, "voci AS (SELECT lpad(CAST(idx AS VARCHAR), 12, '0') AS lab, idx AS ti, row_number() OVER (ORDER BY lpad(CAST(idx AS VARCHAR), 12, '0')) - 1 AS k FROM tr0)",
+    f"li AS (SELECT x.idx, v.k, v.lab, {C.SC.CENTROID_SCALE} * sum(x.val * t.val) AS z FROM vecx x JOIN pl0 p ON x.idx = p.idx CROSS JOIN voci v "
+    "JOIN vecx t ON t.idx = v.ti AND t.pos = x.pos GROUP BY x.idx, v.k, v.lab)",
+    "si AS (SELECT *, exp(z - max(z) OVER (PARTITION BY idx)) AS e FROM li)",
+    "pi AS (SELECT *, e / sum(e) OVER (PARTITION BY idx) AS p, row_number() OVER (PARTITION BY idx ORDER BY z DESC, k) AS r FROM si)",
+    "mi AS (SELECT idx, max(CASE WHEN r = 1 THEN lab END) AS pred_z, max(CASE WHEN r = 1 THEN k END) AS pred_pos, max(p) AS p_max, "
+    "round(max(CASE WHEN r = 1 THEN round(p, 4) END) - max(CASE WHEN r = 2 THEN round(p, 4) END), 4) AS margin FROM pi GROUP BY idx)") + \
+    _BLOCKED.format(pred="pred_z", mg="mi")
 SQL["margin_scores"] = with_(*ROUND0) + f"SELECT idx, {r6('margin', 'margin')}, label_text_pred FROM mg_0"
 SQL["shuffled_sample"] = with_(VEC, TR0) + \
     f"SELECT idx, row_number() OVER (ORDER BY {H(C.SM.SEED_TEST, 'idx')}, idx) AS shuffle_rank FROM tr0"

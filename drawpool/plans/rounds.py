@@ -67,6 +67,9 @@ class ActiveLearningRun:
     # NLI prediction: "logits" picks the highest raw entail logit (as the
     # original does), "softmax" the highest per-hypothesis entail probability
     nli_select: str = "logits"
+    # How the pool loses the train ids: "join", or "bitmap" for so many ids
+    # that a join would exchange the pool (see ledger.pool_minus)
+    membership: str = "join"
     state: RoundState = field(init=False)
 
     def __post_init__(self):
@@ -216,7 +219,7 @@ class ActiveLearningRun:
         train = L.with_current_labels(rows, latest)
         if self.keep_seed_train and self.seed_train is not None:
             train = self.seed_train.unionByName(train)
-        self.state = RoundState(r, L.pool_minus(self.corpus, ids), train, self.test, ids)
+        self.state = RoundState(r, L.pool_minus(self.corpus, ids, by=self.membership), train, self.test, ids)
         return self.state
 
     def resume(self) -> RoundState:

@@ -5,11 +5,11 @@ Three task kinds share the round driver:
 * ``nli``        -- one row x K hypotheses -> (z_entail, z_not) per pair;
 * ``generation`` -- one row -> predicted answer ``pred`` + per-step scores.
 
-Fitted parameters that the scoring side needs (class centroids, a
-coefficient matrix) are bounded by the label vocabulary and the feature
-dimension, not by the data; they are checked against ``MAX_MODEL_CELLS``
-before they become literals of the scoring plan, the way an MLlib model
-keeps its coefficients on the driver.
+Fitted parameters that these scorers need (class centroids, a coefficient
+matrix) are bounded by a closed label vocabulary and the feature dimension,
+not by the data; they become literals of the scoring plan, the way an MLlib
+model keeps its coefficients on the driver.  For label sets of any size
+``blocked.BlockedCentroids`` keeps the classes in a table.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from ..operators.nli import hypotheses
 METHODS = ("standard", "nli", "generation")
 # reference method names accepted as aliases
 METHOD_ALIASES = {"standard_dl": "standard", "nli": "nli", "generation": "generation"}
-MAX_MODEL_CELLS = 5_000_000
 
 # ---- fixed parameters of the SQL-checkable stand-in scorers ---------------
 CENTROID_SCALE = 20.0   # logit = 20 x dot(features, class mean)
@@ -70,11 +69,6 @@ def resolve_method(name: str) -> str:
     raise ValueError(f"unknown method {name!r}; known: {', '.join([*METHODS, *METHOD_ALIASES])}")
 
 
-def _check_cells(n: int, what: str) -> None:
-    if n > MAX_MODEL_CELLS:
-        raise ValueError(f"{what} has {n} cells, above MAX_MODEL_CELLS={MAX_MODEL_CELLS}")
-
-
 # ----------------------------------------------------------------- standard
 class CentroidModel:
     kind = "standard"
@@ -115,7 +109,6 @@ class CentroidScorer:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]).alias("centroid"))
         rows = {r["label_text"]: list(r["centroid"]) for r in vec.collect()}   # K rows of D doubles
         dim = max((len(v) for v in rows.values()), default=0)
-        _check_cells(dim * len(self.vocab), "centroid matrix")
         mat = [rows.get(lab, [0.0] * dim) for lab in self.vocab]
         return CentroidModel(self.vocab, mat, self.scale, self.features)
 

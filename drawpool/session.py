@@ -84,6 +84,15 @@ def state_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "drawpool", *parts])
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where it isn't installed: its
+    place goes on their path, as in local runs from another folder."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def materialize(df, name: str):
     """Write ``df`` below the shared folder and read it back: the lineage ends
     there, and every reader sees the same rows."""

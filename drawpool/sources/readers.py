@@ -24,9 +24,11 @@ QUOTE_SCHEMA = T.StructType([
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV with quoted multi-line fields.  Spark decompresses gzip,
-    bzip2, zstd... by extension; zip archives must be unpacked first."""
+    bzip2, zstd... by extension; a zip archive is read by ``zipped``, one
+    partition for each of its members."""
     if path.endswith(".zip"):
-        raise ValueError("zip archives are not a Hadoop codec; unpack to .csv/.csv.gz first")
+        from .zipped import read_zip_csv
+        return read_zip_csv(spark, path, schema, empty_as_null=True)   # as the reader below
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if schema is not None:
         r = r.schema(schema)
