@@ -56,12 +56,12 @@ def quote_prompt(preceding, quote, following) -> Column:
 
 def ws_tokens(text) -> Column:
     """Whitespace tokens, case and punctuation kept, empties dropped."""
-    return F.filter(F.split(_c(text), WS_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_c(text), WS_SPLIT), "")
 
 
 def word_tokens(text) -> Column:
     """Lower-cased word tokens split on whitespace and . , ; ! ?"""
-    return F.filter(F.split(F.lower(_c(text)), WORD_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(_c(text)), WORD_SPLIT), "")
 
 
 def first_word(text) -> Column:
@@ -71,21 +71,22 @@ def first_word(text) -> Column:
     return F.lower(F.nullif(w, F.lit("")))
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it: a name
+    for an intermediate value inside one expression."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def most_frequent(tokens) -> Column:
     """Most frequent element of a string array, ties to the smallest; null
-    for an empty array.  Row-local: sort the row's tokens, then one pass
-    keeping the longest run (a later run must be strictly longer to win, so
-    the smallest of equally frequent tokens stays)."""
-    srt = F.array_sort(_c(tokens))
-    init = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0).alias("run"),
-                    F.lit(None).cast("string").alias("best"), F.lit(0).alias("best_n"))
-
-    def step(acc, t):
-        run = F.when(acc["cur"] == t, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(t.alias("cur"), run.alias("run"),
-                        F.when(run > acc["best_n"], t).otherwise(acc["best"]).alias("best"),
-                        F.greatest(run, acc["best_n"]).alias("best_n"))
-    return F.aggregate(srt, init, step, lambda acc: acc["best"])
+    for an empty array.  Row-local: sort the row's tokens, find where each run
+    of equal ones ends, and take the first of the longest runs."""
+    def of_sorted(t):
+        n = F.size(t)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.get(t, i - 1).eqNullSafe(F.get(t, i)))
+        return once(ends, lambda e: once(F.transform(e, lambda x, i: x - F.coalesce(F.get(e, i - 1), F.lit(0))), lambda run: F.get(
+            t, F.get(e, (F.array_position(run, F.array_max(run)) - 1).cast("int")) - 1)))
+    return once(F.sort_array(_c(tokens)), lambda t: F.when(F.size(t) > 0, of_sorted(t)))
 
 
 def first_tokens(text, n: int, pattern: str = WS_SPLIT, lower: bool = False) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.text import most_frequent, word_tokens, ws_tokens
+from ..functions.text import most_frequent, once, word_tokens, ws_tokens
 from ..operators.nli import hypotheses
 
 METHODS = ("standard", "nli", "generation")
@@ -32,6 +32,10 @@ METHOD_ALIASES = {"standard_dl": "standard", "nli": "nli", "generation": "genera
 # ---- fixed parameters of the SQL-checkable stand-in scorers ---------------
 CENTROID_SCALE = 20.0   # logit = 20 x dot(features, class mean)
 INPUT_LEN = 368         # padded input width = 384 - 16
+#: A word with more than this part of all tokens is dealt to several tasks.
+HOT = 1000
+#: A vocabulary of up to so many words (some 50 MB) is sent to every executor.
+BROADCAST_WORDS = 1_000_000
 # ---------------------------------------------------------------------------
 
 
@@ -266,8 +270,9 @@ class OverlapNLIScorer:
         expanding rows -- the K hypotheses are a literal array evaluated in
         the row, so there is no regroup shuffle at all."""
         hyps = self._hyp_tokens()
-        tt = self._text_tokens()
-        z = F.array(*[F.size(F.array_intersect(tt, t)).cast("double") for _, _, _, t in hyps])
+        # the whole text meets the words of all hypotheses once; the few that it has are counted for each
+        known = F.array_distinct(F.concat(*(t for _, _, _, t in hyps)))
+        z = once(F.array_intersect(word_tokens("text"), known), lambda has: F.array(*[F.size(F.array_intersect(has, t)).cast("double") for _, _, _, t in hyps]))
         cols = ["idx", *keep, z.alias("z_entail"), F.array_repeat(F.lit(1.0), len(hyps)).alias("z_not")]
         if label is not None:
             from ..operators.nli import _own_hypothesis
@@ -281,7 +286,9 @@ class OverlapNLIScorer:
 class UnigramModel:
     kind = "generation"
 
-    def __init__(self, counts: DataFrame, n_tokens: int, vocab_size: int, input_len: int, length_penalty: float):
+    def __init__(self, counts: DataFrame, n_tokens: int, vocab_size: int, input_len: int, length_penalty: float,
+                 broadcast_words: int = BROADCAST_WORDS):
+        self.broadcast_words = broadcast_words
         self.counts, self.n_tokens, self.vocab_size = counts, n_tokens, vocab_size
         self.input_len, self.length_penalty = input_len, length_penalty
 
@@ -301,19 +308,40 @@ class UnigramModel:
 
     def score(self, df: DataFrame, with_pred: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
         """(idx, *keep, [pred,] score) with the I6 sequence score over the
-        whole text.  A text's repeated tokens are counted before the join
-        (complete within the task that reads the text), and sums and counts
-        are partial aggregates: no step array is built."""
-        tok = df.select("idx", F.explode(ws_tokens("text")).alias("token")).groupBy("idx", "token").agg(F.count(F.lit(1)).alias("n"))
-        step = tok.join(self.counts, on="token", how="left").select("idx", "n", self._step().alias("step"))
-        total = step.groupBy("idx").agg(F.sum(F.col("n") * F.col("step")).alias("_sum"),
-                                        F.sum(F.when(F.col("step") < 0, F.col("n"))).alias("_neg"))
-        base = self.predictions(df, keep) if with_pred else df.select("idx", *keep)
-        out = base.join(total, on="idx", how="left")
-        return (out.withColumn("score", S.sequence_score_of(F.coalesce("_sum", F.lit(0.0)), F.coalesce("_neg", F.lit(0)), self.input_len, self.length_penalty))
+        whole text.
+
+        Sums and counts of a text are partial aggregates before they meet by
+        id.  A vocabulary of up to ``BROADCAST_WORDS`` (it was counted when the
+        model was fitted) is looked up where the text is read.  A larger one
+        is met in one exchange by token; words that make up more than
+        1 / ``HOT`` of all tokens -- fewer than ``HOT`` of them, whatever the
+        corpus -- are dealt to salts there, with their counts repeated.  A text
+        without tokens stays as a row of its own, so nothing is joined back."""
+        cols = [*keep, *(["pred"] if with_pred else [])]
+        # the answer is made before the text is taken apart, not once a token
+        rows = df.select("idx", *keep, F.col("text").alias("_text"), *([most_frequent(word_tokens("text")).alias("pred")] if with_pred else []))
+        rows = rows.select("idx", *cols, F.explode_outer(ws_tokens("_text")).alias("token"))
+        if self.vocab_size <= self.broadcast_words:
+            step = rows.join(F.broadcast(self.counts), on="token", how="left")
+        else:
+            step = self._dealt(rows)
+        step = step.withColumn("step", F.when(F.col("token").isNotNull(), self._step()))
+        out = step.groupBy("idx").agg(*(F.first(c).alias(c) for c in cols), F.sum("step").alias("_sum"), F.count(F.when(F.col("step") < 0, 1)).alias("_neg"))
+        return (out.withColumn("score", S.sequence_score_of(F.coalesce("_sum", F.lit(0.0)), F.col("_neg"), self.input_len, self.length_penalty))
                 .drop("_sum", "_neg"))
 
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (idx, token, ...) with ``cnt``, through an exchange by (token, salt)."""
+        share = max(1, self.n_tokens // HOT)
+        salts = F.when(F.col("cnt") > share, F.ceil(F.col("cnt") / share).cast("int")).otherwise(F.lit(1))
+        hot = self.counts.where(F.col("cnt") > share).select(F.col("token").alias("_hot"), salts.alias("_salts"))
+        rows = rows.join(F.broadcast(hot), F.col("token") == F.col("_hot"), "left")   # fewer than HOT rows
+        salt = F.coalesce(F.pmod(F.xxhash64("idx"), F.col("_salts")).cast("int"), F.lit(0))
+        counts = self.counts.select("token", "cnt", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        return rows.withColumn("salt", salt).join(counts, on=["token", "salt"], how="left")
+
+
 def answer_predictions(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(idx, pred): the stand-in generated answer = the most frequent word
     of the whole text (ties: the smaller word), computed inside the row --

@@ -77,6 +77,26 @@ def test_unigram_zero_shot_uses_corpus(spark):
     assert math.isclose(m.score(some).first().score, sum(steps) / (SC.INPUT_LEN + n), abs_tol=1e-8)
 
 
+def test_unigram_vocabulary_sent_or_dealt(spark):
+    """The same scores whether the vocabulary is broadcast or met by token
+    with frequent words in salts."""
+    rows = [(i, "la " * (i % 40) + f"w{i % 7} x{i}") for i in range(400)] + [(900, ""), (901, None), (902, " \n ")]
+    df = spark.createDataFrame(rows, "idx long, text string").repartition(3)
+    m = SC.UnigramScorer(df).fit(None)
+    sent = sorted((r.idx, r.score, r.pred) for r in m.score(df).collect())
+    m.broadcast_words = 0
+    dealt = m.score(df, keep=("text",))
+    assert sent == sorted((r.idx, r.score, r.pred) for r in dealt.collect()) and len(sent) == len(rows)
+    assert "Salts" not in dealt.columns and {r.idx: r.text for r in dealt.collect()} == dict(rows)
+
+
+def test_most_frequent_word(spark):
+    from drawpool.functions.text import most_frequent, word_tokens
+    rows = [("b a b a c",), ("",), (None,), ("x",), ("c c b b B",), ("z z y",)]
+    got = spark.createDataFrame(rows, "t string").select(most_frequent(word_tokens("t")).alias("m")).collect()
+    assert [r.m for r in got] == ["a", None, None, "x", "b", "z"]
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
