@@ -4,7 +4,7 @@ Texts are tokenised whole (ids, then one end id) and cut into pieces of the
 sequence length.  Tasks pack their pieces by best fit, longest first, and
 emit nearly full bins; underfull bins go on as items: a tree of rounds deals
 them into fewer groups and packs them again, until a round of one group is
-done or a round no longer helps.  Groups have a bounded number of items, so
+done or a round has merged no two bins.  Groups have a bounded number of items, so
 no task gathers what grows with the input.
 
 Defined cases: a null or empty text is the end id alone; a null or repeated
@@ -21,6 +21,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ SLACK = 16
 GROUP = 1 << 15
 #: Chunks of text whose ids a worker keeps.
 CACHE = 700_000
+#: Characters of text that are encoded together.
+BLOCK = 6 << 20
 _LOADED: dict[str, tuple] = {}
 
 
@@ -45,8 +48,12 @@ def encoder(path: str):
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _LOADED[path] = (Tokenizer.from_file(path), {"": b""})
-    tok, cache = _LOADED[path]
+        tok = Tokenizer.from_file(path)
+        vocab = tok.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for v, i in vocab.items() if v.endswith("</w>")]] = True
+        _LOADED[path] = (tok, {"": b""}, ends)
+    tok, cache, ends = _LOADED[path]
 
     def plain(chunk: str) -> tuple[str, str]:
         """A chunk as (base, punctuation that ends it)."""
@@ -58,20 +65,42 @@ def encoder(path: str):
         tail = chunk[len(base):]
         return (base.lower() if base.isascii() else base), tail
 
+    def learn(new: list[str]) -> None:
+        """Words of plain letters are encoded as one text: each ends in a
+        piece that ends a word.  Anything else is encoded by itself."""
+        words = [c for c in new if c.isalpha() and max(c) < "\u0250" and len(c.lower()) == len(c)]
+        for lo in range(0, len(words), 4096):
+            part = words[lo:lo + 4096]
+            got = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(ends[got]) + 1
+            if len(stop) == len(part):
+                cache.update(zip(part, (x.tobytes() for x in np.split(got, stop[:-1]))))
+        rest = [c for c in new if c not in cache]
+        for c, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False)):
+            cache[c] = array("I", e.ids).tobytes()
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(cache) > CACHE:
             cache.clear()
             cache[""] = b""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = [c for c in set().union(*chunks) if c not in cache]
-        parts = {c: plain(c) for c in missing}
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()  # each chunk is looked up once a block
+        values, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        parts = {c: plain(c) for c in values if c not in cache}
         new = [c for c in dict.fromkeys(p for pair in parts.values() for p in pair) if c not in cache]
-        for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            cache[c] = array("I", e.ids).tobytes()
+        learn(new)
         for c, (base, tail) in parts.items():
             if c not in cache:
                 cache[c] = cache[base] + cache[tail]
-        return [b"".join(map(cache.__getitem__, x)) for x in chunks]
+        ids = [cache[c] for c in values]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        count = size[place]
+        sums = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(start[place] - sums[:-1], count)
+        at += np.arange(sums[-1])
+        flat, bounds = pool[at], sums[split.offsets.to_numpy()]
+        return [flat[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
 
     return encode
 
@@ -87,7 +116,7 @@ def _pieces(path: str, length: int, end_id: int):
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 1 << 20):
+                while hi < len(texts) and (hi == lo or size < BLOCK):
                     size += len(texts[hi] or "")
                     hi += 1
                 out = []
@@ -196,7 +225,7 @@ def pack(parts: DataFrame, length: int = LENGTH, slack: int = SLACK, group: int
         bins = written(dealt.mapInArrow(_packer(length, turn, group, slack), _BIN), "bins")
         done, before, turn = done.unionByName(bins.where("NOT open")), n, turn + 1
         n = bins.where("open").count()
-        if groups == 1 or n > 0.99 * before:
+        if groups == 1 or n == before:  # one group is best fit itself; or nothing could be merged
             break
     done = done.unionByName(bins.where("open"))
     return done.select("sequence_id", F.explode(F.arrays_zip(*_MEMBERS)).alias("m")).select(*(f"m.{c}" for c in _MEMBERS[:-1]), "sequence_id", "m.offset")
