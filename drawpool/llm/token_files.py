@@ -38,9 +38,9 @@ SHARD_BYTES, GROUP_BYTES, PAGE_BYTES = 64 << 20, 16 << 20, 64 << 10
 #: Documents in a page of the narrow columns.
 PAGE_ROWS = 512
 #: Pieces of text whose ids a worker keeps, and the longest that it keeps.
-CACHE, CACHED_CHARS = 600_000, 64
+CACHE, CACHED_CHARS = 520_000, 64
 #: Bytes of text that are encoded together.
-BLOCK = 6 << 20
+BLOCK = 5 << 20
 NARROW = ("shard", "doc_id", "at", "n_tokens")
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -145,8 +145,8 @@ class Encoder:
         code = self._look_up(values)[units.indices.to_numpy()]
         start, count = self.start[code], self.start[code + 1] - self.start[code]
         sums = np.concatenate([[0], np.cumsum(count)])
-        place = np.repeat(start - sums[:-1], count)
-        place += np.arange(sums[-1])
+        place = np.repeat((start - sums[:-1]).astype(np.int32), count)  # the pool is small
+        place += np.arange(sums[-1], dtype=np.int32)
         flat = self.pool[place]
         for v in [v for v in values if len(v) > CACHED_CHARS]:  # they hardly come again
             del self.codes[v]
