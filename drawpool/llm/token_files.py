@@ -38,9 +38,9 @@ SHARD_BYTES, GROUP_BYTES, PAGE_BYTES = 64 << 20, 16 << 20, 64 << 10
 #: Documents in a page of the narrow columns.
 PAGE_ROWS = 512
 #: Pieces of text whose ids a worker keeps, and the longest that it keeps.
-CACHE, CACHED_CHARS = 520_000, 64
+CACHE, CACHED_CHARS = 500_000, 64
 #: Bytes of text that are encoded together.
-BLOCK = 5 << 20
+BLOCK = 3 << 20
 NARROW = ("shard", "doc_id", "at", "n_tokens")
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -199,6 +199,7 @@ def _encode(path: str, end_id: int):
                 yield from batches_of({"shard": np.full(len(n), shard, np.int32), "doc_id": b.column("doc_id"), "at": at + ends[:-1],
                                        "n_tokens": n.astype(np.int32), "ids": lists(ids, ends)}, schema, 1024)
                 at += int(ends[-1])
+            pa.default_memory_pool().release_unused()
     return run
 
 
