@@ -17,6 +17,10 @@ agreeing lowest bits of the 256 registers (224 are expected at 0.75, 200 lie 4.5
 standard deviations below, 3e-6; it decides for long texts).  Equal sets are
 one class from the start, by a 128-bit digest of the set.
 
+Texts are verified in groups: one document and about 256 of those it meets, in
+a stream that holds one set.  A text is filtered where it is read, by a bitmap
+of the ids that any pair names, and goes to each group that compares it once.
+
 Defined cases: null, empty and word-less texts have an empty set, are linked
 with nothing and stay; fewer than 5 words are one shingle; rows of a repeated
 ``doc_id`` are one node, linked by each of their texts; a null ``doc_id`` is
@@ -31,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawpool.operators.membership import bitmap, may_be_in
+
 from .common import batches_of, lists, written
 from .linking import components, link
 from .textgrid import NONSPACE, Grid, blocks, mix, ngrams
@@ -41,6 +47,8 @@ REGISTERS, BANDS, ROWS = 256, 51, 5
 AGREE = 200
 #: Cells of the parities.
 CELLS = 512
+#: Partners of a document that one task compares with it, about.
+PARTNERS = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,30 +137,41 @@ def _signatures(size: int):
 def _verified(size: int, percent: int):
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def sets(column):
-        out = []
-        for _, _, grid in blocks(column, NONSPACE, True):
-            h, bounds = shingle_sets(grid, size)
-            out += [h[bounds[i]:bounds[i + 1]] for i in range(grid.n_docs)]
-        return out
-
     def run(batches):
+        """Rows come by group, a group's own texts (``head``) before those it meets."""
+        here, heads = None, []
         for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            # a text that meets many others is cut into shingles once
-            codes = b.column("text_x").dictionary_encode()
-            known = sets(codes.dictionary)
-            right = sets(b.column("text_y"))
-            keep = []
-            for i, code in enumerate(codes.indices.to_pylist()):
-                p, q = known[code], right[i]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            keep = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[keep]) for c in (x, y)], schema=schema)
+            x, y, head = b.column("x").to_pylist(), b.column("doc_id").to_pylist(), b.column("head").to_pylist()
+            part = b.column("part").to_pylist()
+            for lo, hi, grid in blocks(b.column("text"), NONSPACE, True):
+                h, bounds = shingle_sets(grid, size)
+                true = []
+                for i in range(lo, hi):
+                    if here != (x[i], part[i]):
+                        here, heads = (x[i], part[i]), []
+                    q = h[bounds[i - lo]:bounds[i - lo + 1]]
+                    if head[i]:
+                        heads.append(q.copy())
+                        continue
+                    for p in heads:
+                        both = len(np.intersect1d(p, q, assume_unique=True))
+                        if both > 0 and 100 * both >= percent * (len(p) + len(q) - both):
+                            true.append(i)
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in true], pa.int64()) for c in (x, y)], schema=schema)
     return run
 
 
+def _groups(pairs: DataFrame) -> DataFrame:
+    """The texts that each comparison needs: rows (doc_id, x, part, head).
+    Every pair (x, y) asks for y's text once, and each part of x's partners,
+    of about ``PARTNERS`` rows, for x's once."""
+    sizes = written(pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("parts")), "sizes")
+    dealt = pairs.join(sizes, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"))
+    return written(dealt.select(F.col("y").alias("doc_id"), "x", "part", F.lit(False).alias("head"))
+                   .unionByName(dealt.select(F.col("x").alias("doc_id"), "x", "part", F.lit(True).alias("head")).distinct()), "groups")
+
+
 _BITS, _WORDS = REGISTERS // 64, (REGISTERS + CELLS) // 64
 
 
@@ -170,7 +189,6 @@ def _likely(percent: int):
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs`` (doc_id,
     text).  ``percent`` is at least 75, for which the bands are laid out."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_signatures(size), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch array<bigint>, bands array<bigint>"), "signatures")
     key = ["n_shingles", "set_a", "set_b"]
@@ -182,25 +200,21 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # what the candidates' test needs goes with those that share a bucket
     carry = [F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(_WORDS))]
     shared = written(shared.join(reps.select("node", *carry), "node"), "members")
-    texts = written(docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct(), "candidates")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
-        right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y"))
-        return pairs.join(right, "y").join(left, "x").mapInArrow(_verified(size, percent), "x bigint, y bigint").distinct()
-
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, "512")  # pairs of whole texts
-    try:
-        comps = link(shared, verify, _likely(percent))
-        # ids that come with several texts tie the classes of those texts together
-        twice = some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("doc_id")
-        ties = written(some.join(twice, "doc_id").join(classes, key).where("doc_id <> node").select(F.col("doc_id").alias("x"), F.col("node").alias("y")), "ties")
-        if not ties.isEmpty():
-            comps = components(ties.unionByName(comps.select(F.col("node").alias("x"), F.col("component").alias("y"))))
-    finally:
-        spark.conf.set(batch, before)
+        # texts are filtered where they are read; each goes once to the groups that compare it
+        groups = _groups(pairs)
+        ids = groups.select("doc_id").distinct()
+        texts = docs.where(may_be_in(F.col("doc_id"), bitmap(ids, "doc_id"))).distinct().join(groups, "doc_id")
+        dealt = texts.repartition("x", "part").sortWithinPartitions("x", "part", F.desc("head"))
+        return dealt.select("x", "part", "head", "doc_id", "text").mapInArrow(_verified(size, percent), "x bigint, y bigint").distinct()
+
+    comps = link(shared, verify, _likely(percent))
+    # ids that come with several texts tie the classes of those texts together
+    twice = some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("doc_id")
+    ties = written(some.join(twice, "doc_id").join(classes, key).where("doc_id <> node").select(F.col("doc_id").alias("x"), F.col("node").alias("y")), "ties")
+    if not ties.isEmpty():
+        comps = components(ties.unionByName(comps.select(F.col("node").alias("x"), F.col("component").alias("y"))))
     comps = written(comps, "components")
     placed = (signed.select("doc_id", *key).join(classes, key, "left").join(comps, "node", "left")
               .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))))
