@@ -12,8 +12,10 @@ has the log-probability of Zipf's law at its rank, in whole units of 2**-20,
 so that ties are exact: of equal scores the segmentation with fewer tokens
 counts.  A character without a piece costs a token for each of its bytes.
 
-Pre-tokens are runs of bytes other than white space, cut after every 64
-characters; the first part of a run begins with the vocabulary's word mark.
+Pre-tokens are runs of bytes other than white space, whatever their length,
+and begin with the vocabulary's word mark.  The trie holds those of up to 64
+bytes; longer ones, which hardly share a beginning, go through the same
+recursion one after the other, over the whole run.
 
 Defined cases: null, empty and blank texts have no token; a null or repeated
 ``doc_id`` is a row of its own; other columns are not read.
@@ -29,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, importable
-from .textgrid import NONSPACE, Grid, _P, blocks, mix, powers
+from .textgrid import NONSPACE, Grid, _P, _spans, blocks, mix, powers
 
 MARK = "▁".encode()
+#: Bytes of the longest pre-token in the trie; longer ones are scored by ``long_counts``, with the same result.
 LONGEST = 64
 UNIT = 1 << 20
 #: Rank at which a byte of a character without a piece is set.
@@ -143,47 +146,79 @@ def _better(score: np.ndarray, count: np.ndarray, at: np.ndarray, s: np.ndarray,
     score[at[take]], count[at[take]] = s[take], c[take]
 
 
-def pre_tokens(grid: Grid, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end, first of its word) of every pre-token."""
-    doc, starts, ends = grid.doc, grid.starts, grid.ends
-    long = np.flatnonzero(ends - starts > longest)
-    first = np.ones(len(starts), bool)
-    if len(long):
-        more = []
-        for i in long.tolist():
-            chars = starts[i] + np.flatnonzero((grid.data[starts[i]:ends[i]] & 0xC0) != 0x80)
-            cuts = np.append(chars[::longest], ends[i])
-            cuts[0] = starts[i]
-            more += [(int(doc[i]), int(a), int(b), a == starts[i]) for a, b in zip(cuts[:-1], cuts[1:])]
-        keep = np.ones(len(starts), bool)
-        keep[long] = False
-        d, s, e, f = (np.array(x) for x in zip(*more))
-        doc, starts, ends, first = (np.concatenate([a[keep], b]) for a, b in ((doc, d), (starts, s), (ends, e), (first, f)))
-        order = np.argsort(starts, kind="stable")
-        doc, starts, ends, first = doc[order], starts[order], ends[order], first[order]
-    return doc, starts, ends, first
+def long_counts(data: np.ndarray, bounds: np.ndarray, vocab: Vocabulary, chunk: int = 1 << 16) -> np.ndarray:
+    """Token counts of the runs data[bounds[i]:bounds[i + 1]]: the same forward
+    recursion over the whole run, which needs the states of as many bytes as
+    the longest piece has.  ``chunk`` bytes are looked up at once."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    total, longest, fallback = len(data), max(vocab.by), zipf(FALLBACK_RANK)
+    starts_here = np.zeros(total + 1, bool)
+    starts_here[:-1] = (data & 0xC0) != 0x80
+    starts_here[bounds] = True
+    score, count, base = [0], [0], 0
+    run, stop = 0, int(bounds[1])
+    for lo in range(0, total, chunk):
+        hi, a = min(lo + chunk, total), max(0, lo - longest)
+        part = data[a:hi]
+        up, down = powers(_P, len(part) + 1)
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=prefix[1:])
+        ends = lo + 1 + np.flatnonzero(starts_here[lo + 1:hi + 1])
+        room = ends - bounds[np.searchsorted(bounds, ends) - 1]
+        lead = np.zeros(len(ends), np.int64)  # bytes of the character that ends here
+        for k in range(4, 0, -1):
+            lead[(room >= k) & starts_here[np.maximum(ends - k, 0)]] = k
+        single = np.zeros(len(ends), bool)
+        steps = []
+        for k in sorted(vocab.by):
+            at = np.flatnonzero(room >= k)
+            r = ends[at] - a
+            value = vocab.scores(k, mix((prefix[r] - prefix[r - k]) * down[r - k]))
+            found = value > _UNREACHED
+            single[at[found]] |= lead[at[found]] == k
+            steps.append((ends[at[found]], np.full(found.sum(), k), value[found], np.ones(found.sum(), np.int64)))
+        lone = np.flatnonzero(~single & (lead > 0))
+        steps.append((ends[lone], lead[lone], fallback * lead[lone], lead[lone]))
+        end, size, value, tokens = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(end, kind="stable")
+        score += [_UNREACHED] * (hi - lo)
+        count += [0] * (hi - lo)
+        for e, k, v, n in zip(*(x[order].tolist() for x in (end, size, value, tokens))):
+            if e > stop:  # the next run begins with nothing
+                out[run] = count[stop - base]
+                score[stop - base] = count[stop - base] = 0
+                run, stop = run + 1, int(bounds[run + 2])
+            s, c, i = score[e - k - base] + v, count[e - k - base] + n, e - base
+            if s > score[i] or s == score[i] and c < count[i]:
+                score[i], count[i] = s, c
+        base = max(0, hi - longest)
+        score, count = score[-longest - 1:], count[-longest - 1:]
+    out[run] = count[-1]
+    return out
 
 
 def count_tokens(grid: Grid, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Pre-tokens and tokens of each document of a block."""
-    from .textgrid import _spans
-
-    doc, starts, ends, first = pre_tokens(grid)
-    keys = _spans(grid.data, starts, ends, _P) + first.astype(np.uint64)
-    _, pick, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    sizes, lead = ends[pick] - starts[pick], np.where(first[pick], len(MARK), 0)
+    doc, starts, ends = grid.doc, grid.starts, grid.ends
+    _, pick, inverse = np.unique(_spans(grid.data, starts, ends, _P), return_index=True, return_inverse=True)
+    sizes, lead = ends[pick] - starts[pick], len(MARK)
     counts = np.zeros(len(pick), np.int64)
     # short and long pre-tokens apart, as each trie is as wide as its longest
-    for low, high in ((0, 24), (24, 1 << 60)):
+    for low, high in ((0, 24), (24, LONGEST)):
         group = np.flatnonzero((sizes > low) & (sizes <= high))
         if len(group):
-            total = sizes[group] + lead[group]
+            total = sizes[group] + lead
             words = np.zeros((len(group), int(total.max())), np.uint8)
-            col = np.arange(words.shape[1])[None, :] - lead[group][:, None]
+            col = np.arange(words.shape[1])[None, :] - lead
             inside = (col >= 0) & (col < sizes[group][:, None])
             words[inside] = grid.data[(starts[pick[group]][:, None] + col)[inside]]
-            words[:, :len(MARK)] = np.where((lead[group] > 0)[:, None], np.frombuffer(MARK, np.uint8), words[:, :len(MARK)])
+            words[:, :lead] = np.frombuffer(MARK, np.uint8)
             counts[group] = forward_counts(words, total, vocab)
+    runs = np.flatnonzero(sizes > LONGEST)
+    if len(runs):
+        mark = np.frombuffer(MARK, np.uint8)
+        data = np.concatenate([x for i in pick[runs] for x in (mark, grid.data[starts[i]:ends[i]])])
+        counts[runs] = long_counts(data, np.concatenate([[0], np.cumsum(sizes[runs] + lead)]), vocab)
     return np.bincount(doc, minlength=grid.n_docs), np.bincount(doc, weights=counts[inverse], minlength=grid.n_docs).astype(np.int64)
 
 

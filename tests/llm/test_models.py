@@ -205,17 +205,15 @@ def _pieces(path):
 def _tokens(text, pieces):
     total = 0
     for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
-        parts = [w[i:i + 64] for i in range(0, len(w), 64)] if len(w.encode()) > 64 else [w]
-        for k, part in enumerate(parts):
-            s = "▁" * (k == 0) + part
-            best = [(0, 0)] + [None] * len(s)
-            for e in range(1, len(s) + 1):
-                c = [(best[b][0] + pieces[s[b:e]], best[b][1] - 1) for b in range(max(0, e - 48), e) if best[b] and s[b:e] in pieces]
-                if s[e - 1] not in pieces and best[e - 1]:
-                    n = len(s[e - 1].encode())
-                    c.append((best[e - 1][0] + n * token_counts.zipf(token_counts.FALLBACK_RANK), best[e - 1][1] - n))
-                best[e] = max(c)
-            total -= best[-1][1]
+        s = "▁" + w
+        best = [(0, 0)] + [None] * len(s)
+        for e in range(1, len(s) + 1):
+            c = [(best[b][0] + pieces[s[b:e]], best[b][1] - 1) for b in range(max(0, e - 48), e) if best[b] and s[b:e] in pieces]
+            if s[e - 1] not in pieces and best[e - 1]:
+                n = len(s[e - 1].encode())
+                c.append((best[e - 1][0] + n * token_counts.zipf(token_counts.FALLBACK_RANK), best[e - 1][1] - n))
+            best[e] = max(c)
+        total -= best[-1][1]
     return total
 
 
@@ -224,12 +222,22 @@ def test_token_counts_against_brute_force(spark):
     pieces, rng = _pieces(path), random.Random(6)
     texts = ["".join(rng.choice("abcdeéñßthing日本🙂.,#▁1  \n") for _ in range(rng.randrange(0, 150))) for _ in range(150)]
     texts += ["x" * 500, "日" * 130 + "a", "a\0b \0", "internationalisation of the world", "é" * 65 + " " + "é" * 64]
+    texts += ["https://example.org/" + "".join(rng.choice(["path", "index", "日本", "/", "q=", "é"]) for _ in range(n)) for n in (20, 60, 400)] * 2
     docs = list(enumerate(texts)) + [(901, None), (902, ""), (None, "no id"), (3, texts[3])]
     out = token_counts.token_counts(documents(spark, docs), path).collect()
     assert sorted(str((r.doc_id, r.n_tokens)) for r in out) == sorted(str((d, _tokens(t, pieces))) for d, t in docs)
     assert token_counts.token_counts(documents(spark, []), path).count() == 0
 
 
+def test_long_runs_do_not_depend_on_the_chunk():
+    vocab, rng = token_counts.Vocabulary.load(queries.tokenizer_path(queries.VOCABULARY)), random.Random(8)
+    runs = ["".join(rng.choice(["the", "ing", "é", "日", "x", "🙂", "nation"]) for _ in range(rng.randrange(1, 300))).encode() for _ in range(30)]
+    data, bounds = np.frombuffer(b"".join(runs), np.uint8), np.cumsum([0] + [len(r) for r in runs])
+    want = token_counts.long_counts(data, bounds, vocab).tolist()
+    assert all(token_counts.long_counts(data, bounds, vocab, chunk).tolist() == want for chunk in (1, 7, 64, 1000))
+    assert want == [int(token_counts.long_counts(np.frombuffer(r, np.uint8), np.array([0, len(r)]), vocab)[0]) for r in runs]
+
+
 def test_shared_prefixes_are_scored_once():
     vocab = token_counts.Vocabulary([b"a", b"b", b"ab", b"abc", b"\xe2\x96\x81"])
     [(_, _, grid)] = blocks(pa.array(["ab abc abab b"]), NONSPACE, False)
