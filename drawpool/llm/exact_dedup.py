@@ -6,7 +6,11 @@ content and the number of rows.  Rows that hit a digest already taken are
 then checked byte by byte: per digest, the smallest and the largest
 normalised text must be the same string (a partial aggregate, so a group that
 holds a third of all rows is reduced before it is shuffled).  Digests that
-fail the check are grouped again by the text itself.
+fail the check are grouped again by the text itself.  Texts meet their digest
+by the digest, recomputed where they are read: a third of all rows without an
+id, or with one id, costs no more than others.  The locator names a row of the
+written table of digests; it is kept for users of the state, and no step here
+reads a text by it.
 
 Defined cases: null text counts as empty; empty texts are equal to each
 other; a repeated ``doc_id`` is a row like any other and shares the fate of
@@ -21,6 +25,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drawpool.operators.membership import bitmap, may_be_in
+
 from .common import scratch, written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -89,17 +95,15 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
         state = rows.select("digest", F.col("doc_id").alias("keep_id"), "locator", F.lit(0).cast("bigint").alias("group_size"))
 
     placed = rows.join(state.drop("locator"), "digest")
-    # full bytes on hits: rows meet their texts by id, evenly spread, and each task reduces a digest's texts first
-    hits = placed.where("group_size > 1").select("doc_id", "digest").distinct()
-    texts = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"])).select(hits["doc_id"], "digest", norm.alias("t"))
-    unlike = written(texts.where(digest(F.col("t")) == F.col("digest")).groupBy("digest")
+    # full bytes on hits: texts whose digest is taken twice, found where they are read; each task reduces a digest's texts first
+    hits = state.where("group_size > 1").select("digest")
+    texts = docs.select("doc_id", norm.alias("t")).withColumn("digest", digest(F.col("t")))
+    unlike = written(texts.where(may_be_in(F.col("digest"), bitmap(hits, "digest"))).groupBy("digest")
                      .agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("digest"), "unlike")
-    plain = placed
+    plain = placed.select("doc_id", "keep_id", "group_size", "sha")
     if not unlike.isEmpty():
         # a digest shared by different texts: its rows are grouped by text
-        own = rows.join(unlike, "digest", "left_semi").select("doc_id", "digest", "sha").distinct()
-        same = (docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"]))
-                .select(own["doc_id"], "digest", "sha", norm.alias("t")).where(sha256(F.col("t")) == F.col("sha")))
+        same = texts.join(unlike, "digest", "left_semi").select("doc_id", "t", sha256(F.col("t")).alias("sha"))
         groups = same.groupBy("t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         exact = same.join(groups, "t").select("doc_id", "keep_id", "group_size", "sha")
         plain = placed.join(unlike, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "sha").unionByName(exact)

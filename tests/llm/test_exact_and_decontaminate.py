@@ -36,6 +36,14 @@ def test_exact_dedup_empty_table(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
 
 
+def test_exact_dedup_many_rows_without_id(spark):
+    docs = spark.range(50_000).selectExpr("CASE WHEN id % 5 = 0 THEN id END AS doc_id", "concat('text ', id DIV 4) AS text")
+    out = exact_dedup.exact_dedup(docs)
+    got = out.agg(F.count(F.lit(1)), F.sum("group_size"), F.count("keep_id"), F.sum(F.col("kept").cast("int"))).first()
+    keep = [min((i for i in range(4 * g, 4 * g + 4) if i % 5 == 0), default=None) for g in range(12_500)]
+    assert tuple(got) == (50_000, 200_000, 4 * sum(k is not None for k in keep), sum(4 if k is None else 1 for k in keep))
+
+
 def test_exact_dedup_checks_bytes_when_digests_collide(spark):
     docs = documents(spark, [(i, f"text {i % 7}") for i in range(60)])
     weak = exact_dedup.exact_dedup(docs, digest=lambda t: F.substring(F.sha2(t, 256), 1, 1).cast("binary"))
