@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,10 +19,16 @@ BITMAP_BITS = 1 << 24
 #: Bits that Spark's bitmap functions put in one bucket (fixed by Spark).
 BUCKET_BITS = 32768
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package where it isn't installed: its
-    place goes on their path, as in local runs from another folder."""
+    place goes on their path, as in local runs from another folder.  Where the
+    session sets no bound of its own, a worker's batch ends after 4 MB, so that
+    rows of long texts don't add up; one row is never divided."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
@@ -82,6 +89,27 @@ def row_ids(start: int, n: int) -> np.ndarray:
     return (np.int64(ctx.partitionId() if ctx else 0) << 40) + np.arange(start, start + n, dtype=np.int64)
 
 
+def _trim():
+    """The C library's call that gives free heap pages back, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (batches to batches) in a worker that gives unused memory back
+    after each batch: Spark keeps workers for the tasks and stages that follow."""
+    def out(batches):
+        trim = _trim()
+        for b in run(batches):
+            yield b
+            del b
+            pa.default_memory_pool().release_unused()
+            trim(0)
+    return out
+
+
 def batches_of(columns: dict[str, pa.Array | np.ndarray], schema: pa.Schema, size: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows."""
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in (columns[f.name] for f in schema)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bitmap, in_bitmap, lists, row_ids, written
+from .common import batches_of, bitmap, in_bitmap, lean, lists, row_ids, written
 from .textgrid import ALNUM, Grid, blocks, mix, ngrams
 
 SPAN = 10
@@ -141,7 +141,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, span: int = SPAN, gram
     marks = bitmap(prints, "print")
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.mapInArrow(_doc_rows(short, marks, span, gram), _ROWS), "prints-of-documents")
+    rows = written(docs.mapInArrow(lean(_doc_rows(short, marks, span, gram)), _ROWS), "prints-of-documents")
     found = rows.where(F.col("print").isNotNull()).join(prints, ["n", "print"], "left_semi")
     around = found.select("rid", "n", F.explode(F.arrays_zip("starts", "h", "h2")).alias("s")).select("rid", "n", "s.starts", "s.h", "s.h2")
     hits = around.join(spans, ["n", "h", "h2"]).select("rid", F.col("starts").alias("start"), "n", "item_ids")

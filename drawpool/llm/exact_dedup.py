@@ -33,7 +33,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 _STATE = "spark.sql.streaming.stateStore."
 #: State on disk; files grow with their content, instead of 4 MB set aside for each state partition.
 ROCKSDB = {f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-           f"{_STATE}rocksdb.allowFAllocate": "false"}
+           f"{_STATE}rocksdb.allowFAllocate": "false",
+           # one bound for all state partitions of an executor
+           f"{_STATE}rocksdb.boundedMemoryUsage": "true", f"{_STATE}rocksdb.maxMemoryUsageMB": "128"}
 
 
 @contextmanager

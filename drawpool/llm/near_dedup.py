@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from drawpool.operators.membership import bitmap, may_be_in
 
-from .common import batches_of, lists, written
+from .common import batches_of, lean, lists, written
 from .linking import components, link
 from .textgrid import NONSPACE, Grid, blocks, mix, ngrams
 
@@ -190,7 +190,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """doc_id, n_shingles, component_id, kept per row of ``docs`` (doc_id,
     text).  ``percent`` is at least 75, for which the bands are laid out."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signatures(size), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch array<bigint>, bands array<bigint>"), "signatures")
+    signed = written(docs.mapInArrow(lean(_signatures(size)), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch array<bigint>, bands array<bigint>"), "signatures")
     key = ["n_shingles", "set_a", "set_b"]
     some = signed.where("n_shingles > 0")
     classes = written(some.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
@@ -207,7 +207,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         ids = groups.select("doc_id").distinct()
         texts = docs.where(may_be_in(F.col("doc_id"), bitmap(ids, "doc_id"))).distinct().join(groups, "doc_id")
         dealt = texts.repartition("x", "part").sortWithinPartitions("x", "part", F.desc("head"))
-        return dealt.select("x", "part", "head", "doc_id", "text").mapInArrow(_verified(size, percent), "x bigint, y bigint").distinct()
+        return dealt.select("x", "part", "head", "doc_id", "text").mapInArrow(lean(_verified(size, percent)), "x bigint, y bigint").distinct()
 
     comps = link(shared, verify, _likely(percent))
     # ids that come with several texts tie the classes of those texts together

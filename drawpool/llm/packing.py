@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, lists, written
+from .common import batches_of, lean, lists, written
 
 LENGTH = 2048
 END_ID = 0
@@ -36,7 +36,7 @@ GROUP = 1 << 15
 #: Chunks of text whose ids a worker keeps.
 CACHE = 700_000
 #: Characters of text that are encoded together.
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 _LOADED: dict[str, tuple] = {}
 
 
@@ -133,7 +133,7 @@ def _pieces(path: str, length: int, end_id: int):
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pieces(path, length, end_id), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.mapInArrow(lean(_pieces(path, length, end_id)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(sizes: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, importable
+from .common import batches_of, importable, lean
 from .textgrid import ALNUM, Grid, blocks, mix, ngrams
 
 #: Labelled rows to train on: (clean, toxic), and the longest text among them.
@@ -445,7 +445,7 @@ def toxicity(docs: DataFrame, net: Network | float) -> DataFrame:
     """doc_id, score, predicted per row of ``docs`` (doc_id, text)."""
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scored(net), "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.mapInArrow(lean(_scored(net)), "doc_id bigint, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def clean(docs: DataFrame, net: Network | float) -> DataFrame:
@@ -461,4 +461,4 @@ def clean(docs: DataFrame, net: Network | float) -> DataFrame:
                 continue
             for lo, hi, grid in blocks(texts, ALNUM, True):
                 yield b.slice(lo, hi - lo).filter(pa.array(net.score(net.documents(grid)) < THRESHOLD))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
