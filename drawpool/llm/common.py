@@ -97,16 +97,20 @@ def _trim():
         return lambda _: 0
 
 
+def give_back() -> None:
+    """Return this process's unused memory to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def lean(run: Callable) -> Callable:
     """``run`` (batches to batches) in a worker that gives unused memory back
     after each batch: Spark keeps workers for the tasks and stages that follow."""
     def out(batches):
-        trim = _trim()
         for b in run(batches):
             yield b
             del b
-            pa.default_memory_pool().release_unused()
-            trim(0)
+            give_back()
     return out
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, importable, lean
+from .common import batches_of, give_back, importable, lean
 from .textgrid import ALNUM, Grid, blocks, mix, ngrams
 
 #: Labelled rows to train on: (clean, toxic), and the longest text among them.
@@ -425,7 +425,12 @@ def sample(docs: DataFrame, labels: DataFrame, usable) -> tuple[list[str], np.nd
 def learn(docs: DataFrame, labels: DataFrame, usable=None) -> Network | float:
     """A trained network, or the share of toxic rows if only one class is there."""
     texts, y, share = sample(docs, labels, F.lit(True) if usable is None else usable)
-    return train(texts, y, share) if len(set(y.tolist())) == 2 else share
+    if len(set(y.tolist())) < 2:
+        return share
+    net = train(texts, y, share)
+    del texts
+    give_back()  # the driver trains, and goes on
+    return net
 
 
 def _scored(net: Network | float):
