@@ -1,33 +1,33 @@
-"""Fuzzy line deduplication: rare word pairs in common, edit similarity.
+"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity.
 
 A line's normal form is its sequence of lower-cased words (ASCII letters and
 digits, and all beyond ASCII); in scripts that put no spaces between words
 (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is a word.
 Lines with one normal form of a word or more are one class.  Classes are
 linked when the edit similarity of their words, 1 - distance / words of the
-longer, is 0.8 or more, which takes 4 words at least.  Of each connected group
-the occurrence with the smallest (doc_id, line number) stays; lines without
-any word always stay.
-
-``near_lines`` finds every such link.  An edit takes at most two of a line's
-pairs of neighbouring words, so two lines of at most n words within n // 5
-edits share at least n - 1 - 2 * (n // 5) pairs, and one of them is among the
-first 2 * (n // 5) + 1 or so of either line in any fixed order of all pairs.
-Pairs of rare words come first: the order is by word counts of a sample, which
-decide how many candidates there are, never which links are found.  Pairs that lines of
-two classes hold go through ``linking``, so that a family of many variants
-costs one comparison a variant; the number of words and the parities of 64
-word counts, which every true link keeps within bounds, leave few candidates,
-and the edit similarity decides on whole lines.
-
-``fuzzy_lines`` is the narrower link by SimHash: lines of fewer than 4 words
-stay, words end at ASCII separators only, and at most 3 of 64 bits differ.  Two such hashes agree on one of 4 blocks, and on the other 48 bits
-again on one of 4 parts: classes are dealt by block value, and inside a task
-compared by part.  No query uses it.
+longer, is PERCENT or more and a SimHash finds them; that takes LEAST words.
+Of each connected group the occurrence with the smallest (doc_id, line number)
+stays; lines without any word always stay.
+
+A class has TABLES independent SimHashes of 64 bits over its words.  Each is
+cut into blocks of BLOCK bits, and two classes meet where they have one block
+of one table in common and differ in at most DISTANCE bits of that table; by
+the pigeonhole principle any two classes that differ in fewer bits of a table
+than it has blocks do.  The edit similarity then decides on whole lines.  At
+the limit of 0.92 one bit in eight differs, more than a single table's blocks
+guarantee, so there are several: README and tests give the recall against all
+pairs by edit similarity.
+
+Block values are dealt in ranges of (value, class), so that a value that many
+classes have is spread over tasks.  A task compares the members of a value
+that lies in it alone, up to PART of them, and passes on those with a partner;
+larger values, and those at a border of a task, go on whole.  ``linking`` then
+verifies about one pair for each member of a family.
 
 Defined cases: null and empty texts have no lines; a null ``doc_id`` counts as
 larger than any other; rows of a repeated ``doc_id`` are judged each by its
-own text, equal rows alike; other columns are not read.
+own text, equal rows alike; other columns are not read; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -39,22 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bitmap, in_bitmap, lists, written
+from .common import batches_of, bitmap, in_bitmap, lean, lists, written
 from .linking import link
 from .textgrid import _P, _Q, _R, _spans, ALNUM, Grid, blocks, buffers, mix
 
-MIN_WORDS, DISTANCE = 4, 3
-#: Least edit similarity, in per cent.
-PERCENT = 80
+#: Least edit similarity, in per cent, and the words that a line needs for one edit.
+PERCENT = 92
+LEAST = -(-100 // (100 - PERCENT))
+#: SimHashes of a class, bits of a block, bits of a table in which candidates may differ.
+TABLES, BLOCK, DISTANCE = 6, 21, 10
+BLOCKS = 64 // BLOCK
 LAST = (1 << 63) - 1
-#: Classes of one part of a block that a task compares pair by pair; larger parts go on whole.
-PART = 64
-#: Bits of a word pair's hash, slots of the table of common words and how many of them it names.
-PAIR_BITS, SLOTS, COMMON = 38, 1 << 22, 1 << 16
-#: Share of the rows whose words are counted for the order.
-SAMPLED = 1 / 16
-#: Bits of the bitmap of keys that two classes hold.
-KEY_BITS = 1 << 27
+#: Members of one block value that a task compares pair by pair; more go on whole.
+PART = 4096
+#: For each byte, its 8 bits as counters of 8 bits each; words that such counters hold.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+_RUN = 255
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -93,16 +93,14 @@ def characters(grid: Grid) -> Grid:
 
 
 class Lines:
-    """The lines of a block of texts that have at least ``least`` words."""
+    """The lines of a block of texts that have a word."""
 
-    def __init__(self, grid: Grid, least: int = MIN_WORDS):
+    def __init__(self, grid: Grid):
         self.words = grid.hashes()
         newline = np.concatenate([[0], np.cumsum(grid.data == 10)])
         at = newline[grid.starts] + grid.doc  # a text ends a line as well
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        end = np.append(first[1:], len(at))
-        keep = end - first >= least
-        self.first, self.end = first[keep], end[keep]
+        self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        self.end = np.append(self.first[1:], len(at)) if len(at) else self.first
         self.doc = grid.doc[self.first]
         self.number = newline[grid.starts[self.first]] - newline[grid.offsets[:-1]][self.doc]
         self.node = np.stack([_spans(self.words, self.first, self.end, _Q), _spans(mix(self.words + _R), self.first, self.end, _R)], axis=1)
@@ -110,38 +108,55 @@ class Lines:
     def nodes(self) -> pa.Array:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(self.node), [None, pa.py_buffer(np.ascontiguousarray(self.node).tobytes())]).cast(pa.binary())
 
-    def simhash(self) -> np.ndarray:
-        if not len(self.first):
-            return np.zeros(0, np.int64)
-        votes = np.zeros((len(self.first), 64), np.int32)
-        step = 1 << 15
-        for lo in range(0, len(self.first), step):  # a few lines at a time: 64 votes a word
-            a, b = self.first[lo:lo + step], self.end[lo:lo + step]
-            bits = np.unpackbits(np.ascontiguousarray(mix(self.words[a[0]:b[-1]])).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * 2 - 1
-            cuts = np.stack([a, b], axis=1).ravel() - a[0]
-            bits = np.concatenate([bits, np.zeros((1, 64), np.int16)])
-            votes[lo:lo + step] = np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)[::2]
-        return np.packbits(votes > 0, axis=1).view(np.int64).ravel()
-
-
-def _line_blocks(texts: pa.Array, every: bool):
-    """(first, end, lines) for runs of whole texts; ``every``: lines of any
-    length, with characters as words where a script has no spaces."""
+
+def simhash(words: np.ndarray, first: np.ndarray, end: np.ndarray, table: int) -> np.ndarray:
+    """64 bits of each line words[first:end] (one word or more, in order): in
+    which of them most of its words' hashes have a 1."""
+    out = np.zeros(len(first), np.int64)
+    seed = mix(np.full(1, table + 1, np.uint64))
+    lo = 0
+    while lo < len(first):  # the lines that begin in about 32,768 words
+        hi = int(np.searchsorted(first, first[lo] + (1 << 15)))
+        base, top = int(first[lo]), int(end[hi - 1])
+        runs = -(-(end[lo:hi] - first[lo:hi]) // _RUN)  # counters of 8 bits hold 255 words
+        line = np.cumsum(runs) - runs
+        place = np.arange(int(runs.sum())) - np.repeat(line, runs)
+        start = np.repeat(first[lo:hi] - base, runs) + place * _RUN
+        stop = np.minimum(start + _RUN, np.repeat(end[lo:hi] - base, runs))
+        cut = np.stack([start, stop], axis=1).ravel()
+        hashes = np.append(mix(words[base:top] ^ seed), np.uint64(0)).view(np.uint8).reshape(-1, 8)
+        votes = np.stack([np.add.reduceat(_COUNTERS[hashes[:, k]], cut)[::2] for k in range(8)], axis=1).view(np.uint8)
+        votes = np.add.reduceat(votes, line, axis=0, dtype=np.int32)
+        out[lo:hi] = np.packbits(2 * votes > (end[lo:hi] - first[lo:hi])[:, None], axis=1).view(np.int64).ravel()
+        lo = hi
+    return out
+
+
+def _line_blocks(texts: pa.Array):
+    """(first, end, lines) for runs of whole texts."""
     for lo, hi, grid in blocks(texts, ALNUM, True):
-        yield lo, hi, Lines(characters(grid), 1) if every else Lines(grid)
+        yield lo, hi, Lines(characters(grid))
 
 
-def _lines(every: bool):
-    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), ("sim", pa.int64()), ("words", pa.int32())])
+def _lines(batches):
+    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary())])
+    for b in batches:
+        ids = _ids(b.column("doc_id"))
+        for lo, hi, x in _line_blocks(b.column("text")):
+            keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
+            yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes()}, schema)
 
-    def run(batches):
-        for b in batches:
-            ids = _ids(b.column("doc_id"))
-            for lo, hi, x in _line_blocks(b.column("text"), every):
-                keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
-                yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(), "h": x.node[:, 0].view(np.int64),
-                                       "sim": pa.nulls(len(x.first), pa.int64()) if every else x.simhash(), "words": (x.end - x.first).astype(np.int32)}, schema)
-    return run
+
+def _hashes(batches):
+    """The SimHashes of lines of LEAST words or more, of repeated lines of a block once."""
+    schema = pa.schema([("node", pa.binary()), ("h", pa.int64()), ("words", pa.int32()), *((f"s{t}", pa.int64()) for t in range(TABLES))])
+    for b in batches:
+        for _, _, x in _line_blocks(b.column("text")):
+            at = np.flatnonzero(x.end - x.first >= LEAST)
+            if len(at):
+                at = at[np.sort(np.unique(x.node[at], axis=0, return_index=True)[1])]
+                sims = {f"s{t}": simhash(x.words, x.first[at], x.end[at], t) for t in range(TABLES)}
+                yield from batches_of({"node": x.nodes().take(pa.array(at)), "h": x.node[at, 0].view(np.int64), "words": (x.end - x.first)[at].astype(np.int32), **sims}, schema)
 
 
 def _raw_keys(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
@@ -173,165 +188,51 @@ def _passing(marks: np.ndarray):
     return run
 
 
-def partners(sim: np.ndarray, rest: np.ndarray, words: np.ndarray, group: np.ndarray):
-    """For each of 4 parts of the 48 bits ``rest``: the keys of group and part,
-    and the members that have a partner with that key."""
-    for j in range(4):
-        key = mix(group + ((rest >> np.uint64(12 * j)) & np.uint64(0xFFF)) + (np.uint64(j + 1) << np.uint64(60)))
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        run = np.diff(np.append(first, len(k)))
-        start = np.repeat(first, run)
-        size = np.repeat(run, run)
-        has = size > PART
-        place = np.arange(len(k)) - start
-        for gap in range(1, int(min(run.max(), PART))):
-            a = np.flatnonzero((size <= PART) & (place + gap < size))
-            if not len(a):
-                break
-            p, q = order[a], order[a + gap]
-            ok = (np.bitwise_count(sim[p] ^ sim[q]) <= DISTANCE) & (100 * np.minimum(words[p], words[q]) >= PERCENT * np.maximum(words[p], words[q]))
-            has[a[ok]] = True
-            has[(a + gap)[ok]] = True
-        yield k[has], order[has]
+def partners(bucket: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Which members of sorted buckets go on: those with a partner in their
+    bucket, and all of a bucket of more than PART."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    run = np.diff(np.append(first, len(bucket)))
+    left = np.repeat(first + run, run) - np.arange(len(bucket)) - 1  # members after this one
+    go = np.repeat(run > PART, run)
+    a, gap = np.flatnonzero(~go & (left > 0)), 1
+    while len(a):
+        near = a[np.bitwise_count(sim[a] ^ sim[a + gap]) <= DISTANCE]
+        go[near] = True
+        go[near + gap] = True
+        gap += 1
+        a = a[left[a] >= gap]
+    return go
 
 
 def _partners(batches):
-    """Members of (block, part) buckets with a partner in them; the rows of a
-    block value are in one partition."""
-    schema = pa.schema([("bucket", pa.int64()), ("node", pa.binary()), ("h", pa.int64()), ("sim", pa.int64()), ("words", pa.int32())])
-    parts = list(batches)
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    nodes, block, h = t["node"].combine_chunks(), t["block"].to_numpy(), t["h"].to_numpy()
-    sim, words = t["sim"].to_numpy().view(np.uint64), t["words"].to_numpy()
-    # the 48 bits outside the block, moved together
-    i = (block >> 16).astype(np.uint64) * np.uint64(16)
-    low = sim & ((np.uint64(1) << i) - np.uint64(1))
-    rest = low | ((sim >> np.minimum(i + np.uint64(16), np.uint64(63))) >> (i == 48).astype(np.uint64)) << i
-    for key, at in partners(sim, rest, words, mix(block.astype(np.uint64))):
-        yield from batches_of({"bucket": key.view(np.int64), "node": nodes.take(pa.array(at)), "h": h[at], "sim": sim[at].view(np.int64), "words": words[at]}, schema)
-
-
-def pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The neighbouring words of each line: their levels together, then a hash
-    of PAIR_BITS; 44 bits in all."""
-    n = end - first - 1
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    level = levels[words & np.uint64(SLOTS - 1)].astype(np.uint64)
-    return ((level[at] + level[at + 1]) << np.uint64(PAIR_BITS)) | (mix(mix(words[at] + _R) + words[at + 1]) & np.uint64((1 << PAIR_BITS) - 1))
-
-
-def first_pairs(words: np.ndarray, first: np.ndarray, end: np.ndarray, levels: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of those pairs of each line of 4 words or more that come
-    first by level and hash; the k-th of equal pairs is a key of its own.
-
-    A line of m words that is the shorter of a link to one of n shares
-    n - 1 - 2 * (n // 5) of its m - 1 keys, so it needs the first
-    m - n + 1 + 2 * (n // 5), at most for n = m or the next multiple of 5.
-    With ``more`` = 1, linked lines have two keys in common."""
-    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    some = np.flatnonzero(end - first >= 4)
-    for lo in range(0, len(some), 1 << 20):  # 20 bits for the line
-        at = some[lo:lo + (1 << 20)]
-        size = end[at] - first[at]
-        n = size - 1
-        owner = np.repeat(np.arange(len(at)), n)
-        s = np.sort((owner.astype(np.uint64) << np.uint64(44)) | pairs(words, first[at], end[at], levels))
-        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        again = np.arange(len(s)) - np.repeat(new, np.diff(np.append(new, len(s))))
-        place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-        take = place < np.repeat(1 + 2 * (size // 5) + (size % 5 == 4) + more, n)
-        lines.append(at[owner[take]])
-        keys.append(mix((s[take] & np.uint64((1 << 44) - 1)) + again[take].astype(np.uint64) * _P))
-    return np.concatenate(lines), np.concatenate(keys)
-
-
-def parities(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64 parities of the word counts of each line; an edit changes two at most."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (words >> np.uint64(58)))])
-    return (sums[end] ^ sums[first]).view(np.int64)
-
-
-def _word_counts(batches):
-    count = np.zeros(SLOTS, np.int64)
+    """Rows of a partition sorted by bucket, less those of buckets that lie in
+    it alone and have no partner there.  At most PART rows are kept back."""
+    kept, border = None, None  # rows of the last bucket so far; a bucket that goes on whole
     for b in batches:
-        for _, _, x in _line_blocks(b.column("text"), True):
-            count += np.bincount((x.words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    slot = np.flatnonzero(count)
-    yield from batches_of({"slot": slot.astype(np.int32), "n": count[slot]}, pa.schema([("slot", pa.int32()), ("n", pa.int64())]))
-
-
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """How common the words of each slot are in a sample, from 0 for the rare ones to 31."""
-    rows = (docs.sample(SAMPLED, 1).mapInArrow(_word_counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n")).limit(COMMON).collect())
-    levels = np.zeros(SLOTS, np.uint8)
-    for r in rows:
-        levels[r["slot"]] = min(31, 1 + int(2 * np.log2(r["n"])))
-    return levels
-
-
-def _pair_keys(levels: np.ndarray):
-    schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            for _, _, x in _line_blocks(b.column("text"), True):
-                line, key = first_pairs(x.words, x.first, x.end, levels)
-                yield from batches_of({"key": key.view(np.int64), "h": x.node[line, 0].view(np.int64)}, schema)
-    return run
-
-
-def _pair_members(levels: np.ndarray, marks: np.ndarray):
-    """Memberships of the lines in those of their keys that the bitmap lets pass."""
-    schema = pa.schema([("bucket", pa.int64()), ("node", pa.binary()), ("h", pa.int64()), ("par", pa.int64()), ("words", pa.int32())])
-
-    def run(batches):
-        for b in batches:
-            for _, _, x in _line_blocks(b.column("text"), True):
-                line, key = first_pairs(x.words, x.first, x.end, levels)
-                some = in_bitmap(marks, key.view(np.int64), KEY_BITS)
-                line, key = line[some], key[some]
-                yield from batches_of({"bucket": key.view(np.int64), "node": x.nodes().take(pa.array(line)), "h": x.node[line, 0].view(np.int64),
-                                       "par": parities(x.words, x.first, x.end)[line], "words": (x.end - x.first)[line].astype(np.int32)}, schema)
-    return run
-
-
-def _more_keys(levels: np.ndarray, marks: np.ndarray):
-    """One key more than the memberships have, of the lines whose class the bitmap lets pass."""
-    schema = pa.schema([("node", pa.binary()), ("key", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            for _, _, x in _line_blocks(b.column("text"), True):
-                at = np.flatnonzero(in_bitmap(marks, x.node[:, 0].view(np.int64)))
-                line, key = first_pairs(x.words, x.first[at], x.end[at], levels, 1)
-                yield from batches_of({"node": x.nodes().take(pa.array(at[line])), "key": key.view(np.int64)}, schema)
-    return run
-
-
-def _split(docs: DataFrame, levels: np.ndarray):
-    """Deals buckets of more than PART members by a second key: linked lines
-    have two in common."""
-    def split(live: DataFrame) -> DataFrame:
-        large = written(live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("bucket"), "large")
-        if large.isEmpty():
-            return live
-        hot = written(live.join(large, "bucket", "left_semi"), "hot")
-        keys = docs.mapInArrow(_more_keys(levels, bitmap(hot, "h")), "node binary, key bigint").distinct()
-        dealt = hot.join(keys, "node").where("key <> bucket").withColumn("bucket", F.xxhash64(F.least("bucket", "key"), F.greatest("bucket", "key")))
-        return live.join(large, "bucket", "left_anti").unionByName(dealt.drop("key").distinct())
-    return split
-
-
-def _word_lists(marks: np.ndarray, every: bool):
+        if not b.num_rows:
+            continue
+        border = b.column("bucket")[0].as_py() if border is None else border
+        part = pa.Table.from_batches([b] if kept is None else [kept, b]).combine_chunks().to_batches()[0]
+        bucket = part.column("bucket").to_numpy()
+        done = int(np.searchsorted(bucket, bucket[-1]))
+        if len(bucket) - done > PART:
+            border = int(bucket[-1])
+        if bucket[-1] == border:
+            done = len(bucket)
+        kept = part.slice(done) if done < len(bucket) else None
+        if done:
+            go = partners(bucket[:done], part.column("sim").to_numpy()[:done]) | (bucket[:done] == border)
+            yield part.slice(0, done).filter(pa.array(go))
+    if kept is not None:
+        yield kept
+
+
+def _word_lists(marks: np.ndarray):
     """Words (as hashes) of the lines whose class the bitmap lets pass."""
     def run(batches):
         for b in batches:
-            for _, _, x in _line_blocks(b.column("text"), every):
+            for _, _, x in _line_blocks(b.column("text")):
                 at = np.flatnonzero(in_bitmap(marks, x.node[:, 0].view(np.int64)))
                 if len(at):
                     size = x.end[at] - x.first[at]
@@ -404,10 +305,10 @@ def _cut(batches):
                                          names=["rk", "doc_id", "n_removed", "kept_text"])
 
 
-def _held(docs: DataFrame, members: DataFrame, every: bool) -> DataFrame:
+def _held(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(node, list): the words of the lines that are members."""
     wanted = members.select("node", "h").distinct()
-    return written(docs.mapInArrow(_word_lists(bitmap(wanted, "h"), every), "node binary, list array<bigint>").dropDuplicates(["node"])
+    return written(docs.mapInArrow(_word_lists(bitmap(wanted, "h")), "node binary, list array<bigint>").dropDuplicates(["node"])
                    .join(wanted.select("node"), "node", "left_semi"), "word-lists")
 
 
@@ -418,52 +319,33 @@ def _verify(held: DataFrame):
     return verify
 
 
-def _alike(a, b):
-    """Lengths within the edit similarity."""
-    return 100 * F.least(a["words"], b["words"]) >= PERCENT * F.greatest(a["words"], b["words"])
+def _near(a, b):
+    """Hashes and lengths within the limits."""
+    return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & (100 * F.least(a["words"], b["words"]) >= PERCENT * F.greatest(a["words"], b["words"]))
 
 
-def _by_simhash(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame) -> DataFrame:
     """(node, component) of the classes that links join."""
-    classes = written(lines.groupBy("node").agg(F.min("h").alias("h"), F.min("sim").alias("sim"), F.min("words").alias("words")), "hashes")
-    block = F.explode(F.array(*(F.lit(i << 16).bitwiseOR(F.shiftrightunsigned("sim", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")) for i in range(4))))
-    dealt = classes.select("node", "h", "sim", "words", block.alias("block")).repartition("block")
-    members = written(dealt.mapInArrow(_partners, "bucket bigint, node binary, h bigint, sim bigint, words int"), "members")
-    return link(members.drop("h"), _verify(_held(docs, members, False)), lambda a, b: (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & _alike(a, b))
-
-
-def _by_pairs(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, component) of the classes that links join."""
-    levels = word_levels(docs)
-    shared = docs.mapInArrow(_pair_keys(levels), "key bigint, h bigint").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
-    marks = bitmap(shared, "key", KEY_BITS)
-    members = written(docs.mapInArrow(_pair_members(levels, marks), "bucket bigint, node binary, h bigint, par bigint, words int").distinct(), "members")
-
-    def near(a, b):
-        most = (F.greatest(a["words"], b["words"]) * (100 - PERCENT) / 100).cast("int")
-        return _alike(a, b) & (F.bit_count(a["par"].bitwiseXOR(b["par"])) <= 2 * most)
-    return link(members, _verify(_held(docs, members, True)), near, _split(docs, levels))
+    sims = [f"s{t}" for t in range(TABLES)]
+    hashes = written(docs.mapInArrow(lean(_hashes), "node binary, h bigint, words int, " + ", ".join(f"{s} bigint" for s in sims))
+                     .groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", "words", *sims))), "hashes")
+    values = [F.struct((F.lit((t * BLOCKS + i) << BLOCK) + F.shiftrightunsigned(s, BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1))).cast("bigint").alias("bucket"), F.col(s).alias("sim"))
+              for t, s in enumerate(sims) for i in range(BLOCKS)]
+    dealt = hashes.select("h", F.explode(F.array(*values)).alias("v")).select("v.bucket", "h", "v.sim")
+    some = dealt.repartitionByRange("bucket", "h").sortWithinPartitions("bucket").mapInArrow(lean(_partners), "bucket bigint, h bigint, sim bigint")
+    members = written(some.join(hashes.select("h", "node", "words"), "h"), "members")
+    return link(members.drop("h"), _verify(_held(docs, members)), _near)
 
 
 def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """``near_lines`` with the narrower link by SimHash."""
-    return _stay(docs, texts, _lines(False), _by_simhash)
-
-
-def near_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
     text); with ``texts`` also kept_text, null where nothing was removed."""
-    return _stay(docs, texts, _lines(True), _by_pairs)
-
-
-def _stay(docs: DataFrame, texts: bool, lines_of, groups_of) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(docs.mapInArrow(lines_of, "rk bigint, doc_id bigint, line int, node binary, h bigint, sim bigint, words int"), "lines")
-    classes = written(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    groups = written(groups_of(docs, lines), "groups")
-
-    named = written(classes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component")), "named")
-    several = written(named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n"), "several")
+    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, node binary"), "lines")
+    classes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    named = written(classes.join(_groups(docs), "node", "left").where("n > 1 OR component IS NOT NULL")
+                    .select("node", "first", "n", F.coalesce("component", "node").alias("component")), "named")
+    several = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n")
     dup = written(named.join(several, "component").select("node", "stays"), "repeated")
     gone = written(lines.join(dup, "node").where("stays.doc_id <> doc_id OR stays.line <> line").groupBy("rk", "doc_id")
                    .agg(F.collect_list("line").alias("gone")), "gone")
