@@ -9,20 +9,23 @@ longer, is PERCENT or more and a SimHash finds them; that takes LEAST words.
 Of each connected group the occurrence with the smallest (doc_id, line number)
 stays; lines without any word always stay.
 
-A class has TABLES independent SimHashes of 64 bits over its words.  Each is
+A class has TABLES independent SimHashes of 64 bits over its distinct words
+(counted as often as they occur, a few frequent words would decide most bits,
+and unlike lines would meet).  Each is
 cut into blocks of BLOCK bits, and two classes meet where they have one block
 of one table in common and differ in at most DISTANCE bits of that table; by
 the pigeonhole principle any two classes that differ in fewer bits of a table
 than it has blocks do.  The edit similarity then decides on whole lines.  At
-the limit of 0.92 one bit in eight differs, more than a single table's blocks
+the limit of 0.95 one bit in ten differs, more than a single table's blocks
 guarantee, so there are several: README and tests give the recall against all
 pairs by edit similarity.
 
 Block values are dealt in ranges of (value, class), so that a value that many
 classes have is spread over tasks.  A task compares the members of a value
-that lies in it alone, up to PART of them, and passes on those with a partner;
-larger values, and those at a border of a task, go on whole.  ``linking`` then
-verifies about one pair for each member of a family.
+that lies in it alone, up to PART of them, and passes on those with a partner,
+each with its first one; larger values, and those at a border of a task, go on
+whole.  The pairs of first partners are verified once, and ``linking`` takes
+what they leave: about one pair for each member of a family.
 
 Defined cases: null and empty texts have no lines; a null ``doc_id`` counts as
 larger than any other; rows of a repeated ``doc_id`` are judged each by its
@@ -39,12 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bitmap, in_bitmap, lean, lists, written
+from .common import batches_of, bitmap, in_bitmap, lean, written
 from .linking import link
 from .textgrid import _P, _Q, _R, _spans, ALNUM, Grid, blocks, buffers, mix
 
 #: Least edit similarity, in per cent, and the words that a line needs for one edit.
-PERCENT = 92
+PERCENT = 95
 LEAST = -(-100 // (100 - PERCENT))
 #: SimHashes of a class, bits of a block, bits of a table in which candidates may differ.
 TABLES, BLOCK, DISTANCE = 6, 21, 10
@@ -132,31 +135,48 @@ def simhash(words: np.ndarray, first: np.ndarray, end: np.ndarray, table: int) -
     return out
 
 
+def distinct(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words (44 bits of their hashes) of each line, and where they begin and end."""
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(first), 1 << 20):  # 20 bits for the line
+        f, n = first[lo:lo + (1 << 20)], (end - first)[lo:lo + (1 << 20)]
+        owner = np.repeat(np.arange(len(f), dtype=np.uint64), n)
+        key = np.sort((owner << np.uint64(44)) | (words[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(len(owner))] >> np.uint64(20)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        values.append(key & np.uint64((1 << 44) - 1))
+        sizes.append(np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=len(f)))
+    cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    return np.concatenate(values), cut[:-1], cut[1:]
+
+
 def _line_blocks(texts: pa.Array):
     """(first, end, lines) for runs of whole texts."""
     for lo, hi, grid in blocks(texts, ALNUM, True):
         yield lo, hi, Lines(characters(grid))
 
 
+_SIMS = [f"s{t}" for t in range(TABLES)]
+
+
 def _lines(batches):
-    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary())])
+    """All lines; with SimHashes, where the line has LEAST words or more and is its block's first of them."""
+    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), *((s, pa.int64()) for s in _SIMS)])
     for b in batches:
         ids = _ids(b.column("doc_id"))
         for lo, hi, x in _line_blocks(b.column("text")):
             keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
-            yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes()}, schema)
-
-
-def _hashes(batches):
-    """The SimHashes of lines of LEAST words or more, of repeated lines of a block once."""
-    schema = pa.schema([("node", pa.binary()), ("h", pa.int64()), ("words", pa.int32()), *((f"s{t}", pa.int64()) for t in range(TABLES))])
-    for b in batches:
-        for _, _, x in _line_blocks(b.column("text")):
             at = np.flatnonzero(x.end - x.first >= LEAST)
             if len(at):
                 at = at[np.sort(np.unique(x.node[at], axis=0, return_index=True)[1])]
-                sims = {f"s{t}": simhash(x.words, x.first[at], x.end[at], t) for t in range(TABLES)}
-                yield from batches_of({"node": x.nodes().take(pa.array(at)), "h": x.node[at, 0].view(np.int64), "words": (x.end - x.first)[at].astype(np.int32), **sims}, schema)
+            none = np.ones(len(x.first), bool)
+            none[at] = False
+            sims, bag = {}, distinct(x.words, x.first[at], x.end[at])
+            for t, s in enumerate(_SIMS):
+                value = np.zeros(len(x.first), np.int64)
+                value[at] = simhash(*bag, t)
+                sims[s] = pa.array(value, mask=none)
+            yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(),
+                                   "h": pa.array(x.node[:, 0].view(np.int64), mask=none), **sims}, schema)
 
 
 def _raw_keys(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
@@ -188,33 +208,35 @@ def _passing(marks: np.ndarray):
     return run
 
 
-def partners(bucket: np.ndarray, sim: np.ndarray) -> np.ndarray:
-    """Which members of sorted buckets go on: those with a partner in their
-    bucket, and all of a bucket of more than PART."""
+def partners(bucket: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of sorted buckets go on (those with a partner in their
+    bucket, and all of a bucket of more than PART), and the place of the first
+    partner, where that comes before the member."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     run = np.diff(np.append(first, len(bucket)))
     left = np.repeat(first + run, run) - np.arange(len(bucket)) - 1  # members after this one
-    go = np.repeat(run > PART, run)
+    go, to = np.repeat(run > PART, run), np.arange(len(bucket))
     a, gap = np.flatnonzero(~go & (left > 0)), 1
     while len(a):
         near = a[np.bitwise_count(sim[a] ^ sim[a + gap]) <= DISTANCE]
         go[near] = True
         go[near + gap] = True
+        to[near + gap] = near  # a larger gap, an earlier partner
         gap += 1
         a = a[left[a] >= gap]
-    return go
+    return go, to
 
 
 def _partners(batches):
-    """Rows of a partition sorted by bucket, less those of buckets that lie in
-    it alone and have no partner there.  At most PART rows are kept back."""
+    """Rows of a partition sorted by bucket and id, less those of buckets that
+    lie in it alone and have no partner there.  At most PART rows are kept back."""
     kept, border = None, None  # rows of the last bucket so far; a bucket that goes on whole
     for b in batches:
         if not b.num_rows:
             continue
         border = b.column("bucket")[0].as_py() if border is None else border
         part = pa.Table.from_batches([b] if kept is None else [kept, b]).combine_chunks().to_batches()[0]
-        bucket = part.column("bucket").to_numpy()
+        bucket, ids = part.column("bucket").to_numpy(), part.column("id").to_numpy()
         done = int(np.searchsorted(bucket, bucket[-1]))
         if len(bucket) - done > PART:
             border = int(bucket[-1])
@@ -222,31 +244,39 @@ def _partners(batches):
             done = len(bucket)
         kept = part.slice(done) if done < len(bucket) else None
         if done:
-            go = partners(bucket[:done], part.column("sim").to_numpy()[:done]) | (bucket[:done] == border)
-            yield part.slice(0, done).filter(pa.array(go))
+            go, to = partners(bucket[:done], part.column("sim").to_numpy()[:done])
+            go |= bucket[:done] == border
+            yield part.slice(0, done).append_column("to", pa.array(ids[to])).filter(pa.array(go))
     if kept is not None:
-        yield kept
+        yield kept.append_column("to", kept.column("id"))
 
 
-def _word_lists(marks: np.ndarray):
-    """Words (as hashes) of the lines whose class the bitmap lets pass."""
+def _line_texts(marks: np.ndarray):
+    """The lines whose class the bitmap lets pass, from the first word to the last."""
     def run(batches):
         for b in batches:
-            for _, _, x in _line_blocks(b.column("text")):
+            for _, _, grid in blocks(b.column("text"), ALNUM, True):
+                x = Lines(characters(grid))
                 at = np.flatnonzero(in_bitmap(marks, x.node[:, 0].view(np.int64)))
                 if len(at):
-                    size = x.end[at] - x.first[at]
-                    bounds = np.concatenate([[0], np.cumsum(size)])
-                    flat = x.words[np.repeat(x.first[at] - bounds[:-1], size) + np.arange(int(bounds[-1]))]
-                    yield pa.RecordBatch.from_arrays([x.nodes().take(pa.array(at)), lists(flat.view(np.int64), bounds)], names=["node", "list"])
+                    at = at[np.unique(x.node[at], axis=0, return_index=True)[1]]
+                    data = grid.data.tobytes()
+                    texts = [data[a:e] for a, e in zip(grid.starts[x.first[at]].tolist(), grid.ends[x.end[at] - 1].tolist())]
+                    yield pa.RecordBatch.from_arrays([x.nodes().take(pa.array(at)), pa.array(texts, pa.binary()).cast(pa.string())], names=["node", "words"])
     return run
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences, or ``most`` + 1 if it is larger:
-    furthest-reaching ends of each diagonal, one more edit at a time."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+def _row_words(texts: pa.Array) -> list[np.ndarray]:
+    """The words (as hashes) of each text."""
+    out = []
+    for _, _, grid in blocks(texts, ALNUM, True):
+        grid = characters(grid)
+        out += np.split(grid.hashes(), grid.bounds[1:-1])
+    return out
+
+
+def _rest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sequences without what they begin and end with alike."""
     n = min(len(a), len(b))
     diff = np.flatnonzero(a[:n] != b[:n])
     head = int(diff[0]) if len(diff) else n
@@ -254,7 +284,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     n = min(len(a), len(b))
     diff = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
     tail = int(diff[0]) if len(diff) else n
-    a, b = a[:len(a) - tail].tolist(), b[:len(b) - tail].tolist()
+    return a[:len(a) - tail], b[:len(b) - tail]
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two sequences, or ``most`` + 1 if it is larger:
+    furthest-reaching ends of each diagonal, one more edit at a time."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    a, b = (x.tolist() for x in _rest(a, b))
     if not a or not b:
         return len(a) + len(b)
     goal, reach = len(b) - len(a), {}  # diagonal (place in b less place in a) -> furthest place in a
@@ -281,16 +319,18 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     return max(len(a), len(b)) - int(np.minimum(np.bincount(at[:len(a)], minlength=n), np.bincount(at[len(a):], minlength=n)).sum())
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the edit similarity is PERCENT or more."""
+    most = max(len(a), len(b)) * (100 - PERCENT) // 100
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = _rest(a, b)
+    return max(len(a), len(b)) <= most or bag_distance(a, b) <= most and edit_distance(a, b, most) <= most
+
+
 def _verified(batches):
     for b in batches:
-        xs, ys = b.column("x_list"), b.column("y_list")
-        keep = []
-        for p, q in zip(xs, ys):
-            p, q = p.values.to_numpy(zero_copy_only=False), q.values.to_numpy(zero_copy_only=False)
-            n = max(len(p), len(q))
-            most = n * (100 - PERCENT) // 100
-            keep.append(bag_distance(p, q) <= most and edit_distance(p, q, most) <= most)
-        mask = pa.array(keep, pa.bool_())
+        mask = pa.array(list(map(alike, _row_words(b.column("x_words")), _row_words(b.column("y_words")))), pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("x").filter(mask), b.column("y").filter(mask)], names=["x", "y"])
 
 
@@ -305,46 +345,42 @@ def _cut(batches):
                                          names=["rk", "doc_id", "n_removed", "kept_text"])
 
 
-def _held(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, list): the words of the lines that are members."""
-    wanted = members.select("node", "h").distinct()
-    return written(docs.mapInArrow(_word_lists(bitmap(wanted, "h")), "node binary, list array<bigint>").dropDuplicates(["node"])
-                   .join(wanted.select("node"), "node", "left_semi"), "word-lists")
-
+def _verify(docs: DataFrame, hashes: DataFrame, members: DataFrame):
+    wanted = written(hashes.select("id", "node", "h").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
+    held = written(docs.mapInArrow(lean(_line_texts(bitmap(wanted, "h"))), "node binary, words string")
+                   .join(wanted.select("id", "node"), "node").groupBy("id").agg(F.first("words").alias("words")), "words")
 
-def _verify(held: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (held.select(F.col("node").alias(c), F.col("list").alias(f"{c}_list")) for c in "xy")
-        return pairs.join(y, "y").join(x, "x").select("x", "y", "x_list", "y_list").mapInArrow(_verified, "x binary, y binary")
+        x, y = (held.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in "xy")
+        return pairs.join(y, "y").join(x, "x").select("x", "y", "x_words", "y_words").mapInArrow(lean(_verified), "x bigint, y bigint")
     return verify
 
 
 def _near(a, b):
-    """Hashes and lengths within the limits."""
-    return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & (100 * F.least(a["words"], b["words"]) >= PERCENT * F.greatest(a["words"], b["words"]))
+    return F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE
 
 
-def _groups(docs: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, component) of the classes that links join."""
-    sims = [f"s{t}" for t in range(TABLES)]
-    hashes = written(docs.mapInArrow(lean(_hashes), "node binary, h bigint, words int, " + ", ".join(f"{s} bigint" for s in sims))
-                     .groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", "words", *sims))), "hashes")
+    hashes = written(lines.where("h IS NOT NULL").groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", *_SIMS))).withColumn("id", F.monotonically_increasing_id()), "hashes")
     values = [F.struct((F.lit((t * BLOCKS + i) << BLOCK) + F.shiftrightunsigned(s, BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1))).cast("bigint").alias("bucket"), F.col(s).alias("sim"))
-              for t, s in enumerate(sims) for i in range(BLOCKS)]
-    dealt = hashes.select("h", F.explode(F.array(*values)).alias("v")).select("v.bucket", "h", "v.sim")
-    some = dealt.repartitionByRange("bucket", "h").sortWithinPartitions("bucket").mapInArrow(lean(_partners), "bucket bigint, h bigint, sim bigint")
-    members = written(some.join(hashes.select("h", "node", "words"), "h"), "members")
-    return link(members.drop("h"), _verify(_held(docs, members)), _near)
+              for t, s in enumerate(_SIMS) for i in range(BLOCKS)]
+    dealt = hashes.select("id", F.explode(F.array(*values)).alias("v")).select("v.bucket", "id", "v.sim")
+    members = written(dealt.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+                      .mapInArrow(lean(_partners), "bucket bigint, id bigint, sim bigint, to bigint"), "members")
+    pairs = written(members.where("to < id").select(F.col("to").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
+    groups = link(members.select("bucket", F.col("id").alias("node"), "sim"), _verify(docs, hashes, members), _near, pairs=pairs)
+    return groups.withColumnRenamed("node", "id").join(hashes.select("id", "node"), "id").select("node", "component")
 
 
 def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
     text); with ``texts`` also kept_text, null where nothing was removed."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, node binary"), "lines")
+    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, node binary, h bigint, " + ", ".join(f"{s} bigint" for s in _SIMS)), "lines")
     classes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = written(classes.join(_groups(docs), "node", "left").where("n > 1 OR component IS NOT NULL")
-                    .select("node", "first", "n", F.coalesce("component", "node").alias("component")), "named")
+    named = written(classes.join(_groups(docs, lines), "node", "left").where("n > 1 OR component IS NOT NULL")
+                    .select("node", "first", "n", F.coalesce(F.col("component").cast("string").cast("binary"), "node").alias("component")), "named")
     several = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n")
     dup = written(named.join(several, "component").select("node", "stays"), "repeated")
     gone = written(lines.join(dup, "node").where("stays.doc_id <> doc_id OR stays.line <> line").groupBy("rk", "doc_id")

@@ -53,15 +53,32 @@ def _mixed(live: DataFrame) -> DataFrame:
     return live.join(several, "bucket")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _named(live: DataFrame, comps: DataFrame) -> DataFrame:
+    """``live`` with the component of each node and its size."""
+    sizes = written(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    named = written(comps.join(sizes, "component").select("node", F.col("component").alias("c"), "size"), "named")
+    return (live.drop("c", "size").join(named, "node", "left")
+            .withColumn("c", F.coalesce("c", "node")).withColumn("size", F.coalesce("size", F.lit(1).cast("bigint"))))
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, split: Callable[[DataFrame], DataFrame] | None = None,
+         pairs: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes that verified links join.  ``members``
     has (bucket, node) and columns for ``near``, a condition on two members
     that any true link meets; ``verify`` keeps the true links of pairs (x, y);
     ``split`` puts what is left before the last round into smaller buckets in
-    which every true link of a bucket is still together."""
+    which every true link of a bucket is still together; ``pairs`` (x < y, each
+    once, written) are verified before the first round."""
     carry = [c for c in members.columns if c not in ("bucket", "node")]
-    live = written(_mixed(members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))), "members")
-    links = tested = comps = None
+    live = members.withColumn("c", F.col("node")).withColumn("size", F.lit(1).cast("bigint"))
+    links = comps = None
+    tested = pairs
+    if pairs is not None:
+        found = written(verify(pairs), "links")
+        if not found.isEmpty():
+            links, comps = found, components(found)
+            live = _named(live, comps)
+    live = written(_mixed(live), "members")
     for turn, n in enumerate(LEADERS):
         if live.isEmpty():
             break
@@ -85,8 +102,6 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Cal
             links = found if links is None else links.unionByName(found)
             comps = components(links)
         if n is not None and comps is not None:
-            sizes = written(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
-            named = written(comps.join(sizes, "component").select("node", F.col("component").alias("c"), "size"), "named")
-            live = live.drop("c", "size").join(named, "node", "left").withColumn("c", F.coalesce("c", "node")).withColumn("size", F.coalesce("size", F.lit(1).cast("bigint")))
+            live = _named(live, comps)
             live = written(_mixed(live), "members")
     return comps if comps is not None else members.select("node", F.col("node").alias("component")).limit(0)
