@@ -11,7 +11,9 @@ these counts; scored rows and the ledger are never read again, so a feed costs
 what it changes.
 
 Events of one id are reduced to the newest where they are read, before the
-exchange by id, so an id with a third of all events is no task's burden.  Each
+exchange, so an id with a third of all events is no task's burden.  The state is
+kept by buckets of ids, each with one value and one frame of changes a batch:
+what Spark spends on a key is paid for a bucket, not for an id.  Each
 micro-batch writes its own ``batch_id`` partition with dynamic overwrite: one
 that is replayed after a failure writes the same rows again, and a restarted
 query goes on from its checkpoint.
@@ -19,6 +21,7 @@ query goes on from its checkpoint.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,10 +34,17 @@ from ..session import importable
 from ..sources.history import write_iter
 
 EVENT_SCHEMA = "idx bigint, kind string, value string, major bigint, minor bigint"
-_ARROW = pa.schema([("idx", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("major", pa.int64()), ("minor", pa.int64())])
-STATE_SCHEMA = "label string, ts bigint, seq bigint, has_label boolean, pred string, round bigint, has_pred boolean"
+#: Groups of ids that the state is kept by.  A checkpoint holds this number: another one needs a new folder.
+BUCKETS = 1 << 10
+#: An event without a time is older than any.
+NEVER = -1 << 62
+_READ = "known boolean, idx bigint, kind string, value string, major bigint, minor bigint"
+_ARROW = pa.schema([("known", pa.bool_()), ("idx", pa.int64()), ("kind", pa.string()), ("value", pa.string()), ("major", pa.int64()), ("minor", pa.int64())])
+#: A JSON list of [id, label, ts, seq, has_label, pred, round, has_pred], one for each id of the bucket.
+STATE_SCHEMA = "ids string"
 CHANGE_SCHEMA = "idx bigint, old_label string, new_label string, had_label boolean, has_label boolean, old_pred string, new_pred string, had_pred boolean, has_pred boolean"
 _CHANGES = ["idx", "old_label", "new_label", "had_label", "has_label", "old_pred", "new_pred", "had_pred", "has_pred"]
+_NEW = (None, None, None, False, None, None, False)
 
 
 def annotation_events(ledger: DataFrame) -> DataFrame:
@@ -57,31 +67,38 @@ def feed(events: DataFrame, folder: str) -> None:
 def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The newest event of each (id, kind) of a batch of rows."""
     for b in batches:
-        rows = b.to_pandas().sort_values(["major", "minor"], na_position="first", kind="stable")
-        yield pa.RecordBatch.from_pandas(rows.drop_duplicates(["idx", "kind"], keep="last"), schema=_ARROW, preserve_index=False)
+        rows = b.to_pandas().sort_values(["major", "minor"], kind="stable")
+        yield pa.RecordBatch.from_pandas(rows.drop_duplicates(["known", "idx", "kind"], keep="last"), schema=_ARROW, preserve_index=False)
 
 
 def _update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    old = state.get if state.exists else (None, None, None, False, None, None, False)
-    label, ts, seq, has_label, pred, round_, has_pred = old
+    """The ids of a bucket: one state and one frame of changes for all of them."""
+    old = {i: tuple(now) for i, *now in json.loads(state.get[0])} if state.exists else {}
+    new = {}
     for frame in frames:
-        for kind, value, major, minor in frame[["kind", "value", "major", "minor"]].itertuples(index=False):
-            value = None if pd.isna(value) else value
-            major, minor = (-1 << 62 if pd.isna(x) else int(x) for x in (major, minor))   # without a time: older than any
-            if kind == "label" and (not has_label or (major, minor) > (ts, seq)):
-                label, ts, seq, has_label = value, major, minor, True
-            elif kind == "pred" and (not has_pred or major > round_):
-                pred, round_, has_pred = value, major, True
-    new = (label, ts, seq, has_label, pred, round_, has_pred)
-    if new != tuple(old):
-        state.update(new)
-    if (label, has_label, pred, has_pred) != (old[0], old[3], old[4], old[6]):
-        yield pd.DataFrame([(key[0], old[0], label, old[3], has_label, old[4], pred, old[6], has_pred)], columns=_CHANGES).astype({"idx": "Int64"})
+        for known, i, kind, value, major, minor in zip(*(frame[c].tolist() for c in _ARROW.names)):
+            i = i if known else None
+            now = new.get(i) or old.get(i, _NEW)
+            if kind == "label" and (not now[3] or (major, minor) > now[1:3]):
+                new[i] = (None if pd.isna(value) else value, major, minor, True, *now[4:])
+            elif kind == "pred" and (not now[6] or major > now[5]):
+                new[i] = (*now[:4], None if pd.isna(value) else value, major, True)
+    if not new:
+        return
+    state.update((json.dumps([(i, *now) for i, now in (old | new).items()]),))
+    rows = [(i, was[0], now[0], was[3], now[3], was[4], now[4], was[6], now[6]) for i, now in new.items()
+            if (was := old.get(i, _NEW))[0] != now[0] or was[3] != now[3] or was[4] != now[4] or was[6] != now[6]]
+    if rows:
+        out = pd.DataFrame(rows, columns=_CHANGES, dtype=object)
+        yield out.assign(idx=pd.array([r[0] for r in rows], "Int64"))
 
 
 def changes(events: DataFrame) -> DataFrame:
     """The changes that a stream of events makes to the state."""
-    return events.mapInArrow(_newest, EVENT_SCHEMA).groupBy("idx").applyInPandasWithState(_update, CHANGE_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
+    whole = events.select(F.col("idx").isNotNull().alias("known"), F.coalesce("idx", F.lit(0).cast("bigint")).alias("idx"), "kind", "value",
+                          *(F.coalesce(c, F.lit(NEVER).cast("bigint")).alias(c) for c in ("major", "minor")))   # without nulls no number becomes a double
+    dealt = whole.mapInArrow(_newest, _READ).withColumn("bucket", F.pmod(F.xxhash64("known", "idx"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_update, CHANGE_SCHEMA, STATE_SCHEMA, "update", "NoTimeout")
 
 
 def signed_cells(change: DataFrame) -> DataFrame:

@@ -68,3 +68,16 @@ def test_cost_follows_the_changed_ids(spark, tmp_path):
     state.advance()
     last = state.changes().where("batch_id > 0").collect()
     assert [(r.idx, r.old_label, r.new_label) for r in last] == [(7, "a", "b")]   # id 8 kept its label
+
+
+def test_state_is_kept_by_buckets_and_exact(spark, tmp_path, monkeypatch):
+    """One state value for a bucket of ids, not one for each; ids beyond 2^53 beside none and events without a time stay exact."""
+    monkeypatch.setattr("drawpool.streaming.label_state.BUCKETS", 4)
+    rows = [(2**60 + i, "ab"[i % 2], 5, i) for i in range(200)] + [(None, "n", 5, 1), (3, "old", None, 1), (3, "new", 1, None), (2**60, None, 9, 2)]
+    state = LabelState(spark, str(tmp_path / "s"))
+    for part in (rows[::2], rows[1::2]):
+        state.add(annotation_events(_ledger(spark, part)))
+        state.advance()
+    want = {2**60 + i: "ab"[i % 2] for i in range(200)} | {None: "n", 3: "new", 2**60: None}
+    assert {r.idx: r.label for r in state.latest().collect()} == want
+    assert spark.read.format("statestore").load(state.path("checkpoint")).count() <= 4
