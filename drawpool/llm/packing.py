@@ -34,7 +34,7 @@ SLACK = 16
 #: Items that are packed together in memory.
 GROUP = 1 << 15
 #: Chunks of text whose ids a worker keeps.
-CACHE = 700_000
+CACHE = 250_000
 #: Characters of text that are encoded together.
 BLOCK = 2 << 20
 _LOADED: dict[str, tuple] = {}

@@ -58,7 +58,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.uint64, seg: int = 1 << 20) -> np.ndarray:
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.uint64, seg: int = 1 << 18) -> np.ndarray:
     """Polynomial hashes of values[start:end]; starts ascend."""
     out = np.empty(len(starts), np.uint64)
     lo = 0

@@ -83,3 +83,20 @@ def test_best_fit_takes_the_tightest_bin():
 
 def test_packing_empty_table(spark):
     assert packing.best_fit_packing(documents(spark, []), queries.tokenizer_path()).count() == 0
+
+
+def test_worker_memory_is_bounded(monkeypatch):
+    """Neither the cache of chunks nor the powers of the hashes grow with what a worker has seen."""
+    from drawpool.llm import textgrid
+
+    path = queries.tokenizer_path()
+    encode = packing.encoder(path)
+    for k in range(8):
+        encode([" ".join(f"{k}x{i}" for i in range(60_000))])
+    assert len(packing._LOADED[path][1]) <= 400_000
+    packing._LOADED.clear()
+    monkeypatch.setattr(textgrid, "_POWERS", {})
+    at = np.arange(0, 3 << 20, 8)
+    whole = textgrid._spans(np.arange(3 << 20) % 251, at, at + 8, textgrid._P)
+    assert max(len(up) for up, _ in textgrid._POWERS.values()) < 1 << 19
+    assert (whole == textgrid._spans(np.arange(3 << 20) % 251, at, at + 8, textgrid._P, seg=1 << 12)).all()
