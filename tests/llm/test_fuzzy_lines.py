@@ -234,3 +234,14 @@ def test_members_without_a_partner_do_not_go_on():
         assert out["id"].to_pylist() == want
         assert [(a, b) for a, b in zip(out["to"].to_pylist(), want) if a != b and size[bucket[b]] in (50, 4)] == [(bucket.index(x), len(bucket) - 1 - bucket[::-1].index(x)) for x in (2, 6)]
     assert list(fl._partners(iter([]))) == []
+
+
+def test_one_first_pair_for_each_member(spark, monkeypatch):
+    """A family of n variants costs n pairs before the linking rounds, not one for each block of each."""
+    rng, seen = random.Random(9), []
+    base = [f"word{i}" for i in range(120)]
+    docs = [(i, " ".join(base[:k] + [f"v{i}"] + base[k + 1:])) for i, k in enumerate(rng.choices(range(120), k=300))]
+    link = fl.link
+    monkeypatch.setattr(fl, "link", lambda *a, pairs: seen.append(pairs.count()) or link(*a, pairs=pairs))
+    assert sum(r["n_removed"] for r in fl.fuzzy_lines(documents(spark, docs)).collect()) == 299
+    assert 0 < seen[0] < 300
