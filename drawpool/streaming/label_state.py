@@ -8,7 +8,7 @@ changed goes on as rows (old label, new label, old prediction, new
 prediction), and those become signed counts of the confusion table: minus one
 in the old cell, plus one in the new.  Metrics after a revision are sums of
 these counts; scored rows and the ledger are never read again, so a feed costs
-what it changes.
+the buckets that it touches.
 
 Events of one id are reduced to the newest where they are read, before the
 exchange, so an id with a third of all events is no task's burden.  The state is
