@@ -15,7 +15,6 @@ are not read.
 from __future__ import annotations
 
 import os
-import string
 import zlib
 from array import array
 
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, lean, lists, written
+from .textgrid import buffers
 
 LENGTH = 2048
 END_ID = 0
@@ -33,73 +33,140 @@ END_ID = 0
 SLACK = 16
 #: Items that are packed together in memory.
 GROUP = 1 << 15
-#: Chunks of text whose ids a worker keeps.
-CACHE = 250_000
-#: Characters of text that are encoded together.
+#: Units of text whose ids a worker keeps, and the longest of them.
+CACHE, CACHED_BYTES = 250_000, 64
+#: Bytes of text that are encoded together.
 BLOCK = 2 << 20
 _LOADED: dict[str, tuple] = {}
+#: Kinds of bytes: letters, digits, other visible ASCII, white space, all else.
+_L, _D, _P, _W, _O = range(5)
+_KIND = np.array([_L if chr(c).isalpha() else _D if chr(c).isdigit() else _P if 0x20 < c < 0x7F else _W if c in b" \n\t\r" else _O for c in range(128)] + [_O] * 128, np.int8)
+#: Units that are one word for the tokenizer.
+_WORD = "^[a-zß-öø-ÿ]+$"
 
 
-def encoder(path: str):
-    """text -> its ids as little-endian 32-bit bytes, through a bounded cache
-    of the text's chunks between blanks and line ends.  The tokenizer never
-    joins across white space, nor letters or digits with the punctuation that
-    ends a chunk, and folds case, so each part is encoded once."""
+def _units(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``data`` in small letters without white space, where its units begin and
+    end, and the ``ends`` of the texts in it.  The tokenizer folds case, drops
+    white space, takes each digit by itself and never joins letters, digits and
+    other visible ASCII characters, but for an apostrophe and the letters after
+    it.  Next to any other character than the letters of Latin-1, which may
+    change what stands before it, nothing is cut or folded."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] & 0xDF) != 0x97]  # not the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = _L
+    then = np.append(kind[1:], np.int8(_W))
+    then[ends[(ends > 0) & (ends < len(data))] - 1] = _W
+    fold = (kind == _L) & (then != _O)
+    data = data + ((data - np.uint8(65) < 26) & fold).astype(np.uint8) * np.uint8(32)
+    second = lead[fold[lead + 1] & (data[lead + 1] < 0x9F)] + 1
+    data[second] += np.uint8(32)
+    cut = np.zeros(len(data) + 1, bool)  # before which byte
+    cut[1:] = (kind != then) & (kind != _O) & (then != _O) | (kind == _D) & (then == _D) | (kind == _W) | (then == _W)
+    cut[1:][(data == 0x27) & (then == _L)] = False
+    cut[ends] = True
+    text = kind != _W
+    gone = np.flatnonzero(~text)
+    data = data[text]
+    return data, np.append(np.flatnonzero(cut[:-1][text]), len(data)), ends - np.searchsorted(gone, ends)
+
+
+class Units:
+    """The ids of units, each encoded once and looked up afterwards."""
+
+    def __init__(self, tok):
+        self.tok = tok
+        vocab = tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for v, i in vocab.items() if v.endswith("</w>")]] = True
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def clear(self) -> None:
+        self.known, self.size, self.pool = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def direct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of ``texts``, and how many each has."""
+        ids = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
+
+    def learn(self, new: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """``new`` in another order, its flat ids, and how many each has.
+        Words are encoded as one text: each ends in a piece that ends a word."""
+        plain = pc.match_substring_regex(new, _WORD)
+        words, rest, ids, size = new.filter(plain), new.filter(pc.invert(plain)), [], []
+        for lo in range(0, len(words), 4096):
+            part = words.slice(lo, 4096)
+            got, _ = self.direct([" ".join(part.to_pylist())])
+            stop = np.flatnonzero(self.ends[got]) + 1
+            n = np.diff(stop, prepend=0)
+            if len(stop) != len(part):
+                got, n = self.direct(part.to_pylist())
+            ids.append(got)
+            size.append(n)
+        got, n = self.direct(rest.to_pylist())
+        return pa.concat_arrays([words, rest]), np.concatenate([*ids, got]), np.concatenate([*size, n])
+
+    def look_up(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each of the distinct ``units`` begins
+        and how many it has."""
+        if len(self) > CACHE:
+            self.clear()
+        at = pc.index_in(units, value_set=self.known)
+        new, ids, size = self.learn(units.filter(at.is_null()))
+        known, pool, sizes = pa.concat_arrays([self.known, new]), np.concatenate([self.pool, ids]), np.concatenate([self.size, size])
+        place = at.fill_null(0).to_numpy().copy()
+        if len(new):
+            miss = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            place[miss] = len(self) + pc.index_in(units.take(pa.array(miss)), value_set=new).to_numpy()
+        short = pc.binary_length(new).to_numpy() <= CACHED_BYTES  # the others hardly come again
+        self.pool = np.concatenate([self.pool, ids[np.repeat(short, size)]])
+        self.known, self.size = pa.concat_arrays([self.known, new.filter(pa.array(short))]), np.concatenate([self.size, size[short]])
+        return pool, (np.cumsum(sizes) - sizes)[place], sizes[place]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, n + 1 bounds) of ``texts``; null counts as empty."""
+        odd = np.zeros(len(texts), bool)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).fill_null(False).to_numpy(zero_copy_only=False)
+        if odd.any():  # texts with special tokens are encoded as they are
+            own, size = self.direct(texts.filter(pa.array(odd)).to_pylist())
+            own = iter(np.split(own, np.cumsum(size)[:-1]))
+            flat, bounds = self.encode(pc.if_else(pa.array(odd), "", texts))
+            rows = [next(own) if o else flat[x:y] for o, x, y in zip(odd, bounds[:-1], bounds[1:])]
+            return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        data, offsets = buffers(texts)
+        data, cuts, ends = _units(data[offsets[0]:offsets[-1]], offsets - offsets[0])
+        units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()  # each is looked up once a block
+        pool, start, size = self.look_up(units.dictionary)
+        code = units.indices.to_numpy()
+        count = size[code]
+        sums = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(start[code] - sums[:-1], count)
+        at += np.arange(sums[-1])
+        return pool[at], sums[np.searchsorted(cuts, ends)]
+
+
+def _encoder(path: str) -> Units:
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        vocab = tok.get_vocab()
-        ends = np.zeros(max(vocab.values()) + 1, bool)
-        ends[[i for v, i in vocab.items() if v.endswith("</w>")]] = True
-        _LOADED[path] = (tok, {"": b""}, ends)
-    tok, cache, ends = _LOADED[path]
-
-    def plain(chunk: str) -> tuple[str, str]:
-        """A chunk as (base, punctuation that ends it)."""
-        if "<|" in chunk:  # may hold a special token
-            return chunk, ""
-        base = chunk.rstrip(string.punctuation)
-        if not base or not base[-1].isalnum() or len(base[-1].lower()) > 1:  # a letter whose small form ends in a mark
-            base = chunk
-        tail = chunk[len(base):]
-        return (base.lower() if base.isascii() else base), tail
-
-    def learn(new: list[str]) -> None:
-        """Words of plain letters are encoded as one text: each ends in a
-        piece that ends a word.  Anything else is encoded by itself."""
-        words = [c for c in new if c.isalpha() and max(c) < "\u0250" and len(c.lower()) == len(c)]
-        for lo in range(0, len(words), 4096):
-            part = words[lo:lo + 4096]
-            got = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            stop = np.flatnonzero(ends[got]) + 1
-            if len(stop) == len(part):
-                cache.update(zip(part, (x.tobytes() for x in np.split(got, stop[:-1]))))
-        rest = [c for c in new if c not in cache]
-        for c, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False)):
-            cache[c] = array("I", e.ids).tobytes()
+        _LOADED[path] = (tok, Units(tok))
+    return _LOADED[path][1]
+
+
+def encoder(path: str):
+    """texts -> their ids as little-endian 32-bit bytes, through a bounded
+    cache of the texts' units."""
+    units = _encoder(path)
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
-            cache[""] = b""
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()  # each chunk is looked up once a block
-        values, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        parts = {c: plain(c) for c in values if c not in cache}
-        new = [c for c in dict.fromkeys(p for pair in parts.values() for p in pair) if c not in cache]
-        learn(new)
-        for c, (base, tail) in parts.items():
-            if c not in cache:
-                cache[c] = cache[base] + cache[tail]
-        ids = [cache[c] for c in values]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
-        count = size[place]
-        sums = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(start[place] - sums[:-1], count)
-        at += np.arange(sums[-1])
-        flat, bounds = pool[at], sums[split.offsets.to_numpy()]
+        flat, bounds = units.encode(pa.array(texts, pa.string()))
         return [flat[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
 
     return encode
@@ -110,23 +177,23 @@ def _pieces(path: str, length: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
-        encode = encoder(path)
+        units = _encoder(path)
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+            size = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy())
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < BLOCK):
-                    size += len(texts[hi] or "")
-                    hi += 1
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOCK, "right")))
+                flat, bounds = units.encode(b.column("text").slice(lo, hi - lo))
                 out = []
-                for d, x in zip(ids[lo:hi], encode([t or "" for t in texts[lo:hi]])):
-                    x += end
-                    for k, at in enumerate(range(0, len(x), 4 * length)):
-                        part = x[at:at + 4 * length]
-                        out.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                for d, x, y in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    n = y - x + 1
+                    for k, at in enumerate(range(0, n, length)):
+                        last = at + length >= n
+                        crc = zlib.crc32(flat[x + at:y if last else x + at + length])
+                        out.append((d, k, at, n - at if last else length, zlib.crc32(end, crc) if last else crc))
                 yield from batches_of(dict(zip(schema.names, (pa.array(c, f.type) for c, f in zip(zip(*out), schema)))), schema)
                 lo = hi
+        units.clear()  # the worker goes on to other stages
     return run
 
 

@@ -100,3 +100,27 @@ def test_worker_memory_is_bounded(monkeypatch):
     whole = textgrid._spans(np.arange(3 << 20) % 251, at, at + 8, textgrid._P)
     assert max(len(up) for up, _ in textgrid._POWERS.values()) < 1 << 19
     assert (whole == textgrid._spans(np.arange(3 << 20) % 251, at, at + 8, textgrid._P, seg=1 << 12)).all()
+
+
+def test_words_are_encoded_once_whatever_their_case_and_neighbours():
+    """Each distinct word is encoded once, not once for each case and each punctuation around it."""
+    path = queries.tokenizer_path()
+    packing._LOADED.clear()
+    encode = packing.encoder(path)
+    words = ["anderton", "éauxenen", "größe"]
+    texts = [f"({w}) {w.title()}, {w.upper()}! \"{w}\"? 12{w}34 {w}'s\t{w}\n{w}%%%" for w in words[:2]] + ["größe. Größe, (größe)"]
+    got = encode(texts)
+    known = set(packing._LOADED[path][1].known.to_pylist())
+    assert set(words) <= known
+    assert not [u for u in known - set(words) if any(w in u.lower() for w in words)]
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, np.uint32).tolist() == _ids(t)[:-1], t
+
+
+def test_a_task_leaves_no_cache_behind():
+    import pyarrow as pa
+
+    path = queries.tokenizer_path()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._pieces(path, 2048, 0)(iter([batch]))) == 2
+    assert len(packing._LOADED[path][1]) == 0
