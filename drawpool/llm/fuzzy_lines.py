@@ -18,7 +18,10 @@ the pigeonhole principle any two classes that differ in fewer bits of a table
 than it has blocks do.  The edit similarity then decides on whole lines.  At
 the limit of 0.95 one bit in ten differs, more than a single table's blocks
 guarantee, so there are several: README and tests give the recall against all
-pairs by edit similarity.
+pairs by edit similarity.  Most classes that meet like this are still too far
+apart, so what meets must pass a bound as well that no link fails: an edit
+flips at most two of a line's PARITIES (of the number of its words in each of
+64 cells) and changes its length by one word at most.
 
 Block values are dealt in ranges of (value, class), so that a value that many
 classes have is spread over tasks.  A task compares the members of a value
@@ -53,6 +56,8 @@ LEAST = -(-100 // (100 - PERCENT))
 #: SimHashes of a class, bits of a block, bits of a table in which candidates may differ.
 TABLES, BLOCK, DISTANCE = 6, 21, 10
 BLOCKS = 64 // BLOCK
+#: Parities of a class: cells of its words by so many hashes.
+PARITIES = 3
 LAST = (1 << 63) - 1
 #: Members of one block value that a task compares pair by pair; more go on whole.
 PART = 4096
@@ -150,6 +155,15 @@ def distinct(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.
     return np.concatenate(values), cut[:-1], cut[1:]
 
 
+def parities(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """For each line words[first:end], bits that tell which of 64 cells hold an
+    odd number of its words; cells by PARITIES hashes."""
+    cut = np.stack([first, end], axis=1).ravel()
+    cell = np.append(mix(words + _Q), np.uint64(0))
+    return [np.bitwise_xor.reduceat(np.uint64(1) << ((cell >> np.uint64(6 * k)) & np.uint64(63)), cut)[::2].view(np.int64) if len(first) else np.zeros(0, np.int64)
+            for k in range(PARITIES)]
+
+
 def _line_blocks(texts: pa.Array):
     """(first, end, lines) for runs of whole texts."""
     for lo, hi, grid in blocks(texts, ALNUM, True):
@@ -157,11 +171,14 @@ def _line_blocks(texts: pa.Array):
 
 
 _SIMS = [f"s{t}" for t in range(TABLES)]
+_CELLS = [f"c{k}" for k in range(PARITIES)]
+#: What a class has besides its hash: SimHashes, parities, the number of its words.
+_SKETCH = [*_SIMS, *_CELLS, "n"]
 
 
 def _lines(batches):
-    """All lines; with SimHashes, where the line has LEAST words or more and is its block's first of them."""
-    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), *((s, pa.int64()) for s in _SIMS)])
+    """All lines; with SimHashes, parities and length, where the line has LEAST words or more and is its block's first of them."""
+    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), *((s, pa.int64()) for s in _SKETCH)])
     for b in batches:
         ids = _ids(b.column("doc_id"))
         for lo, hi, x in _line_blocks(b.column("text")):
@@ -171,13 +188,14 @@ def _lines(batches):
                 at = at[np.sort(np.unique(x.node[at], axis=0, return_index=True)[1])]
             none = np.ones(len(x.first), bool)
             none[at] = False
-            sims, bag = {}, distinct(x.words, x.first[at], x.end[at])
-            for t, s in enumerate(_SIMS):
+            sketch, bag = {}, distinct(x.words, x.first[at], x.end[at])
+            of_lines = [*(simhash(*bag, t) for t in range(TABLES)), *parities(x.words, x.first[at], x.end[at]), x.end[at] - x.first[at]]
+            for s, of_line in zip(_SKETCH, of_lines):
                 value = np.zeros(len(x.first), np.int64)
-                value[at] = simhash(*bag, t)
-                sims[s] = pa.array(value, mask=none)
+                value[at] = of_line
+                sketch[s] = pa.array(value, mask=none)
             yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(),
-                                   "h": pa.array(x.node[:, 0].view(np.int64), mask=none), **sims}, schema)
+                                   "h": pa.array(x.node[:, 0].view(np.int64), mask=none), **sketch}, schema)
 
 
 def _raw_keys(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
@@ -209,17 +227,27 @@ def _passing(marks: np.ndarray):
     return run
 
 
-def partners(bucket: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _differ(bits: np.ndarray, a: np.ndarray, gap: int) -> np.ndarray:
+    """Bits in which members ``a`` differ from those ``gap`` places on (numpy counts a negative number's bits without its sign)."""
+    return np.bitwise_count((bits[a] ^ bits[a + gap]).view(np.uint64))
+
+
+def partners(bucket: np.ndarray, sim: np.ndarray, cells: np.ndarray | None = None, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which members of sorted buckets go on (those with a partner in their
     bucket, and all of a bucket of more than PART), and the place of the first
-    partner, where that comes before the member."""
+    partner, where that comes before the member.  ``cells`` is a parity of
+    each member and ``n`` its words."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     run = np.diff(np.append(first, len(bucket)))
     left = np.repeat(first + run, run) - np.arange(len(bucket)) - 1  # members after this one
     go, to = np.repeat(run > PART, run), np.arange(len(bucket))
     a, gap = np.flatnonzero(~go & (left > 0)), 1
     while len(a):
-        near = a[np.bitwise_count(sim[a] ^ sim[a + gap]) <= DISTANCE]
+        near = a[_differ(sim, a, gap) <= DISTANCE]
+        if cells is not None:
+            x, y = n[near], n[near + gap]
+            most = np.maximum(x, y) * (100 - PERCENT) // 100
+            near = near[(np.abs(x - y) <= most) & (_differ(cells, near, gap) <= 2 * most)]
         go[near] = True
         go[near + gap] = True
         to[near + gap] = near  # a larger gap, an earlier partner
@@ -245,7 +273,7 @@ def _partners(batches):
             done = len(bucket)
         kept = part.slice(done) if done < len(bucket) else None
         if done:
-            go, to = partners(bucket[:done], part.column("sim").to_numpy()[:done])
+            go, to = partners(bucket[:done], *(part.column(c).to_numpy()[:done] for c in ("sim", "c0", "n") if c in part.schema.names))
             go |= bucket[:done] == border
             yield part.slice(0, done).append_column("to", pa.array(ids[to])).filter(pa.array(go))
     if kept is not None:
@@ -358,20 +386,26 @@ def _verify(docs: DataFrame, hashes: DataFrame, members: DataFrame):
 
 
 def _near(a, b):
-    return F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE
+    """Whether two members meet in their table, and can be similar enough."""
+    most = F.floor(F.greatest(a["n"], b["n"]) * (100 - PERCENT) / 100)
+    met = (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DISTANCE) & (F.abs(a["n"] - b["n"]) <= most)
+    for c in _CELLS:
+        met &= F.bit_count(a[c].bitwiseXOR(b[c])) <= 2 * most
+    return met
 
 
 def _groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, component) of the classes that links join."""
-    hashes = written(lines.where("h IS NOT NULL").groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", *_SIMS))).withColumn("id", F.monotonically_increasing_id()), "hashes")
+    hashes = written(lines.where("h IS NOT NULL").groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", *_SKETCH))).withColumn("id", F.monotonically_increasing_id()), "hashes")
     values = [F.struct((F.lit((t * BLOCKS + i) << BLOCK) + F.shiftrightunsigned(s, BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1))).cast("bigint").alias("bucket"), F.col(s).alias("sim"))
               for t, s in enumerate(_SIMS) for i in range(BLOCKS)]
-    dealt = hashes.select("id", F.explode(F.array(*values)).alias("v")).select("v.bucket", "id", "v.sim")
-    members = written(dealt.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
-                      .mapInArrow(lean(_partners), "bucket bigint, id bigint, sim bigint, to bigint"), "members")
+    dealt = hashes.select("id", "c0", "n", F.explode(F.array(*values)).alias("v")).select("v.bucket", "id", "v.sim", "c0", "n")
+    met = written(dealt.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+                  .mapInArrow(lean(_partners), "bucket bigint, id bigint, sim bigint, c0 bigint, n bigint, to bigint"), "met")
+    members = written(met.join(hashes.select("id", *_CELLS[1:]), "id"), "members")
     # one pair a member: of its first partners the smallest, else a family of n copies costs a pair for each block of each
     pairs = written(members.where("to < id").groupBy(F.col("id").alias("y")).agg(F.min("to").alias("x")).select("x", "y"), "pairs")
-    groups = link(members.select("bucket", F.col("id").alias("node"), "sim"), _verify(docs, hashes, members), _near, pairs=pairs)
+    groups = link(members.select("bucket", F.col("id").alias("node"), "sim", "n", *_CELLS), _verify(docs, hashes, members), _near, pairs=pairs)
     return groups.withColumnRenamed("node", "id").join(hashes.select("id", "node"), "id").select("node", "component")
 
 
@@ -379,7 +413,7 @@ def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
     text); with ``texts`` also kept_text, null where nothing was removed."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, node binary, h bigint, " + ", ".join(f"{s} bigint" for s in _SIMS)), "lines")
+    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, node binary, h bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH)), "lines")
     classes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     named = written(classes.join(_groups(docs, lines), "node", "left").where("n > 1 OR component IS NOT NULL")
                     .select("node", "first", "n", F.coalesce(F.col("component").cast("string").cast("binary"), "node").alias("component")), "named")

@@ -245,3 +245,40 @@ def test_one_first_pair_for_each_member(spark, monkeypatch):
     monkeypatch.setattr(fl, "link", lambda *a, pairs: seen.append(pairs.count()) or link(*a, pairs=pairs))
     assert sum(r["n_removed"] for r in fl.fuzzy_lines(documents(spark, docs)).collect()) == 299
     assert 0 < seen[0] < 300
+
+
+MASK = (1 << 64) - 1
+
+
+def test_partners_may_differ_in_the_highest_bit():
+    go, to = fl.partners(np.zeros(2, np.int64), np.array([5, 4 - (1 << 63)]))
+    assert go.all() and to.tolist() == [0, 0]
+
+
+def test_no_link_fails_the_bound():
+    """Lines at the limit of edits differ in no more parities than two an edit."""
+    rng = random.Random(12)
+    for _ in range(300):
+        a = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(20, 120))]
+        b = _edited(rng, a, len(a) * (100 - fl.PERCENT) // 100)
+        most = _most(a, b)
+        x = fl.Lines(Grid(np.frombuffer(raw := " ".join(a).encode() + b"\n" + " ".join(b).encode(), np.uint8), np.array([0, len(raw)]), ALNUM, True))
+        for c in fl.parities(x.words, x.first, x.end):
+            assert (int(c[0]) & MASK ^ int(c[1]) & MASK).bit_count() <= 2 * max(most, _distance(a, b))
+        go, _ = fl.partners(np.zeros(2, np.int64), np.zeros(2, np.int64), fl.parities(x.words, x.first, x.end)[0], x.end - x.first)
+        assert go.all() or _distance(a, b) > most
+
+
+def test_a_family_without_links_names_few_pairs(spark, monkeypatch):
+    """n variants that differ by two edits from each other share blocks, but are not n * n / 2 pairs to verify."""
+    rng, seen = random.Random(13), []
+    base = [f"word{i}" for i in range(39)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(39)], w[rng.randrange(39)] = f"v{i}", f"u{i}"
+        docs.append((i, " ".join(w)))
+    verify = fl._verify
+    monkeypatch.setattr(fl, "_verify", lambda *a: lambda pairs: seen.append(pairs.count()) or verify(*a)(pairs))
+    assert _got(fl.fuzzy_lines(documents(spark, docs))) == _brute(docs)
+    assert sum(seen) < 600, seen
