@@ -49,6 +49,8 @@ AGREE = 200
 CELLS = 512
 #: Partners of a document that one task compares with it, about.
 PARTNERS = 256
+#: Bytes of text whose signatures are made at once; each of their shingles takes a permutation of the registers.
+SIGNED = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,7 +117,7 @@ def _signatures(size: int):
 
     def run(batches):
         for b in batches:
-            for lo, hi, grid in blocks(b.column("text"), NONSPACE, True):
+            for lo, hi, grid in blocks(b.column("text"), NONSPACE, True, SIGNED):
                 h, bounds = shingle_sets(grid, size)
                 n = hi - lo
                 full = super_minhash(h, bounds, REGISTERS)

@@ -169,3 +169,16 @@ def test_substring_dedup_empty_table(spark):
 def test_cover_aligns_every_shift():
     cover, p = set(substring_dedup.COVER), substring_dedup.PERIOD
     assert all(any((i + d) % p in cover and (j + d) % p in cover for d in range(p)) for i in range(p) for j in range(p))
+
+
+def test_signatures_take_few_shingles_at_once(monkeypatch):
+    """A worker holds a permutation of the registers for each shingle of a block."""
+    import pyarrow as pa
+
+    from drawpool.llm import near_dedup as nd
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": [" ".join(f"a{i}b{k}" for k in range(1500)) for i in range(50)]})
+    seen, sign = [], nd.super_minhash
+    monkeypatch.setattr(nd, "super_minhash", lambda h, *a: seen.append(len(h)) or sign(h, *a))
+    assert sum(b.num_rows for b in nd._signatures(5)(iter([batch]))) == 50
+    assert sum(seen) == 50 * 1496 and max(seen) <= 50_000
