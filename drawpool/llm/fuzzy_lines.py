@@ -40,15 +40,17 @@ an empty table.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, bitmap, in_bitmap, lean, written
 from .linking import link
-from .textgrid import _P, _Q, _R, _spans, ALNUM, Grid, blocks, buffers, mix
+from .textgrid import _Q, _R, _spans, ALNUM, Grid, blocks, mix
 
 #: Least edit similarity, in per cent, and the words that a line needs for one edit.
 PERCENT = 95
@@ -61,22 +63,8 @@ PARITIES = 3
 LAST = (1 << 63) - 1
 #: Members of one block value that a task compares pair by pair; more go on whole.
 PART = 4096
-#: For each byte, its 8 bits as counters of 8 bits each; words that such counters hold.
-_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-_RUN = 255
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def row_keys(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A key of each row by its id and text."""
-    some = np.flatnonzero(np.diff(offsets) > 0)
-    text = np.zeros(len(ids), np.uint64)
-    if len(some):
-        text[some] = _spans(data, offsets[:-1][some], offsets[1:][some], _P)
-    return mix(text + mix(ids.view(np.uint64))).view(np.int64)
+#: Words that counters of 8 bits hold, in fours.
+_RUN = 252
 
 
 def characters(grid: Grid) -> Grid:
@@ -106,38 +94,89 @@ class Lines:
 
     def __init__(self, grid: Grid):
         self.words = grid.hashes()
-        newline = np.concatenate([[0], np.cumsum(grid.data == 10)])
-        at = newline[grid.starts] + grid.doc  # a text ends a line as well
+        newlines = np.flatnonzero(grid.data == 10)
+        newline = np.cumsum(np.bincount(np.searchsorted(grid.starts, newlines), minlength=len(grid.starts) + 1))[:len(grid.starts)]  # before each word
+        at = newline + grid.doc  # a text ends a line as well
         self.first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
         self.end = np.append(self.first[1:], len(at)) if len(at) else self.first
         self.doc = grid.doc[self.first]
-        self.number = newline[grid.starts[self.first]] - newline[grid.offsets[:-1]][self.doc]
+        self.number = newline[self.first] - np.searchsorted(newlines, grid.offsets[:-1])[self.doc]
         self.node = np.stack([_spans(self.words, self.first, self.end, _Q), _spans(mix(self.words + _R), self.first, self.end, _R)], axis=1)
 
-    def nodes(self) -> pa.Array:
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(self.node), [None, pa.py_buffer(np.ascontiguousarray(self.node).tobytes())]).cast(pa.binary())
-
 
 def simhash(words: np.ndarray, first: np.ndarray, end: np.ndarray, table: int) -> np.ndarray:
     """64 bits of each line words[first:end] (one word or more, in order): in
     which of them most of its words' hashes have a 1."""
-    out = np.zeros(len(first), np.int64)
-    seed = mix(np.full(1, table + 1, np.uint64))
+    return simhashes(words, first, end, [table])[0]
+
+
+def simhashes(words: np.ndarray, first: np.ndarray, end: np.ndarray, tables: Sequence[int]) -> np.ndarray:
+    """The ``simhash`` of each line in each table."""
+    out = np.zeros((len(tables), len(first)), np.uint64)
+    seeds = mix(np.array(tables, np.uint64) + np.uint64(1))
     lo = 0
-    while lo < len(first):  # the lines that begin in about 32,768 words
-        hi = int(np.searchsorted(first, first[lo] + (1 << 15)))
-        base, top = int(first[lo]), int(end[hi - 1])
-        runs = -(-(end[lo:hi] - first[lo:hi]) // _RUN)  # counters of 8 bits hold 255 words
+    while lo < len(first):  # the lines that begin in about 131,072 words
+        hi = int(np.searchsorted(first, first[lo] + (1 << 17)))
+        base, top, size = int(first[lo]), int(end[hi - 1]), end[lo:hi] - first[lo:hi]
+        runs = -(-size // _RUN)
         line = np.cumsum(runs) - runs
-        place = np.arange(int(runs.sum())) - np.repeat(line, runs)
-        start = np.repeat(first[lo:hi] - base, runs) + place * _RUN
-        stop = np.minimum(start + _RUN, np.repeat(end[lo:hi] - base, runs))
-        cut = np.stack([start, stop], axis=1).ravel()
-        hashes = np.append(mix(words[base:top] ^ seed), np.uint64(0)).view(np.uint8).reshape(-1, 8)
-        votes = np.stack([np.add.reduceat(_COUNTERS[hashes[:, k]], cut)[::2] for k in range(8)], axis=1).view(np.uint8)
-        votes = np.add.reduceat(votes, line, axis=0, dtype=np.int32)
-        out[lo:hi] = np.packbits(2 * votes > (end[lo:hi] - first[lo:hi])[:, None], axis=1).view(np.int64).ravel()
+        start = np.repeat(first[lo:hi] - base, runs) + (np.arange(int(runs.sum())) - np.repeat(line, runs)) * _RUN
+        hashes = np.zeros((len(tables), top - base + 1), np.uint64)
+        for row, seed in zip(hashes, seeds):
+            row[:-1] = mix(words[base:top] ^ seed)
+        counts = _counts(hashes, start, np.minimum(start + _RUN, np.repeat(end[lo:hi] - base, runs)))
+        if len(line) < len(start):
+            counts = _sums(counts, line, runs, int(size.max()).bit_length())
+        more, same = out[:, lo:hi], ~np.uint64(0)
+        for i in reversed(range(len(counts))):  # counts against half of the line, digit by digit
+            half = -(size // 2 >> i & 1).astype(np.uint64)
+            more |= same & counts[i] & ~half
+            same = same & ~(counts[i] ^ half)
         lo = hi
+    return out.view(np.int64)
+
+
+def _counts(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """How many of hashes[table, start:stop], _RUN words at most, have each of the 64
+    bits, as binary digits: the i-th digits of a run's 64 counts are the number [i, table,
+    run].  Four words at a time are added to all runs; a table's last hash is 0 and fills them."""
+    order = np.argsort(start - stop, kind="stable")  # long runs first: those with another four are the first few
+    begin, stop = start[order], stop[order]
+    fours = (stop - begin + 3) // 4
+    digits = np.zeros((8, len(hashes), len(order)), np.uint64)
+    for i in range(int(fours[0])):
+        k = int(np.searchsorted(-fours, -i))
+        at = begin[:k] + np.arange(4 * i, 4 * i + 4)[:, None]
+        a, b, c, d = np.moveaxis(hashes.take(np.where(at < stop[:k], at, hashes.shape[1] - 1), axis=1), 1, 0)
+        now = digits[:, :, :k]
+        carry = _added(now[1], _added(now[0], a, b), _added(now[0], c, d))
+        for digit in now[2:(4 * i + 4).bit_length()]:
+            both = digit & carry
+            digit ^= carry
+            carry = both
+    out = np.empty_like(digits)
+    out[:, :, order] = digits
+    return out
+
+
+def _added(digit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Adds two binary digits to ``digit``; what is to carry."""
+    either = a ^ b
+    carry = a & b | either & digit
+    digit ^= either
+    return carry
+
+
+def _sums(counts: np.ndarray, line: np.ndarray, runs: np.ndarray, digits: int) -> np.ndarray:
+    """The counts of lines of several runs, the first of which is ``line``."""
+    out = np.zeros((max(digits, len(counts)), counts.shape[1], len(line)), np.uint64)
+    for j in range(int(runs.max())):
+        which = np.flatnonzero(runs > j)
+        carry = np.zeros((counts.shape[1], len(which)), np.uint64)
+        for i in range(len(out)):
+            digit = out[i][:, which]
+            carry = _added(digit, counts[i][:, line[which] + j] if i < len(counts) else np.uint64(0), carry)
+            out[i][:, which] = digit
     return out
 
 
@@ -170,6 +209,12 @@ def _line_blocks(texts: pa.Array):
         yield lo, hi, Lines(characters(grid))
 
 
+def _hashes(node: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: np.ascontiguousarray(node[:, i]).view(np.int64) for i, c in enumerate(_CLASS)}
+
+
+#: The hash of a class.
+_CLASS = ["h", "g"]
 _SIMS = [f"s{t}" for t in range(TABLES)]
 _CELLS = [f"c{k}" for k in range(PARITIES)]
 #: What a class has besides its hash: SimHashes, parities, the number of its words.
@@ -178,52 +223,37 @@ _SKETCH = [*_SIMS, *_CELLS, "n"]
 
 def _lines(batches):
     """All lines; with SimHashes, parities and length, where the line has LEAST words or more and is its block's first of them."""
-    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("node", pa.binary()), ("h", pa.int64()), *((s, pa.int64()) for s in _SKETCH)])
+    schema = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), *((s, pa.int64()) for s in _SKETCH)])
     for b in batches:
-        ids = _ids(b.column("doc_id"))
+        ids, keys = b.column("doc_id").to_numpy(), b.column("rk").to_numpy()
         for lo, hi, x in _line_blocks(b.column("text")):
-            keys = _raw_keys(b.column("text").slice(lo, hi - lo), ids[lo:hi])
             at = np.flatnonzero(x.end - x.first >= LEAST)
             if len(at):
                 at = at[np.sort(np.unique(x.node[at], axis=0, return_index=True)[1])]
             none = np.ones(len(x.first), bool)
             none[at] = False
             sketch, bag = {}, distinct(x.words, x.first[at], x.end[at])
-            of_lines = [*(simhash(*bag, t) for t in range(TABLES)), *parities(x.words, x.first[at], x.end[at]), x.end[at] - x.first[at]]
+            of_lines = [*simhashes(*bag, range(TABLES)), *parities(x.words, x.first[at], x.end[at]), x.end[at] - x.first[at]]
             for s, of_line in zip(_SKETCH, of_lines):
                 value = np.zeros(len(x.first), np.int64)
                 value[at] = of_line
                 sketch[s] = pa.array(value, mask=none)
-            yield from batches_of({"rk": keys[x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), "node": x.nodes(),
-                                   "h": pa.array(x.node[:, 0].view(np.int64), mask=none), **sketch}, schema)
+            yield from batches_of({"rk": keys[lo + x.doc], "doc_id": ids[lo + x.doc], "line": x.number.astype(np.int32), **_hashes(x.node), **sketch}, schema)
 
 
-def _raw_keys(texts: pa.Array, ids: np.ndarray) -> np.ndarray:
-    data, offsets = buffers(texts)
-    return row_keys(data[offsets[0]:offsets[-1]], offsets - offsets[0], ids)
-
-
-def _base(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("n_lines", pa.int64()), ("sha", pa.string())])
-    for b in batches:
-        ids, texts = _ids(b.column("doc_id")), b.column("text").fill_null("")
-        n, sha = [], []
-        for t in texts:
-            raw = t.as_buffer()
-            raw = b"" if raw is None else bytes(raw)
-            n.append(raw.count(b"\n") + 1 if raw else 0)
-            sha.append(hashlib.sha256(raw).hexdigest())
-        yield from batches_of({"doc_id": ids, "rk": _raw_keys(texts, ids), "n_lines": pa.array(n, pa.int64()), "sha": pa.array(sha, pa.string())}, schema)
-
-
-def _passing(marks: np.ndarray):
-    """The rows whose key the bitmap lets pass, with their key."""
+def _held(marks: np.ndarray):
+    """Rows whose key the bitmap lets pass with their text, the others with its digest."""
     def run(batches):
         for b in batches:
-            ids = _ids(b.column("doc_id"))
-            keys = _raw_keys(b.column("text"), ids)
-            at = np.flatnonzero(in_bitmap(marks, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(keys[at]), b.column("text").take(pa.array(at))], names=["doc_id", "rk", "text"])
+            may = in_bitmap(marks, b.column("rk").to_numpy())
+            n, sha = [], []
+            for t, m in zip(b.column("text"), may.tolist()):
+                raw = t.as_buffer()
+                raw = b"" if raw is None else bytes(raw)
+                n.append(raw.count(b"\n") + 1 if raw else 0)
+                sha.append(None if m else hashlib.sha256(raw).hexdigest())
+            text = pc.if_else(pa.array(may), b.column("text"), pa.scalar(None, b.column("text").type))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "rk": b.column("rk"), "n_lines": pa.array(n, pa.int64()), "sha": pa.array(sha, pa.string()), "text": text})
     return run
 
 
@@ -252,8 +282,8 @@ def partners(bucket: np.ndarray, sim: np.ndarray, cells: np.ndarray | None = Non
 
 
 def _partners(batches):
-    """Rows of a partition sorted by bucket and id, less those of buckets that
-    lie in it alone and have no partner there.  At most PART rows are kept back."""
+    """Rows of a partition sorted by bucket, less those of buckets that lie in it
+    alone and have no partner there.  At most PART rows are kept back."""
     kept, border = None, None  # rows of the last bucket so far; a bucket that goes on whole
     for b in batches:
         if not b.num_rows:
@@ -268,25 +298,28 @@ def _partners(batches):
             done = len(bucket)
         kept = part.slice(done) if done < len(bucket) else None
         if done:
-            go, to = partners(bucket[:done], *(part.column(c).to_numpy()[:done] for c in ("sim", "c0", "n") if c in part.schema.names))
+            order = np.lexsort((ids[:done], bucket[:done]))
+            go, to = partners(bucket[:done], *(part.column(c).to_numpy()[order] for c in ("sim", "c0", "n") if c in part.schema.names))
             go |= bucket[:done] == border
-            yield part.slice(0, done).append_column("to", pa.array(ids[to])).filter(pa.array(go))
+            yield part.take(pa.array(order[go])).append_column("to", pa.array(ids[order[to[go]]]))
     if kept is not None:
         yield kept.append_column("to", kept.column("id"))
 
 
-def _line_texts(marks: np.ndarray):
-    """The lines whose class the bitmap lets pass, from the first word to the last."""
+def _line_texts(rows: np.ndarray, marks: np.ndarray):
+    """The lines whose class the bitmap ``marks`` lets pass, from the first word to the
+    last, of the rows whose key the bitmap ``rows`` lets pass."""
     def run(batches):
         for b in batches:
-            for _, _, grid in blocks(b.column("text"), ALNUM, True):
+            texts = b.column("text").filter(pa.array(in_bitmap(rows, b.column("rk").to_numpy())))
+            for _, _, grid in blocks(texts, ALNUM, True):
                 x = Lines(characters(grid))
-                at = np.flatnonzero(in_bitmap(marks, x.node[:, 0].view(np.int64)))
+                at = np.flatnonzero(in_bitmap(marks, _hashes(x.node)["h"]))
                 if len(at):
                     at = at[np.unique(x.node[at], axis=0, return_index=True)[1]]
                     data = grid.data.tobytes()
                     texts = [data[a:e] for a, e in zip(grid.starts[x.first[at]].tolist(), grid.ends[x.end[at] - 1].tolist())]
-                    yield pa.RecordBatch.from_arrays([x.nodes().take(pa.array(at)), pa.array(texts, pa.binary()).cast(pa.string())], names=["node", "words"])
+                    yield pa.RecordBatch.from_pydict({**_hashes(x.node[at]), "words": pa.array(texts, pa.binary()).cast(pa.string())})
     return run
 
 
@@ -359,20 +392,24 @@ def _verified(batches):
 
 
 def _cut(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
     for b in batches:
-        removed, texts = [], []
-        for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist()):
-            gone = set(gone)
+        removed, shas, texts = [], [], []
+        for sha, text, gone in zip(b.column("sha").to_pylist(), b.column("text").to_pylist(), b.column("gone").to_pylist()):
+            gone, kept = set(gone or ()), None
+            if gone:
+                kept = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             removed.append(len(gone))
-            texts.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
-        yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                                         names=["rk", "doc_id", "n_removed", "kept_text"])
+            shas.append(sha or hashlib.sha256(((text or "") if kept is None else kept).encode()).hexdigest())
+            texts.append(kept)
+        yield from batches_of({"doc_id": b.column("doc_id"), "n_lines": b.column("n_lines"), "n_removed": pa.array(removed, pa.int64()),
+                               "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(texts, pa.string())}, schema)
 
 
-def _verify(docs: DataFrame, hashes: DataFrame, members: DataFrame):
-    wanted = written(hashes.select("id", "node", "h").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
-    held = written(docs.mapInArrow(lean(_line_texts(bitmap(wanted, "h"))), "node binary, words string")
-                   .join(wanted.select("id", "node"), "node").groupBy("id").agg(F.first("words").alias("words")), "words")
+def _verify(docs: DataFrame, members: DataFrame):
+    wanted = written(members.select("id", *_CLASS, "rk").distinct(), "wanted")
+    held = written(docs.mapInArrow(lean(_line_texts(bitmap(wanted, "rk"), bitmap(wanted, "h"))), "h bigint, g bigint, words string")
+                   .join(wanted.select("id", *_CLASS), _CLASS).groupBy("id").agg(F.first("words").alias("words")), "words")
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (held.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in "xy")
@@ -389,39 +426,39 @@ def _near(a, b):
     return met
 
 
-def _groups(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, component) of the classes that links join."""
-    hashes = written(lines.where("h IS NOT NULL").groupBy("node").agg(*(F.min(c).alias(c) for c in ("h", *_SKETCH))).withColumn("id", F.monotonically_increasing_id()), "hashes")
-    values = [F.struct((F.lit((t * BLOCKS + i) << BLOCK) + F.shiftrightunsigned(s, BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1))).cast("bigint").alias("bucket"), F.col(s).alias("sim"))
-              for t, s in enumerate(_SIMS) for i in range(BLOCKS)]
-    dealt = hashes.select("id", "c0", "n", F.explode(F.array(*values)).alias("v")).select("v.bucket", "id", "v.sim", "c0", "n")
-    met = written(dealt.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
+def _groups(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(id, component) of the classes that links join."""
+    at, sim = F.col("at"), F.when(F.col("at") < BLOCKS, F.col(_SIMS[0]))
+    for t in range(1, TABLES):
+        sim = sim.when(at < (t + 1) * BLOCKS, F.col(_SIMS[t]))
+    block = F.call_function("shiftrightunsigned", sim, at % BLOCKS * BLOCK).bitwiseAND(F.lit((1 << BLOCK) - 1))
+    dealt = (hashes.select("id", "c0", "n", *_SIMS, F.explode(F.array(*map(F.lit, range(TABLES * BLOCKS)))).alias("at"))
+             .select((F.call_function("shiftleft", at.cast("bigint"), F.lit(BLOCK)) + block).alias("bucket"), "id", sim.alias("sim"), "c0", "n"))
+    # tasks sort by one number, which is much cheaper than by two; the few members of a bucket are put in order in Python
+    met = written(dealt.repartitionByRange("bucket", "id").sortWithinPartitions("bucket")
                   .mapInArrow(lean(_partners), "bucket bigint, id bigint, sim bigint, c0 bigint, n bigint, to bigint"), "met")
-    members = written(met.join(hashes.select("id", *_CELLS[1:]), "id"), "members")
+    members = written(met.join(hashes.select("id", *_CLASS, "rk", *_CELLS[1:]), "id"), "members")
     # one pair a member: of its first partners the smallest, else a family of n copies costs a pair for each block of each
     pairs = written(members.where("to < id").groupBy(F.col("id").alias("y")).agg(F.min("to").alias("x")).select("x", "y"), "pairs")
-    groups = link(members.select("bucket", F.col("id").alias("node"), "sim", "n", *_CELLS), _verify(docs, hashes, members), _near, pairs=pairs)
-    return groups.withColumnRenamed("node", "id").join(hashes.select("id", "node"), "id").select("node", "component")
+    return link(members.select("bucket", F.col("id").alias("node"), "sim", "n", *_CELLS), _verify(docs, members), _near, pairs=pairs).withColumnRenamed("node", "id")
 
 
 def fuzzy_lines(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 per row of ``docs`` (doc_id,
     text); with ``texts`` also kept_text, null where nothing was removed."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, node binary, h bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH)), "lines")
-    classes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = written(classes.join(_groups(docs, lines), "node", "left").where("n > 1 OR component IS NOT NULL")
-                    .select("node", "first", "n", F.coalesce(F.col("component").cast("string").cast("binary"), "node").alias("component")), "named")
-    several = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    dup = written(named.join(several, "component").select("node", "stays"), "repeated")
-    gone = written(lines.join(dup, "node").where("stays.doc_id <> doc_id OR stays.line <> line").groupBy("rk", "doc_id")
-                   .agg(F.collect_list("line").alias("gone")), "gone")
-
-    hit = docs.mapInArrow(_passing(bitmap(gone, "rk")), "doc_id bigint, rk bigint, text string").distinct()
-    cut = hit.join(gone, ["rk", "doc_id"]).mapInArrow(_cut, "rk bigint, doc_id bigint, n_removed bigint, kept_text string")
-    cut = cut.withColumn("kept_sha", F.sha2(F.col("kept_text").cast("binary"), 256))
-    cut = written(cut if texts else cut.drop("kept_text"), "cut")
-    rows = docs.mapInArrow(_base, "doc_id bigint, rk bigint, n_lines bigint, sha string")
-    return rows.join(cut, ["rk", "doc_id"], "left").select(
-        F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "n_lines", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
-        F.coalesce("kept_sha", "sha").alias("kept_sha256"), *([F.col("kept_text")] if texts else []))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("rk", F.xxhash64("doc_id", "text"))  # a key of each row by its id and text
+    lines = written(docs.mapInArrow(lean(_lines), "rk bigint, doc_id bigint, line int, h bigint, g bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH)), "lines")
+    place = F.col("doc_id").cast("decimal(20)") * F.lit(1 << 31).cast("decimal(10)") + F.col("line")  # first by doc_id, then by line
+    classes = written(lines.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), *(F.min(c).alias(c) for c in ("rk", *_SKETCH)))
+                      .withColumn("id", F.monotonically_increasing_id()), "classes")
+    named = written(classes.select("id", *_CLASS, "first", "times").join(_groups(docs, classes.where("n IS NOT NULL")), "id", "left").where("times > 1 OR component IS NOT NULL")
+                    .select(*_CLASS, "first", "times", F.coalesce("component", "id").alias("component")), "named")
+    several = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("times").alias("times")).where("times > 1").drop("times")
+    dup = written(named.join(several, "component").select(*_CLASS, "stays"), "repeated")
+    gone = written(lines.join(dup, _CLASS).where(place != F.col("stays")).groupBy("rk", "doc_id").agg(F.collect_list("line").alias("gone")), "gone")
+
+    held = docs.mapInArrow(_held(bitmap(gone, "rk")), "doc_id bigint, rk bigint, n_lines bigint, sha string, text string")
+    out = held.join(gone, ["rk", "doc_id"], "left").select("doc_id", "n_lines", "sha", "text", "gone").mapInArrow(
+        _cut, "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return out.select(F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "n_lines", "n_removed", "kept_sha256", *(["kept_text"] if texts else []))

@@ -215,6 +215,48 @@ def test_simhash_is_the_majority_of_the_words_bits():
             assert np.packbits(2 * bits.sum(0, dtype=int) > b - a).view(np.int64)[0] == g
 
 
+def test_simhashes_of_all_tables_at_once():
+    """Short lines, lines about a run of counters, and one of many runs."""
+    rng = np.random.default_rng(7)
+    size = np.concatenate([rng.integers(1, 130, 300), [251, 252, 253, 504, 505, 3000], rng.integers(1, 9, 50)])
+    end = np.cumsum(size)
+    words = rng.integers(0, 2**63, int(end[-1])).astype(np.uint64)
+    got = fl.simhashes(words, end - size, end, range(fl.TABLES))
+    for table in range(fl.TABLES):
+        seed = fl.mix(np.full(1, table + 1, np.uint64))
+        for a, b, g in zip(end - size, end, got[table]):
+            bits = np.unpackbits(fl.mix(words[a:b] ^ seed).view(np.uint8).reshape(-1, 8), axis=1)
+            assert np.packbits(2 * bits.sum(0, dtype=int) > b - a).view(np.int64)[0] == g
+
+
+def test_members_of_a_bucket_come_in_any_order():
+    """Tasks sort by bucket alone; the first partner of a member is still the smallest."""
+    rng = np.random.default_rng(11)
+    n = np.arange(1, 60)
+    bucket = np.repeat(np.arange(len(n)), n)
+    ids = rng.permutation(len(bucket))
+    sim = (bucket % 7 << 30) + (1 << rng.integers(0, 20, len(bucket)))
+    rows = pa.RecordBatch.from_pydict({"bucket": bucket, "id": ids, "sim": sim})
+    want = {(b, i): min(j for j in ids[bucket == b]) for b, i in zip(bucket.tolist(), ids.tolist()) if 2 <= n[b] < 59 and b}
+    for step in (5000, 40):
+        out = pa.Table.from_batches(fl._partners(rows.slice(lo, step) for lo in range(0, len(bucket), step)))
+        got = {(b, i): t for b, i, t in zip(out["bucket"].to_pylist(), out["id"].to_pylist(), out["to"].to_pylist())}
+        assert {k: v for k, v in got.items() if k in want} == want
+
+
+def test_texts_are_read_only_where_a_class_is_wanted():
+    texts = ["a b c\nd e", "f g\n\nh", "a b c"]
+    grid = Grid(np.frombuffer("f g".encode(), np.uint8), np.array([0, 3]), ALNUM, True)
+    marks = np.zeros((1 << 24) // 8 + 4096, np.uint8)
+    rows = marks.copy()
+    for bits, key in ((marks, fl._hashes(fl.Lines(grid).node)["h"][0]), (rows, np.int64(6))):
+        slot = int(key) & (1 << 24) - 1
+        bits[(1 + (slot - 1) // 32768) * 4096 + (slot - 1) % 32768 // 8] |= 1 << (slot - 1) % 8
+    batch = pa.RecordBatch.from_pydict({"text": texts, "rk": [5, 6, 7]})
+    assert [b["words"].to_pylist() for b in fl._line_texts(rows, marks)([batch])] == [["f g"]]
+    assert list(fl._line_texts(np.zeros_like(rows), marks)([batch])) == []
+
+
 def test_members_without_a_partner_do_not_go_on():
     """Buckets inside a partition are compared; those at its borders and large ones go on whole."""
     rng = np.random.default_rng(4)
